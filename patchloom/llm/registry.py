@@ -1,10 +1,13 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from patchloom.llm import line_dedup, mixing
+from patchloom.llm import language_id, line_dedup, mixing, near_dedup, sentence_pieces
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op3_mixing": mixing.op3_mixing,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op9_language_id": language_id.op9_language_id,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
