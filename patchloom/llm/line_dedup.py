@@ -167,7 +167,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated lines taken out; a document none of whose words is left goes, one that had none stays."""
     out = dedup_lines(docs)
-    return out.where((F.col("n_removed") == 0) | F.col("text").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    out = out.where((F.col("n_removed") == 0) | F.col("text").isNull() | F.col("text").rlike(r"\S"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 #: The same decisions: candidates by equal halves, then every place where the one edit can be.

@@ -1,13 +1,16 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from patchloom.llm import language_id, line_dedup, mixing, near_dedup, sentence_pieces
+from patchloom.llm import language_id, line_dedup, lsh_search, mixing, near_dedup, sentence_pieces, spot_signatures, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op3_mixing": mixing.op3_mixing,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_lsh_search": lsh_search.op6_lsh_search,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op9_language_id": language_id.op9_language_id,
+    "op10_spot_signatures": spot_signatures.op10_spot_signatures,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
