@@ -1,14 +1,16 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from patchloom.llm import language_id, line_dedup, lsh_search, mixing, near_dedup, sentence_pieces, spot_signatures, suffix_dedup
+from patchloom.llm import language_id, line_dedup, lsh_search, mixing, near_dedup, sentence_pieces, spot_signatures, suffix_dedup, token_ledger, training_order
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op3_mixing": mixing.op3_mixing,
+    "op4_training_order": training_order.op4_training_order,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_lsh_search": lsh_search.op6_lsh_search,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_token_ledger": token_ledger.op8_token_ledger,
     "op9_language_id": language_id.op9_language_id,
     "op10_spot_signatures": spot_signatures.op10_spot_signatures,
 }

@@ -95,7 +95,7 @@ def pieces(path: str, alpha: float) -> Pieces:
 class Batch:
     """Some texts cut into words, their distinct words compiled to sampling tables."""
 
-    def __init__(self, model: Pieces, texts: list[str | None]):
+    def __init__(self, model: Pieces, texts: list[str | None], lattice: bool = True):
         self.model = model
         # the model puts a blank before a text that has characters
         joined = [(SPACE + t.replace(" ", SPACE)) if t else "" for t in texts]
@@ -124,18 +124,19 @@ class Batch:
         same = part_hash(prefix_hash(code[::-1]), n - end, n - start)
         if (same[one][self.word] != same).any():
             raise RuntimeError("two words share a hash")
-        self._compile(code, start[one], end[one])
-
-    def _compile(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Flat tables of the distinct words' lattices: for each place the edges that leave it, with probabilities."""
-        m = self.model
-        size = end - start
+        start = start[one]
+        self.size = size = end[one] - start
         self.base = np.concatenate([[0], np.cumsum(size)])
         total = int(self.base[-1])
         word = np.repeat(np.arange(len(size)), size)
         place = np.arange(total) - self.base[word]
-        code = code[np.repeat(start, size) + place]
-        self.codes = code
+        self.codes = code[np.repeat(start, size) + place]
+        if lattice:
+            self._compile(word, place)
+
+    def _compile(self, word: np.ndarray, place: np.ndarray) -> None:
+        """Flat tables of the distinct words' lattices: for each place the edges that leave it, with probabilities."""
+        m, size, code, total = self.model, self.size, self.codes, len(self.codes)
         left = size[word] - place
         h = prefix_hash(code)
         src, width, ids = [], [], []
@@ -178,7 +179,7 @@ class Batch:
         self.src, self.width, self.ids, self.w, self.prob = src, width, ids, w, prob
         self.state = np.searchsorted(self.src, np.arange(total + 1))
         self.cum = np.concatenate([[0.0], np.cumsum(self.prob)])
-        self.mass, self.size = mass, size
+        self.mass = mass
 
     def sample(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One segmentation of each word, drawn by its key: (word's index, edge) in order of words, and log-probabilities."""
@@ -253,7 +254,7 @@ class Batch:
 
 def encode(model: Pieces, texts: list[str | None], batch: Batch | None = None) -> list[np.ndarray]:
     """What the model's own encode gives for each text: distinct words are encoded once and put together."""
-    b = batch or Batch(model, texts)
+    b = batch or Batch(model, texts, lattice=False)
     if not len(b.word):
         return [np.zeros(0, np.int32) for _ in texts]
     every = b.codes.tobytes().decode("utf-32-le", "surrogatepass").replace(SPACE, " ")
