@@ -11,23 +11,28 @@ from patchloom.llm import common as C
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for each id in links (a, b): comp is the least id that can be reached.
 
-    Each round takes the least label among the neighbours, then the label of that label; both are aggregations or joins
-    on ids, so nothing is gathered. The rounds grow with the logarithm of the longest path at worst in practice. Each
-    round's labels are written to the shared folder, the round before is deleted. Null ends and loops are ignored.
+    Each round maps every id to the least of its neighbours and itself, and the links to links between what their ends
+    map to; those that fall together go, so the links shrink by a factor a round for ids in random order, as hashes
+    are. The rounds' maps are then put together, from the last to the first. Rounds are aggregations and joins on ids:
+    nothing is gathered. Each round is written to the shared folder. Null ends and loops are ignored.
     """
-    links = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = C.cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = C.cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
+    links = links.where("a is not null and b is not null and a <> b")
+    edges = C.cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    maps = []
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("_near"))
-        step = labels.join(near, "id").select("id", F.least("comp", "_near").alias("_new"), "comp")
-        step = C.cut(step, "step")
-        up = step.select(F.col("id").alias("_new"), F.col("_new").alias("_up"))
-        new = C.cut(step.join(up, "_new").select("id", F.least("_new", "_up").alias("comp"), (F.least("_new", "_up") < F.col("comp")).alias("_moved")), "labels")
-        moved = new.where("_moved").limit(1).count()
-        C.drop_cut(step)
-        C.drop_cut(labels)
-        labels = new.select("id", "comp")
-        if not moved:
-            C.drop_cut(both)
-            return labels
+        down = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
+        up = edges.select(F.col("a").alias("id"), F.col("a").alias("to")).distinct()
+        step = C.cut(down.unionByName(up).groupBy("id").agg(F.min("to").alias("to")), "step")
+        maps.append(step)
+        a, b = (step.select(F.col("id").alias(c), F.col("to").alias(f"_{c}")) for c in "ab")
+        moved = edges.join(a, "a").join(b, "b").where("_a <> _b")
+        new = C.cut(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
+        C.drop_cut(edges)
+        edges = new
+        if edges.isEmpty():
+            break
+    labels = maps[-1].withColumnRenamed("to", "comp")
+    for step in reversed(maps[:-1]):
+        up = labels.withColumnRenamed("id", "to")
+        labels = step.join(up, "to", "left").select("id", F.coalesce("comp", "to").alias("comp"))
+    return C.cut(labels, "labels")

@@ -18,8 +18,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 28, 5
 #: A pair whose estimate lies this many standard deviations below the wanted similarity is not verified.
 SIGMAS = 5.0
-#: Leaders that a bucket compares in the first round, and the factor by which they grow.
-GROWTH = 8
+#: Members of a bucket, and of a family, that one task compares with as many others.
+SKETCHES, TEXTS = 4096, 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -106,26 +106,134 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
+def _least(m: int = BANDS * ROWS) -> float:
+    """Equal sketch bytes that a pair must have not to be ruled out."""
+    p = SIMILAR + (1 - SIMILAR) / 256
+    return m * p - SIGMAS * (m * p * (1 - p)) ** 0.5
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, sa, sb) to the (a, b) whose sketches don't rule out the wanted similarity."""
     m = BANDS * ROWS
-    p = SIMILAR + (1 - SIMILAR) / 256
-    least = m * p - SIGMAS * (m * p * (1 - p)) ** 0.5
     for batch in batches:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, m) for i in (2, 3))
-        keep = (x == y).sum(axis=1) >= least
+        keep = (x == y).sum(axis=1) >= _least()
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each group, from batches in order of their first `keys` columns."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[:keys] != rows[0][:keys]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _forest(v: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Links (least member, member) of each component of a symmetric matrix of near pairs."""
+    label = np.arange(len(v))
+    near = near | np.eye(len(v), dtype=bool)
+    while True:
+        new = np.array([label[row].min() for row in near])
+        new = new[new]
+        if (new == label).all():
+            return [(int(v[x]), int(v[i])) for i, x in enumerate(label) if x != i]
+        label = new
+
+
+def _equal_bytes(x: np.ndarray) -> np.ndarray:
+    """For each two rows how many bytes agree."""
+    n, m = x.shape
+    out = np.empty((n, n), np.int16)
+    step = max(1, (4 << 20) // (n * m))
+    for i in range(0, n, step):
+        out[i : i + step] = (x[i : i + step, None, :] == x[None, :, :]).sum(axis=2, dtype=np.int16)
+    return out
+
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, i, j, v, comp, sketch) in order of (key, i, j) to links (a, b) that hold close pairs of a bucket together."""
+    out: list[tuple[int, int]] = []
+    for rows in _groups(batches, 3):
+        v, comp = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
+        if len(rows) > 1 and (comp != comp[0]).any():
+            same = _equal_bytes(np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1))
+            out += _forest(v, (same >= _least()) & (comp[:, None] != comp[None, :]))
+        if len(out) > 10_000:
+            yield _links(out)
+            out = []
+    yield _links(out)
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+
+def _common(first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each two texts how many shingles they share: a product of 0-1 matrices over the shingles that two have."""
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    _, col, times = np.unique(h, return_inverse=True, return_counts=True)
+    new = np.cumsum(times > 1) - 1
+    shared = times[col] > 1
+    doc, col = doc[shared], new[col[shared]]
+    order = np.argsort(col, kind="stable")
+    doc, col = doc[order], col[order]
+    out = np.zeros((n, n), np.float32)
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
+        s, e = np.searchsorted(col, [c, c + 2048])
+        m = np.zeros((n, 2048), np.float32)
+        m[doc[s:e], col[s:e] - c] = 1
+        out += m @ m.T
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fam, i, j, v, comp, text) in order of (fam, i, j) to links (a, b) between alike texts of different components."""
+    for rows in _groups(batches, 3):
+        v, comp = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
+        if len(rows) < 2 or (comp == comp[0]).all():
+            continue
+        first, h, c = shingles([r[5] for r in rows], WORDS)
+        size = np.diff(first)
+        other = comp[:, None] != comp[None, :]
+        plain = np.array([(c[first[i] : first[i + 1]] == 1).all() for i in range(len(rows))])
+        common = _common(first, h)
+        near = other & plain[:, None] & plain[None, :] & (common >= (SIMILAR - 1e-9) * (size[:, None] + size[None, :] - common))
+        if not plain.all():  # weights differ: pairs with such a text one by one, if their sketches are close
+            same = _equal_bytes(mix(signatures(first, h, c)).astype(np.uint8))
+            for i, j in np.argwhere(np.triu(other & ~(plain[:, None] & plain[None, :]) & (same >= _least()), 1)):
+                x, y = slice(first[i], first[i + 1]), slice(first[j], first[j + 1])
+                near[i, j] = near[j, i] = likeness((h[x], c[x]), (h[y], c[y])) >= SIMILAR - 1e-9
+        yield _links(_forest(v, near))
+
+
+def _blocks(rows: DataFrame, key: str, place: str, size: int, *cols: str) -> DataFrame:
+    """Rows dealt to (key, i, j) for every two blocks i <= j of a group, sorted by it: any two members of a group meet."""
+    rows = rows.withColumn("_b", F.floor(F.col(place) / size).cast("int"))
+    n = rows.groupBy(key).agg((F.max("_b") + 1).alias("_n"))
+    one = rows.join(n, key)
+    one = one.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    one = one.select(key, F.least("_b", "_j").alias("i"), F.greatest("_b", "_j").alias("j"), *cols)
+    return one.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(_k, _t, class_id, has_words) for each row of docs: its near-duplicate class, named by the class's least doc_id.
 
     Texts are sets of 5-word shingles (lower case, split at white space) weighted by their counts. Texts are linked if
     their probability Jaccard similarity is 0.8 or more, and linked texts share a class. Equal texts are one vertex, so
-    copies cost nothing. A bucket of equal band hashes compares its least vertex with all others, then its next 7, next
-    56 and so on, always leaving out what is in one class already: no pairs of a large group are listed, and no link
-    between texts that meet in a bucket is lost. A sketch of a byte for each register is compared before the texts.
+    copies cost nothing. Each vertex is first compared with one other, the least it shares a bucket of equal band hashes
+    with. Where that leaves a bucket in several classes, the sketches (a byte of each register) of its members are
+    compared in blocks, and members with close sketches form families; the texts of a family are then compared in
+    blocks, each block giving a spanning forest of its links. No pairs are listed, no task gets more than two blocks, and
+    no link between texts that meet in a bucket is lost.
 
     Null text counts as empty. A text without words is in no class but its own: rows with null or empty texts are never
     duplicates. Short texts have one shingle of all their words. Null ids come last and read as the largest id.
@@ -137,37 +245,34 @@ def near_classes(docs: DataFrame) -> DataFrame:
     sketches = C.cut(signed.where("sketch is not null").select("v", "sketch").dropDuplicates(["v"]), "sketch")
     bands = signed.where("keys is not null").select("v", F.explode("keys").alias("key")).distinct()
     full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = C.cut(full, "full")
-    largest = full.agg(F.max("n")).first()[0] or 0
-    place = F.row_number().over(Window.partitionBy("key").orderBy("v")) - 1
-    # copies of a bucket's members fold: buckets with the same members would only repeat the same pairs
-    bands = C.cut(bands.join(C.side(full.select("key"), 8), "key").withColumn("place", place), "bands")
+    full = C.cut(full.select("key"), "full")
+    order = Window.partitionBy("key").orderBy("v")
+    bands = bands.join(C.side(full, 8), "key", "left_semi").withColumns({"place": F.row_number().over(order) - 1, "leader": F.first("v").over(order)})
+    bands = C.cut(bands, "bands")
     C.drop_cut(signed)
-    labels, links, done, low, high = None, None, None, 0, 1
-    while low < largest:
-        now = bands
-        if labels is not None:
-            now = bands.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-            mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-            now = C.cut(now.join(C.cut(mixed, "mixed"), "key", "left_semi"), "open")
-        else:
-            now = now.withColumn("comp", F.col("v"))
-        lead = now.where((F.col("place") >= low) & (F.col("place") < high)).select("key", F.col("v").alias("a"), F.col("comp").alias("ca"), F.col("place").alias("pa"))
-        pairs = lead.join(now, "key").where("place > pa and comp <> ca").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = C.cut(pairs, "pairs")
-        sa = sketches.select(F.col("v").alias("a"), F.col("sketch").alias("sa"))
-        sb = sketches.select(F.col("v").alias("b"), F.col("sketch").alias("sb"))
-        close = C.cut(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "close")
-        done = pairs if done is None else C.cut(done.unionByName(pairs), "done")
-        new = C.cut(_verified(keyed, close), "new")
-        links = new if links is None else links.unionByName(new)
-        if new.limit(1).count():
-            labels = components(links)
-        low, high = high, high * GROWTH
-    if labels is None:
-        labels = slim.sparkSession.createDataFrame([], "id long, comp long")
+    pairs = C.cut(bands.where("place > 0").groupBy(F.col("v").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
+    sa = sketches.select(F.col("v").alias("a"), F.col("sketch").alias("sa"))
+    sb = sketches.select(F.col("v").alias("b"), F.col("sketch").alias("sb"))
+    close = C.cut(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "close")
+    links = C.cut(_verified(keyed, close), "links")
+    labels = components(links)
+    now = bands.drop("leader").join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    mixed = C.cut(now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "mixed")
+    now = C.cut(now.join(C.side(mixed, 8), "key", "left_semi"), "open").join(sketches, "v")
+    near = C.cut(_blocks(now, "key", "place", SKETCHES, "v", "comp", "sketch").mapInArrow(_families, "a long, b long"), "near")
+    if near.limit(1).count():
+        fam = components(near).withColumnRenamed("id", "v").withColumnRenamed("comp", "fam")
+        fam = fam.withColumn("place", F.row_number().over(Window.partitionBy("fam").orderBy("v")) - 1)
+        fam = C.cut(fam.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v")), "fam")
+        texts = keyed.select(F.col("_t").alias("v"), F.col("_x").alias("x")).join(C.side(fam, 40), "v").dropDuplicates(["v"])
+        more = _blocks(texts, "fam", "place", TEXTS, "v", "comp", "x").mapInArrow(_compare, "a long, b long")
+        # links between classes, and the classes' names put together
+        end = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
+        a, b = (labels.select(F.col("id").alias(c), F.col("comp").alias(f"_{c}")) for c in "ab")
+        more = C.cut(more, "more")
+        joined = components(more.join(a, "a", "left").join(b, "b", "left").select(end("a"), end("b")))
+        every = labels.unionByName(joined.select("id", F.col("id").alias("comp")).join(labels, "id", "left_anti"))
+        labels = C.cut(every.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp")), "labels")
     # vertices without links stand for themselves
     slim = slim.join(labels.withColumnRenamed("id", "_t"), "_t", "left").withColumn("comp", F.coalesce("comp", "_t"))
     names = C.cut(slim.where("has_words").groupBy("comp").agg(F.min("_k").alias("class_id")), "names")
