@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +22,7 @@ SPACE = "▁"
 #: Sampled segmentations of each text, and the power to which piece probabilities are raised.
 SAMPLES, ALPHA = 2, 0.5
 #: Characters worked on at once; a longer text goes alone.
-CHUNK = 2 << 20
+CHUNK = 3 << 20
 
 
 def model_path(name: str = MODEL) -> str:
@@ -59,29 +62,37 @@ class Pieces:
             elif plain[i]:
                 self.raw[i] = text[i].replace(SPACE, " ").encode()
         self.byte_weight = byte_weight
-        # a text splits where no piece can reach across
-        if any(SPACE in p.lstrip(SPACE) for p, ok in zip(text, plain, strict=True) if ok) or any("\n" in p for p in text):
-            raise ValueError("a piece of this model reaches over blanks or lines")
+        if any(p in text for p in ("\n", f"{SPACE}\n")):
+            raise ValueError("line feeds are pieces of this model")
         if sp.decode(sp.encode(" a  ﬁ　b ")) != " a  ﬁ　b ":
             raise ValueError("this model changes texts before it encodes them")
         ids = np.flatnonzero(plain)
         self.tables = []
         codes = [np.frombuffer(text[i].encode("utf-32-le"), np.uint32) for i in ids]
+        # a text splits between characters that are neighbours in no piece
+        self.joined = np.zeros(1 << 18, bool)
+        for c in codes:
+            self.joined[self.pair(c[:-1], c[1:])] = True
         self.longest = max(map(len, codes))
         for size in range(1, self.longest + 1):
             mine = [k for k, c in enumerate(codes) if len(c) == size]
             h = np.array([part_hash(prefix_hash(codes[k]), np.array([0]), np.array([size]))[0] for k in mine], U)
             order = np.argsort(h)
-            seen = np.zeros(1 << 20, bool)
-            seen[(h >> U(44)).astype(np.int64)] = True
+            seen = np.zeros(1 << 17, bool)
+            seen[(h >> U(47)).astype(np.int64)] = True
             self.tables.append((h[order], ids[np.array(mine, np.int64)][order] if mine else np.zeros(0, np.int64), seen))
 
+    @staticmethod
+    def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """A place in a table for two characters; pairs that share one are only kept together more often."""
+        return ((x.astype(np.uint32) * np.uint32(0x9E3779B1) ^ y.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(14)
+
     def lookup(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(where, id) of the hashes that are pieces of this size."""
         table, ids, seen = self.tables[size - 1]
         if not len(table):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(seen[(h >> U(44)).astype(np.int64)])
+        at = np.flatnonzero(seen[(h >> U(47)).astype(np.int64)])
         place = np.minimum(np.searchsorted(table, h[at]), len(table) - 1)
         ok = table[place] == h[at]
         return at[ok], ids[place[ok]]
@@ -109,10 +120,8 @@ class Batch:
             self.base = self.codes = np.zeros(0, np.int64)
             self.word = np.zeros(0, np.int64)
             return
-        space, feed = code == 0x2581, code == 10
-        first = feed.copy()
-        first[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
-        first[0] = True
+        first = np.ones(n, bool)
+        first[1:] = ~model.joined[model.pair(code[:-1], code[1:])]
         first[ends[:-1][ends[:-1] < n]] = True
         start = np.flatnonzero(first)
         end = np.append(start[1:], n)
@@ -120,9 +129,10 @@ class Batch:
         self.doc_first[-1] = len(start)
         h = prefix_hash(code)
         wide = part_hash(h, start, end)
-        _, one, self.word = np.unique(wide, return_index=True, return_inverse=True)
-        same = part_hash(prefix_hash(code[::-1]), n - end, n - start)
-        if (same[one][self.word] != same).any():
+        self.word, kinds = pd.factorize(wide)
+        one = np.empty(len(kinds), np.int64)
+        one[self.word[::-1]] = np.arange(len(wide) - 1, -1, -1)
+        if ((end - start)[one][self.word] != end - start).any() or (code[start[one]][self.word] != code[start]).any():
             raise RuntimeError("two words share a hash")
         start = start[one]
         self.size = size = end[one] - start
@@ -144,15 +154,15 @@ class Batch:
         for k in range(min(m.longest, int(size.max())), 0, -1):
             at = np.flatnonzero(left >= k)
             hit, found = m.lookup(part_hash(h, at, at + k), k)
-            src.append(at[hit])
-            width.append(np.full(len(hit), k))
-            ids.append(found)
+            src.append(at[hit].astype(np.int32))
+            width.append(np.full(len(hit), k, np.int32))
+            ids.append(found.astype(np.int32))
         known[src[-1]] = True
         lost = np.flatnonzero(~known)
-        # ids below 0 stand for a character's bytes
-        src.append(lost)
-        width.append(np.ones(len(lost), np.int64))
-        ids.append(-1 - code[lost].astype(np.int64))
+        # a character of one byte is that byte's piece; ids below 0 stand for the bytes of others
+        src.append(lost.astype(np.int32))
+        width.append(np.ones(len(lost), np.int32))
+        ids.append(np.where(code[lost] < 0x80, m.byte_id[code[lost] & 0x7F], -1 - code[lost].astype(np.int64)).astype(np.int32))
         src, width, ids = map(np.concatenate, (src, width, ids))
         order = np.argsort(src, kind="stable")  # merges a few ordered runs; longer, likelier pieces come first
         src, width, ids = src[order], width[order], ids[order]
@@ -176,8 +186,8 @@ class Batch:
             sums = np.add.reduceat(e, head)
             mass[s[head]] = top + np.log(sums)
             prob[i] = e / np.repeat(sums, n)
-        self.src, self.width, self.ids, self.w, self.prob = src, width, ids, w, prob
-        self.state = np.searchsorted(self.src, np.arange(total + 1))
+        self.width, self.ids, self.prob = width, ids, prob
+        self.state = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=total))])
         self.cum = np.concatenate([[0.0], np.cumsum(self.prob)])
         self.mass = mass
 
@@ -212,24 +222,31 @@ class Batch:
 
     def other(self, w: int, seen: list[tuple[int, ...]], unit: Iterator[float]) -> tuple[int, ...]:
         """A segmentation (edges) of distinct word w other than those seen, drawn from what is left of its distribution."""
-        path: tuple[int, ...] = ()
+        path: list[int] = []
+        # what each known segmentation still has to go through, as a probability
+        rest = [np.append(np.cumprod(self.prob[list(s)][::-1])[::-1], 1.0) for s in seen]
+        alive = list(range(len(seen)))
         at, stop = int(self.base[w]), int(self.base[w + 1])
         while at < stop:
-            lo, hi = int(self.state[at]), int(self.state[at + 1])
-            open_ = []
-            for e in range(lo, hi):
-                taken = sum(float(np.exp(np.log(self.prob[list(s[len(path) + 1 :])]).sum())) for s in seen if s[: len(path) + 1] == (*path, e))
-                whole = any(s == (*path, e) for s in seen)
-                open_.append(0.0 if whole else self.prob[e] * max(0.0, 1.0 - taken))
+            lo, hi, i = int(self.state[at]), int(self.state[at + 1]), len(path)
+            open_ = [float(self.prob[e]) * max(0.0, 1.0 - sum(float(rest[q][i + 1]) for q in alive if seen[q][i] == e)) for e in range(lo, hi)]
             total = sum(open_)
-            if total <= 0:
+            if total <= 1e-15:
                 open_, total = [float(self.prob[e]) for e in range(lo, hi)], 1.0
             u, k = next(unit) * total, 0
             while k < hi - lo - 1 and (u := u - open_[k]) >= 0:
                 k += 1
-            path = (*path, lo + k)
+            path.append(lo + k)
+            alive = [q for q in alive if seen[q][i] == lo + k]
             at += int(self.width[lo + k])
-        return path
+        return tuple(path)
+
+    def chance(self, edges: tuple[int, ...]) -> float:
+        """Probability of a run of edges; 1 of none."""
+        out = 1.0
+        for e in edges:
+            out *= float(self.prob[e])
+        return out
 
     def count(self, w: int, limit: int) -> int:
         """How many segmentations distinct word w has, up to a limit."""
@@ -241,8 +258,8 @@ class Batch:
     def to_ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of edges, those of characters' bytes spelt out."""
         ids = self.ids[edges]
-        if (ids >= 0).all():
-            return ids.astype(np.int32)
+        if ids.min(initial=0) >= 0:
+            return ids
         out: list = []
         for part in np.split(ids, np.flatnonzero(ids < 0)):
             if len(part) and part[0] < 0:
@@ -261,8 +278,12 @@ def encode(model: Pieces, texts: list[str | None], batch: Batch | None = None) -
     cuts = b.base.tolist()
     # after a line feed no blank is put before a word; the two pieces for that come off again
     ids = model.sp.encode(["\n" + every[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], num_threads=1)
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) - 2
-    flat = np.fromiter((x for word in ids for x in word[2:]), np.int32, int(size.sum()))
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+    off = np.cumsum(size) - size
+    kept = np.ones(len(flat), bool)
+    kept[off] = kept[off + 1] = False
+    flat, size = flat[kept], size - 2
     start = np.concatenate([[0], np.cumsum(size)])
     n = size[b.word]
     ends = np.concatenate([[0], np.cumsum(n)])
@@ -272,11 +293,15 @@ def encode(model: Pieces, texts: list[str | None], batch: Batch | None = None) -
 
 def decode(model: Pieces, ids: np.ndarray) -> str:
     """The text of piece ids: pieces joined, bytes put together, the blank before the text taken off."""
-    raw = model.raw
-    out = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    out = spell(model, ids).decode("utf-8", "replace")
     return out[1:] if out[:1] == " " else out
 
 
+def spell(model: Pieces, ids: np.ndarray) -> bytes:
+    """The bytes of piece ids, the blank before the text included."""
+    return b"".join(map(model.raw.__getitem__, ids.tolist()))
+
+
 def sample(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int = SAMPLES, batch: Batch | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k distinct segmentations: (ids, log-probability, perturbed score, log inclusion score).
 
@@ -288,7 +313,8 @@ def sample(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int = SA
     score is the threshold kappa of the inclusion score 1 - exp(-exp(logp - kappa)), given as a logarithm since whole
     texts have tiny probabilities; it is 0 where every segmentation has been taken.
 
-    Words are the parts between blanks and line feeds: no piece reaches over them, so they are independent. Every draw
+    Words are the parts between characters that are neighbours in no piece: no piece reaches from one word into the
+    next, so they are independent. Every draw
     is a hash of the text's key, so results do not depend on batches. Empty texts have one empty segmentation.
     """
     b = batch or Batch(model, texts)
@@ -356,7 +382,8 @@ def _word_edges(b: Batch, paths: list, spans: list, node: dict, i: int, a: int)
 def _expand(b: Batch, paths: list, spans: list, node: dict, nodes: list, j: int, r: int, a: int, z: int, score: float, key: np.uint64) -> tuple[np.ndarray, float, float]:
     """Draws the path that attains the node's maximum, splits the node, and gives the path."""
     count = iter(range(1 << 30))
-    unit = (float(_unit(mix(np.array([int(key) ^ (r << 50)], U) + U(next(count) + 7)))[0]) for _ in iter(int, 1))
+    seed = int(mix(np.array([int(key) ^ (r << 50)], U))[0])
+    unit = (_draw(seed + next(count)) for _ in iter(int, 1))
     w = int(b.word[a + j])
     mine = _word_edges(b, paths, spans, node, j, a)
     seen = [*node["seen"].get(j, []), mine]
@@ -367,7 +394,7 @@ def _expand(b: Batch, paths: list, spans: list, node: dict, nodes: list, j: int,
     swaps = {i: x for i, x in node["swaps"].items() if i < j} | {j: new}
     # what stays of the node at word j excludes the new segmentation too
     excluded = [*seen, new]
-    gone = sum(float(np.exp(np.log(b.prob[list(s)]).sum())) for s in excluded)
+    gone = sum(map(b.chance, excluded))
     prefix = np.concatenate([[0.0], np.cumsum(words)])[:-1]
     node["g"] = node["g"].copy()
     node["g"][j] = -np.inf
@@ -392,6 +419,14 @@ def _expand(b: Batch, paths: list, spans: list, node: dict, nodes: list, j: int,
     return np.concatenate(parts), float(words.sum()), score
 
 
+def _draw(x: int) -> float:
+    """A number in (0, 1) for each whole number: mix() and _unit() on a single one."""
+    x &= (1 << 64) - 1
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & ((1 << 64) - 1)
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / (1 << 53)
+
+
 def _log_inclusion(x: float) -> float:
     """log(1 - exp(-exp(x)))"""
     if x > 3.6:
@@ -440,7 +475,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES
                 arrays += [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[2:5])]
                 if digest:
                     arrays.append(pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in cols[5]]))
-                    arrays.append(pa.array([decode(m, x) == (texts[t] or "") for t, x in zip(take, cols[5], strict=True)]))
+                    raw = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in part]
+                    arrays.append(pa.array([spell(m, x) == raw[t - a] for t, x in zip(take, cols[5], strict=True)]))
                 else:
                     flat = np.concatenate(cols[5]) if cols[5] else np.zeros(0, np.int32)
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in cols[5]])]).astype(np.int32)
