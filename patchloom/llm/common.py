@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchloom.session import prepared
+
 #: A side of a join is broadcast only when its rows times their measured width stay below this.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a null id where ids are ordered: null ids come last.
@@ -26,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later failures restart from there."""
     path = f"{shared_dir(df.sparkSession)}/patchloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    prepared(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +42,12 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a table made by cut() may be broadcast: its rows are counted, row_bytes is a bound on their mean width."""
     return df.count() * row_bytes <= limit
@@ -51,7 +60,7 @@ def side(df: DataFrame, row_bytes: int) -> DataFrame:
 
 def row_key(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Adds _k, the id with null last, and _t, a hash of the text. Rows equal in both are one document."""
-    return df.withColumns({
+    return prepared(df).withColumns({
         "_k": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)),
         "_t": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
     })
