@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from patchloom.functions import text as T
 
 # Extensions of files that are analysed.
-EXTENSIONS = ("c", "cc", "cpp", "cxx", "h", "hh", "hpp", "hxx")
+EXTENSIONS = ("c", "cpp", "c++", "cc", "C", "h", "hpp", "hxx")
 
 WORK = "CVE_ID string, patch string, TOOL_R2 string"
 GRAPH = "struct<points: array<string>, edges: array<array<string>>>"
@@ -54,7 +54,7 @@ def file_header(section: Column) -> tuple[Column, Column]:
 
 def allowed(name: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
     """Whether a file's extension, after its last dot, is among those analysed."""
-    return F.coalesce(F.lower(F.regexp_extract(name, r"\.([^./]*)$", 1)).isin(*extensions), F.lit(False))
+    return F.coalesce(F.regexp_extract(name, r"\.([^./]*)$", 1).isin(*extensions), F.lit(False))
 
 
 def with_blobs(files: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def fuzz_events(logs: DataFrame, *keys: str, text: str = "text", file: str = "fi
     heading above the event, else null."""
     l = logs.select(*keys, file, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     head = F.nullif(F.lower(F.regexp_extract("line", r"(?i)^#+\s*(aflgo|beacon)\b", 1)), F.lit(""))
-    named = F.when(F.lower(file).rlike("aflgo"), "aflgo").when(F.lower(file).rlike("beac?on"), "beacon")
+    named = F.when(F.lower(file).rlike("aflgo"), "aflgo").when(F.lower(file).rlike("bea?con"), "beacon")
     l = l.withColumn("tool", F.coalesce(named, F.last(head, ignorenulls=True).over(Window.partitionBy(*keys, file).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))))
     sec = F.nullif(F.regexp_extract("line", r"found at (\d+) sec", 1), F.lit(""))
     return l.withColumn("found_sec", sec.cast("int")).where("found_sec is not null").select(*keys, "tool", "found_sec", "pos")
