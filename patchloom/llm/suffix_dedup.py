@@ -202,6 +202,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     every = base.mapInArrow(scan, "g long, c long, pos long, n short")
     often = C.cut(every.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "often")
     rows = C.cut(every.join(C.side(often, 8), "g", "left_semi"), "rows")
+    C.release(docs.sparkSession)
     firsts = C.cut(rows.groupBy("g", "c").agg(F.min("pos").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("m")), "firsts")
     copied = firsts.where("m > 1").select("g", "c", "first")
     same = rows.join(copied, ["g", "c"]).where("pos > first").select("pos", F.col("n").cast("int").alias("n"))
@@ -210,7 +211,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
     mask = (1 << bits) - 1
     want = mixed.select(F.shiftright("first", bits).alias("_u"), F.struct("g", (F.col("first").bitwiseAND(mask)).alias("lo"), F.col("n").cast("int").alias("n"), "hot").alias("w"))
     want = C.cut(want.groupBy("_u").agg(F.collect_list("w").alias("w")), "want")
-    width = 24 + 24 * (want.agg(F.avg(F.size("w"))).first()[0] or 0)
+    C.release(docs.sparkSession)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +233,8 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
                         ctx.append(raw[lo : lo + n + LEAST - 1])
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(pos, pa.int64()), pa.array(ctx, pa.binary())], ["g", "pos", "ctx"])
 
-    found = base.join(C.side(want, width), "_u").select("_u", "_x", "w").mapInArrow(fetch, "g long, pos long, ctx binary")
+    # the texts are dealt by document here and at the end, never broadcast against: both grow alike
+    found = base.join(want.hint("shuffle_hash"), "_u").select("_u", "_x", "w").mapInArrow(fetch, "g long, pos long, ctx binary")
     marks = same
     hot = kinds.where(F.col("m") > GROUP).limit(1).count() > 0
     if hot:
@@ -261,7 +263,11 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
                 spans.append(np.stack([s[new], e[last]], axis=1).reshape(-1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.int64()))], ["_u", "spans"])
 
-    return keyed, C.cut(lists.mapInArrow(merge, "_u long, spans array<long>"), "spans")
+    spans = C.cut(lists.mapInArrow(merge, "_u long, spans array<long>"), "spans")
+    for done in (often, rows, firsts, kinds, want):
+        C.drop_cut(done)
+    C.release(docs.sparkSession)
+    return keyed, spans
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = False) -> DataFrame:
@@ -277,8 +283,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = False
     docs = docs.drop(*new.names)
     own = [c for c in docs.columns if c != text]
     keyed, spans = repeated_spans(docs, text)
-    width = 24 + 8 * (spans.agg(F.avg(F.size("spans"))).first()[0] or 0)
-    joined = keyed.join(C.side(spans, width), "_u", "left").select(*own, F.coalesce(F.col(text), F.lit("")).alias("_x"), F.col("spans").alias("_spans"))
+    joined = keyed.join(spans.hint("shuffle_hash"), "_u", "left").select(*own, F.coalesce(F.col(text), F.lit("")).alias("_x"), F.col("spans").alias("_spans"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
