@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark 4.1.2 lets a union keep its children's partitioning and then leaves out the exchange that an aggregation or
@@ -9,8 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 REQUIRED = {"spark.sql.unionOutputPartitioning": "false"}
 
 
+#: Where Python workers find this package, if it is not installed.
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Puts the required settings in place; called wherever a plan begins."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     for k, v in REQUIRED.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
