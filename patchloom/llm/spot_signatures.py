@@ -19,6 +19,18 @@ CHAIN = 2
 MARK = "\x01"
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern that matches any of the words, common beginnings tried once."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = []
+    for h, rest in heads.items():
+        tails = [r for r in rest if r]
+        parts.append(h + ("" if not tails else _any_of(tails) + "?" * ("" in rest)))
+    return f"(?:{'|'.join(parts)})"
+
+
 def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
     """The sorted distinct 32-bit hashes of a text's spot signatures: array<int>.
 
@@ -27,14 +39,18 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
     equal texts are equal and short ones can be told apart; null counts as empty.
     """
     words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
-    spots = "|".join(sorted(set(anchors or ANCHORS)))
-    marked = F.regexp_replace(F.concat(F.lit(" "), F.trim(words), F.lit(" ")), f" (?=(?:{spots}) )", f" {MARK}")
+    spots = _any_of(anchors or ANCHORS)
+    marked = F.regexp_replace(F.concat(F.lit(" "), F.trim(words), F.lit(" ")), f" (?={spots} )", f" {MARK}")
     skip = f"(?: {MARK}[^ ]++)*+"
     content = f" [^ {MARK}]++"
     found = F.regexp_extract_all(marked, F.lit(f"{MARK}(?=([^ ]++{f'{skip}{content}' * chain}))"), F.lit(1))
-    clean = F.transform(found, lambda x: F.xxhash64(F.regexp_replace(x, f" {MARK}[^ ]++", "")).bitwiseAND(0xFFFFFFFF))
-    hashes = F.when(F.size(clean) > 0, clean).otherwise(F.array(F.xxhash64(F.lit(1), F.trim(words)).bitwiseAND(0xFFFFFFFF)))
-    return F.array_sort(F.array_distinct(F.transform(hashes, lambda x: (x - F.lit(1 << 31)).cast("int"))))
+    whole = F.concat(F.lit(MARK), F.trim(words))  # a chain never begins with the mark
+    # bound to a variable, the matches are made once
+    chains = F.flatten(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(whole))))
+    passed = f" {MARK}[^ ]++"
+    clean = F.transform(chains, lambda x: F.when(F.contains(x, F.lit(f" {MARK}")), F.regexp_replace(x, passed, "")).otherwise(x))
+    low = F.transform(clean, lambda x: (F.xxhash64(x).bitwiseAND(0xFFFFFFFF) - F.lit(1 << 31)).cast("int"))
+    return F.sort_array(F.array_distinct(low))
 
 
 def to_string(signature: Column) -> Column:
