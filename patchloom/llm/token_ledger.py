@@ -34,7 +34,7 @@ def counted(docs: DataFrame, model: str = S.MODEL) -> DataFrame:
         for batch in batches:
             names = batch.schema.names
             texts = batch.column(names.index("text")).to_pylist()
-            n = [len(x) for a, b in chunks(texts, 4 << 20) for x in S.encode(m, texts[a:b])]
+            n = [len(x) for a, b in chunks(texts, S.CHUNK) for x in S.encode(m, texts[a:b])]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in own), pa.array(n, pa.int64())], [*own, "n_pieces"])
 
     return docs.select(*own, "text").mapInArrow(run, T.StructType([f for f in docs.select(*own).schema.fields] + [T.StructField("n_pieces", T.LongType())]))
