@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A string or character literal, or a comment. The same pattern works in Java and RE2.
@@ -88,6 +91,23 @@ def del_macros(code: Column, compat: bool = False) -> Column:
     return out
 
 
+def calls(code: Column) -> Column:
+    """Names that look like calls in code without comments and literals, in order. A stand-in for a parser's calls."""
+    bare = F.regexp_replace(code, f"(?ms)(?:{LITERAL})|(?:{COMMENT})", " ")
+    found = F.regexp_extract_all(bare, F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))
+    return F.filter(found, lambda x: ~x.isin("if", "for", "while", "switch", "return", "sizeof"))
+
+
+def jumps(code: Column, word: str = "return") -> Column:
+    """The statements of one kind of jump (return, goto, break or continue) in code without comments, in order."""
+    return F.regexp_extract_all(remove_comments(code), F.lit(rf"\b({word}\b[^;]*);"), F.lit(1))
+
+
+def includes(code: Column) -> Column:
+    """What a file includes, in order."""
+    return F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*#[ \t]*include[ \t]*([<\"][^>\"\n]*[>\"])"), F.lit(1))
+
+
 def clean_text(text: Column) -> Column:
     """text through UTF-8 and back."""
     return F.decode(F.encode(text, "UTF-8"), "UTF-8")
@@ -167,6 +187,19 @@ def statement_lines(code: str | None) -> str | None:
     return re.sub("\x02(\\d+);", lambda m: kept[int(m.group(1))], "\n".join(out))
 
 
+def join_statements(df: DataFrame, code: str, *keys: str, name: str = "code") -> DataFrame:
+    """(keys, name): statement_lines() of each row's code, in Arrow batches."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields), f"`{name}` string"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = pdf[list(keys)].copy()
+            out[name] = [statement_lines(x) for x in pdf[code]]
+            yield out
+
+    return df.select(*keys, code).mapInPandas(run, schema)
+
+
 def add_brackets(code: str | None, spans: list[tuple[int, int]] | None) -> str | None:
     """code with `{` and `}` lines around byte spans [start, end], nested ones included; spans of a byte or none stay.
 

@@ -233,6 +233,21 @@ def apply_diff(old: str | None, changes: list[tuple[str, int, str]]) -> str | No
     return "\n".join(out)
 
 
+def apply_patches(files: DataFrame, changes: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, text): apply_diff() of each file with its changes (keys, side, line_no, text); files without any stay."""
+    c = changes.groupBy(*keys).agg(F.collect_list(F.struct("side", "line_no", "text")).alias("_c"))
+    rows = files.select(*keys, F.col(text).alias("text")).join(c, [*keys], "left")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keys).schema.fields), "text string"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = pdf[list(keys)].copy()
+            out["text"] = [apply_diff(t, [] if x is None else [(y["side"], y["line_no"], y["text"]) for y in x]) for t, x in zip(pdf["text"], pdf["_c"], strict=True)]
+            yield out
+
+    return rows.mapInPandas(run, schema)
+
+
 def ratio(a: str, b: str) -> float:
     """Similarity by insertions and deletions: 2 * longest common subsequence over the sum of lengths; 1 for two empty texts."""
     if not a and not b:

@@ -176,3 +176,11 @@ def children(nodes: DataFrame, parents: DataFrame, type: str | None = None, firs
         return c
     best = c.groupBy("doc", "parent").agg(F.min(F.struct("start_byte", "id")).alias("_f"))
     return c.join(best, ["doc", "parent"]).where(F.struct("start_byte", "id") == F.col("_f")).drop("_f")
+
+
+def distinct_nodes(nodes: DataFrame, order: str | None = None) -> DataFrame:
+    """One row for each id of a sparse node table: identity is the id; the least `order` wins where given."""
+    if order is None:
+        return nodes.dropDuplicates(["id"])
+    first = nodes.groupBy("id").agg(F.min(order).alias("_o"))
+    return nodes.join(first, "id").where(F.col(order) == F.col("_o")).drop("_o").dropDuplicates(["id"])

@@ -164,6 +164,14 @@ def diff_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("conv_id", "turn").agg(F.count_if(F.col("side") == "add").alias("n_add"), F.count_if(F.col("side") == "delete").alias("n_delete"), F.max(F.length("text")).alias("longest"))
 
 
+@bound(f"WITH {TURNS} SELECT conv_id, turn, 'same' || chr(10) || new AS text FROM p")
+def apply_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """The patches applied to the first turns give the second ones."""
+    p = _turn_diffs(spark, sf)
+    old = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("same\n"), "text").alias("text"))
+    return D.apply_patches(old.join(p.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi"), D.parse_diff(p, "conv_id", "turn"), "conv_id", "turn")
+
+
 @bound("""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::int AS file_idx, 'diff --git a/' || role || ' b/' || role || chr(10) || text AS section FROM conversations WHERE text IS NOT NULL""")
 def split_files(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as patches of several files, cut at their headers again."""
@@ -649,6 +657,18 @@ def overlap_rank(spark: SparkSession, sf: str) -> DataFrame:
     return E.rank_by_overlap(c.withColumn("query", first), "query", "text", "turn", "conv_id").select("conv_id", "turn", "score", "rank")
 
 
+@bound()
+def joined_statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents joined up to the ends of statements."""
+    return T.join_statements(table(spark, sf, "documents", "doc_id", "text"), "text", "doc_id")
+
+
+@bound("""SELECT page_id, len(list_filter(regexp_extract_all(regexp_replace(html, '(?s)(?:"(?:\\\\.|[^"\\\\])*"|''(?:\\\\.|[^''\\\\])*'')|(?:/\\*.*?\\*/|//[^\\r\\n]*)', ' ', 'g'), '\\b([A-Za-z_]\\w*)\\s*\\(', 1), lambda x: x NOT IN ('if', 'for', 'while', 'switch', 'return', 'sizeof')))::int AS n_calls FROM pages""")
+def call_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Syntax selection, approximated: calls in pages' scripts."""
+    return table(spark, sf, "pages", "page_id", "html").select("page_id", F.size(T.calls(F.col("html"))).alias("n_calls"))
+
+
 @bound()
 def recovery(spark: SparkSession, sf: str) -> DataFrame:
     """M6: orders' lines put back one by one until there are three."""

@@ -68,3 +68,10 @@ def test_call_graphs_and_files(spark, tmp_path):
     P.write_code_tree(spark.createDataFrame([("a", "2")], "path string, text string"), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).first()["text"] == "1"
     assert spark.createDataFrame([("a.C",), ("b.py",), ("c",)], "n string").where(P.allowed(F.col("n"))).count() == 1
+
+
+def test_syntax_stand_ins(spark):
+    code = '#include <a.h>\nint f() { /* g() */ if (x) return h(1); s("k()"); goto end; }'
+    assert one(spark, T.calls, code) == ["f", "h", "s"]
+    assert one(spark, T.jumps, code) == ["return h(1)"] and one(spark, lambda c: T.jumps(c, "goto"), code) == ["goto end"]
+    assert one(spark, T.includes, code) == ["<a.h>"]
