@@ -85,15 +85,19 @@ def split_files(patches: DataFrame, *keys: str, text: str = "text", compat: bool
     return l.groupBy(*keys, "file_idx").agg(body.alias("section"))
 
 
+def _tagged(df: DataFrame, n: str, *keys: str) -> DataFrame:
+    """df with grp, the number of the run that each row belongs to; rows without a number are left out."""
+    w = Window.partitionBy(*keys).orderBy(n)
+    starts = F.coalesce((F.col(n) != F.lag(n).over(w) + 1).cast("int"), F.lit(1))
+    return df.where(F.col(n).isNotNull()).withColumn("_s", starts).withColumn("grp", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+
+
 def runs(df: DataFrame, n: str, *keys: str) -> DataFrame:
     """(keys, grp, run_start, run_end, run_len): maximal runs of consecutive numbers, per key in ascending order.
 
     A repeated number starts a new run, as the next number is not one more. Nulls are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(n)
-    starts = F.coalesce((F.col(n) != F.lag(n).over(w) + 1).cast("int"), F.lit(1))
-    tagged = df.where(F.col(n).isNotNull()).select(*keys, n, starts.alias("_s")).withColumn("grp", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return tagged.groupBy(*keys, "grp").agg(F.min(n).alias("run_start"), F.max(n).alias("run_end"), F.count(F.lit(1)).alias("run_len"))
+    return _tagged(df.select(*keys, n), n, *keys).groupBy(*keys, "grp").agg(F.min(n).alias("run_start"), F.max(n).alias("run_end"), F.count(F.lit(1)).alias("run_len"))
 
 
 def context_pivot(all_lines: DataFrame, modified: DataFrame, *keys: str, n: str = "line_no") -> DataFrame:
@@ -150,17 +154,15 @@ def patch_hunks(del_lines: DataFrame, add_lines: DataFrame, mapping: DataFrame,
     del_lines and add_lines are (keys, line_no, text). A run that pairs is a `mod`, other runs are `del` or `add`; an
     added run is inserted after the source line that the line before it maps back to (null if that line is new too).
     """
-    dr, ar = runs(del_lines, "line_no", *keys), runs(add_lines, "line_no", *keys)
-    paired = hunk_map(dr, ar, mapping, *keys)
-
-    def code(rows: DataFrame, spans: DataFrame, start: str, end: str, name: str) -> DataFrame:
-        on = F.col("line_no").between(F.col(start), F.col(end))
-        j = spans.select(*keys, start, end).join(rows, [*keys]).where(on)
-        return j.groupBy(*keys, start, end).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias(name))
-
-    d = dr.select(*keys, F.col("run_start").alias("a_start"), F.col("run_end").alias("a_end"))
-    a = ar.select(*keys, F.col("run_start").alias("b_start"), F.col("run_end").alias("b_end"))
-    dc, ac = code(del_lines, d, "a_start", "a_end", "a_code"), code(add_lines, a, "b_start", "b_end", "b_code")
+    def coded(rows: DataFrame, start: str, end: str, name: str) -> DataFrame:
+        """Runs with their lines joined: one pass, as each line is in one run."""
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+        return _tagged(rows.select(*keys, "line_no", "text"), "line_no", *keys).groupBy(*keys, "grp").agg(F.min("line_no").alias(start), F.max("line_no").alias(end), text.alias(name)).drop("grp")
+
+    dc, ac = coded(del_lines, "a_start", "a_end", "a_code"), coded(add_lines, "b_start", "b_end", "b_code")
+    d = dc.select(*keys, F.col("a_start").alias("run_start"), F.col("a_end").alias("run_end"))
+    a = ac.select(*keys, F.col("b_start").alias("run_start"), F.col("b_end").alias("run_end"))
+    paired = hunk_map(d, a, mapping, *keys)
     none = lambda t: F.lit(None).cast(t)
     mod = paired.join(dc, [*keys, "a_start", "a_end"]).join(ac, [*keys, "b_start", "b_end"]).withColumns({"type": F.lit("mod"), "insert_line": none("int")})
     gone = dc.join(paired, [*keys, "a_start", "a_end"], "left_anti").withColumns({"type": F.lit("del"), "b_start": none("int"), "b_end": none("int"), "b_code": none("string"), "insert_line": none("int")})

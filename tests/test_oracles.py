@@ -44,3 +44,13 @@ def test_entry_runs(spark):
     assert set(bindings.ORACLES) <= set(bindings.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_without_the_training_data_part(spark, monkeypatch):
+    import importlib.util
+
+    import __spark_entry__
+
+    find = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if "llm" in name or name == "corpus_pipeline" else find(name, *a))
+    assert set(__spark_entry__.queries()) == set(bindings.QUERIES) and set(__spark_entry__.oracle_sql()) == set(bindings.ORACLES)
