@@ -82,7 +82,7 @@ hm AS (SELECT dr.k, dr.s AS a_start, dr.e AS a_end, ar.s AS b_start, ar.e AS b_e
 """
 
 
-@bound(f"WITH {VERSIONS} SELECT k AS l_orderkey, n AS line_no, pv FROM pa")
+@bound(f"WITH {VERSIONS} SELECT k AS l_orderkey, n::int AS line_no, pv::int AS pv FROM pa")
 def context_pivot(spark: SparkSession, sf: str) -> DataFrame:
     """D3: lines of an order that stay, numbered in order."""
     old, gone, _, _ = _versions(spark, sf)
@@ -97,13 +97,13 @@ def _line_map(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     return D.line_map(a, b, "l_orderkey"), old, gone, new, added
 
 
-@bound(f"WITH {VERSIONS} SELECT k AS l_orderkey, src, dst FROM lm")
+@bound(f"WITH {VERSIONS} SELECT k AS l_orderkey, src::int AS src, dst::int AS dst FROM lm")
 def line_map(spark: SparkSession, sf: str) -> DataFrame:
     """Old line numbers to new ones."""
     return _line_map(spark, sf)[0]
 
 
-@bound(f"WITH {VERSIONS} SELECT k AS l_orderkey, a_start, a_end, b_start, b_end FROM hm")
+@bound(f"WITH {VERSIONS} SELECT k AS l_orderkey, a_start::int AS a_start, a_end::int AS a_end, b_start::int AS b_start, b_end::int AS b_end FROM hm")
 def hunk_map(spark: SparkSession, sf: str) -> DataFrame:
     """Deleted runs paired with added ones."""
     m, _, gone, _, added = _line_map(spark, sf)
@@ -114,10 +114,10 @@ def hunk_map(spark: SparkSession, sf: str) -> DataFrame:
 dc AS (SELECT dr.k, dr.s, dr.e, string_agg(p::varchar, chr(10) ORDER BY n) AS code FROM dr JOIN old ON old.k = dr.k AND n BETWEEN s AND e GROUP BY ALL),
 ac AS (SELECT ar.k, ar.s, ar.e, string_agg(p::varchar, chr(10) ORDER BY n) AS code FROM ar JOIN new ON new.k = ar.k AND n BETWEEN s AND e GROUP BY ALL),
 back AS (SELECT k, dst, CASE WHEN min(src) = 0 THEN 0 ELSE max(src) END AS src FROM lm0 GROUP BY k, dst)
-SELECT hm.k AS l_orderkey, 'mod' AS type, a_start, a_end, b_start, b_end, dc.code AS a_code, ac.code AS b_code, NULL::int AS insert_line
+SELECT l_orderkey, type, a_start::int AS a_start, a_end::int AS a_end, b_start::int AS b_start, b_end::int AS b_end, a_code, b_code, insert_line::int AS insert_line FROM (SELECT hm.k AS l_orderkey, 'mod' AS type, a_start, a_end, b_start, b_end, dc.code AS a_code, ac.code AS b_code, NULL::int AS insert_line
   FROM hm JOIN dc ON dc.k = hm.k AND dc.s = a_start JOIN ac ON ac.k = hm.k AND ac.s = b_start
 UNION ALL SELECT k, 'del', s, e, NULL, NULL, code, NULL, NULL FROM dc WHERE NOT EXISTS (SELECT 1 FROM hm WHERE hm.k = dc.k AND a_start = s)
-UNION ALL SELECT ac.k, 'add', NULL, NULL, s, e, NULL, code, back.src FROM ac LEFT JOIN back ON back.k = ac.k AND back.dst = s - 1 WHERE NOT EXISTS (SELECT 1 FROM hm WHERE hm.k = ac.k AND b_start = s)""")
+UNION ALL SELECT ac.k, 'add', NULL, NULL, s, e, NULL, code, back.src FROM ac LEFT JOIN back ON back.k = ac.k AND back.dst = s - 1 WHERE NOT EXISTS (SELECT 1 FROM hm WHERE hm.k = ac.k AND b_start = s))""")
 def patch_hunks(spark: SparkSession, sf: str) -> DataFrame:
     """Modified, deleted and added hunks, a line's text being its part number."""
     m, _, gone, _, added = _line_map(spark, sf)
@@ -157,7 +157,7 @@ def diff_parse(spark: SparkSession, sf: str) -> DataFrame:
     return D.parse_diff(_turn_diffs(spark, sf), "conv_id", "turn").select("conv_id", "turn", "side", "line_no", "text")
 
 
-@bound(f"WITH {TURNS} SELECT conv_id, turn, count(*) FILTER (side = 'add') AS n_add, count(*) FILTER (side = 'delete') AS n_delete, max(length(text)) AS longest FROM d GROUP BY conv_id, turn")
+@bound(f"WITH {TURNS} SELECT conv_id, turn, count(*) FILTER (side = 'add') AS n_add, count(*) FILTER (side = 'delete') AS n_delete, max(length(text))::int AS longest FROM d GROUP BY conv_id, turn")
 def diff_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that each patch adds and deletes."""
     d = D.parse_diff(_turn_diffs(spark, sf), "conv_id", "turn")
