@@ -56,8 +56,8 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, cycle: tuple[
 
     A document's expected number of copies e is its source's target over its size, times its weight over the source's
     mean weight (by words) where a weight column is given; never above `most`. floor(e) copies are certain. The rest,
-    pi = e - floor(e), is an inclusion probability: documents are ranked by odds(U) / odds(pi), U drawn by hash from the
-    row, and taken in that order until the words still open to the source's target are filled (Pareto order sampling;
+    pi = e - floor(e), is an inclusion probability: documents are ranked by odds(U) / odds(pi), U being a hash of id and
+    source, and taken in that order until the words still open to the source's target are filled (Pareto order sampling;
     the sample's size in words is fixed up to one document, whose half decides).
 
     The cut in a source's order is found by two counts over radix cells of the rank and one look at the rows of a
@@ -85,7 +85,8 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, cycle: tuple[
         """rows with the source's plan, certain copies and rank in (0, 1)."""
         by = C.side(by.withColumnRenamed("source", "_source"), 200)
         e = F.least(F.lit(float(most)), F.coalesce(F.col("_r") * F.try_divide(F.col("_w"), F.col("_mean")), F.lit(0.0)))
-        u = C.hash_unit("_k", "_t", "source", seed=seed)
+        named = F.concat_ws("|", F.lit(str(seed)), F.when(F.col("_k") != C.NULL_ID, F.col("_k")).cast("string"), "source")
+        u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
         odds = F.col("_u") / (1 - F.col("_u"))
         pi = F.least(F.greatest(F.col("_pi"), F.lit(1e-12)), F.lit(1 - 1e-12))
         q = odds / (pi / (1 - pi))
@@ -159,3 +160,24 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: each row as often as it is taken; a document without words, which no mix can take, goes."""
     out = mix(docs)
     return out.withColumn("_n", F.explode(F.expr("sequence(1, greatest(copies, 1))"))).where("copies > 0").select(*docs.columns)
+
+
+#: The same sample: targets by the fixed point, ranks from the same hashes, and running sums over whole sources.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
+s AS (SELECT source, sum(size)::bigint AS ss FROM d GROUP BY source),
+w AS (SELECT source, ss, ([5, 2, 1][(((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3) + 1])::double AS w, 2.0::double * ss AS cap FROM s),
+x AS (SELECT *, cap / w AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, (sum(ss) OVER ())::double * 1.5::double AS every FROM w),
+l AS (SELECT *, (every - before) / rest AS level FROM x),
+m AS (SELECT min(struct_pack(a := ratio, b := level)) FILTER (level <= ratio) AS f FROM l),
+t AS (SELECT source AS src, ss, CASE WHEN f IS NULL THEN cap ELSE least(cap, f.b * w) END AS target FROM l, m),
+e AS (SELECT d.*, ss, target, least(2.0::double, CASE WHEN ss = 0 THEN 0 ELSE target / ss END) AS e,
+  (('0x' || substr(md5(concat_ws('|', '20', doc_id::varchar, source)), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double AS u FROM d JOIN t ON src IS NOT DISTINCT FROM source),
+p AS (SELECT *, floor(e) AS sure, e - floor(e) AS pi, least(greatest(e - floor(e), 1e-12), 1 - 1e-12) AS c FROM e),
+q AS (SELECT *, CASE WHEN pi > 0 THEN (u / (1 - u)) / (c / (1 - c)) END AS q FROM p),
+r AS (SELECT *, target - sum(size * sure) OVER (PARTITION BY source) AS need,
+  sum(CASE WHEN pi > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q / (1 + q) NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM q),
+n AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE sure + (pi > 0 AND run - size / 2 <= need)::int END::int AS copies FROM r)
+SELECT doc_id, size, ss AS source_size, target, (copies * size)::bigint AS taken, source, copies FROM n
+"""

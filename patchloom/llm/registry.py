@@ -16,4 +16,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
+    "op3_mixing": mixing.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
 }

@@ -304,3 +304,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = False
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """remove_repeats() over all documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The contract word for word: every window of 100 bytes (as hexadecimal digits), its first place, and what is covered.
+SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM t)),
+f AS (SELECT s, min(doc_id * 100000000 + i) AS first FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id * 100000000 + i > first),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= prev + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS prev FROM r)),
+s AS (SELECT doc_id, run, min(i) AS b, max(i) + 100 AS e FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, count(*) AS n, sum(e - b) AS removed, list(b ORDER BY b) AS bs, list(e ORDER BY b) AS es FROM s GROUP BY doc_id)
+SELECT t.doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::bigint AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE
+    array_to_string(list_transform(range(0, n + 1), lambda j: substr(h, 2 * coalesce(es[j], 0) + 1, 2 * (coalesce(bs[j + 1], length(h) // 2) - coalesce(es[j], 0)))), '') END)) AS kept_sha256
+FROM t LEFT JOIN k ON k.doc_id = t.doc_id
+"""
