@@ -18,4 +18,5 @@ ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op3_mixing": mixing.SQL,
     "op7_suffix_dedup": suffix_dedup.SQL,
+    "op10_spot_signatures": spot_signatures.SQL,
 }

@@ -32,7 +32,7 @@ def _any_of(words: list[str]) -> str:
 
 
 def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
-    """The sorted distinct 32-bit hashes of a text's spot signatures: array<int>.
+    """The sorted distinct hashes of a text's spot signatures, the first 32 bits of their MD5: array<int>.
 
     Words are runs of letters and digits, lower case. Each anchor with the next `chain` words after it that are no
     anchors makes a signature, if there are as many. A text without any signature has the hash of its words, so that
@@ -49,7 +49,7 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
     chains = F.flatten(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(whole))))
     passed = f" {MARK}[^ ]++"
     clean = F.transform(chains, lambda x: F.when(F.contains(x, F.lit(f" {MARK}")), F.regexp_replace(x, passed, "")).otherwise(x))
-    low = F.transform(clean, lambda x: (F.xxhash64(x).bitwiseAND(0xFFFFFFFF) - F.lit(1 << 31)).cast("int"))
+    low = F.transform(clean, lambda x: (F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") - F.lit(1 << 31)).cast("int"))
     return F.sort_array(F.array_distinct(low))
 
 
@@ -128,3 +128,23 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """compare_edited() over all documents."""
     return compare_edited(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same by words as rows: each anchor meets the next content words by their running number.
+SQL = """
+WITH o AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS nx, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS top FROM documents),
+e AS (SELECT doc_id, t, left(t, length(t) - length(t) // 3) || left(coalesce(nx, top), length(t) // 3) AS ed, lead(doc_id) OVER (ORDER BY doc_id DESC) AS nid, max(doc_id) OVER () AS top_id FROM o),
+x AS (SELECT doc_id, 0 AS k, t FROM e UNION ALL SELECT doc_id, 1, ed FROM e),
+n AS (SELECT doc_id, k, trim(regexp_replace(lower(t), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS s FROM x),
+w AS (SELECT doc_id, k, unnest(string_split(s, ' ')) AS word, generate_subscripts(string_split(s, ' '), 1) AS pos FROM n WHERE s <> ''),
+a AS (SELECT *, word IN (ANCHORS) AS anchor FROM w),
+c AS (SELECT *, sum((NOT anchor)::int) OVER (PARTITION BY doc_id, k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS r FROM a),
+g AS (SELECT p.doc_id, p.k, p.word || ' ' || q.word || ' ' || z.word AS sig FROM c p JOIN c q ON q.doc_id = p.doc_id AND q.k = p.k AND q.r = p.r + 1 AND NOT q.anchor
+  JOIN c z ON z.doc_id = p.doc_id AND z.k = p.k AND z.r = p.r + 2 AND NOT z.anchor WHERE p.anchor),
+h AS (SELECT doc_id, k, list_sort(list(DISTINCT substr(md5(sig), 1, 8))) AS f FROM g GROUP BY doc_id, k),
+f AS (SELECT n.doc_id, n.k, coalesce(f, [substr(md5(chr(1) || s), 1, 8)]) AS f FROM n LEFT JOIN h ON h.doc_id = n.doc_id AND h.k = n.k)
+SELECT e.doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, array_to_string(a.f, ' ') AS fingerprint, array_to_string(b.f, ' ') AS edited_fingerprint,
+  len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f))) AS near_edited,
+  len(list_intersect(a.f, c.f)) / (len(a.f) + len(c.f) - len(list_intersect(a.f, c.f))) AS near_next
+FROM e JOIN f a ON a.doc_id = e.doc_id AND a.k = 0 JOIN f b ON b.doc_id = e.doc_id AND b.k = 1 JOIN f c ON c.doc_id = coalesce(nid, top_id) AND c.k = 0
+""".replace("ANCHORS", ", ".join(f"'{w}'" for w in ANCHORS))
