@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark 4.1.2 lets a union keep its children's partitioning and then leaves out the exchange that an aggregation or
 #: window over it needs; rows of one key can then stay apart, and counts come out wrong. Off, unions lose their partitioning.
-REQUIRED = {"spark.sql.unionOutputPartitioning": "false"}
+#: Batches for Python are bounded by bytes too: rows are whole texts, and ten thousand of them are much for one worker.
+REQUIRED = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 #: Where Python workers find this package, if it is not installed.
