@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BASE, STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
@@ -59,6 +61,18 @@ def chunks(texts: list[str | None], size: int = CHUNK) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def column_parts(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(start, end, texts) of parts of an Arrow column of about `size` bytes, so that few texts are Python's at a time."""
+    n = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(column):
+        before = n[start - 1] if start else 0
+        end = min(len(column), int(np.searchsorted(n, before + size)) + 1)
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
+    pa.default_memory_pool().release_unused()
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from patchloom.llm import common as C
 from patchloom.llm import sentence_pieces as S
 from patchloom.llm.mixing import word_count
-from patchloom.llm.shingles import chunks
+from patchloom.llm.shingles import column_parts
 
 KEYS = ["source", "lang", "version"]
 SUMS = ["n_docs", "n_tokens"]
@@ -33,8 +33,7 @@ def counted(docs: DataFrame, model: str = S.MODEL) -> DataFrame:
         m = S.pieces(path, S.ALPHA)
         for batch in batches:
             names = batch.schema.names
-            texts = batch.column(names.index("text")).to_pylist()
-            n = [len(x) for a, b in chunks(texts, S.CHUNK) for x in S.encode(m, texts[a:b])]
+            n = [len(x) for _, _, texts in column_parts(batch.column(names.index("text")), S.CHUNK) for x in S.encode(m, texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in own), pa.array(n, pa.int64())], [*own, "n_pieces"])
 
     return docs.select(*own, "text").mapInArrow(run, T.StructType([f for f in docs.select(*own).schema.fields] + [T.StructField("n_pieces", T.LongType())]))

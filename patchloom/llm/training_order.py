@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from patchloom.llm import common as C
 from patchloom.llm import sentence_pieces as S
-from patchloom.llm.shingles import U, chunks, mix
+from patchloom.llm.shingles import U, column_parts, mix
 
 #: Tokens in a sequence, sequences in a shard, rounds of the permutation.
-LENGTH, SHARD, ROUNDS = 512, 2048, 4
+LENGTH, SHARD, ROUNDS = 512, 2048, 6
 #: Characters tokenized at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def feistel(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
@@ -62,9 +62,8 @@ def tokenized(docs: DataFrame, model: str = S.MODEL) -> DataFrame:
         kind = "<u2" if m.sp.get_piece_size() <= 1 << 16 else "<u4"
         for batch in batches:
             names = batch.schema.names
-            texts = batch.column(names.index("text")).to_pylist()
-            for a, b in chunks(texts, CHUNK):
-                ids = S.encode(m, texts[a:b])
+            for a, b, texts in column_parts(batch.column(names.index("text")), CHUNK):
+                ids = S.encode(m, texts)
                 part = batch.slice(a, b - a)
                 cols = [part.column(names.index(c)) for c in own]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], [*own, "n_tokens", "ids"])
