@@ -43,7 +43,7 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does once the driver's garbage is collected."""
+    """Lets Spark delete shuffle files and broadcasts of finished steps, which it does once the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from patchloom.llm import common as C
 from patchloom.llm.shingles import chunks
+from patchloom.session import prepared
 
 #: Buckets of hashed byte trigrams in the text model.
 BUCKETS = 1 << 15
@@ -50,11 +51,11 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability of each bucket under each of them and, last, under none).
 
-    labelled has text and lang. About `sample` rows of each language are drawn by hash and counted where they lie; only
-    the table of languages times buckets comes to the driver, whose size does not depend on the input. Rows without
-    text or lang are left out. Without any row left, there is only UNKNOWN.
+    labelled has text and lang, of which the 200 most frequent are told apart. About `sample` rows of each language are
+    drawn by hash and counted where they lie; only the table of languages times buckets comes to the driver, whose size
+    does not depend on the input. Rows without text or lang are left out. Without any row left, there is only UNKNOWN.
     """
-    rows = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = prepared(labelled).select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200)
     share = F.broadcast(sizes.select(F.col("lang").alias("_l"), (F.lit(float(sample)) / F.col("n")).alias("_share")))
     drawn = rows.join(share, F.col("lang") == F.col("_l")).where(C.hash_unit("text", seed=9) < F.col("_share")).select("lang", "text")
@@ -139,7 +140,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     """
     langs, _ = model
     k = len(langs)
-    rows = rows.drop("lang_prob", "accepted", "detected")
+    rows = prepared(rows).drop("lang_prob", "accepted", "detected")
     own = [c for c in rows.columns if keep_text or c != "text"]
     null = F.lit(None).cast("string")
     pick = {"_d": F.lower(F.col(declared).cast("string")) if declared else null, "_s": F.lower(F.col(suffix).cast("string")) if suffix else null, "_h": F.col(host).cast("string") if host else null}

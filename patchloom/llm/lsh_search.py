@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchloom.llm import common as C
+from patchloom.session import prepared
 
 #: Tables, hash functions in each, and buckets that a function tells apart: at most TABLES * SLOTS ** FUNCTIONS buckets.
 TABLES, FUNCTIONS, SLOTS = 2, 4, 16
@@ -116,7 +117,7 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     """Rows whose vector is not null, empty or zero and holds neither nulls nor numbers that aren't finite; as doubles."""
     v = F.col(vector).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)).withColumn("_v", v)
+    return prepared(df).where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)).withColumn("_v", v)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", seed: int = 6) -> DataFrame:
