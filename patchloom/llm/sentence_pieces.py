@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm.near_dedup import _unit
-from patchloom.llm.shingles import U, chunks, mix, part_hash, prefix_hash
+from patchloom.llm.shingles import U, column_parts, mix, part_hash, prefix_hash
+from patchloom.session import prepared
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Sampled segmentations of each text, and the power to which piece probabilities are raised.
 SAMPLES, ALPHA = 2, 0.5
 #: Characters worked on at once; a longer text goes alone.
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 
 
 def model_path(name: str = MODEL) -> str:
@@ -450,7 +451,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES
     from pyspark.sql import types as T
 
     new = T._parse_datatype_string(SCHEMA.replace("ids array<int>", "ids_sha256 string, round_trip boolean") if digest else SCHEMA)
-    docs = docs.drop(*new.names)
+    docs = prepared(docs).drop(*new.names)
     own = [c for c in docs.columns if c != "text"]
     key = F.xxhash64(F.lit(seed), *([F.col("doc_id")] if "doc_id" in docs.columns else []), F.col("text")).alias("_key")
     path = model_path(model)
@@ -459,9 +460,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES
         m = pieces(path, alpha)
         for batch in batches:
             names = batch.schema.names
-            texts, keys = batch.column(names.index("text")).to_pylist(), batch.column(names.index("_key")).to_numpy()
-            for a, b in chunks(texts, CHUNK):
-                part = texts[a:b]
+            keys = batch.column(names.index("_key")).to_numpy()
+            for a, b, part in column_parts(batch.column(names.index("text")), CHUNK):
                 lattice = Batch(m, part)
                 whole, drawn = encode(m, part, lattice), sample(m, part, keys[a:b], samples, lattice)
                 take, rows = [], []
@@ -501,7 +501,7 @@ def decode_rows(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """rows with text, decoded from their ids (null ids: null)."""
     from pyspark.sql import types as T
 
-    path, rows = model_path(model), rows.drop("text")
+    path, rows = model_path(model), prepared(rows).drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces(path, ALPHA)
