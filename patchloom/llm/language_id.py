@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import common as C
-from patchloom.llm.shingles import chunks
+from patchloom.llm.shingles import chunks, tidy
 from patchloom.session import prepared
 
 #: Buckets of hashed byte trigrams in the text model.
@@ -106,6 +106,7 @@ def text_likelihood(rows: DataFrame, model: tuple[list[str], np.ndarray], text:
                     else:
                         out[a + i, -1] = NO_LETTERS
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(out), pa.list_(pa.float64()))], [*batch.schema.names, "_ll"])
+        tidy()
 
     return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType()))]))
 

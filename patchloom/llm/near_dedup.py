@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from patchloom.llm import common as C
 from patchloom.llm.components import components
-from patchloom.llm.shingles import U, chunks, mix, shingles
+from patchloom.llm.shingles import U, chunks, mix, shingles, tidy
 
 WORDS, SIMILAR = 5, 0.8
 #: Bands and registers in each: two texts at similarity 0.8 miss each other with probability 1.5e-5.
@@ -90,6 +90,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(v[a:b]), pa.array([s.tobytes() if o else None for s, o in zip(sketch, some, strict=True)], pa.binary()), pa.array([k if o else None for k, o in zip(keys, some, strict=True)], pa.list_(pa.int64()))],
                 ["v", "sketch", "keys"],
             )
+    tidy()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,12 +251,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
     bands = bands.join(C.side(full, 8), "key", "left_semi").withColumns({"place": F.row_number().over(order) - 1, "leader": F.first("v").over(order)})
     bands = C.cut(bands, "bands")
     C.drop_cut(signed)
+    C.release(docs.sparkSession)
     pairs = C.cut(bands.where("place > 0").groupBy(F.col("v").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
     sa = sketches.select(F.col("v").alias("a"), F.col("sketch").alias("sa"))
     sb = sketches.select(F.col("v").alias("b"), F.col("sketch").alias("sb"))
     close = C.cut(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "close")
     links = C.cut(_verified(keyed, close), "links")
     labels = components(links)
+    C.release(docs.sparkSession)
     now = bands.drop("leader").join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     mixed = C.cut(now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "mixed")
     now = C.cut(now.join(C.side(mixed, 8), "key", "left_semi"), "open").join(sketches, "v")
@@ -273,6 +276,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         joined = components(more.join(a, "a", "left").join(b, "b", "left").select(end("a"), end("b")))
         every = labels.unionByName(joined.select("id", F.col("id").alias("comp")).join(labels, "id", "left_anti"))
         labels = C.cut(every.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp")), "labels")
+    C.release(docs.sparkSession)
     # vertices without links stand for themselves
     slim = slim.join(labels.withColumnRenamed("id", "_t"), "_t", "left").withColumn("comp", F.coalesce("comp", "_t"))
     names = C.cut(slim.where("has_words").groupBy("comp").agg(F.min("_k").alias("class_id")), "names")

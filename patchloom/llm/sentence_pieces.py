@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm.near_dedup import _unit
-from patchloom.llm.shingles import U, column_parts, mix, part_hash, prefix_hash
+from patchloom.llm.shingles import U, column_parts, mix, part_hash, prefix_hash, tidy
 from patchloom.session import prepared
 
 MODEL = "piece_bpe_32k.model"
@@ -482,6 +482,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in cols[5]])]).astype(np.int32)
                     arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, [*own, *new.names])
+                lattice = whole = drawn = every = rows = cols = arrays = part = None
+        tidy()
 
     schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + new.fields)
     return docs.select(*own, "text", key).mapInArrow(run, schema)

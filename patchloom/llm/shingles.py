@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +63,14 @@ def chunks(texts: list[str | None], size: int = CHUNK) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def tidy() -> None:
+    """Gives memory that is free back to the system: a worker stays for the next task, and others need the memory."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def column_parts(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, list[str | None]]]:
     """(start, end, texts) of parts of an Arrow column of about `size` bytes, so that few texts are Python's at a time."""
     n = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
