@@ -14,6 +14,7 @@ from patchloom.llm import common as C
 from patchloom.llm import sentence_pieces as S
 from patchloom.llm.mixing import word_count
 from patchloom.llm.shingles import column_parts
+from patchloom.session import prepared
 
 KEYS = ["source", "lang", "version"]
 SUMS = ["n_docs", "n_tokens"]
@@ -123,20 +124,19 @@ class TokenLedger:
 
 
 def op8_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger of all documents: one batch inserts every document's words and pieces, one deletes the documents whose
-    text an earlier one has, one revises the language of what is left to lower case, and two are sent again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    keyed = C.row_key(docs).withColumn("_t2", F.xxhash64(F.lit(8), "text"))
-    n = C.cut(counted(keyed.select("_k", "_t", "_t2", "source", "lang", "text")), "counts")
-    first = n.groupBy("_t", "_t2").agg(F.min("_k").alias("_first"))
-    n = C.cut(n.join(first, ["_t", "_t2"]).withColumn("again", F.col("_k") > F.col("_first")), "counts")
+    """A ledger of all documents, copies and null texts too: one batch inserts every document's words and pieces, one
+    takes the documents of odd id away and one brings them back, one revises every language to lower case, and two are
+    sent again. The totals are those of all rows of the table."""
+    docs = prepared(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    n = C.cut(counted(docs.select(F.col("doc_id").cast("long").alias("_k"), "source", "lang", "text")), "counts")
     each = F.explode(F.array(F.struct(F.lit(WORDS).alias("version"), F.col("n_words").alias("n_tokens")), F.struct(F.lit(PIECES).alias("version"), F.col("n_pieces").alias("n_tokens"))))
-    rows = n.select("source", "lang", "again", each.alias("v")).select("source", "lang", "again", "v.*")
+    rows = n.select("_k", "source", "lang", each.alias("v")).select("_k", "source", "lang", "v.*")
     ledger = TokenLedger(spark, f"{C.shared_dir(spark)}/patchloom/ledger-{uuid.uuid4().hex}")
     load = rows.withColumn("kind", F.lit("insert"))
-    gone = rows.where("again").withColumn("kind", F.lit("delete"))
+    odd = rows.where(F.col("_k").bitwiseAND(F.lit(1)) == 1)
+    taken, back = (odd.withColumn("kind", F.lit(kind)) for kind in ("delete", "insert"))
     old = {f"old_{c}": F.col(c) for c in [*KEYS, "n_tokens"]}
-    revised = rows.where("not again").withColumns({**old, "kind": F.lit("revise")}).withColumn("lang", F.lower("lang"))
-    for batch, changes in (("load", load), ("copies", gone), ("copies", gone), ("languages", revised), ("load", load)):
+    revised = rows.withColumns({**old, "kind": F.lit("revise")}).withColumn("lang", F.lower("lang"))
+    for batch, changes in (("load", load), ("taken", taken), ("taken", taken), ("back", back), ("languages", revised), ("load", load)):
         ledger.commit(batch, changes)
     return ledger.totals()

@@ -161,6 +161,20 @@ def test_ledger_query_equals_recount(spark, model):
     assert got == {k: (want[k, 0], want[k, 1]) for k, _ in want}
 
 
+def test_ledger_query_counts_every_row(spark, model, tmp_path):
+    texts = ["one two", "one two", None, None, "", "three", "one two"]
+    docs = [(i, t, "s1" if i < 3 else "s2", "EN" if i % 2 else "en") for i, t in enumerate(texts)] + [(None, "four five six", None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in token_ledger.op8_token_ledger(spark, f"file://{tmp_path}").collect()}
+    n_docs, n_tokens = Counter(), Counter()
+    for _, t, source, lang in docs:
+        for v, n in ((token_ledger.WORDS, len((t or "").split())), (token_ledger.PIECES, len(model.sp.encode(t or "")))):
+            key = (source, lang and lang.lower(), v)
+            n_docs[key] += 1
+            n_tokens[key] += n
+    assert got == {k: (n_docs[k], n_tokens[k]) for k in n_docs}
+
+
 SAMPLE = {"en": "the quick brown fox and the lazy dog were with that which", "fr": "le renard brun et les chiens que nous avons dans une maison", "de": "der schnelle braune fuchs und die hunde mit einem haus nicht"}
 
 
