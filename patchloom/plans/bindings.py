@@ -313,33 +313,56 @@ def graph_paths_target(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BIP = """b AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice < 2000)"""
+BIP_ALL = """b AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+SMALL = "o_totalprice < 2000"
 
 
-def _orders_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers and suppliers who met in a small order."""
-    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice").where("o_totalprice < 2000")
+def _orders_graph(spark: SparkSession, sf: str, kept: str = "true") -> DataFrame:
+    """Customers and suppliers who met in an order that is kept."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice").where(kept)
     l = table(spark, sf, "lineitem", "l_orderkey", "l_suppkey")
     return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
 
-@bound(f"""WITH RECURSIVE {BIP}, u AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b), r AS (
-  SELECT dst AS node FROM b WHERE dst LIKE 's1%' UNION SELECT u.dst FROM r JOIN u ON u.src = r.node) SELECT node FROM r""")
-def graph_component(spark: SparkSession, sf: str) -> DataFrame:
-    """All customers and suppliers linked, in either direction, with suppliers whose name holds s1."""
-    e = _orders_graph(spark, sf)
-    names = spark.createDataFrame([("s1",)], "name string")
-    seeds = G.seeds_containing(e.select(F.col("dst").alias("node")), names)
-    return G.reach(e, seeds, directed=False)
+def _component(e: DataFrame) -> DataFrame:
+    names = e.sparkSession.createDataFrame([("s1",)], "name string")
+    return G.reach(e, G.seeds_containing(e.select(F.col("dst").alias("node")), names), directed=False)
 
 
-@bound(f"""WITH {BIP} SELECT src, dst FROM b WHERE src LIKE 'c1%' OR dst IN (SELECT dst FROM b WHERE src LIKE 'c1%')""")
-def graph_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Links with either end among the customers c1... or their suppliers."""
-    e = _orders_graph(spark, sf)
+def _links(e: DataFrame) -> DataFrame:
     own = e.where("src like 'c1%'")
     return G.touching(e, own.select(F.col("src").alias("node")).unionByName(own.select(F.col("dst").alias("node"))).distinct())
 
 
+COMPONENT = """WITH RECURSIVE {b}, u AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b), r AS (
+  SELECT dst AS node FROM b WHERE dst LIKE 's1%' UNION SELECT u.dst FROM r JOIN u ON u.src = r.node) SELECT node FROM r"""
+LINKS = """WITH {b} SELECT src, dst FROM b WHERE src LIKE 'c1%' OR dst IN (SELECT dst FROM b WHERE src LIKE 'c1%')"""
+
+
+@bound(COMPONENT.format(b=BIP))
+def graph_component(spark: SparkSession, sf: str) -> DataFrame:
+    """All customers and suppliers linked, in either direction, with suppliers whose name holds s1; small orders only."""
+    return _component(_orders_graph(spark, sf, SMALL))
+
+
+@bound(COMPONENT.format(b=BIP_ALL))
+def graph_component_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all orders."""
+    return _component(_orders_graph(spark, sf))
+
+
+@bound(LINKS.format(b=BIP))
+def graph_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Links with either end among the customers c1... or their suppliers; small orders only."""
+    return _links(_orders_graph(spark, sf, SMALL))
+
+
+@bound(LINKS.format(b=BIP_ALL))
+def graph_filter_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all orders."""
+    return _links(_orders_graph(spark, sf))
+
+
 @bound("""SELECT u.node AS name, min(p.node) AS node FROM (SELECT 'n' || n_nationkey AS node FROM nation) u JOIN (SELECT 'root/n' || n_nationkey || '/s' || s_suppkey AS full, 'root/r' || n_regionkey || '/n' || n_nationkey AS node FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey) p ON ends_with(p.node, '/' || u.node) GROUP BY u.node""")
 def suffix_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """The first point that ends in a wanted name."""

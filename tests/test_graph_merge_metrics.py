@@ -97,3 +97,15 @@ def test_metrics_edges(spark):
     assert [r["id"] for r in E.rank_by_overlap(k, "q", "x", "id", "k").orderBy("rank").collect()] == [1, 2]
     x = spark.createDataFrame([(["src/f.c"], ["a/f.c"])], "p array<string>, t array<string>")
     assert x.select(E.covered(F.col("p"), F.col("t"))).first()[0]
+
+
+def test_orders_graph_holds_all_orders(spark, tmp_path):
+    from patchloom.plans import bindings
+
+    orders = [(1, 7, 1500.0), (2, 8, 90_000.0), (3, 8, 400_000.0), (4, 15, 50_000.0), (5, 9, 1900.0)]
+    lines = [(1, 11), (2, 11), (3, 22), (4, 33), (5, 44), (5, 44)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sf = f"file://{tmp_path}"
+    assert {r["node"] for r in bindings.graph_component_all(spark, sf).collect()} == {"s11", "c7", "c8", "s22"}
+    assert {tuple(r) for r in bindings.graph_filter_all(spark, sf).collect()} == {("c15", "s33")}
