@@ -51,13 +51,13 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability of each bucket under each of them and, last, under none).
 
-    labelled has text and lang, of which the 200 most frequent are told apart. About `sample` rows of each language are
-    drawn by hash and counted where they lie; only the table of languages times buckets comes to the driver, whose size
-    does not depend on the input. Rows without text or lang are left out. Without any row left, there is only UNKNOWN.
+    labelled has text and lang, all values of which are told apart. About `sample` rows of each language are drawn by
+    hash and counted where they lie; only the table of languages times buckets comes to the driver, 128 KB a language
+    in the model. Rows without text or lang are left out. Without any row left, there is only UNKNOWN.
     """
     rows = prepared(labelled).select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200)
-    share = F.broadcast(sizes.select(F.col("lang").alias("_l"), (F.lit(float(sample)) / F.col("n")).alias("_share")))
+    sizes = C.cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")
+    share = C.side(sizes, 40).select(F.col("lang").alias("_l"), (F.lit(float(sample)) / F.col("n")).alias("_share"))
     drawn = rows.join(share, F.col("lang") == F.col("_l")).where(C.hash_unit("text", seed=9) < F.col("_share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,12 +75,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
     found = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
-    counts = np.full((BUCKETS, len(langs) + 1), 0.02)
-    for i, lang in enumerate(langs):
-        part = found[found["lang"] == lang]
-        counts[part["bucket"].to_numpy(), i] += part["n"].to_numpy()
-    counts[:, -1] = 1.0
-    return [*langs, UNKNOWN], np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    table = np.full((BUCKETS, len(langs) + 1), -np.log(BUCKETS), np.float32)
+    place = {lang: i for i, lang in enumerate(langs)}
+    for lang, part in found.groupby("lang"):
+        counts = np.full(BUCKETS, 0.02)
+        counts[part["bucket"].to_numpy()] += part["n"].to_numpy()
+        table[:, place[lang]] = np.log(counts / counts.sum())
+    return [*langs, UNKNOWN], table
 
 
 def text_likelihood(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:

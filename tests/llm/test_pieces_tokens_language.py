@@ -212,3 +212,20 @@ def test_pages(spark):
     a, b = language_id.page_rows(pages).orderBy("page_id").collect()
     assert (a["declared"], a["suffix"], a["host"], a["domain"], a["text"].split()) == ("fr", "fr", "a.b.example.fr", "example.fr", ["Bonjour", "toi"])
     assert b["declared"] is None and b["host"] is None
+
+
+def test_every_language_is_modelled(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs, i = [], 0
+    for k in range(204):
+        words = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)]
+        for _ in range(2 if k < 203 else 1):
+            docs.append((i, " ".join(rng.choice(words) for _ in range(40)), f"l{k:03d}", None))
+            i += 1
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    m = language_id.fit(df)
+    assert m[0] == [f"l{k:03d}" for k in range(204)] + ["und"] and m[1].shape == (language_id.BUCKETS, 205)
+    last = df.where("lang >= 'l198'")
+    got = {r["doc_id"]: (r["detected"], r["accepted"]) for r in language_id.identify(language_id.document_rows(last), m, suffix=None).collect()}
+    assert got == {d: (lang, True) for d, _, lang, _ in docs if lang >= "l198"}
