@@ -15,7 +15,7 @@ from patchloom.session import prepared
 
 #: Buckets of hashed byte trigrams in the text model.
 BUCKETS = 1 << 15
-#: Labelled rows a language that the text model is fitted on, in expectation: the only bound on what is looked at.
+#: Labelled texts a language that the text model is fitted on, in expectation: the only bound on what is looked at.
 SAMPLE = 2000
 #: No language: its text likelihood is even over the buckets.
 UNKNOWN = "und"
@@ -51,14 +51,14 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability of each bucket under each of them and, last, under none).
 
-    labelled has text and lang, all values of which are told apart. About `sample` rows of each language are drawn by
-    hash and counted where they lie; only the table of languages times buckets comes to the driver, 128 KB a language
-    in the model. Rows without text or lang are left out. Without any row left, there is only UNKNOWN.
+    labelled has text and lang, all values of which are told apart. About `sample` distinct texts of each language are
+    drawn by hash and counted once each, however many copies they have; only the table of languages times buckets comes
+    to the driver, 128 KB a language in the model. Rows without text or lang are left out. Without any row left, there is only UNKNOWN.
     """
     rows = prepared(labelled).select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = C.cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")
+    sizes = C.cut(rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")), "langs")
     share = C.side(sizes, 40).select(F.col("lang").alias("_l"), (F.lit(float(sample)) / F.col("n")).alias("_share"))
-    drawn = rows.join(share, F.col("lang") == F.col("_l")).where(C.hash_unit("text", seed=9) < F.col("_share")).select("lang", "text")
+    drawn = rows.join(share, F.col("lang") == F.col("_l")).where(C.hash_unit("text", seed=9) < F.col("_share")).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

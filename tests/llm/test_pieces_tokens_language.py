@@ -229,3 +229,18 @@ def test_every_language_is_modelled(spark):
     last = df.where("lang >= 'l198'")
     got = {r["doc_id"]: (r["detected"], r["accepted"]) for r in language_id.identify(language_id.document_rows(last), m, suffix=None).collect()}
     assert got == {d: (lang, True) for d, _, lang, _ in docs if lang >= "l198"}
+
+
+def test_copies_count_once_in_the_fit(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(200)]
+    once = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    # one text that the sample below draws, and one that it doesn't, become the hot group in turn
+    unit = {r["text"]: r["u"] for r in once.select("text", language_id.C.hash_unit("text", seed=9).alias("u")).collect()}
+    low, high = min(texts, key=unit.get), max(texts, key=unit.get)
+    langs, want = language_id.fit(once, sample=100)
+    for hot in (low, high):
+        copies = spark.createDataFrame([(1000 + i, hot, "aa") for i in range(400)], once.schema)
+        got = language_id.fit(once.unionByName(copies), sample=100)
+        assert got[0] == langs and np.array_equal(got[1], want)
