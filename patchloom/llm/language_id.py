@@ -205,13 +205,13 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, text, declared, suffix, host, domain) of raw pages: text without markup, the html element's lang, and
-    parts of the address. The domain is the host's last two labels."""
+    """(page_id, text, declared, suffix, host, domain) of raw pages: text without markup, the primary subtag of the html
+    element's lang (all before the first hyphen), and parts of the address. The domain is the host's last two labels."""
     html = F.coalesce(F.col("html"), F.lit(""))
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     host = F.when(host != "", host)
-    declared = F.substring(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z-]+)", 1), 1, 2)
+    declared = F.substring_index(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z-]+)", 1), "-", 1)
     return pages.select("page_id", text.alias("text"), F.when(declared != "", declared).alias("declared"), F.element_at(F.split(host, r"\."), -1).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"))
 
 

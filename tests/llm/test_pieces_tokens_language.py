@@ -244,3 +244,9 @@ def test_copies_count_once_in_the_fit(spark):
         copies = spark.createDataFrame([(1000 + i, hot, "aa") for i in range(400)], once.schema)
         got = language_id.fit(once.unionByName(copies), sample=100)
         assert got[0] == langs and np.array_equal(got[1], want)
+
+
+def test_declared_language_is_the_primary_subtag(spark):
+    tags = {"fil": "fil", "haw-US": "haw", "ast-Latn-ES": "ast", "de-AT": "de", "fi": "fi", "": None}
+    pages = spark.createDataFrame([(i, None, f'<html class="x" lang="{t}">text') for i, t in enumerate(tags)], "page_id long, url string, html string")
+    assert [r["declared"] for r in language_id.page_rows(pages).orderBy("page_id").collect()] == list(tags.values())
