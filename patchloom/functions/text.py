@@ -28,11 +28,15 @@ def remove_comments(code: Column, compat: bool = False) -> Column:
     return F.regexp_replace(code, f"(?ms)({literal})|(?:{COMMENT})", "$1")
 
 
+def code_tokens(code: Column) -> Column:
+    """The parts of code outside comments, in order: literals, and runs up to the next slash or quote."""
+    found = F.regexp_extract_all(code, F.lit(f"(?ms)(?:{COMMENT})|({LITERAL}|.[^/'\"]*)"), F.lit(1))
+    return F.filter(found, lambda x: x != "")
+
+
 def code_only(code: Column) -> Column:
-    """code with comments dropped token by token: the same as remove_comments() on well-formed code, and also drops the
-    rest of the text after a literal that never closes only up to the quote itself."""
-    kept = F.regexp_replace(code, f"(?ms)({LITERAL})|(?:{COMMENT})", "$1")
-    return kept
+    """code put together from its tokens outside comments; a literal that never closes counts as plain text."""
+    return F.array_join(code_tokens(code), "")
 
 
 def comments(code: Column) -> Column:

@@ -75,3 +75,35 @@ def test_syntax_stand_ins(spark):
     assert one(spark, T.calls, code) == ["f", "h", "s"]
     assert one(spark, T.jumps, code) == ["return h(1)"] and one(spark, lambda c: T.jumps(c, "goto"), code) == ["goto end"]
     assert one(spark, T.includes, code) == ["<a.h>"]
+
+
+def test_code_tokens(spark):
+    import random
+    import re
+
+    token = re.compile(r"""//.*?$|/\*.*?\*/|('(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*"|.[^/'"]*)""", re.DOTALL | re.MULTILINE)
+    rng = random.Random(3)
+    codes = ["a / b", "x /* open", "'", '"// in"', "", *("".join(rng.choice(["/", "*", "'", '"', "\\", "a", "\n", "/*", "*/", "//"]) for _ in range(25)) for _ in range(200))]
+    got = spark.createDataFrame(list(enumerate(codes)), "i int, x string").select("i", T.code_tokens(F.col("x")).alias("t"), T.code_only(F.col("x")).alias("c")).collect()
+    for r in got:
+        want = [m.group(1) for m in token.finditer(codes[r["i"]]) if m.group(1)]
+        assert (r["t"], r["c"]) == (want, "".join(want)), codes[r["i"]]
+
+
+def test_small_source_operators(spark):
+    from patchloom.operators import graph as G
+
+    a = spark.createDataFrame([(1, "x", "t"), (1, "y", "t"), (1, "z", "u"), (2, "x", "t")], "k int, name string, text string")
+    assert sorted(map(tuple, P.compare_artifacts(a, [("x", "y"), ("x", "z")], "k").collect())) == [(1, "x", "y", True), (1, "x", "z", False)]
+    files = spark.createDataFrame([("r", "c1", "c2", "f", "g")], "repo string, pre_commit string, post_commit string, old_file string, new_file string")
+    blobs = spark.createDataFrame([("r", "c1", "f", "old"), ("r", "c1", "g", "no")], "repo string, commit string, path string, text string")
+    r = P.with_blobs(files, blobs).first()
+    assert (r["old_text"], r["new_text"]) == ("old", None)
+    node = "struct<file: string, method: string, lineNumber: int>"
+    traces = spark.createDataFrame([(1, [[("f", "m", 3), ("g", None, 4)], []], [])], f"k int, pre array<array<{node}>>, post array<array<{node}>>")
+    assert sorted(map(tuple, P.taint_nodes(traces, "k").collect())) == [(1, "pre", 0, 0, "f", "m", 3), (1, "pre", 0, 1, "g", None, 4)]
+    diags = spark.createDataFrame([(1, "Error", "n", ("bad", 7)), (1, "Warning", "n", ("w", 8))], "k int, Level string, DiagnosticName string, DiagnosticMessage struct<Message: string, FileOffset: int>")
+    assert [tuple(x) for x in P.errors_of(diags, "k").collect()] == [(1, "Error", "n", "bad", 7)]
+    nodes = spark.createDataFrame([(1, "call", 5), (1, "call", 2), (2, "if", 1)], "id int, type string, o int")
+    assert G.select_nodes(nodes, "call").count() == 2
+    assert sorted(map(tuple, G.distinct_nodes(nodes, "o").collect())) == [(1, "call", 2), (2, "if", 1)]
