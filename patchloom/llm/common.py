@@ -18,21 +18,36 @@ NULL_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='patchloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: later failures restart from there."""
+def cut(df: DataFrame, name: str = "cut", bag: list[str] | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: later failures restart from there.
+
+    bag, if given, collects the folders, for drop_bag().
+    """
     path = f"{shared_dir(df.sparkSession)}/patchloom/{name}-{uuid.uuid4().hex}"
     prepared(df).write.parquet(path)
+    if bag is not None:
+        bag.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_bag(spark: SparkSession, bag: list[str]) -> None:
+    """Deletes the tables of a bag, once nothing reads them any more."""
+    for folder in bag:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    bag.clear()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files behind a table that cut() made, once nothing reads it any more."""
     spark = df.sparkSession
@@ -58,6 +73,17 @@ def side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, row_bytes) else df
 
 
+def sized(df: DataFrame, n_bytes: float, per_core: int = 1, part: int = 8 << 20) -> DataFrame:
+    """df in no more partitions than a bound on its bytes asks for, but some for each core: a table that is dealt over a
+    cluster's partitions needs fewer tasks and files if it is small. A large one stays as it is dealt."""
+    return df.coalesce(int(max(per_core * df.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // part))))
+
+
+def compact(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES // 4) -> DataFrame:
+    """A table made by cut(), read by one task if its counted size allows it: what follows then needs no exchange."""
+    return df.coalesce(1) if small_enough(df, row_bytes, limit) else df
+
+
 def row_key(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Adds _k, the id with null last, and _t, a hash of the text. Rows equal in both are one document."""
     return prepared(df).withColumns({

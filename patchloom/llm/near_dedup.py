@@ -6,20 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import common as C
-from patchloom.llm.components import components
-from patchloom.llm.shingles import U, chunks, mix, shingles, tidy
+from patchloom.llm.components import components, least_labels
+from patchloom.llm.shingles import U, chunks, exact_shingles, mix, shingles, tidy
 
 WORDS, SIMILAR = 5, 0.8
 #: Bands and registers in each: two texts at similarity 0.8 miss each other with probability 1.5e-5.
 BANDS, ROWS = 28, 5
-#: A pair whose estimate lies this many standard deviations below the wanted similarity is not verified.
-SIGMAS = 5.0
-#: Members of a bucket, and of a family, that one task compares with as many others.
-SKETCHES, TEXTS = 4096, 1024
+#: Sketches (a byte of each register) that agree in fewer places than this rule a similarity of 0.8 out. A pair at 0.8
+#: agrees in each with probability 0.8008; 89 of 140 or more is what all but 2e-6 of such pairs reach, less than what the
+#: bands miss. Only texts that did not meet their bucket's first text in one block are compared by sketches at all.
+SKETCH_LEAST = 89
+#: Members of a bucket, and texts and bytes of texts, that one task compares with as many others.
+SKETCHES, TEXTS, TEXT_BYTES = 4096, 1024, 8 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -75,9 +77,9 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, text) to (v, sketch, keys): a byte of each register, and the bands' hashes."""
+    """(k, id, n_bytes, text) to (k, id, n_bytes, sketch, keys): a byte of each register, and the bands' hashes."""
     for batch in batches:
-        v, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        texts = batch.column(3).to_pylist()
         for a, b in chunks(texts):
             sig = signatures(*shingles(texts[a:b], WORDS))
             some = sig.any(axis=1)
@@ -86,43 +88,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = mix(keys * U(31) + sig[:, j::ROWS])
             keys = mix(keys + np.arange(BANDS, dtype=U)).view(np.int64)
             sketch = mix(sig).astype(np.uint8)
+            own = [batch.column(i).slice(a, b - a) for i in range(3)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v[a:b]), pa.array([s.tobytes() if o else None for s, o in zip(sketch, some, strict=True)], pa.binary()), pa.array([k if o else None for k, o in zip(keys, some, strict=True)], pa.list_(pa.int64()))],
-                ["v", "sketch", "keys"],
+                [*own, pa.array([s.tobytes() if o else None for s, o in zip(sketch, some, strict=True)], pa.binary()), pa.array([k if o else None for k, o in zip(keys, some, strict=True)], pa.list_(pa.int64()))],
+                ["k", "id", "n_bytes", "sketch", "keys"],
             )
     tidy()
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, ta, tb) to the (a, b) that are alike."""
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = np.zeros(len(a), bool)
-        for s, e in chunks([x + y for x, y in zip(ta, tb, strict=True)]):
-            pa_, pb = shingles(ta[s:e], WORDS), shingles(tb[s:e], WORDS)
-            for i in range(e - s):
-                x, y = (slice(p[0][i], p[0][i + 1]) for p in (pa_, pb))
-                keep[s + i] = likeness((pa_[1][x], pa_[2][x]), (pb[1][y], pb[2][y])) >= SIMILAR - 1e-9
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-
-def _least(m: int = BANDS * ROWS) -> float:
-    """Equal sketch bytes that a pair must have not to be ruled out."""
-    p = SIMILAR + (1 - SIMILAR) / 256
-    return m * p - SIGMAS * (m * p * (1 - p)) ** 0.5
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sa, sb) to the (a, b) whose sketches don't rule out the wanted similarity."""
-    m = BANDS * ROWS
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, m) for i in (2, 3))
-        keep = (x == y).sum(axis=1) >= _least()
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """The rows of each group, from batches in order of their first `keys` columns."""
     rows: list[tuple] = []
@@ -136,16 +109,16 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield rows
 
 
-def _forest(v: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+def _forest(v: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (least member, member) of each component of a symmetric matrix of near pairs."""
-    label = np.arange(len(v))
-    near = near | np.eye(len(v), dtype=bool)
-    while True:
-        new = np.array([label[row].min() for row in near])
-        new = new[new]
-        if (new == label).all():
-            return [(int(v[x]), int(v[i])) for i, x in enumerate(label) if x != i]
-        label = new
+    label = least_labels(*np.nonzero(near), len(v))
+    at = np.flatnonzero(label != np.arange(len(v)))
+    return v[label[at]], v[at]
+
+
+def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _equal_bytes(x: np.ndarray) -> np.ndarray:
@@ -160,137 +133,178 @@ def _equal_bytes(x: np.ndarray) -> np.ndarray:
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, i, j, v, comp, sketch) in order of (key, i, j) to links (a, b) that hold close pairs of a bucket together."""
-    out: list[tuple[int, int]] = []
     for rows in _groups(batches, 3):
         v, comp = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
         if len(rows) > 1 and (comp != comp[0]).any():
             same = _equal_bytes(np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1))
-            out += _forest(v, (same >= _least()) & (comp[:, None] != comp[None, :]))
-        if len(out) > 10_000:
-            yield _links(out)
-            out = []
-    yield _links(out)
+            yield _links([_forest(v, (same >= SKETCH_LEAST) & (comp[:, None] != comp[None, :]))])
 
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-
-def _common(first: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """For each two texts how many shingles they share: a product of 0-1 matrices over the shingles that two have."""
+def _shared(first: np.ndarray, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each two texts the first one's weight on shingles that both have: products over shingles that two texts have."""
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
     _, col, times = np.unique(h, return_inverse=True, return_counts=True)
     new = np.cumsum(times > 1) - 1
-    shared = times[col] > 1
-    doc, col = doc[shared], new[col[shared]]
+    several = times[col] > 1
+    doc, col, weight = doc[several], new[col[several]], weight[several]
     order = np.argsort(col, kind="stable")
-    doc, col = doc[order], col[order]
+    doc, col, weight = doc[order], col[order], weight[order]
     out = np.zeros((n, n), np.float32)
     for c in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
         s, e = np.searchsorted(col, [c, c + 2048])
-        m = np.zeros((n, 2048), np.float32)
-        m[doc[s:e], col[s:e] - c] = 1
-        out += m @ m.T
+        has, heavy = (np.zeros((n, 2048), np.float32) for _ in range(2))
+        has[doc[s:e], col[s:e] - c] = 1
+        heavy[doc[s:e], col[s:e] - c] = weight[s:e]
+        out += heavy @ has.T
     return out
 
 
+def alike(texts: list[str | None], comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (pairs of places) that holds together texts of probability Jaccard 0.8 or more in different components.
+
+    Shingles are compared word by word, not by hashes. Where all shingles of two texts occur once, similarity follows
+    from the number of shared ones. Of others, the share of a text's weight on shared shingles is an upper bound; pairs
+    beyond it that nothing holds together yet are compared one by one, likely ones first.
+    """
+    n = len(texts)
+    first, h, c = exact_shingles(texts, WORDS)
+    size = np.diff(first)
+    total = np.add.reduceat(np.append(c, 0), np.minimum(first[:-1], len(c))) * (size > 0)
+    plain = total == size
+    other = comp[:, None] != comp[None, :]
+    doc = np.repeat(np.arange(n), size)
+    share = _shared(first, h, c / total[doc])
+    common = share * size[:, None]
+    both = plain[:, None] & plain[None, :]
+    near = other & both & (common >= (SIMILAR - 1e-6) * (size[:, None] + size[None, :] - common))
+    a, b = np.nonzero(np.triu(near, 1))
+    if not plain.all():
+        bound = np.where(other & ~both, np.minimum(share, share.T), 0.0)
+        x, y = np.nonzero(np.triu(bound >= SIMILAR - 1e-4, 1))
+        order = np.argsort(-bound[x, y], kind="stable")
+        label = least_labels(a, b, n)
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            if label[i] != label[j]:
+                p, q = slice(first[i], first[i + 1]), slice(first[j], first[j + 1])
+                if likeness((h[p], c[p]), (h[q], c[q])) >= SIMILAR - 1e-9:
+                    a, b = np.append(a, i), np.append(b, j)
+                    label[label == label[j]] = label[i]
+    label = least_labels(a, b, n)
+    at = np.flatnonzero(label != np.arange(n))
+    return label[at], at
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fam, i, j, v, comp, text) in order of (fam, i, j) to links (a, b) between alike texts of different components."""
+    """(group, i, j, v, comp, text) in order of (group, i, j) to links (a, b) between alike texts of other components."""
     for rows in _groups(batches, 3):
         v, comp = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
-        if len(rows) < 2 or (comp == comp[0]).all():
-            continue
-        first, h, c = shingles([r[5] for r in rows], WORDS)
-        size = np.diff(first)
-        other = comp[:, None] != comp[None, :]
-        plain = np.array([(c[first[i] : first[i + 1]] == 1).all() for i in range(len(rows))])
-        common = _common(first, h)
-        near = other & plain[:, None] & plain[None, :] & (common >= (SIMILAR - 1e-9) * (size[:, None] + size[None, :] - common))
-        if not plain.all():  # weights differ: pairs with such a text one by one, if their sketches are close
-            same = _equal_bytes(mix(signatures(first, h, c)).astype(np.uint8))
-            for i, j in np.argwhere(np.triu(other & ~(plain[:, None] & plain[None, :]) & (same >= _least()), 1)):
-                x, y = slice(first[i], first[i + 1]), slice(first[j], first[j + 1])
-                near[i, j] = near[j, i] = likeness((h[x], c[x]), (h[y], c[y])) >= SIMILAR - 1e-9
-        yield _links(_forest(v, near))
-
-
-def _blocks(rows: DataFrame, key: str, place: str, size: int, *cols: str) -> DataFrame:
-    """Rows dealt to (key, i, j) for every two blocks i <= j of a group, sorted by it: any two members of a group meet."""
-    rows = rows.withColumn("_b", F.floor(F.col(place) / size).cast("int"))
-    n = rows.groupBy(key).agg((F.max("_b") + 1).alias("_n"))
-    one = rows.join(n, key)
-    one = one.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    one = one.select(key, F.least("_b", "_j").alias("i"), F.greatest("_b", "_j").alias("j"), *cols)
-    return one.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+        if len(rows) > 1 and (comp != comp[0]).any():
+            a, b = alike([r[5] for r in rows], comp)
+            yield _links([(v[a], v[b])])
+    tidy()
+
+
+def _block(v: str, n: F.Column) -> F.Column:
+    """One of n blocks for a member, by a hash of its number."""
+    return F.pmod(F.xxhash64(F.lit(5), v), n).cast("int")
+
+
+def _blocks(rows: DataFrame, n: str, *cols: str) -> DataFrame:
+    """Rows of (group, v, ...), each in one of its group's n blocks, to (group, i, j, cols) for every two blocks i <= j."""
+    one = rows.withColumn("_b", _block("v", F.col(n))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)))
+    return one.select("group", F.least("_b", "_j").alias("i"), F.greatest("_b", "_j").alias("j"), *cols)
+
+
+def _dealt(rows: DataFrame, n_bytes: float) -> DataFrame:
+    return C.sized(rows.repartition("group", "i", "j"), n_bytes, 8, 4 << 20).sortWithinPartitions("group", "i", "j")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(_k, _t, class_id, has_words) for each row of docs: its near-duplicate class, named by the class's least doc_id.
+    """(_k, _id, class_id, has_words) for each row of docs: its near-duplicate class, named by the class's least doc_id.
 
     Texts are sets of 5-word shingles (lower case, split at white space) weighted by their counts. Texts are linked if
-    their probability Jaccard similarity is 0.8 or more, and linked texts share a class. Equal texts are one vertex, so
-    copies cost nothing. Each vertex is first compared with one other, the least it shares a bucket of equal band hashes
-    with. Where that leaves a bucket in several classes, the sketches (a byte of each register) of its members are
-    compared in blocks, and members with close sketches form families; the texts of a family are then compared in
-    blocks, each block giving a spanning forest of its links. No pairs are listed, no task gets more than two blocks, and
-    no link between texts that meet in a bucket is lost.
+    their probability Jaccard similarity is 0.8 or more, and linked texts share a class. Equal texts (by the 128 bits of
+    their MD5, _id) are one vertex, so copies cost nothing. Columns of docs other than doc_id and text are not looked at.
+
+    1. Texts that share a bucket of equal band hashes with others form stars: each goes to the least vertex that it
+       shares a bucket with. A star is dealt to blocks of bounded rows and bytes, its centre to all of them, and
+       whatever meets in a block is compared exactly.
+    2. Buckets drop out that are in one component by now or all of whose members met in one block. In those left, the
+       sketches of members in different components are compared, in every two blocks of a bucket; members with close
+       sketches form families, whose texts are compared in the same way.
+    No pairs are listed and no task gets more than two blocks. What is lost: pairs at 0.8 that share no bucket, 1.5e-5 of
+    them, and among those compared by sketches 2e-6 more; the nearer texts are, the fewer.
 
     Null text counts as empty. A text without words is in no class but its own: rows with null or empty texts are never
     duplicates. Short texts have one shingle of all their words. Null ids come last and read as the largest id.
     """
-    keyed = C.row_key(docs).withColumn("_x", F.coalesce(F.col("text"), F.lit("")))
-    signed = keyed.select(F.col("_t").alias("v"), F.col("_x").alias("text")).mapInArrow(_sign, "v long, sketch binary, keys array<long>")
-    signed = C.cut(signed, "sign")
-    slim = C.cut(keyed.select("_k", "_t", F.col("_x").rlike(r"[^\x20\x09-\x0D]").alias("has_words")), "slim")
-    sketches = C.cut(signed.where("sketch is not null").select("v", "sketch").dropDuplicates(["v"]), "sketch")
-    bands = signed.where("keys is not null").select("v", F.explode("keys").alias("key")).distinct()
-    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = C.cut(full.select("key"), "full")
-    order = Window.partitionBy("key").orderBy("v")
-    bands = bands.join(C.side(full, 8), "key", "left_semi").withColumns({"place": F.row_number().over(order) - 1, "leader": F.first("v").over(order)})
-    bands = C.cut(bands, "bands")
-    C.drop_cut(signed)
-    C.release(docs.sparkSession)
-    pairs = C.cut(bands.where("place > 0").groupBy(F.col("v").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
-    sa = sketches.select(F.col("v").alias("a"), F.col("sketch").alias("sa"))
-    sb = sketches.select(F.col("v").alias("b"), F.col("sketch").alias("sb"))
-    close = C.cut(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "close")
-    links = C.cut(_verified(keyed, close), "links")
-    labels = components(links)
-    C.release(docs.sparkSession)
-    now = bands.drop("leader").join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    mixed = C.cut(now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"), "mixed")
-    now = C.cut(now.join(C.side(mixed, 8), "key", "left_semi"), "open").join(sketches, "v")
-    near = C.cut(_blocks(now, "key", "place", SKETCHES, "v", "comp", "sketch").mapInArrow(_families, "a long, b long"), "near")
-    if near.limit(1).count():
-        fam = components(near).withColumnRenamed("id", "v").withColumnRenamed("comp", "fam")
-        fam = fam.withColumn("place", F.row_number().over(Window.partitionBy("fam").orderBy("v")) - 1)
-        fam = C.cut(fam.join(labels.withColumnRenamed("id", "v"), "v", "left").withColumn("comp", F.coalesce("comp", "v")), "fam")
-        texts = keyed.select(F.col("_t").alias("v"), F.col("_x").alias("x")).join(C.side(fam, 40), "v").dropDuplicates(["v"])
-        more = _blocks(texts, "fam", "place", TEXTS, "v", "comp", "x").mapInArrow(_compare, "a long, b long")
-        # links between classes, and the classes' names put together
-        end = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c)
-        a, b = (labels.select(F.col("id").alias(c), F.col("comp").alias(f"_{c}")) for c in "ab")
-        more = C.cut(more, "more")
-        joined = components(more.join(a, "a", "left").join(b, "b", "left").select(end("a"), end("b")))
-        every = labels.unionByName(joined.select("id", F.col("id").alias("comp")).join(labels, "id", "left_anti"))
-        labels = C.cut(every.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("id", F.coalesce("_to", "comp").alias("comp")), "labels")
-    C.release(docs.sparkSession)
-    # vertices without links stand for themselves
-    slim = slim.join(labels.withColumnRenamed("id", "_t"), "_t", "left").withColumn("comp", F.coalesce("comp", "_t"))
-    names = C.cut(slim.where("has_words").groupBy("comp").agg(F.min("_k").alias("class_id")), "names")
-    out = slim.join(names, "comp", "left").withColumn("class_id", F.when(F.col("has_words"), F.col("class_id")).otherwise(F.col("_k")))
-    return C.cut(out.select("_k", "_t", "class_id", "has_words"), "class")
-
-
-def _verified(keyed: DataFrame, close: DataFrame) -> DataFrame:
-    """The pairs of close (a, b) whose texts are alike."""
-    need = C.cut(close.select(F.col("a").alias("v")).unionByName(close.select(F.col("b").alias("v"))).distinct(), "need")
-    texts = keyed.select(F.col("_t").alias("v"), F.col("_x").alias("x")).join(C.side(need, 8), "v", "left_semi").dropDuplicates(["v"])
-    ta = texts.select(F.col("v").alias("a"), F.col("x").alias("ta"))
-    tb = texts.select(F.col("v").alias("b"), F.col("x").alias("tb"))
-    return close.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
+    spark, bag = docs.sparkSession, []
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        return C.cut(df, name, bag)
+
+    x = F.coalesce(F.col("text"), F.lit(""))
+    rows = C.prepared(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("k"), F.unhex(F.md5(x)).alias("id"), F.octet_length(x).alias("n_bytes"), x.alias("text"))
+    signed = cut(rows.mapInArrow(_sign, "k long, id binary, n_bytes int, sketch binary, keys array<long>"), "sign")
+    vertex = signed.where("sketch is not null").groupBy("id").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first(F.struct("sketch", "keys")).alias("s"))
+    n = signed.count()
+    vertex = C.sized(vertex, 400 * n)
+    vertex = cut(vertex.select(F.monotonically_increasing_id().alias("v"), "id", "k", "copies", "n_bytes", "s.*"), "vertex")
+    bands = vertex.select("v", "n_bytes", F.explode("keys").alias("key"))
+    full = bands.groupBy("key").agg(F.min("v").alias("leader"), F.max("v").alias("last")).where("leader < last").select("key", "leader")
+    bands = cut(bands.join(C.side(cut(C.sized(full, 16 * BANDS * n / 2), "full"), 16), "key"), "bands")
+    bands = C.compact(bands, 28)
+    C.release(spark)
+    # stars
+    star = bands.groupBy("v").agg(F.min("leader").alias("group"), F.first("n_bytes").alias("n_bytes"))
+    star = C.compact(cut(star, "star"), 20)
+    size = star.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("n_bytes") / TEXT_BYTES)).alias("n"))
+    star = C.compact(cut(star.join(size, "group").select("v", "group", "n", _block("v", F.col("n")).alias("i")), "star"), 28)
+    centre = star.select(F.col("group").alias("v"), "group", "n").distinct().select("v", "group", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i"))
+    member = cut(star.where("v <> group").select("v", "group", "i").unionByName(centre), "member")
+    need = cut(vertex.join(C.side(star.select("v"), 8), "v", "left_semi").select("v", "id", "n_bytes"), "need")
+    texts = rows.select("id", "text").join(C.side(need.select("v", "id"), 24), "id").dropDuplicates(["v"]).select("v", F.col("text").alias("x"))
+    of = need.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
+    wide = (of[0] or 0) + 64 * of[1]
+    texts = cut(C.sized(texts, wide, 2), "texts")
+    met = texts.join(C.side(member, 20), "v").select("group", "i", F.lit(0).alias("j"), "v", F.col("v").alias("comp"), "x")
+    links = cut(_dealt(met, 2 * wide).mapInArrow(_compare, "a long, b long"), "links")
+    labels = components(links, bag)
+    # buckets that are still open
+    now = bands.select("key", "v", "leader").join(C.side(labels.withColumnRenamed("id", "v"), 16), "v", "left").join(C.side(star, 28), "v")
+    now = cut(now.select("key", "v", "leader", F.coalesce("comp", "v").alias("comp"), "group", "i"), "now")
+    head, tail = F.col("v") == F.col("leader"), F.col("v") != F.col("leader")
+    sums = {n: f(F.when(w, F.col(c))) for n, f, w, c in (("g0", F.min, tail, "group"), ("g1", F.max, tail, "group"), ("i0", F.min, tail, "i"), ("i1", F.max, tail, "i"), ("hg", F.min, head, "group"), ("hi", F.min, head, "i"))}
+    per = C.compact(now, 44).groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("leader").alias("l"), F.count(F.lit(1)).alias("m"), *(c.alias(n) for n, c in sums.items()))
+    settled = F.expr("c0 = c1 or g0 = g1 and i0 = i1 and (g0 = l or g0 = hg and i0 = hi)")
+    mixed = cut(per.where(~settled).select(F.col("key").alias("group"), F.ceil(F.col("m") / SKETCHES).alias("n")), "mixed")
+    if not mixed.isEmpty():
+        open_ = now.select(F.col("key").alias("group"), "v", "comp").join(C.side(mixed, 16), "group").join(vertex.select("v", "sketch"), "v")
+        copies = 200 * (mixed.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) * SKETCHES
+        close = cut(_dealt(_blocks(open_, "n", "v", "comp", "sketch"), copies).mapInArrow(_families, "a long, b long"), "near")
+        fam = components(close, bag).select(F.col("id").alias("v"), F.col("comp").alias("group"))
+        fam = fam.join(vertex.select("v", "n_bytes"), "v").join(C.side(labels.withColumnRenamed("id", "v"), 16), "v", "left").select("v", "group", "n_bytes", F.coalesce("comp", "v").alias("comp"))
+        fam = C.compact(cut(fam, "fam"), 28)
+        size = fam.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("n_bytes") / TEXT_BYTES)).alias("n"))
+        fam = cut(fam.join(size, "group").select("v", "group", "comp", "n"), "fam")
+        copies = (wide / max(1, of[1])) * (fam.agg(F.sum("n")).first()[0] or 0)
+        pairs = _dealt(_blocks(texts.join(C.side(fam, 32), "v"), "n", "v", "comp", "x"), copies)
+        more = cut(pairs.mapInArrow(_compare, "a long, b long"), "more")
+        labels = components(links.unionByName(more), bag)
+    # the classes' names; texts of one row without links keep theirs
+    linked = labels.join(vertex.select(F.col("v").alias("id"), F.col("id").alias("name"), "k"), "id")
+    linked = cut(linked.select("comp", "name", "k"), "linked")
+    least = linked.groupBy("comp").agg(F.min("k").alias("class_id"))
+    named = C.side(cut(linked.join(least, "comp").select(F.col("name").alias("id"), "class_id"), "named"), 24)
+    lone = vertex.where("copies > 1").select("id", F.col("k").alias("class_id")).join(named, "id", "left_anti")
+    named = cut(lone.unionByName(named), "named")
+    out = signed.join(C.side(named, 24), "id", "left")
+    out = out.select(F.col("k").alias("_k"), F.col("id").alias("_id"), F.coalesce("class_id", "k").alias("class_id"), F.col("sketch").isNotNull().alias("has_words"))
+    out = C.cut(out, "class")
+    C.drop_bag(spark, bag)
+    C.release(spark)
+    return out
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,11 +314,13 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the least id; documents without words stay."""
+    """Of each class the document with the least id (of those, the least text by MD5); documents without words stay."""
     classes = near_classes(docs)
     stay = classes.where((F.col("class_id") == F.col("_k")) | ~F.col("has_words"))
-    stay = C.cut(stay.groupBy("_k").agg(F.min("_t").alias("_t")).unionByName(stay.where("not has_words").select("_k", "_t")).distinct(), "stay")
-    out = C.row_key(docs).join(C.side(stay, 24), ["_k", "_t"], "left_semi")
+    first = stay.where("has_words").groupBy("_k").agg(F.min("_id").alias("_id"))
+    stay = C.cut(first.unionByName(stay.where("not has_words").select("_k", "_id").distinct()), "stay")
+    held = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("_k"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("_id"))
+    out = held.join(C.side(stay, 32), ["_k", "_id"], "left_semi")
     # rows equal in id and text are copies too
-    twice = out.groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return (out.dropDuplicates(["_k", "_t"]) if twice else out).select(*docs.columns)
+    twice = out.groupBy("_k", "_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return (out.dropDuplicates(["_k", "_id"]) if twice else out).select("_row.*")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 U = np.uint64
 BASE, STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
@@ -87,18 +88,75 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text's index, hash) of each word: lower-cased, split at ASCII white space."""
+def split_words(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, text's index, start and end of each word): lower-cased, split at ASCII white space."""
     raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    solid = ~_SPACE[data]
+    data = b" ".join(raw) + b" "
+    solid = ~_SPACE[np.frombuffer(data, np.uint8)]
     edge = np.diff(solid.astype(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if len(start) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    doc = np.searchsorted(np.cumsum(lengths), start, side="right")
-    return doc, part_hash(prefix_hash(data), start, end)
+    return data, np.searchsorted(np.cumsum(lengths), start, side="right"), start, end
+
+
+def cells(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each part data[start:end], a part with each number): parts share a number only if all bytes are equal.
+
+    Parts come in order and do not overlap.
+    """
+    bounds = np.empty(2 * len(start) + 1, np.int64)
+    bounds[:-1:2], bounds[1::2] = start, end
+    bounds[-1] = end[-1] if len(end) else 0
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+    found = every.take(pa.array(np.arange(0, 2 * len(start), 2))).dictionary_encode()
+    number = found.indices.to_numpy()
+    one = np.empty(len(found.dictionary), np.int64)
+    one[number[::-1]] = np.arange(len(start) - 1, -1, -1)
+    return number, one
+
+
+def byte_hash(data: bytes, start: np.ndarray, end: np.ndarray, most: int = 64) -> np.ndarray:
+    """Hashes of the parts data[start:end]: eight bytes at a time through mix(); parts over `most` bytes by xxHash."""
+    size = end - start
+    padded = data + bytes(8)
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    h = mix(size.astype(U) * U(STEP) + U(BASE))
+    at = np.arange(len(start))
+    for done in range(0, min(most, int(size.max(initial=0))), 8):
+        at = at[size[at] > done] if done else at
+        left = np.minimum(size[at] - done, 8).astype(U)
+        h[at] = mix(h[at] ^ ((eight[start[at] + done] << (U(64) - left * U(8))) * U(BASE)))
+    for i in np.flatnonzero(size > most).tolist():
+        h[i] = xxh3_64_intdigest(data[start[i] : end[i]])
+    return h
+
+
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text's index, hash) of each word, see split_words()."""
+    data, doc, start, end = split_words(texts)
+    return doc, byte_hash(data, start, end)
+
+
+def exact_shingles(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As shingles(), but with numbers that are equal only for equal runs of words among these texts, instead of hashes."""
+    data, doc, start, end = split_words(texts)
+    w, kinds = cells(data, start, end)
+    w, n, m = w.astype(np.int64), len(texts), len(kinds) + 1
+    first = np.searchsorted(doc, np.arange(n + 1))
+    size = np.diff(first)
+    at = np.arange(len(w))
+    left = first[doc + 1] - at if len(w) else at
+    # runs are named word by word: (name of what went before, next word) gets a new name; 0 stands for no word
+    own = (left >= k) | ((at == first[doc]) if len(w) else False)
+    at = at[own]
+    name = np.zeros(len(at), np.int64)
+    for j in range(k):
+        there = j < np.minimum(left[at], size[doc[at]] if len(w) else 0)
+        word = np.where(there, w[np.minimum(at + j, max(len(w) - 1, 0))] + 1 if len(w) else 0, 0)
+        name = np.unique(name * m + word, return_inverse=True)[1].astype(np.int64)
+    total = int(name.max(initial=-1)) + 1
+    both, count = np.unique(doc[at] * max(total, 1) + name, return_counts=True)
+    return np.searchsorted(both, np.arange(n + 1) * max(total, 1)), both % max(total, 1), count
 
 
 def shingles(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

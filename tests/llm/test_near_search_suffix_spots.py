@@ -6,7 +6,7 @@ import pytest
 
 from patchloom.llm import lsh_search, near_dedup, spot_signatures, suffix_dedup
 from patchloom.llm.components import components
-from patchloom.llm.shingles import shingles
+from patchloom.llm.shingles import exact_shingles, shingles
 
 
 def words(rng, n, prefix="w"):
@@ -50,6 +50,57 @@ def test_near_classes_equal_brute_force(spark, monkeypatch):
     assert {r["_k"]: r["class_id"] for r in got} == classes(texts)
 
 
+def thue_morse(n, swap=False):
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(n))
+
+
+def test_words_are_told_apart(spark):
+    """Polynomials modulo 2 ** 64 give these two words one value; hashes and comparisons must not."""
+    a, b = thue_morse(2048), thue_morse(2048, True)
+    _, h, _ = shingles([a, b])
+    assert h[0] != h[1]
+    assert near_dedup.alike([a, b, a], np.arange(3))[0].tolist() == [0]
+    first, names, count = exact_shingles(["a b c d e f a b c d e", "A b c d e", "x", "", None, a, b])
+    assert first.tolist() == [0, 6, 7, 8, 8, 8, 9, 10] and count.tolist() == [2, 1, 1, 1, 1, 1, 1, 1, 1, 1]
+    assert names[0] == names[6] and len(set(names[6:].tolist())) == 4
+
+
+def test_large_family_equals_brute_force(spark):
+    """3000 near copies of one short text, many of them less than 0.8 alike, and as many blocks as the defaults give."""
+    rng = random.Random(7)
+    base, docs = words(rng, 60), []
+    for _ in range(3000):
+        t = list(base)
+        for _ in range(rng.randrange(6)):
+            t[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        docs.append(t)
+    sets = [{tuple(t[i : i + 5]) for i in range(56)} for t in docs]
+    index = {}
+    column = np.array([index.setdefault(s, len(index)) for x in sets for s in x])
+    row = np.repeat(np.arange(3000), [len(x) for x in sets])
+    size = np.bincount(row)
+    common = np.zeros((3000, 3000), np.float32)
+    for c in range(0, len(index), 4096):
+        m = np.zeros((3000, 4096), np.float32)
+        here = (column >= c) & (column < c + 4096)
+        m[row[here], column[here] - c] = 1
+        common += m @ m.T
+    near = common / (size[:, None] + size[None, :] - common) >= 0.8 - 1e-6
+    label = np.arange(3000)
+    while ((new := np.array([label[r].min() for r in near])) != label).any():
+        label = new
+    got = near_dedup.near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string"))
+    assert {r["_k"]: r["class_id"] for r in got.collect()} == dict(enumerate(label.tolist()))
+
+
+def test_near_classes_ignore_clashing_columns(spark):
+    t = " ".join(words(random.Random(3), 60))
+    docs = spark.createDataFrame([(1, t, "mine", "a"), (2, t, "x", "b"), (2, t, "x", "b"), (None, t, "y", "c")], "doc_id long, text string, _k string, class_id string")
+    assert sorted((r["_k"], r["class_id"]) for r in near_dedup.near_classes(docs).collect()) == [(1, 1), (2, 1), (2, 1), ((1 << 63) - 1, 1)]
+    out = near_dedup.stage(spark, docs, "")
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, t, "mine", "a")]
+
+
 def test_likeness_and_estimate():
     a, b = (np.array([1, 2, 3], np.uint64), np.array([1, 1, 2])), (np.array([2, 3, 4], np.uint64), np.array([1, 4, 1]))
     want = 0.0
@@ -71,10 +122,14 @@ def test_stage_keeps_one_of_a_class(spark):
     assert near_dedup.near_classes(docs.limit(0)).count() == 0
 
 
-def test_components(spark):
-    links = spark.createDataFrame([(5, 9), (9, 2), (7, 7), (None, 3), (11, 12), (2, 5)] + [(i, i + 1) for i in range(100, 140)], "a long, b long")
+@pytest.mark.parametrize("finish", [1 << 20, 4, 0])
+def test_components(spark, monkeypatch, finish):
+    from patchloom.llm import components as module
+
+    monkeypatch.setattr(module, "FINISH", finish)
+    links = spark.createDataFrame([(5, 9), (9, 2), (7, 7), (None, 3), (11, 12), (2, 5)] + [(i, i + 1) for i in range(100, 112)], "a long, b long")
     got = {r["id"]: r["comp"] for r in components(links).collect()}
-    assert got == {2: 2, 5: 2, 9: 2, 11: 11, 12: 11} | {i: 100 for i in range(100, 141)}
+    assert got == {2: 2, 5: 2, 9: 2, 11: 11, 12: 11} | {i: 100 for i in range(100, 113)}
 
 
 def test_search_equals_brute_force_where_it_must(spark):
