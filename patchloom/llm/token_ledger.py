@@ -128,7 +128,7 @@ def op8_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     takes the documents of odd id away and one brings them back, one revises every language to lower case, and two are
     sent again. The totals are those of all rows of the table."""
     docs = prepared(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    n = C.cut(counted(docs.select(F.col("doc_id").cast("long").alias("_k"), "source", "lang", "text")), "counts")
+    n = C.cut(counted(docs.select(F.col("doc_id").cast("long").alias("_k"), "source", "lang", "text")), "counts", bag := [])
     each = F.explode(F.array(F.struct(F.lit(WORDS).alias("version"), F.col("n_words").alias("n_tokens")), F.struct(F.lit(PIECES).alias("version"), F.col("n_pieces").alias("n_tokens"))))
     rows = n.select("_k", "source", "lang", each.alias("v")).select("_k", "source", "lang", "v.*")
     ledger = TokenLedger(spark, f"{C.shared_dir(spark)}/patchloom/ledger-{uuid.uuid4().hex}")
@@ -139,4 +139,5 @@ def op8_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     revised = rows.withColumns({**old, "kind": F.lit("revise")}).withColumn("lang", F.lower("lang"))
     for batch, changes in (("load", load), ("taken", taken), ("taken", taken), ("back", back), ("languages", revised), ("load", load)):
         ledger.commit(batch, changes)
+    C.drop_bag(spark, bag)
     return ledger.totals()
