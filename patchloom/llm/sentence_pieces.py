@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm.near_dedup import _unit
-from patchloom.llm.shingles import U, column_parts, mix, part_hash, prefix_hash, tidy
+from patchloom.llm.shingles import STEP, U, cells, column_parts, mix, part_hash, prefix_hash, tidy
 from patchloom.session import prepared
 
 MODEL = "piece_bpe_32k.model"
@@ -67,8 +67,10 @@ class Pieces:
             raise ValueError("line feeds are pieces of this model")
         if sp.decode(sp.encode(" a  ﬁ　b ")) != " a  ﬁ　b ":
             raise ValueError("this model changes texts before it encodes them")
+        self.raw_size = np.fromiter(map(len, self.raw), np.int64, n)
+        self.raw_bytes = pa.array(self.raw, pa.large_binary())
         ids = np.flatnonzero(plain)
-        self.tables = []
+        self.tables, self.spelt = [], []
         codes = [np.frombuffer(text[i].encode("utf-32-le"), np.uint32) for i in ids]
         # a text splits between characters that are neighbours in no piece
         self.joined = np.zeros(1 << 18, bool)
@@ -81,6 +83,9 @@ class Pieces:
             order = np.argsort(h)
             seen = np.zeros(1 << 17, bool)
             seen[(h >> U(47)).astype(np.int64)] = True
+            if (np.diff(h[order]) == 0).any():
+                raise ValueError("two pieces of this model share a hash")
+            self.spelt.append(np.array([codes[mine[o]] for o in order], np.uint32).reshape(-1, size))
             self.tables.append((h[order], ids[np.array(mine, np.int64)][order] if mine else np.zeros(0, np.int64), seen))
 
     @staticmethod
@@ -88,14 +93,18 @@ class Pieces:
         """A place in a table for two characters; pairs that share one are only kept together more often."""
         return ((x.astype(np.uint32) * np.uint32(0x9E3779B1) ^ y.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(14)
 
-    def lookup(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(where, id) of the hashes that are pieces of this size."""
+    def lookup(self, h: np.ndarray, size: int, code: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where, id) of the parts of code, from start on with these hashes, that are pieces of this size."""
         table, ids, seen = self.tables[size - 1]
         if not len(table):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.flatnonzero(seen[(h >> U(47)).astype(np.int64)])
         place = np.minimum(np.searchsorted(table, h[at]), len(table) - 1)
         ok = table[place] == h[at]
+        at, place = at[ok], place[ok]
+        ok = np.ones(len(at), bool)
+        for j in range(size):  # a piece is its characters, not a hash
+            ok &= code[start[at] + j] == self.spelt[size - 1][place, j]
         return at[ok], ids[place[ok]]
 
 
@@ -128,15 +137,11 @@ class Batch:
         end = np.append(start[1:], n)
         self.doc_first = np.searchsorted(start, np.concatenate([[0], ends]))
         self.doc_first[-1] = len(start)
-        h = prefix_hash(code)
-        wide = part_hash(h, start, end)
-        self.word, kinds = pd.factorize(wide)
-        one = np.empty(len(kinds), np.int64)
-        one[self.word[::-1]] = np.arange(len(wide) - 1, -1, -1)
-        if ((end - start)[one][self.word] != end - start).any() or (code[start[one]][self.word] != code[start]).any():
-            raise RuntimeError("two words share a hash")
+        self.word, one = cells(code.tobytes(), 4 * start, 4 * end)
+        self.word = self.word.astype(np.int64)
+        size = (end - start)[one]
         start = start[one]
-        self.size = size = end[one] - start
+        self.size = size
         self.base = np.concatenate([[0], np.cumsum(size)])
         total = int(self.base[-1])
         word = np.repeat(np.arange(len(size)), size)
@@ -154,7 +159,7 @@ class Batch:
         known = np.zeros(total, bool)
         for k in range(min(m.longest, int(size.max())), 0, -1):
             at = np.flatnonzero(left >= k)
-            hit, found = m.lookup(part_hash(h, at, at + k), k)
+            hit, found = m.lookup(part_hash(h, at, at + k), k, code, at)
             src.append(at[hit].astype(np.int32))
             width.append(np.full(len(hit), k, np.int32))
             ids.append(found.astype(np.int32))
@@ -190,19 +195,20 @@ class Batch:
         self.width, self.ids, self.prob = width, ids, prob
         self.state = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=total))])
         self.cum = np.concatenate([[0.0], np.cumsum(self.prob)])
+        self.logp = np.log(self.prob)
         self.mass = mass
 
-    def sample(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One segmentation of each word, drawn by its key: (word's index, edge) in order of words, and log-probabilities."""
+    def sample(self, active: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One segmentation of each active word, drawn by its key: edges in order of words, where each word's begin, and
+        log-probabilities; none and 0 for other words."""
         n = len(self.word)
-        active = np.arange(n)
-        at = self.base[self.word]
-        stop = self.base[self.word + 1]
-        whos, edges = [], []
+        at = self.base[self.word[active]]
+        stop = self.base[self.word[active] + 1]
+        whos, edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         logp = np.zeros(n)
         state = key
         while len(active):
-            state = mix(state + U(0x9E3779B97F4A7C15))
+            state = state * U(0x5851F42D4C957F2D) + U(0x14057B7EF767814F)
             lo, hi = self.state[at], self.state[at + 1]
             c = self.cum[lo]
             aim = c + _unit(state) * (self.cum[hi] - c)
@@ -213,30 +219,43 @@ class Batch:
                 on = on[(self.cum[e[on] + 1] <= aim[on]) & (e[on] < hi[on] - 1)]
             whos.append(active)
             edges.append(e)
-            logp[active] += np.log(self.prob[e])
+            logp[active] += self.logp[e]
             at = at + self.width[e]
             go = at < stop
             active, at, stop, state = active[go], at[go], stop[go], state[go]
         who, edge = np.concatenate(whos), np.concatenate(edges)
-        order = np.argsort(who, kind="stable")
-        return who[order], edge[order], logp
+        start = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))])
+        # a word's edges were found in order: each goes to its word's begin and its own number there
+        place = np.concatenate([np.full(len(w), i) for i, w in enumerate(whos)])
+        out = np.empty(len(who), np.int64)
+        out[start[who] + place - 1] = edge
+        return out, start, logp
 
     def other(self, w: int, seen: list[tuple[int, ...]], unit: Iterator[float]) -> tuple[int, ...]:
-        """A segmentation (edges) of distinct word w other than those seen, drawn from what is left of its distribution."""
+        """A segmentation (edges) of distinct word w other than those seen, drawn from what is left of its distribution.
+
+        There must be one. Where what is left is too little to be told from rounding, edges that lead to it keep a trace
+        of their probability, and others, by a count of segmentations, none.
+        """
         path: list[int] = []
         # what each known segmentation still has to go through, as a probability
         rest = [np.append(np.cumprod(self.prob[list(s)][::-1])[::-1], 1.0) for s in seen]
         alive = list(range(len(seen)))
         at, stop = int(self.base[w]), int(self.base[w + 1])
+        ways = self.ways(w, len(seen) + 1)
         while at < stop:
             lo, hi, i = int(self.state[at]), int(self.state[at + 1]), len(path)
-            open_ = [float(self.prob[e]) * max(0.0, 1.0 - sum(float(rest[q][i + 1]) for q in alive if seen[q][i] == e)) for e in range(lo, hi)]
-            total = sum(open_)
-            if total <= 1e-15:
-                open_, total = [float(self.prob[e]) for e in range(lo, hi)], 1.0
-            u, k = next(unit) * total, 0
-            while k < hi - lo - 1 and (u := u - open_[k]) >= 0:
+            open_ = []
+            for e in range(lo, hi):
+                on = [q for q in alive if seen[q][i] == e]
+                left = 1.0 - sum(float(rest[q][i + 1]) for q in on) if on else 1.0
+                some = len(on) < ways[at + int(self.width[e])]
+                open_.append(float(self.prob[e]) * max(1e-15, left) if some else 0.0)
+            u, k = next(unit) * sum(open_), 0
+            while k < hi - lo - 1 and ((u := u - open_[k]) >= 0 or not open_[k]):
                 k += 1
+            while not open_[k]:  # the last edges may be closed
+                k -= 1
             path.append(lo + k)
             alive = [q for q in alive if seen[q][i] == lo + k]
             at += int(self.width[lo + k])
@@ -249,12 +268,12 @@ class Batch:
             out *= float(self.prob[e])
         return out
 
-    def count(self, w: int, limit: int) -> int:
-        """How many segmentations distinct word w has, up to a limit."""
+    def ways(self, w: int, limit: int) -> dict[int, int]:
+        """How many segmentations distinct word w has from each place on, up to a limit."""
         ways = {int(self.base[w + 1]): 1}
         for at in range(int(self.base[w + 1]) - 1, int(self.base[w]) - 1, -1):
             ways[at] = min(limit, sum(ways[at + int(self.width[e])] for e in range(int(self.state[at]), int(self.state[at + 1]))))
-        return ways[int(self.base[w])]
+        return ways
 
     def to_ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of edges, those of characters' bytes spelt out."""
@@ -303,6 +322,24 @@ def spell(model: Pieces, ids: np.ndarray) -> bytes:
     return b"".join(map(model.raw.__getitem__, ids.tolist()))
 
 
+def spells(model: Pieces, flat: np.ndarray, size: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """Whether each run of `size` piece ids, one after another in flat, spells the bytes it should."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    total = np.concatenate([[0], np.cumsum(model.raw_size[flat])])
+    ok = total[ends[1:]] - total[ends[:-1]] == np.fromiter(map(len, raw), np.int64, len(raw))
+    if not ok.all():
+        flat = flat[np.repeat(ok, size)]
+    want = np.frombuffer(b"".join(r for r, o in zip(raw, ok.tolist(), strict=True) if o), np.uint8)
+    if len(want):
+        got = np.frombuffer(model.raw_bytes.take(pa.array(flat)).buffers()[2], np.uint8, len(want))
+        off = np.flatnonzero(got != want)
+        if len(off):
+            at = np.flatnonzero(ok)
+            last = np.cumsum([len(raw[i]) for i in at.tolist()])
+            ok[at[np.searchsorted(last, off, side="right")]] = False
+    return ok
+
+
 def sample(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int = SAMPLES, batch: Batch | None = None) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k distinct segmentations: (ids, log-probability, perturbed score, log inclusion score).
 
@@ -325,68 +362,66 @@ def sample(model: Pieces, texts: list[str | None], keys: np.ndarray, k: int = SA
         return [[(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
     doc = np.repeat(np.arange(nd), np.diff(first))
     within = (np.arange(n) - first[doc]).astype(U)
-    keys = keys.astype(np.int64).view(U)
-    paths = [b.sample(mix(keys[doc] + mix(within + U(r << 40) + U(1)))) for r in range(k)]
-    spans = [np.searchsorted(p[0], np.arange(n + 1)) for p in paths]
-    key_of = lambda r: mix(keys + U(0xABCD + r))
+    keys = mix(keys.astype(np.int64).view(U))
+    word_keys = keys[doc]
+    drawn = lambda r, at: b.sample(at, mix(word_keys[at] + (within[at] + U((r << 40) + 1)) * U(STEP)))
+    paths = [drawn(0, np.arange(n))]
     single = np.diff(first) == 0
-
-    def frontier(logw: np.ndarray, prefix: np.ndarray, limit: np.ndarray, out: np.ndarray, salt: int) -> np.ndarray:
-        """Scores of the nodes split off a path: logw its words' log-probabilities, out those of other paths' words there."""
-        rest = np.log1p(-np.minimum(np.exp(logw) + out, 1.0))
-        phi = prefix + rest
-        u = _unit(mix(keys[doc] + mix(within + U(salt << 41) + U(3))))
-        with np.errstate(over="ignore", invalid="ignore"):
-            g = phi - np.log(np.exp(phi - limit) - np.log(u))
-        return np.where(rest < np.log(1e-12), -np.inf, g)
-
-    def before(logw: np.ndarray) -> np.ndarray:
-        """Log-probability of a text's words before each word."""
-        c = np.concatenate([[0.0], np.cumsum(logw)])
-        return c[:-1] - c[first[doc]]
-
+    # nodes split off the first paths, for all texts at once
     logw = paths[0][2]
-    root = -np.log(-np.log(_unit(key_of(0))))
-    with np.errstate(divide="ignore"):
-        g0 = frontier(logw, before(logw), root[doc], np.zeros(n), 0)
-    results: list[list] = []
-    for d in range(nd):
+    root = -np.log(-np.log(_unit(mix(keys + U(0xABCD)))))
+    c = np.concatenate([[0.0], np.cumsum(logw)])
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        rest = np.log1p(-np.minimum(np.exp(logw), 1.0))
+        phi = c[:-1] - c[first[doc]] + rest
+        g0 = phi - np.log(np.exp(phi - root[doc]) - np.log(_unit(mix(word_keys - (within + U(3)) * U(STEP)))))
+    g0[rest < np.log(1e-16)] = -np.inf
+    found: list[list] = [[] for _ in texts]
+    nodes: list[list] = [[] for _ in texts]
+    kappa = np.full(nd, -np.inf)
+    for d in np.flatnonzero(~single).tolist():
         a, z = int(first[d]), int(first[d + 1])
-        if single[d]:
-            results.append([(np.zeros(0, np.int32), 0.0, float(root[d]), 0.0)])
-            continue
         # a path: for each word the base sample it comes from, with single words replaced
-        found = [(paths[0][1][spans[0][a] : spans[0][z]], float(logw[a:z].sum()), float(root[d]))]
-        nodes = [dict(g=g0[a:z], path=0, words=logw[a:z], swaps={}, bases=[(0, z - a, 0)], seen={})]
-        kappa = -np.inf
-        for r in range(1, k + 1):
-            best = max(range(len(nodes)), key=lambda i: nodes[i]["g"].max(initial=-np.inf))
-            node = nodes[best]
-            j = int(np.argmax(node["g"])) if len(node["g"]) else 0
-            score = float(node["g"][j]) if len(node["g"]) else -np.inf
-            if r == k or score == -np.inf:
-                kappa = score
-                break
-            found.append(_expand(b, paths, spans, node, nodes, j, r, a, z, score, keys[d]))
-        results.append([(b.to_ids(e), lp, s, _log_inclusion(lp - kappa)) for e, lp, s in found])
-    return results
-
-
-def _word_edges(b: Batch, paths: list, spans: list, node: dict, i: int, a: int) -> tuple[int, ...]:
+        found[d].append((paths[0][0][paths[0][1][a] : paths[0][1][z]], float(logw[a:z].sum()), float(root[d])))
+        nodes[d].append(dict(g=g0[a:z], path=0, words=logw[a:z], swaps={}, bases=[(0, z - a, 0)], seen={}))
+    for r in range(1, k + 1):
+        todo = []
+        for d in np.flatnonzero(~single).tolist():
+            if len(found[d]) < r:
+                continue
+            node = max(nodes[d], key=lambda x: x["g"].max())
+            j = int(np.argmax(node["g"]))
+            kappa[d] = node["g"][j]
+            if r < k and kappa[d] > -np.inf:
+                todo.append((d, node, j))
+        if not todo:
+            continue
+        # words behind the one that differs are drawn afresh
+        at = [np.arange(first[d] + j + 1, first[d + 1]) for d, _, j in todo]
+        paths.append(drawn(r, np.concatenate(at)))
+        for d, node, j in todo:
+            found[d].append(_expand(b, paths, node, nodes[d], j, r, int(first[d]), int(first[d + 1]), float(kappa[d]), keys[d]))
+    return [
+        [(np.zeros(0, np.int32), 0.0, float(root[d]), 0.0)] if single[d] else [(b.to_ids(e), lp, s, _log_inclusion(lp - kappa[d])) for e, lp, s in found[d]]
+        for d in range(nd)
+    ]
+
+
+def _word_edges(paths: list, node: dict, i: int, a: int) -> tuple[int, ...]:
     """Edges of word i of a text on a node's path."""
     if i in node["swaps"]:
         return node["swaps"][i]
     r = next(r for s, e, r in node["bases"] if s <= i < e)
-    return tuple(paths[r][1][spans[r][a + i] : spans[r][a + i + 1]].tolist())
+    return tuple(paths[r][0][paths[r][1][a + i] : paths[r][1][a + i + 1]].tolist())
 
 
-def _expand(b: Batch, paths: list, spans: list, node: dict, nodes: list, j: int, r: int, a: int, z: int, score: float, key: np.uint64) -> tuple[np.ndarray, float, float]:
+def _expand(b: Batch, paths: list, node: dict, nodes: list, j: int, r: int, a: int, z: int, score: float, key: np.uint64) -> tuple[np.ndarray, float, float]:
     """Draws the path that attains the node's maximum, splits the node, and gives the path."""
     count = iter(range(1 << 30))
     seed = int(mix(np.array([int(key) ^ (r << 50)], U))[0])
     unit = (_draw(seed + next(count)) for _ in iter(int, 1))
     w = int(b.word[a + j])
-    mine = _word_edges(b, paths, spans, node, j, a)
+    mine = _word_edges(paths, node, j, a)
     seen = [*node["seen"].get(j, []), mine]
     new = b.other(w, seen, unit)
     lw = float(np.log(b.prob[list(new)]).sum())
@@ -396,27 +431,28 @@ def _expand(b: Batch, paths: list, spans: list, node: dict, nodes: list, j: int,
     # what stays of the node at word j excludes the new segmentation too
     excluded = [*seen, new]
     gone = sum(map(b.chance, excluded))
-    prefix = np.concatenate([[0.0], np.cumsum(words)])[:-1]
     node["g"] = node["g"].copy()
     node["g"][j] = -np.inf
     child = dict(path=r, words=words, swaps=swaps, bases=bases, seen={j: seen})
-    left = np.ones(len(words)) * -np.inf
+    tail = words[j:]
+    prefix = np.concatenate([[words[:j].sum()], tail[:-1]]).cumsum()
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        rest = np.log1p(-np.minimum(np.exp(words), 1.0))
-        rest[:j] = -np.inf
-        rest[j] = np.log(1.0 - gone) if gone < 1.0 - 1e-12 and b.count(w, len(excluded) + 1) > len(excluded) else -np.inf
-        u = _unit(mix(np.arange(len(words)).astype(U) + mix(np.array([int(key) ^ (r << 52)], U)) + U(11)))
+        rest = np.log1p(-np.minimum(np.exp(tail), 1.0))
+        rest[0] = np.log(max(1.0 - gone, 1e-15)) if b.ways(w, len(excluded) + 1)[int(b.base[w])] > len(excluded) else -np.inf
+        u = _unit(mix(np.arange(len(tail)).astype(U) + mix(np.array([int(key) ^ (r << 52)], U)) + U(11)))
         phi = prefix + rest
-        left = np.where(rest > np.log(1e-12), phi - np.log(np.exp(phi - score) - np.log(u)), -np.inf)
-    child["g"] = left
+        left = phi - np.log(np.exp(phi - score) - np.log(u))
+    left[~(rest > np.log(1e-16))] = -np.inf
+    child["g"] = np.full(len(words), -np.inf)
+    child["g"][j:] = left
     nodes.append(child)
     parts = []
     for s, e, q in bases:
         i = s
         for t in sorted(x for x in swaps if s <= x < e):
-            parts += [paths[q][1][spans[q][a + i] : spans[q][a + t]], np.array(swaps[t], np.int64)]
+            parts += [paths[q][0][paths[q][1][a + i] : paths[q][1][a + t]], np.array(swaps[t], np.int64)]
             i = t + 1
-        parts.append(paths[q][1][spans[q][a + i] : spans[q][a + e]])
+        parts.append(paths[q][0][paths[q][1][a + i] : paths[q][1][a + e]])
     return np.concatenate(parts), float(words.sum()), score
 
 
@@ -464,25 +500,23 @@ def encode_documents(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES
             for a, b, part in column_parts(batch.column(names.index("text")), CHUNK):
                 lattice = Batch(m, part)
                 whole, drawn = encode(m, part, lattice), sample(m, part, keys[a:b], samples, lattice)
-                take, rows = [], []
-                for i in range(b - a):
-                    every = [(whole[i], None, None, None), *drawn[i]]
-                    for r, (ids, lp, g, li) in enumerate(every):
-                        take.append(a + i)
-                        rows.append((r, len(ids), lp, g, li, ids))
-                cols = list(zip(*rows, strict=True))
-                arrays = [batch.column(names.index(c)).take(pa.array(take)) for c in own]
-                arrays += [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[2:5])]
+                rows = [(i, r, *x) for i in range(b - a) for r, x in enumerate([(whole[i], None, None, None), *drawn[i]])]
+                of, rank, ids, *score = zip(*rows, strict=True)
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype("<i4", copy=False)
+                take = pa.array(np.array(of) + a)
+                arrays = [batch.column(names.index(c)).take(take) for c in own]
+                arrays += [pa.array(rank, pa.int32()), pa.array(size.astype(np.int32)), *(pa.array(c, pa.float64()) for c in score)]
+                ends = np.concatenate([[0], np.cumsum(size)])
                 if digest:
-                    arrays.append(pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in cols[5]]))
+                    data = memoryview(flat.tobytes())
+                    arrays.append(pa.array([hashlib.sha256(data[4 * s : 4 * e]).hexdigest() for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]))
                     raw = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in part]
-                    arrays.append(pa.array([spell(m, x) == raw[t - a] for t, x in zip(take, cols[5], strict=True)]))
+                    arrays.append(pa.array(spells(m, flat, size, [raw[i] for i in of])))
                 else:
-                    flat = np.concatenate(cols[5]) if cols[5] else np.zeros(0, np.int32)
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in cols[5]])]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(arrays, [*own, *new.names])
-                lattice = whole = drawn = every = rows = cols = arrays = part = None
+                lattice = whole = drawn = rows = ids = flat = arrays = part = None
         tidy()
 
     schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + new.fields)

@@ -247,3 +247,30 @@ def test_declared_language_is_the_primary_subtag(spark):
     tags = {"fil": "fil", "haw-US": "haw", "ast-Latn-ES": "ast", "de-AT": "de", "fi": "fi", "": None}
     pages = spark.createDataFrame([(i, None, f'<html class="x" lang="{t}">text') for i, t in enumerate(tags)], "page_id long, url string, html string")
     assert [r["declared"] for r in language_id.page_rows(pages).orderBy("page_id").collect()] == list(tags.values())
+
+
+def test_words_that_share_a_polynomial_hash_stay_apart():
+    """A text and its complement of two letters, whose polynomials modulo 2 ** 64 agree for any odd base."""
+    m = S.pieces(S.model_path(), S.ALPHA)
+    texts = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(2048)) for k in (0, 1)] * 2
+    assert [x.tolist() for x in S.encode(m, texts)] == m.sp.encode(texts)
+    for text, found in zip(texts, S.sample(m, texts, np.arange(4), 3), strict=True):
+        assert len({x[0].tobytes() for x in found}) == 3 and all(S.decode(m, x[0]) == text for x in found)
+    flat = np.concatenate(S.encode(m, texts))
+    size, raw = np.array([len(x) for x in S.encode(m, texts)]), [(" " + t).encode() for t in texts]
+    assert S.spells(m, flat, size, raw).all()
+    assert S.spells(m, flat, size, [raw[1], raw[1], raw[0], b"x"]).tolist() == [False, True, True, False]
+
+
+def test_all_segmentations_of_short_words_are_distinct():
+    """As many as there are, none twice, however little probability is left."""
+    m = S.pieces(S.model_path(), S.ALPHA)
+    for text in ("ab", "the", "aaa", "thing"):
+        found = S.sample(m, [text], np.array([5]), 400)[0]
+        ways = {x[0].tobytes() for x in found}
+        b = S.Batch(m, [text])
+        total = 1
+        for w in b.word:
+            total *= b.ways(int(w), 10**6)[int(b.base[w])]
+        assert len(ways) == len(found) == min(400, total)
+        assert all(S.decode(m, x[0]) == text for x in found)
