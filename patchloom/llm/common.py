@@ -84,12 +84,14 @@ def compact(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES // 4) ->
     return df.coalesce(1) if small_enough(df, row_bytes, limit) else df
 
 
-def row_key(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Adds _k, the id with null last, and _t, a hash of the text. Rows equal in both are one document."""
-    return prepared(df).withColumns({
-        "_k": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)),
-        "_t": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
-    })
+def identity(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
+    """_k, the id with null last, and _t, a hash of the text. Rows equal in both are one document."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
+
+
+def held(df: DataFrame, *cols: str) -> DataFrame:
+    """(_row, cols, _k, _t): all of df's columns as one, so that no name of theirs meets a name in use here; see identity()."""
+    return prepared(df).select(F.struct("*").alias("_row"), *cols, *identity())
 
 
 def dense_index(df: DataFrame, order: list[Column], rows_per_part: int = 200_000) -> tuple[DataFrame, int]:

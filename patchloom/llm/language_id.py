@@ -19,8 +19,11 @@ BUCKETS = 1 << 15
 SAMPLE = 2000
 #: No language: its text likelihood is even over the buckets.
 UNKNOWN = "und"
-#: A text's likelihood counts as that of so many trigrams at most: neighbouring trigrams repeat each other's evidence.
+#: Neighbouring trigrams repeat each other's evidence: n of them count as n * EVIDENCE / (n + EVIDENCE), so nearly all in
+#: a short text, and ever fewer of further ones. A parameter of the model; README has what other values change.
 EVIDENCE = 150
+#: Second-level labels under which countries register names: a host's domain then has three labels. Fixed values.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "govt", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
 #: Rows of prior weight with which a host leans on its domain, and a domain on all.
 LEAN = 20.0
 #: Log-odds for no language where a text has no letters.
@@ -53,7 +56,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
 
     labelled has text and lang, all values of which are told apart. About `sample` distinct texts of each language are
     drawn by hash and counted once each, however many copies they have; only the table of languages times buckets comes
-    to the driver, 128 KB a language in the model. Rows without text or lang are left out. Without any row left, there is only UNKNOWN.
+    to the driver, a language at a time, 128 KB each in the model. Rows without text or lang are left out. Without any row left, there is only UNKNOWN.
     """
     rows = prepared(labelled).select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = C.cut(rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")), "langs")
@@ -73,14 +76,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
-    found = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique())
-    table = np.full((BUCKETS, len(langs) + 1), -np.log(BUCKETS), np.float32)
-    place = {lang: i for i, lang in enumerate(langs)}
-    for lang, part in found.groupby("lang"):
+    found = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = C.cut(found.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")), "langcounts")
+    logs: dict[str, np.ndarray] = {}
+    for row in found.toLocalIterator():
         counts = np.full(BUCKETS, 0.02)
-        counts[part["bucket"].to_numpy()] += part["n"].to_numpy()
-        table[:, place[lang]] = np.log(counts / counts.sum())
+        counts[np.array(row["b"])] += np.array(row["n"])
+        logs[row["lang"]] = np.log(counts / counts.sum()).astype(np.float32)
+    langs = sorted(logs)
+    table = np.full((BUCKETS, len(langs) + 1), -np.log(BUCKETS), np.float32)
+    for i, lang in enumerate(langs):
+        table[:, i] = logs[lang]
     return [*langs, UNKNOWN], table
 
 
@@ -103,7 +109,7 @@ def text_likelihood(rows: DataFrame, model: tuple[list[str], np.ndarray], text:
                 n = np.diff(first)
                 for i in range(b - a):
                     if n[i] and has_letters(texts[a + i]):
-                        out[a + i] = table[bucket[first[i] : first[i + 1]]].sum(axis=0, dtype=np.float64) * (min(n[i], EVIDENCE) / n[i])
+                        out[a + i] = table[bucket[first[i] : first[i + 1]]].sum(axis=0, dtype=np.float64) * (EVIDENCE / (n[i] + EVIDENCE))
                     else:
                         out[a + i, -1] = NO_LETTERS
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(out), pa.list_(pa.float64()))], [*batch.schema.names, "_ll"])
@@ -132,13 +138,15 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     address suffix under each language; the host's prior over languages. These tables are sums over all rows of the
     text's own posterior, made by grouped aggregations: P(value | language) with one row spread over the values as
     smoothing, and host priors that lean on the domain's, which lean on the overall shares, by LEAN rows each. A row's
-    own share is taken out of its host's and domain's sums before it is judged, so that no row votes for itself.
+    own share is taken out of all these sums before it is judged, so that no row votes for itself there. (A row that was
+    drawn for the text model is one of some SAMPLE texts of its language in it.) Each text is scored once; what follows
+    reads the scores back.
     Accepted is a row whose best language isn't UNKNOWN and has at least min_prob.
 
     Null or missing declared language, suffix or host: that evidence is left out (the prior is then the overall one).
     Null or letterless text: the other evidence decides, against a plus for UNKNOWN. Rows stay as they are, repeated
-    ones too; an empty table gives an empty table. Result columns of the same name are replaced, columns starting with
-    an underscore are this function's own.
+    ones too; an empty table gives an empty table. Result columns of the same name are replaced, others kept whatever
+    their names.
     """
     langs, _ = model
     k = len(langs)
@@ -147,8 +155,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     null = F.lit(None).cast("string")
     pick = {"_d": F.lower(F.col(declared).cast("string")) if declared else null, "_s": F.lower(F.col(suffix).cast("string")) if suffix else null, "_h": F.col(host).cast("string") if host else null}
     pick["_o"] = F.col(domain).cast("string") if domain else null
-    based = rows.withColumns(pick)
-    scored = text_likelihood(based.select("text", "_d", "_s", "_h", "_o"), model).select("_d", "_s", "_h", "_o", _soft(F.col("_ll")).alias("_p"))
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row") if own else F.struct(F.lit(0).alias("_none")).alias("_row")
+    scored = text_likelihood(rows.select(row, "text", *[c.alias(n) for n, c in pick.items()]), model).drop("text")
+    scored = C.cut(scored, "langscores").withColumn("_p", _soft(F.col("_ll")))
     sums = [F.sum(F.col("_p")[i]).alias(f"_{i}") for i in range(k)]
     # one pass: sums by (host, domain, declared, suffix); everything else is a sum of these
     cells = C.cut(scored.groupBy("_h", "_o", "_d", "_s").agg(*sums), "langcells")
@@ -166,25 +175,20 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     base[:-1] = base[:-1] / max(base[:-1].sum(), 1e-12) * (1 - base[-1])
     shares = F.array(*[F.lit(float(x)) for x in base])
 
-    def evidence(col: str, name: str) -> DataFrame:
-        """log P(value | language) for each value that occurs."""
-        t = by(col, name)
-        values = max(1, t.count())
-        col_sums = t.agg(*[F.sum(F.col(name)[i]) for i in range(k)]).first()
-        logs = [F.log((F.col(name)[i] + 1.0 / values) / (F.lit(float(col_sums[i] or 0.0)) + 1.0)) for i in range(k - 1)]
-        # no language says nothing about what is declared: its probability is that over all languages
-        whole = sum(float(x or 0.0) for x in col_sums)
-        logs.append(F.log((F.aggregate(F.col(name), F.lit(0.0), lambda a, x: a + x) + 1.0 / values) / (whole + 1.0)))
-        return t.select(F.col(col).alias(f"{col}_"), F.array(*logs).alias(name))
-
-    out = text_likelihood(based, model)
-    if not keep_text:
-        out = out.drop("text")
-    out = out.withColumn("_p", _soft(F.col("_ll")))
-    zero = F.array(*[F.lit(0.0)] * k)
+    out, zero = scored, F.array(*[F.lit(0.0)] * k)
+    less = lambda a, b: F.greatest(a - b, F.lit(0.0))
+    joint = F.col("_ll")
     for col, name in (("_d", "_ed"), ("_s", "_es")):
-        t = C.cut(evidence(col, name), "langev")
-        out = out.join(C.side(t, 40 + 8 * k), F.col(col) == F.col(f"{col}_"), "left").drop(f"{col}_")
+        t = by(col, name)
+        spread = 1.0 / max(1, t.count())
+        whole = [float(x or 0.0) for x in t.agg(*[F.sum(F.col(name)[i]) for i in range(k)]).first()]
+        out = out.join(C.side(t.withColumnRenamed(col, f"{col}_"), 40 + 8 * k), F.col(col) == F.col(f"{col}_"), "left").drop(f"{col}_")
+        # log P(value | language) without the row itself; no language says nothing about what is declared, its
+        # probability is that over all languages
+        of = F.zip_with(F.zip_with(F.col(name), F.col("_p"), less), F.zip_with(F.array(*map(F.lit, whole)), F.col("_p"), less), lambda a, b: F.log((a + spread) / (b + 1.0)))
+        sum_ = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+        none = F.log((less(sum_(F.col(name)), F.lit(1.0)) + spread) / (F.lit(max(sum(whole) - 1.0, 0.0)) + 1.0))
+        joint = F.zip_with(joint, F.when(F.col(name).isNull(), zero).otherwise(F.concat(F.slice(of, 1, k - 1), F.array(none))), lambda a, b: a + b)
     for col, name in (("_o", "_no"), ("_h", "_nh")):
         t = by(col, name).withColumnRenamed(col, f"{col}_")
         out = out.join(C.side(t, 60 + 8 * k), F.col(col) == F.col(f"{col}_"), "left").drop(f"{col}_")
@@ -196,23 +200,25 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
         return F.transform(F.zip_with(mine, on, lambda a, b: a + b * LEAN), lambda x: x / (size + LEAN))
 
     out = out.withColumn("_po", leant("_no", shares)).withColumn("_ph", leant("_nh", F.col("_po")))
-    joint = F.zip_with(F.col("_ll"), F.col("_ph"), lambda a, b: a + F.log(F.greatest(b, F.lit(1e-12))))
-    for name in ("_ed", "_es"):
-        joint = F.zip_with(joint, F.coalesce(F.col(name), zero), lambda a, b: a + b)
+    joint = F.zip_with(joint, F.col("_ph"), lambda a, b: a + F.log(F.greatest(b, F.lit(1e-12))))
     out = out.withColumn("_post", _soft(joint)).withColumn("lang_prob", F.array_max("_post"))
     out = out.withColumn("detected", F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("_post", F.col("lang_prob")).cast("int")))
-    return out.withColumn("accepted", (F.col("detected") != UNKNOWN) & (F.col("lang_prob") >= min_prob)).select(*own, "detected", "lang_prob", "accepted")
+    return out.withColumn("accepted", (F.col("detected") != UNKNOWN) & (F.col("lang_prob") >= min_prob)).select(*[F.col(f"_row.`{c}`") for c in own], "detected", "lang_prob", "accepted")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
     """(page_id, text, declared, suffix, host, domain) of raw pages: text without markup, the primary subtag of the html
-    element's lang (all before the first hyphen), and parts of the address. The domain is the host's last two labels."""
+    element's lang (all before the first hyphen), and parts of the address. The domain is the host's last two labels, or
+    three where a country registers names under the second (SECOND_LEVEL); an address in numbers is a domain of its own
+    and has no suffix. Null pages and addresses give empty texts and no evidence."""
     html = F.coalesce(F.col("html"), F.lit(""))
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     host = F.when(host != "", host)
     declared = F.substring_index(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z-]+)", 1), "-", 1)
-    return pages.select("page_id", text.alias("text"), F.when(declared != "", declared).alias("declared"), F.element_at(F.split(host, r"\."), -1).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"))
+    numbers = host.rlike(r"^[0-9.]+$|^\[")
+    registered = rf"((?:[^.]+\.(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|[^.]+\.[^.]+))$"
+    return pages.select("page_id", text.alias("text"), F.when(declared != "", declared).alias("declared"), F.when(~numbers, F.element_at(F.split(host, r"\."), -1)).alias("suffix"), host.alias("host"), F.when(numbers, host).otherwise(F.regexp_extract(host, registered, 1)).alias("domain"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
@@ -220,6 +226,11 @@ def document_rows(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"declared": F.col("lang"), "host": F.col("source")})
 
 
+def held_rows(docs: DataFrame) -> DataFrame:
+    """Documents as rows for identify(), with all their columns in one, held, so that none is replaced."""
+    return docs.select(F.struct("*").alias("held"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """identify() over all documents and all pages: one row each, with doc_id or page_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -233,5 +244,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; lang is then the language found."""
-    out = identify(document_rows(docs), fit(docs), suffix=None, keep_text=True).where("accepted")
-    return out.withColumn("lang", F.col("detected")).select(*docs.columns)
+    out = identify(held_rows(docs), fit(docs), suffix=None).where("accepted")
+    return out.select(*[F.col("detected").alias("lang") if c == "lang" else F.col(f"held.`{c}`") for c in docs.columns])

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from patchloom.llm import common as C
 
-#: Lines shorter than this are compared exactly: one edit turns too many of them into each other.
-MIN_NEAR_CHARS = 20
+#: Lines of at least so many characters are compared with near ones: all that are longer than the edit bound.
+MIN_NEAR_CHARS = 2
+#: What the pipeline asks for instead: one edit turns list marks and other very short lines into each other.
+STAGE_NEAR_CHARS = 20
 #: Characters in a segment: only a segment in which two lines can differ emits its deletion variants.
 SEGMENT = 32
 
@@ -94,13 +96,12 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_near_chars: int = MIN_N
 
     Null text: no lines, stays null. Empty text: one blank line. Ties: rows equal in id and text are one document and
     get the same result; null ids come last. Empty tables give empty results. Columns of docs named like the results
-    are replaced, others kept.
+    are replaced, others kept, whatever their names.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    docs = docs.drop("n_lines", "n_removed")
-    own = docs.columns
-    keyed = C.row_key(docs)
+    docs = C.prepared(docs).drop("n_lines", "n_removed")
+    keyed = C.held(docs, "text")
     line, n = F.col("line"), F.col("n")
     ord_ = F.struct("_k", "_t", "pos")
     every = _lines(keyed).withColumn("blank", F.trim(F.translate(line, "\t\r\f\x0b", "    ")) == "").withColumn("n", F.length(line))
@@ -126,7 +127,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_near_chars: int = MIN_N
         "text": F.when(F.col("text").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(F.col("_parts"), i)), "\n")),
     })
     out = out.withColumn("n_lines", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.col("n_lines")))
-    return out.withColumn("n_removed", F.col("n_lines") - F.size(kept)).select(*own, "n_lines", "n_removed")
+    out = out.withColumn("n_removed", F.col("n_lines") - F.size(kept))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns], "n_lines", "n_removed")
 
 
 def _near(keyed: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
@@ -169,11 +171,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated lines taken out; a document none of whose words is left goes, one that had none stays."""
-    out = dedup_lines(docs)
+    own = docs.columns
+    docs = docs.select(F.struct("*").alias("held"), "doc_id", "text")
+    out = dedup_lines(docs, min_near_chars=STAGE_NEAR_CHARS)
     out = out.where((F.col("n_removed") == 0) | F.col("text").isNull() | F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    new = {"text": F.col("text")} | ({"n_chars": size.cast(docs.schema["held"].dataType["n_chars"].dataType)} if "n_chars" in own else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"held.`{c}`") for c in own])
 
 
 #: The same decisions: candidates by equal halves, then every place where the one edit can be.

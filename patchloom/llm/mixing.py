@@ -9,6 +9,8 @@ from patchloom.llm import common as C
 
 #: Fixed by the contract of the query.
 WORD, CYCLE, SHARE, MOST = r"[^\x20\x09-\x0D]+", (5.0, 2.0, 1.0), 1.5, 2.0
+#: Weights are told apart in steps of one in STEPS, from 1 / STEPS to HEAVIEST: so many classes a source at most.
+STEPS, HEAVIEST = 16, 64
 #: Cells of the two radix levels that find the cut within a source.
 CELLS = 1 << 12
 
@@ -51,48 +53,73 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, cycle: t
     return out.select("source", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, cycle: tuple[float, ...] = CYCLE, seed: int = 20, weight: str | None = None) -> DataFrame:
+def size_weight(size) -> F.Column:
+    """The weight that the query gives a document: one more than the binary logarithm of its words, as a whole number."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) + F.lit(1e-9)) + 1
+
+
+def levels(classes: DataFrame, most: float = MOST) -> DataFrame:
+    """(source, _w, _e): the expected copies of a document of each weight, e = min(most, level * weight).
+
+    classes are (source, _w, words, target), a row for each source and weight. The level is the one at which the words
+    expected of all classes come to the source's target: the heaviest classes reach `most` first, and with them taken
+    out the level of the rest follows from two running sums. A source none of whose words has a weight takes none.
+    """
+    heavy = Window.partitionBy("source").orderBy(F.col("_w").desc())
+    every = Window.partitionBy("source")
+    level = F.try_divide(F.col("target") - F.lit(most) * F.coalesce(F.sum("words").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.sum(F.col("words") * F.col("_w")).over(heavy.rowsBetween(0, Window.unboundedFollowing)))
+    out = classes.where("_w > 0").withColumn("_level", level)
+    # the first class, from the heaviest on, that stays below the most
+    out = out.withColumn("_found", F.max(F.when(F.col("_level") * F.col("_w") <= most, F.struct("_w", "_level"))).over(every))
+    e = F.when(F.col("_found").isNull(), F.lit(most)).otherwise(F.least(F.lit(most), F.greatest(F.col("_found._level"), F.lit(0.0)) * F.col("_w")))
+    return out.select("source", "_w", e.cast("double").alias("_e"))
+
+
+def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, cycle: tuple[float, ...] = CYCLE, seed: int = 20, weight: F.Column | str | None = None) -> DataFrame:
     """docs with size, source_size, target, copies, taken: how often the mix takes each document.
 
-    A document's expected number of copies e is its source's target over its size, times its weight over the source's
-    mean weight (by words) where a weight column is given; never above `most`. floor(e) copies are certain. The rest,
-    pi = e - floor(e), is an inclusion probability: documents are ranked by odds(U) / odds(pi), U being a hash of id and
-    source, and taken in that order until the words still open to the source's target are filled (Pareto order sampling;
-    the sample's size in words is fixed up to one document, whose half decides).
+    A document's expected number of copies e is a level of its source times its weight, `most` at most; the level is
+    such that the words expected come to the source's target, see levels(). weight is a column over docs and size, by
+    default 1; it is rounded to steps of 1 / STEPS, is HEAVIEST at most, and takes none where it is 0 or null.
+    floor(e) copies are certain. The rest, pi = e - floor(e), is an inclusion probability: documents are ranked by
+    odds(U) / odds(pi), U being a hash of id and source, and taken in that order until the words still open to the
+    source's target are filled (Pareto order sampling; the sample's size in words is fixed up to one document, whose
+    half decides).
 
     The cut in a source's order is found by two counts over radix cells of the rank and one look at the rows of a
     single cell, so no task gets a whole source. The per-source cuts are broadcast if their number allows.
 
     Nulls: a null text has size 0 and is taken 0 times for want of words; a null source is a source of its own, last
-    in order; null ids are fine. Rows equal in id, source and text share one decision. Empty input gives no rows. Other
-    columns pass through; columns of docs named like the results are replaced.
+    in order; of null ids the text takes the place in the hash. Rows equal in id, source and text share one decision.
+    Empty input gives no rows. Other columns pass through, whatever their names; columns of docs named like the results
+    are replaced.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    own = [c for c in docs.columns]
-    sized = C.row_key(docs).withColumns({
-        "size": word_count(F.col("text")),
-        "_w": F.lit(1.0) if weight is None else F.greatest(F.lit(0.0), F.coalesce(F.col(weight).cast("double"), F.lit(0.0))),
-    })
+    docs = C.prepared(docs).drop("size", "source_size", "target", "copies", "taken")
+    sized = docs.withColumn("size", word_count(F.col("text")))
+    weight = F.col(weight) if isinstance(weight, str) else weight
+    w = F.lit(1.0) if weight is None else F.least(F.lit(float(HEAVIEST)), F.round(F.greatest(F.lit(0.0), F.coalesce(weight.cast("double"), F.lit(0.0))) * STEPS) / STEPS)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = sized.select(own.alias("_row"), "source", "size", w.alias("_w"), *C.identity())
     slim = C.cut(sized.select("_k", "_t", "source", "size", "_w"), "mix")
-    sizes = C.cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, cycle), "mixt")
-    means = slim.groupBy("source").agg((F.sum(F.col("size") * F.col("_w")) / F.sum("size").cast("double")).alias("_mean")) if weight else None
-    plan = sizes.withColumn("_r", F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)))
-    plan = plan.join(means, plan["source"].eqNullSafe(means["source"])).drop(means["source"]) if weight else plan.withColumn("_mean", F.lit(1.0))
-    plan = C.cut(plan, "mixp") if weight else plan
+    classes = C.cut(slim.groupBy("source", "_w").agg(F.sum("size").alias("words")), "mixw")
+    sizes = C.cut(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, cycle), "mixt")
+    by_source = sizes.select(F.col("source").alias("_s"), "target")
+    expected = levels(classes.join(by_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), most)
+    expected = C.cut(expected.select(F.col("source").alias("_sw"), F.col("_w").alias("_ww"), "_e"), "mixe")
 
     def ranked(rows: DataFrame, by: DataFrame) -> DataFrame:
         """rows with the source's plan, certain copies and rank in (0, 1)."""
         by = C.side(by.withColumnRenamed("source", "_source"), 200)
-        e = F.least(F.lit(float(most)), F.coalesce(F.col("_r") * F.try_divide(F.col("_w"), F.col("_mean")), F.lit(0.0)))
-        named = F.concat_ws("|", F.lit(str(seed)), F.when(F.col("_k") != C.NULL_ID, F.col("_k")).cast("string"), "source")
+        of = C.side(expected, 100)
+        named = F.concat_ws("|", F.lit(str(seed)), F.when(F.col("_k") != C.NULL_ID, F.col("_k").cast("string")).otherwise(F.concat(F.lit("null "), F.col("_t"))), "source")
         u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
         odds = F.col("_u") / (1 - F.col("_u"))
         pi = F.least(F.greatest(F.col("_pi"), F.lit(1e-12)), F.lit(1 - 1e-12))
         q = odds / (pi / (1 - pi))
         return (
             rows.join(by, rows["source"].eqNullSafe(by["_source"])).drop("_source")
-            .withColumns({"_e": e, "_u": u})
+            .join(of, F.col("source").eqNullSafe(F.col("_sw")) & (F.col("_w") == F.col("_ww")), "left").drop("_sw", "_ww")
+            .withColumns({"_e": F.coalesce("_e", F.lit(0.0)), "_u": u})
             .withColumn("_sure", F.floor("_e").cast("int"))
             .withColumn("_pi", F.col("_e") - F.col("_sure"))
             .withColumn("_q", F.when(F.col("_pi") > 0, q / (1 + q)).otherwise(F.lit(1.0)))
@@ -100,6 +127,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, cycle: tuple[
             .withColumn("_c2", F.least(F.floor((F.col("_q") * CELLS - F.col("_c1")) * CELLS), F.lit(CELLS - 1)).cast("int"))
         )
 
+    plan = sizes
     r = ranked(slim, plan)
     open_ = F.col("target") - F.col("_sure_words")
 
@@ -146,25 +174,27 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, cycle: tuple[
         ranked(sized, plan)
         .withColumn("copies", F.when(F.col("size") > 0, F.col("_sure") + taken_too.cast("int")).otherwise(F.lit(0)))
         .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .select(*own, "size", "source_size", "target", "copies", "taken")
+        .select("_row.*", "size", "source_size", "target", "copies", "taken")
     )
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mix() over all documents."""
+    """mix() over all documents, weighted by size_weight(): longer ones are likelier, in any source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mix(docs, weight=size_weight(F.col("size"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: each row as often as it is taken; a document without words, which no mix can take, goes."""
-    out = mix(docs)
-    return out.withColumn("_n", F.explode(F.expr("sequence(1, greatest(copies, 1))"))).where("copies > 0").select(*docs.columns)
+    held = docs.select(F.struct("*").alias("held"), "doc_id", "source", "text")
+    out = mix(held, weight=size_weight(F.col("size"))).where("copies > 0")
+    return out.select("held", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("held.*")
 
 
-#: The same sample: targets by the fixed point, ranks from the same hashes, and running sums over whole sources.
+#: The same sample: targets and levels by their fixed points, ranks from the same hashes, and running sums over whole sources.
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
+WITH d0 AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
+d AS (SELECT *, (floor(log2(greatest(size, 1)::double) + 1e-9) + 1)::double AS dw FROM d0),
 s AS (SELECT source, sum(size)::bigint AS ss FROM d GROUP BY source),
 w AS (SELECT source, ss, ([5, 2, 1][(((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3) + 1])::double AS w, 2.0::double * ss AS cap FROM s),
 x AS (SELECT *, cap / w AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
@@ -172,8 +202,13 @@ x AS (SELECT *, cap / w AS ratio, coalesce(sum(cap) OVER (ORDER BY cap / w, sour
 l AS (SELECT *, (every - before) / rest AS level FROM x),
 m AS (SELECT min(struct_pack(a := ratio, b := level)) FILTER (level <= ratio) AS f FROM l),
 t AS (SELECT source AS src, ss, CASE WHEN f IS NULL THEN cap ELSE least(cap, f.b * w) END AS target FROM l, m),
-e AS (SELECT d.*, ss, target, least(2.0::double, CASE WHEN ss = 0 THEN 0 ELSE target / ss END) AS e,
-  (('0x' || substr(md5(concat_ws('|', '20', doc_id::varchar, source)), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double AS u FROM d JOIN t ON src IS NOT DISTINCT FROM source),
+k AS (SELECT source AS ks, dw AS kw, sum(size)::bigint AS words FROM d GROUP BY ALL),
+kl AS (SELECT k.*, (target - 2.0::double * coalesce(sum(words) OVER (PARTITION BY ks ORDER BY kw DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::double)
+  / nullif(sum(words * kw) OVER (PARTITION BY ks ORDER BY kw DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM k JOIN t ON src IS NOT DISTINCT FROM ks),
+kf AS (SELECT *, max(struct_pack(a := kw, b := level)) FILTER (level * kw <= 2.0::double) OVER (PARTITION BY ks) AS f FROM kl),
+ke AS (SELECT ks, kw, CASE WHEN f IS NULL THEN 2.0::double ELSE least(2.0::double, greatest(f.b, 0) * kw) END AS e FROM kf),
+e AS (SELECT d.*, ss, target, ke.e,
+  (('0x' || substr(md5(concat_ws('|', '20', doc_id::varchar, source)), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double AS u FROM d JOIN t ON src IS NOT DISTINCT FROM source JOIN ke ON ks IS NOT DISTINCT FROM source AND kw = dw),
 p AS (SELECT *, floor(e) AS sure, e - floor(e) AS pi, least(greatest(e - floor(e), 1e-12), 1 - 1e-12) AS c FROM e),
 q AS (SELECT *, CASE WHEN pi > 0 THEN (u / (1 - u)) / (c / (1 - c)) END AS q FROM p),
 r AS (SELECT *, target - sum(size * sure) OVER (PARTITION BY source) AS need,

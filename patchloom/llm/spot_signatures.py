@@ -103,7 +103,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     Null text counts as empty. Null ids come last. Rows with one id are ordered by a hash of their texts, and rows equal
     in both are one document and share a result. A single document is its own next. Empty in, empty out.
     """
-    keyed = C.row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("n_chars", F.length("text").cast("long"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *C.identity()).withColumn("n_chars", F.length("text").cast("long"))
     last = F.col("_k") == F.lit(C.NULL_ID)
     index, n = C.dense_index(keyed.select("_k", "_t", "n_chars").distinct(), [last.asc(), F.col("_k").desc(), F.col("_t").asc()])
     index = C.cut(index, "index")

@@ -78,10 +78,11 @@ def anchors(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> tuple[n
     return doc[first], lo - begins[doc[first]], count, g[a].view(np.int64), c.view(np.int64)
 
 
-def ranks(data: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """The rank of each suffix by its first `least` bytes: equal ranks are equal strings, ranks follow byte order.
+def ranks(data: np.ndarray, least: int = LEAST) -> dict[int, np.ndarray]:
+    """The rank of each suffix by its first bytes, for 8, 16, 32 ... and `least` bytes, and its first 8 bytes themselves (1).
 
-    Prefix doubling from 8 bytes; suffixes that end early count as if zero bytes followed.
+    Prefix doubling: equal ranks are equal strings, ranks follow byte order. Suffixes that end early count as if zero
+    bytes followed.
     """
     n = len(data)
     wide = np.zeros(n + 8, U)
@@ -89,36 +90,75 @@ def ranks(data: np.ndarray, least: int = LEAST) -> np.ndarray:
     key = np.zeros(n, U)
     for i in range(8):
         key = (key << U(8)) | wide[i : i + n]
+    out = {1: key}
     _, r = np.unique(key, return_inverse=True)
     size = 8
+    out[size] = r
     while size < least:
         step = min(size, least - size)
         pad = np.full(n, -1, np.int64)
         pad[: n - step] = r[step:]
         _, r = np.unique(r.astype(np.int64) * (n + 1) + pad + 1, return_inverse=True)
         size += step
-    return r
-
+        out[size] = r
+    return out
 
-def previous_factor(rank: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor at each suffix reaches the depth to which the ranks were made.
 
-    The longest previous factor is the longer of the common prefixes with the previous and the next smaller position in
-    suffix order. Suffixes with equal ranks stand in order of position, so among equals the previous smaller position
-    is the neighbour before, and the next smaller one lies outside the equals, where the common prefix is too short.
+def common_prefixes(levels: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each two suffixes how many bytes agree at their begins, up to the depth of ranks()."""
+    least, n = max(levels), len(levels[1])
+    met = np.zeros(len(i), np.int64)
+    for size in sorted((s for s in levels if 8 <= s < least), reverse=True):
+        x, y = i + met, j + met
+        inside = np.maximum(x, y) < n
+        r = levels[size]
+        met += size * (inside & (r[np.minimum(x, n - 1)] == r[np.minimum(y, n - 1)]))
+    x, y = i + met, j + met
+    differ = levels[1][np.minimum(x, n - 1)] ^ levels[1][np.minimum(y, n - 1)]
+    for byte in range(7):
+        met += (differ >> U(56 - 8 * byte)) == 0
+    met += differ == 0
+    return np.where(levels[least][i] == levels[least][j], least, np.minimum(met, least - 1))
+
+
+def longest_previous_factors(pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For suffixes in suffix order, given their positions and common prefixes with the one before: the longest previous
+    factor of each, the longer of its common prefixes with the previous and the next smaller position in suffix order.
+
+    Suffixes leave the order from the largest position on; the neighbours of the one that leaves are then its previous
+    and next smaller positions, and the common prefix of what comes together is the shorter of the two.
     """
-    order = np.lexsort((pos, rank))
-    r, p = rank[order], pos[order]
-    psv = np.zeros(len(order), bool)
-    psv[1:] = (r[1:] == r[:-1]) & (p[1:] > p[:-1])
-    # a position listed twice is one position
-    same = np.zeros(len(order), bool)
-    same[1:] = (r[1:] == r[:-1]) & (p[1:] == p[:-1])
-    for i in np.flatnonzero(same):
-        psv[i] = psv[i - 1]
-    out = np.zeros(len(order), bool)
-    out[order] = psv
-    return out
+    n = len(pos)
+    # the first and the last place hold nothing
+    before, after = list(range(-1, n + 1)), list(range(1, n + 3))
+    lengths, out = [0, *lcp.tolist(), 0], [0] * (n + 2)
+    for k in (np.argsort(-pos, kind="stable") + 1).tolist():
+        p, q = before[k], after[k]
+        x, y = lengths[k], lengths[q]
+        if x > y:
+            out[k], lengths[q] = x, y
+        else:
+            out[k], lengths[q] = y, x
+        after[p], before[q] = q, p
+    return np.array(out[1:-1], np.int64)
+
+
+def previous_factors(levels: dict[int, np.ndarray], at: np.ndarray, group: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The longest previous factor of the suffixes at `at`, among those of their group, by position `pos`; up to the depth
+    of the ranks. A position listed twice is one position."""
+    order = np.lexsort((pos, group))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(group[order]) != 0) | (np.diff(pos[order]) != 0)
+    one, back = order[new], np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    at, group, pos = at[one], group[one], pos[one]
+    order = np.lexsort((pos, levels[max(levels)][at], group))
+    at, group, pos = at[order], group[order], pos[order]
+    lcp = np.zeros(len(at), np.int64)
+    lcp[1:] = np.where(group[1:] == group[:-1], common_prefixes(levels, at[1:], at[:-1]), 0)
+    out = np.empty(len(at), np.int64)
+    out[order] = longest_previous_factors(pos, lcp)
+    return out[back]
 
 
 def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +179,8 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = sizes - LEAST + 1
         row = np.repeat(np.arange(len(rows)), n)
         place = np.arange(int(n.sum())) - (np.cumsum(n) - n)[row]
-        rank = ranks(data)[first[row] + place]
         _, gi = np.unique(groups, return_inverse=True)
-        flag = previous_factor(rank * (len(rows) + 1) + gi[row], begin[row] + place)
+        flag = previous_factors(ranks(data), first[row] + place, gi[row], begin[row] + place) >= LEAST
         # runs end with their row
         cut_ = np.zeros(len(flag) + len(rows), bool)
         cut_[np.arange(len(flag)) + row] = flag
@@ -163,11 +202,11 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
-    """docs with _u, a number in the order of (doc_id, text's hash), and the bits that an offset in a text needs.
+    """(_row, text, _u): docs' columns as one, and a number in the order of (doc_id, text's hash), and the bits that an offset in a text needs.
 
     Where doc_id is unique and not negative and leaves room, it is the number itself; otherwise rows are numbered.
     """
-    keyed = C.row_key(docs, text)
+    keyed = C.prepared(docs).select(F.struct("*").alias("_row"), F.col(text), *C.identity(text))
     s = keyed.agg(F.max(F.octet_length(text)).alias("n"), F.max("_k").alias("hi"), F.min("_k").alias("lo")).first()
     bits = max(1, int(s["n"] or 0).bit_length())
     twice = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").limit(1).count()
@@ -179,7 +218,7 @@ def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(docs with _u, (_u, spans)): for each text the byte spans that are covered by a string of 100 bytes which also
+    """((_row, text, _u), (_u, spans)), _row being docs' columns: for each text the byte spans that are covered by a string of 100 bytes which also
     starts earlier, as an array of [begin, end, begin, end, ...] of maximal runs; texts without any are left out.
 
     1. Each window of 100 bytes is anchored at its gram of least hash. Anchors that occur once can hold no repeat.
@@ -283,20 +322,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep_bytes: bool = False
     docs = docs.drop(*new.names)
     own = [c for c in docs.columns if c != text]
     keyed, spans = repeated_spans(docs, text)
-    joined = keyed.join(spans.hint("shuffle_hash"), "_u", "left").select(*own, F.coalesce(F.col(text), F.lit("")).alias("_x"), F.col("spans").alias("_spans"))
+    joined = keyed.join(spans.hint("shuffle_hash"), "_u", "left").select(*[F.col(f"_row.`{c}`") for c in own], F.coalesce(F.col(text), F.lit("")).alias("_x"), F.col("spans").alias("_spans"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
             out = []
-            for t, s in zip(batch.column(names.index("_x")).to_pylist(), batch.column(names.index("_spans")).to_pylist(), strict=True):
+            for t, s in zip(batch.column(len(own)).to_pylist(), batch.column(len(own) + 1).to_pylist(), strict=True):
                 raw, s = t.encode("utf-8", "surrogatepass"), s or []
                 edges = [0, *s, len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 out.append((len(raw), len(raw) - len(kept), len(s) // 2, hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in own), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))][: len(own) + len(new)], [*own, *new.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))][: len(own) + len(new)], [*own, *new.names])
 
     return joined.mapInArrow(cut_out, T.StructType([f for f in docs.schema.fields if f.name != text] + new.fields))
 

@@ -89,7 +89,7 @@ def materialise(docs: DataFrame, key: int = 4, length: int = LENGTH, per_shard:
     document and then repeated rows share slots, so only one of them is taken. Empty in, empty out. Other columns of
     docs are not used.
     """
-    keyed = C.row_key(docs.select("doc_id", "text")).select("_k", "_t", "text")
+    keyed = C.prepared(docs).select(*C.identity(), "text")
     tokens = C.cut(tokenized(keyed, model), "tokens")
     slim = tokens.where("n_tokens > 0").select("_k", "_t", F.ceil(F.col("n_tokens") / length).cast("long").alias("_s")).dropDuplicates(["_k", "_t"])
     index, n_docs = C.dense_index(slim, [F.col("_k"), F.col("_t")])
