@@ -15,18 +15,33 @@ from pyspark.sql import types as T
 from patchloom.llm import common as C
 from patchloom.session import prepared
 
-#: Tables, hash functions in each, and buckets that a function tells apart: at most TABLES * SLOTS ** FUNCTIONS buckets.
-TABLES, FUNCTIONS, SLOTS = 2, 4, 16
+#: Tables, and buckets of a table at most.
+TABLES, BUCKETS = 2, 1 << 18
 #: Vectors drawn to choose the slots' width and the distances to expect: the only bound on what is looked at.
 SAMPLE = 4000
 #: Estimated probability, over all tables, with which a neighbour at the expected distance is to be met.
 SUCCESS = 0.97
-#: Vectors that one task compares at once.
-BLOCK = 16_000
+#: Vectors that one task compares at once, and queries it compares them with.
+BLOCK, QUERIES = 16_000, 16_000
+#: Powers of two from which on components are scaled down, as squares would leave the range of double precision.
+LARGE = 480
+
+
+def shape(total: int) -> tuple[int, int]:
+    """(functions, slots): hash functions a table and buckets that each tells apart, for so many vectors.
+
+    Four functions up to a hundred thousand vectors and one more for each eight times as many, so that buckets grow much
+    slower than the table; slots are a power of two, as many as BUCKETS allow.
+    """
+    functions = min(9, 4 + max(0, math.floor(math.log(max(total, 1) / 1e5, 8) + 1)))
+    slots = 16
+    while slots**functions > BUCKETS:
+        slots //= 2
+    return functions, slots
 
 
 class Index:
-    """Hash functions floor((a . x + b) / width), clipped to SLOTS slots, over vectors lengthened by one coordinate.
+    """Hash functions floor((a . x + b) / width), clipped to some slots (see shape()), over vectors lengthened by one coordinate.
 
     Largest inner product becomes nearest neighbour: a stored vector gets sqrt(top ** 2 - |x| ** 2) as last coordinate,
     top being the largest norm, a query gets 0. All stored vectors then have one norm, and distance falls with the
@@ -36,11 +51,12 @@ class Index:
     def __init__(self, sample: np.ndarray, top: float, k: int, total: int, seed: int = 6):
         rng = np.random.default_rng(seed)
         dim = sample.shape[1] + 1
+        self.functions, self.slots_ = shape(total)
         self.top = top
-        self.a = rng.standard_normal((TABLES * FUNCTIONS, dim))
+        self.a = rng.standard_normal((TABLES * self.functions, dim))
         spread = float(np.std(self.stored(sample) @ self.a.T, axis=0).mean()) or 1.0
         self.width = spread
-        self.b = rng.uniform(0, self.width, TABLES * FUNCTIONS)
+        self.b = rng.uniform(0, self.width, TABLES * self.functions)
         self.mid = np.floor((self.stored(sample).mean(axis=0) @ self.a.T + self.b) / self.width).astype(np.int64)
         self.k, self.total, self.sample = k, total, sample
 
@@ -49,13 +65,13 @@ class Index:
         return np.hstack([x, last[:, None]])
 
     def slots(self, p: np.ndarray) -> np.ndarray:
-        """Slot numbers 0 to SLOTS - 1 of projected vectors; the outer slots reach to infinity."""
-        return np.clip(np.floor((p + self.b) / self.width).astype(np.int64) - self.mid + SLOTS // 2, 0, SLOTS - 1)
+        """Slot numbers from 0 of projected vectors; the outer slots reach to infinity."""
+        return np.clip(np.floor((p + self.b) / self.width).astype(np.int64) - self.mid + self.slots_ // 2, 0, self.slots_ - 1)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """Bucket number in each table of stored vectors: (n, TABLES)."""
-        s = self.slots(self.stored(x) @ self.a.T).reshape(len(x), TABLES, FUNCTIONS)
-        return (s * SLOTS ** np.arange(FUNCTIONS)).sum(axis=2) + np.arange(TABLES) * SLOTS**FUNCTIONS
+        s = self.slots(self.stored(x) @ self.a.T).reshape(len(x), TABLES, self.functions)
+        return (s * self.slots_ ** np.arange(self.functions)).sum(axis=2) + np.arange(TABLES) * self.slots_**self.functions
 
     def expected(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(share, deviation): where a query's k nearest project to, as a share of its own projection and a spread around it.
@@ -79,7 +95,7 @@ class Index:
         """
         share, r = self.expected(q)
         p = (np.hstack([q, np.zeros((len(q), 1))]) @ self.a.T) * share[:, None]
-        edges = (np.arange(1, SLOTS)[None, :] - SLOTS // 2 + self.mid[:, None]) * self.width - self.b[:, None]
+        edges = (np.arange(1, self.slots_)[None, :] - self.slots_ // 2 + self.mid[:, None]) * self.width - self.b[:, None]
         goal = 1 - (1 - SUCCESS) ** (1 / TABLES)
         out = []
         for i in range(len(q)):
@@ -87,7 +103,7 @@ class Index:
             prob = np.diff(np.hstack([np.zeros((len(cdf), 1)), cdf, np.ones((len(cdf), 1))]), axis=1)
             mine = []
             for t in range(TABLES):
-                mine += self._best_first(prob[t * FUNCTIONS : (t + 1) * FUNCTIONS], goal, t * SLOTS**FUNCTIONS)
+                mine += self._best_first(prob[t * self.functions : (t + 1) * self.functions], goal, t * self.slots_**self.functions)
             out.append(np.array([x for x in mine if occupied[x]], np.int64))
         return out
 
@@ -124,13 +140,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
     """(query_id, rank, vec_id, score): for each query its k nearest rows by inner product, in double precision.
 
     rows and queries have an id and a vector; a query's own id is no answer to it. Ties go to the smaller id. Vectors
-    that are null, empty, zero or hold null or non-finite numbers take no part; nor do rows of another length than
-    most, or with a null id. Rows equal in id and vector are one.
+    that are null, empty, zero or hold null or non-finite numbers take no part, nor do rows with a null id. A query meets
+    rows of its own length; those of another length than most are compared with all of theirs. Rows equal in id and
+    vector are one. Vectors with very large components are scaled by a power of two, and scores back: a score beyond
+    double precision is infinite, but ranks are those of the scaled vectors. Only id and vector are looked at.
 
     1. The hash functions are fitted on a bounded sample. All rows are hashed into TABLES tables; of equal vectors only
        the k + 1 with the least ids are stored, as no other can be among a query's first k.
     2. Buckets are dealt to blocks of about BLOCK vectors; one with more is cut into several. The number of buckets is
        bounded by the parameters, so the plan of blocks fits the driver at any input.
+       Queries are dealt to parts of about QUERIES, and each block meets each part.
     3. A query visits buckets in order of estimated success. It goes to each block that holds one of them, which ranks
        its vectors there exactly; the blocks' best are merged. Every vector of a visited bucket is compared: there is
        no cap on candidates.
@@ -144,12 +163,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
     alike = Window.partitionBy("_h", "_v").orderBy("vec_id")
     base = base.distinct().withColumn("_h", F.xxhash64("_v")).withColumn("_c", F.row_number().over(alike)).where(F.col("_c") <= k + 1).select("vec_id", "_v")
     base = C.cut(base, "vectors")
-    sizes = {r["d"]: r["n"] for r in base.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    most = base.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    if most is None:
         return spark.createDataFrame([], schema)
-    dim = max(sizes, key=lambda d: (sizes[d], d))
-    total = sizes[dim]
-    base, ask = base.where(F.size("_v") == dim), ask.where(F.size("_v") == dim)
+    dim, total = most["d"], most["n"]
+    every_length, all_asked = base, ask
+    largest = base.agg(F.max(F.array_max(F.transform("_v", lambda x: F.abs(x))))).first()[0]
+    down = math.ldexp(1.0, min(0, LARGE - math.frexp(largest)[1]))
+    if down < 1:
+        smaller = F.transform("_v", lambda x: x * F.lit(down))
+        every_length, all_asked = base.withColumn("_v", smaller), ask.withColumn("_v", smaller)
+    base, ask = every_length.where(F.size("_v") == dim), all_asked.where(F.size("_v") == dim)
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
     top = base.agg(F.max(norm)).first()[0]
     drawn = base.where(C.hash_unit("vec_id", seed=seed) < min(1.0, SAMPLE / total)).limit(4 * SAMPLE).toPandas()
@@ -158,7 +182,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
     index = Index(np.array(drawn.sort_values("vec_id")["_v"].tolist(), np.float64), float(top), k, total, seed)
 
     def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim).astype(np.float64)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +192,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
 
     stored = base.mapInArrow(hashed, T.StructType([T.StructField("bucket", T.IntegerType()), *base.schema.fields]))
     counts = {r["bucket"]: r["n"] for r in stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    occupied = np.zeros(TABLES * SLOTS**FUNCTIONS, bool)
+    occupied = np.zeros(TABLES * index.slots_**index.functions, bool)
     first, parts = np.zeros(len(occupied), np.int64), np.zeros(len(occupied), np.int64)
     block, room = 0, BLOCK
     for b in sorted(counts):
@@ -249,26 +273,39 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     cand = "query_id long, vec_id long, score double"
-    left = base.mapInArrow(dealt, T.StructType([T.StructField("block", T.IntegerType()), T.StructField("bucket", T.IntegerType()), *base.schema.fields]))
-    right = ask.mapInArrow(asked, T.StructType([T.StructField("block", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType())), *ask.schema.fields]))
-    left, right = left.repartition(blocks, "block"), right.repartition(blocks, "block")
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(ranked, cand)
+
+    def compared(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
+        """Candidates of blocks (d, block, bucket, vec_id, _v) and their queries (d, block, probes, query_id, _v)."""
+        parts = max(1, -(-asked_n // QUERIES))
+        keys = ["d", "block", "part"]
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else left.withColumn("part", F.lit(0))
+        right = right.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        left, right = (x.repartition(blocks * parts, *keys).select(*keys, *[c for c in x.columns if c not in keys]) for x in (left, right))
+        pick = lambda x: [x[c] for c in keys]
+        return left.groupBy(*pick(left)).cogroup(right.groupBy(*pick(right))).applyInArrow(ranked, cand)
 
     def top_k(df: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
         return df.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    done = C.cut(top_k(found), "nearest")
-    # where the buckets held too few, all rows are looked at: each query goes to every block of rows
-    enough = done.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    short = C.cut(ask.join(enough, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(k, max(total - 1, 0))).select("query_id", "_v"), "short")
-    if not short.limit(1).count():
-        return done
-    deal = max(1, -(-total // BLOCK))
-    every = base.select(F.pmod(F.col("vec_id"), F.lit(deal)).cast("int").alias("block"), F.lit(0).alias("bucket"), "vec_id", "_v").repartition(deal, "block")
-    again = short.select(F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("block"), F.array(F.lit(0)).alias("probes"), "query_id", "_v").repartition(deal, "block")
-    rest = top_k(every.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(ranked, cand))
-    return done.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
+    asked_n = all_asked.count()
+    left = base.mapInArrow(dealt, T.StructType([T.StructField("block", T.IntegerType()), T.StructField("bucket", T.IntegerType()), *base.schema.fields])).withColumn("d", F.lit(dim))
+    right = ask.mapInArrow(asked, T.StructType([T.StructField("block", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType())), *ask.schema.fields])).withColumn("d", F.lit(dim))
+    done = C.cut(top_k(compared(left, right, blocks)), "nearest")
+    # where the buckets held too few, or vectors have another length, all rows of the length are looked at in blocks
+    lengths = C.cut(every_length.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("deal")), "lengths")
+    enough = done.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
+    short = all_asked.withColumn("d", F.size("_v")).join(C.side(lengths, 16), "d").join(enough, "query_id", "left")
+    short = C.cut(short.where(F.coalesce("m", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("query_id", "_v", "d", "deal"), "short")
+    asked_n = short.count()
+    if asked_n:
+        wanted = short.select("d", "deal").distinct()
+        every = every_length.withColumn("d", F.size("_v")).join(F.broadcast(wanted) if asked_n < 1 << 20 else wanted, "d")
+        every = every.select("d", F.pmod(F.col("vec_id"), F.col("deal")).cast("int").alias("block"), F.lit(0).alias("bucket"), "vec_id", "_v")
+        again = short.select("d", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("block"), F.array(F.lit(0)).alias("probes"), "query_id", "_v")
+        rest = top_k(compared(every, again, wanted.agg(F.sum("deal")).first()[0]))
+        done = done.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
+    return done if down == 1 else done.withColumn("score", F.col("score") / F.lit(down) / F.lit(down))
 
 
 def op6_lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:

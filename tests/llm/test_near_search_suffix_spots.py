@@ -162,6 +162,47 @@ def test_search_equals_brute_force_where_it_must(spark):
     assert lsh_search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def nearest(rows, k):
+    """Each query's k nearest of its own length, by brute force."""
+    out = {}
+    for q, x in rows:
+        if q % 20 == 0:
+            s = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q and len(y) == len(x))
+            out[q] = [(i, -v) for v, i in s[:k]]
+    return out
+
+
+def test_search_in_blocks_and_parts(spark, monkeypatch):
+    """Many blocks and parts, ties at the last rank, rows of another length, clashing columns."""
+    monkeypatch.setattr(lsh_search, "BLOCK", 40)
+    monkeypatch.setattr(lsh_search, "QUERIES", 4)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(300)]
+    rows = [(i, v if any(v) else [1.0] * 6) for i, v in rows] + [(400 + i, [float(x) for x in rng.integers(1, 4, 3)]) for i in range(100)]
+    df = spark.createDataFrame([(i, v, "mine", i) for i, v in rows], "vec_id long, embedding array<double>, bucket string, block int")
+    got = {}
+    for r in lsh_search.search(df, df.where("vec_id % 20 = 0"), k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = nearest(rows, 10)
+    assert got.keys() == want.keys()
+    assert all(got[q] == want[q] for q in want if q >= 400)
+    assert all(v == sorted(v, key=lambda x: (-x[1], x[0])) and len(v) == 10 for v in got.values())
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_search_takes_large_vectors(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(30)] + [(100, [1e200, 1e200]), (101, [-1e200, 1.0])]
+    got = lsh_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame([rows[0], rows[30]], "vec_id long, embedding array<double>"), k=3).collect()
+    mine = {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 100)}
+    assert mine[0] == [(100, 2e200), (29, 31.0), (28, 30.0)]
+    assert mine[100] == [(29, 3.1e201), (28, 3e201), (27, 2.9e201)]
+
+
+def test_shape_follows_the_number_of_vectors():
+    shapes = [lsh_search.shape(n) for n in (0, 1000, 99_999, 100_000, 10**6, 10**9, 10**12)]
+    assert shapes[0] == shapes[2] == (4, 16) and [f for f, _ in shapes] == sorted(f for f, _ in shapes) and all(s**f <= lsh_search.BUCKETS for f, s in shapes)
+
+
 def brute_suffix(rows, least=100):
     seen, out = set(), {}
     for d, t in rows:
