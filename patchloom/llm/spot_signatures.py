@@ -14,8 +14,8 @@ ANCHORS = (
     "als auf das dem den der die ein eine er für ich im ist mit nicht sich sie und von zu "
     "al como con del el es las los no más o por se su sus un una y"
 ).split()
-#: Content words in a chain.
-CHAIN = 2
+#: Content words in a chain, and characters in the pieces that stand for a text without chains.
+CHAIN, PIECE = 2, 3
 MARK = "\x01"
 
 
@@ -34,19 +34,23 @@ def _any_of(words: list[str]) -> str:
 def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
     """The sorted distinct hashes of a text's spot signatures, the first 32 bits of their MD5: array<int>.
 
-    Words are runs of letters and digits, lower case. Each anchor with the next `chain` words after it that are no
-    anchors makes a signature, if there are as many. A text without any signature has the hash of its words, so that
-    equal texts are equal and short ones can be told apart; null counts as empty.
+    Words are runs of letters, marks and digits, lower case. Each anchor with the next `chain` words after it that are
+    no anchors makes a signature, if there are as many. A text without any, as in a language without these anchors or
+    without blanks, has all runs of PIECE characters of its words, with one blank between words; one that is shorter
+    has its words as a whole. So equal texts are equal and small changes leave most signatures; null counts as empty.
     """
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " ")
     spots = _any_of(anchors or ANCHORS)
     marked = F.regexp_replace(F.concat(F.lit(" "), F.trim(words), F.lit(" ")), f" (?={spots} )", f" {MARK}")
     skip = f"(?: {MARK}[^ ]++)*+"
     content = f" [^ {MARK}]++"
     found = F.regexp_extract_all(marked, F.lit(f"{MARK}(?=([^ ]++{f'{skip}{content}' * chain}))"), F.lit(1))
-    whole = F.concat(F.lit(MARK), F.trim(words))  # a chain never begins with the mark
+    # a chain never begins with the mark
+    plain = F.trim(words)
+    pieces = F.transform(F.regexp_extract_all(plain, F.lit(f"(?=({'.' * PIECE}))"), F.lit(1)), lambda x: F.concat(F.lit(MARK), x))
+    others = F.when(F.length(plain) < PIECE, F.array(F.concat(F.lit(MARK), plain))).otherwise(pieces)
     # bound to a variable, the matches are made once
-    chains = F.flatten(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(whole))))
+    chains = F.flatten(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(others)))
     passed = f" {MARK}[^ ]++"
     clean = F.transform(chains, lambda x: F.when(F.contains(x, F.lit(f" {MARK}")), F.regexp_replace(x, passed, "")).otherwise(x))
     low = F.transform(clean, lambda x: (F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") - F.lit(1 << 31)).cast("int"))
@@ -135,14 +139,15 @@ SQL = """
 WITH o AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS nx, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS top FROM documents),
 e AS (SELECT doc_id, t, left(t, length(t) - length(t) // 3) || left(coalesce(nx, top), length(t) // 3) AS ed, lead(doc_id) OVER (ORDER BY doc_id DESC) AS nid, max(doc_id) OVER () AS top_id FROM o),
 x AS (SELECT doc_id, 0 AS k, t FROM e UNION ALL SELECT doc_id, 1, ed FROM e),
-n AS (SELECT doc_id, k, trim(regexp_replace(lower(t), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS s FROM x),
+n AS (SELECT doc_id, k, trim(regexp_replace(lower(t), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) AS s FROM x),
 w AS (SELECT doc_id, k, unnest(string_split(s, ' ')) AS word, generate_subscripts(string_split(s, ' '), 1) AS pos FROM n WHERE s <> ''),
 a AS (SELECT *, word IN (ANCHORS) AS anchor FROM w),
 c AS (SELECT *, sum((NOT anchor)::int) OVER (PARTITION BY doc_id, k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS r FROM a),
 g AS (SELECT p.doc_id, p.k, p.word || ' ' || q.word || ' ' || z.word AS sig FROM c p JOIN c q ON q.doc_id = p.doc_id AND q.k = p.k AND q.r = p.r + 1 AND NOT q.anchor
   JOIN c z ON z.doc_id = p.doc_id AND z.k = p.k AND z.r = p.r + 2 AND NOT z.anchor WHERE p.anchor),
 h AS (SELECT doc_id, k, list_sort(list(DISTINCT substr(md5(sig), 1, 8))) AS f FROM g GROUP BY doc_id, k),
-f AS (SELECT n.doc_id, n.k, coalesce(f, [substr(md5(chr(1) || s), 1, 8)]) AS f FROM n LEFT JOIN h ON h.doc_id = n.doc_id AND h.k = n.k)
+f AS (SELECT n.doc_id, n.k, coalesce(f, CASE WHEN length(s) < 3 THEN [substr(md5(chr(1) || s), 1, 8)]
+  ELSE list_sort(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(md5(chr(1) || substr(s, i, 3)), 1, 8)))) END) AS f FROM n LEFT JOIN h ON h.doc_id = n.doc_id AND h.k = n.k)
 SELECT e.doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, array_to_string(a.f, ' ') AS fingerprint, array_to_string(b.f, ' ') AS edited_fingerprint,
   len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f))) AS near_edited,
   len(list_intersect(a.f, c.f)) / (len(a.f) + len(c.f) - len(list_intersect(a.f, c.f))) AS near_next

@@ -275,3 +275,11 @@ def test_spots(spark):
     found = spot_signatures.similar_to(s.withColumnRenamed("id", "query_id"), s.withColumnRenamed("id", "doc_id"), 0.3).collect()
     texts = {d: sets(t or "") for d, t in docs}
     assert {(r[0], r[1]) for r in found} == {(a, b) for a in texts for b in texts if like(texts[a], texts[b]) >= 0.3}
+
+
+def test_texts_without_anchors_keep_their_likeness(spark):
+    """Chinese, Russian and marks: one more character at the end leaves most signatures; other texts share few."""
+    pairs = [("今天天气很好我们去公园散步吧", "今天天气很好我们去公园散步吧啊"), ("Быстрая лиса прыгает через ленивую собаку", "Быстрая лиса прыгает через ленивую собаку!а"), ("हिन्दी में लिखा", "हिन्दी में लिखाई"), ("今天天气很好我们去公园散步吧", "机器学习模型需要大量训练数据"), ("ab", "ab "), ("", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.select(spot_signatures.likeness(spot_signatures.signatures(df["a"]), spot_signatures.signatures(df["b"]))).collect()]
+    assert all(x > 0.5 for x in got[:3]) and got[3] == 0.0 and got[4:] == [1.0, 1.0]
