@@ -74,8 +74,11 @@ def exact_match(a: Column, b: Column) -> Column:
 
 
 def splice_lines(code: Column) -> Column:
-    """Lines that end in a backslash joined to the next by a blank, as many empty lines in their place after it."""
-    return F.regexp_replace(code, r"\\\n[ \t]*", " ")
+    """Lines that end in a backslash joined to the next by a blank; as many empty lines follow, so later ones keep their
+    numbers."""
+    marked = F.regexp_replace(code, r"\\\n[ \t]*", " \x03")
+    whole = lambda l: F.concat(F.replace(l, F.lit("\x03"), F.lit("")), F.repeat(F.lit("\n"), F.regexp_count(l, F.lit("\x03"))))
+    return F.array_join(F.transform(F.split(marked, "\n", -1), whole), "\n")
 
 
 def del_macros(code: Column, compat: bool = False) -> Column:
@@ -152,16 +155,22 @@ def answer_items(answer: Column) -> Column:
     return F.transform(F.split(answer, ","), lambda x: F.trim(x))
 
 
-def statement_lines(code: str | None) -> str | None:
-    """code with continued statements on one line (sequential; use through statement_lines_udf).
+#: How statements go on: (line starts that stand alone, starts of lines that continue the one before).
+CONTINUED = {"c": ("#", ("?", "||", "&&")), "java": ("@", ("?", "||", "&&", "."))}
 
-    Backslash lines are spliced, comments are set aside, then lines are joined until one ends in ; { ) } or :, and on
-    while the next begins with ? || or &&. Preprocessor and blank lines stand alone. Joined lines leave empty ones.
+
+def statement_lines(code: str | None, language: str = "c") -> str | None:
+    """code with continued statements on one line (sequential; use through join_statements).
+
+    Comments are set aside, then lines are joined until one ends in ; { ) } or :, and on while the next begins with ? ||
+    or &&, in Java with a dot too. Blank lines stand alone, and so do preprocessor lines in C (whose backslash lines are
+    spliced first) and annotations in Java. Joined lines leave empty ones.
     """
     import re
 
     if code is None:
         return None
+    alone, onward = CONTINUED[language]
     kept: list[str] = []
 
     def aside(m: re.Match) -> str:
@@ -171,19 +180,20 @@ def statement_lines(code: str | None) -> str | None:
         return f"\x02{len(kept) - 1};"
 
     text = re.sub(f"(?ms)({LITERAL})|(?:{COMMENT})", aside, code)
-    text = re.sub(r"\\\n[ \t]*", " ", text)
+    if language == "c":
+        text = re.sub(r"\\\n[ \t]*", " ", text)
     out: list[str] = []
     lines, i = text.split("\n"), 0
     while i < len(lines):
         bare = lines[i].strip()
-        if not bare or bare.startswith("#"):
+        if not bare or bare.startswith(alone):
             out.append(lines[i])
             i += 1
             continue
         j = i
-        while not lines[j].strip().endswith((";", "{", ")", "}", ":")) and j + 1 < len(lines) and not lines[j + 1].strip().startswith("#"):
+        while not lines[j].strip().endswith((";", "{", ")", "}", ":")) and j + 1 < len(lines) and not lines[j + 1].strip().startswith(alone):
             j += 1
-        while j + 1 < len(lines) and lines[j + 1].strip().startswith(("?", "||", "&&")):
+        while j + 1 < len(lines) and lines[j + 1].strip().startswith(onward):
             j += 1
         out.append(" ".join([lines[i], *(x for x in (y.strip() for y in lines[i + 1 : j + 1]) if x)]))
         out += [""] * (j - i)
@@ -191,19 +201,44 @@ def statement_lines(code: str | None) -> str | None:
     return re.sub("\x02(\\d+);", lambda m: kept[int(m.group(1))], "\n".join(out))
 
 
-def join_statements(df: DataFrame, code: str, *keys: str, name: str = "code") -> DataFrame:
+def join_statements(df: DataFrame, code: str, *keys: str, name: str = "code", language: str = "c") -> DataFrame:
     """(keys, name): statement_lines() of each row's code, in Arrow batches."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields), f"`{name}` string"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = pdf[list(keys)].copy()
-            out[name] = [statement_lines(x) for x in pdf[code]]
+            out[name] = [statement_lines(x, language) for x in pdf[code]]
             yield out
 
     return df.select(*keys, code).mapInPandas(run, schema)
 
 
+def bracketed(df: DataFrame, code: str, spans: str, *keys: str, name: str = "code") -> DataFrame:
+    """(keys, name): add_brackets() of each row's code with its spans, an array of (start, end), in Arrow batches."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields), f"`{name}` string"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = pdf[list(keys)].copy()
+            out[name] = [add_brackets(x, None if y is None else [tuple(z.values()) if isinstance(z, dict) else tuple(z) for z in y]) for x, y in zip(pdf[code], pdf[spans], strict=True)]
+            yield out
+
+    return df.select(*keys, code, spans).mapInPandas(run, schema)
+
+
+def formatted(df: DataFrame, code: str, *keys: str, language: str = "c", del_comments: bool = True, join: bool = True, macros: bool = True) -> DataFrame:
+    """(keys, code): code brought into one form: no comments, in C no macros, a statement a line, no empty lines.
+
+    Brackets around bodies need a parser's spans: see bracketed(). Nothing is indented anew.
+    """
+    x = remove_comments(F.col(code)) if del_comments else F.col(code)
+    x = del_macros(x) if macros and language == "c" else x
+    rows = df.select(*keys, x.alias("code"))
+    rows = join_statements(rows, "code", *keys, language=language) if join else rows
+    return rows.select(*keys, remove_empty_lines(F.col("code")).alias("code"))
+
+
 def add_brackets(code: str | None, spans: list[tuple[int, int]] | None) -> str | None:
     """code with `{` and `}` lines around byte spans [start, end], nested ones included; spans of a byte or none stay.
 

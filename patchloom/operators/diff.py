@@ -6,12 +6,15 @@ Keys are column names that identify a pair of texts (patch, file); every operato
 from __future__ import annotations
 
 import difflib
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.session import checkpointed
+
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -117,13 +120,14 @@ def hunk_map(del_runs: DataFrame, add_runs: DataFrame, mapping: DataFrame, *keys
 
     Line 0 maps to line 0. There is no mark after the last line: a run that reaches the end pairs with none.
     """
-    zero = mapping.select(*keys).unionByName(del_runs.select(*keys)).distinct().select(*keys, F.lit(0).alias("src"), F.lit(0).alias("dst"))
-    m = mapping.select(*keys, F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")).unionByName(zero).distinct()
+    m = mapping.select(*keys, F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
     d = del_runs.select(*keys, F.col("run_start").alias("a_start"), F.col("run_end").alias("a_end"))
     a = add_runs.select(*keys, F.col("run_start").alias("b_start"), F.col("run_end").alias("b_end"))
-    before = m.select(*keys, (F.col("src") + 1).alias("a_start"), (F.col("dst") + 1).alias("b_start"))
+    zero = d.where("a_start = 1").select(*keys, F.lit(1).alias("a_start"), F.lit(1).alias("b_start"))
+    before = m.select(*keys, (F.col("src") + 1).alias("a_start"), (F.col("dst") + 1).alias("b_start")).unionByName(zero)
     after = m.select(*keys, (F.col("src") - 1).alias("a_end"), (F.col("dst") - 1).alias("b_end"))
-    return d.join(before, [*keys, "a_start"]).join(a, [*keys, "b_start"]).join(after, [*keys, "a_end", "b_end"]).select(*keys, "a_start", "a_end", "b_start", "b_end")
+    pairs = d.join(before, [*keys, "a_start"]).join(a, [*keys, "b_start"]).join(after, [*keys, "a_end", "b_end"], "left_semi")
+    return pairs.select(*keys, "a_start", "a_end", "b_start", "b_end").distinct()
 
 
 def invert_map(mapping: DataFrame, *keys: str) -> DataFrame:
@@ -159,19 +163,19 @@ def patch_hunks(del_lines: DataFrame, add_lines: DataFrame, mapping: DataFrame,
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
         return _tagged(rows.select(*keys, "line_no", "text"), "line_no", *keys).groupBy(*keys, "grp").agg(F.min("line_no").alias(start), F.max("line_no").alias(end), text.alias(name)).drop("grp")
 
-    dc, ac = coded(del_lines, "a_start", "a_end", "a_code"), coded(add_lines, "b_start", "b_end", "b_code")
+    # each is read more than once below
+    mapping = checkpointed(mapping.select(*keys, F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")))
+    dc, ac = checkpointed(coded(del_lines, "a_start", "a_end", "a_code")), checkpointed(coded(add_lines, "b_start", "b_end", "b_code"))
     d = dc.select(*keys, F.col("a_start").alias("run_start"), F.col("a_end").alias("run_end"))
     a = ac.select(*keys, F.col("b_start").alias("run_start"), F.col("b_end").alias("run_end"))
     paired = hunk_map(d, a, mapping, *keys)
-    none = lambda t: F.lit(None).cast(t)
-    mod = paired.join(dc, [*keys, "a_start", "a_end"]).join(ac, [*keys, "b_start", "b_end"]).withColumns({"type": F.lit("mod"), "insert_line": none("int")})
-    gone = dc.join(paired, [*keys, "a_start", "a_end"], "left_anti").withColumns({"type": F.lit("del"), "b_start": none("int"), "b_end": none("int"), "b_code": none("string"), "insert_line": none("int")})
-    zero = mapping.select(*keys).unionByName(a.select(*keys)).distinct().select(*keys, F.lit(0).alias("src"), F.lit(0).alias("dst"))
-    back = invert_map(mapping.select(*keys, F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst")).unionByName(zero), *keys)
-    back = back.select(*keys, (F.col("dst") + 1).alias("b_start"), F.col("src").alias("insert_line"))
-    new = ac.join(paired, [*keys, "b_start", "b_end"], "left_anti").join(back, [*keys, "b_start"], "left").withColumns({"type": F.lit("add"), "a_start": none("int"), "a_end": none("int"), "a_code": none("string")})
-    cols = [*keys, "type", "a_start", "a_end", "b_start", "b_end", "a_code", "b_code", "insert_line"]
-    return mod.select(cols).unionByName(gone.select(cols)).unionByName(new.select(cols))
+    # a deleted run is a row of its own unless it pairs; then the row is the pair's
+    left = dc.join(paired, [*keys, "a_start", "a_end"], "left").withColumn("type", F.when(F.col("b_start").isNull(), "del").otherwise("mod"))
+    both = left.join(ac, [*keys, "b_start", "b_end"], "full")
+    back = invert_map(mapping, *keys).select(*keys, (F.col("dst") + 1).alias("b_start"), F.col("src").alias("_back"))
+    both = both.withColumn("type", F.coalesce("type", F.lit("add"))).join(back, [*keys, "b_start"], "left")
+    line = F.when(F.col("type") == "add", F.when(F.col("b_start") == 1, F.lit(0)).otherwise(F.col("_back"))).cast("int")
+    return both.select(*keys, "type", "a_start", "a_end", "b_start", "b_end", "a_code", "b_code", line.alias("insert_line"))
 
 
 # --- Sequential algorithms, one text or hunk at a time, in Arrow batches ---
@@ -250,18 +254,66 @@ def apply_patches(files: DataFrame, changes: DataFrame, *keys: str, text: str =
     return rows.mapInPandas(run, schema)
 
 
+def places(a: str) -> dict[str, int]:
+    """For each character of a text its places as bits."""
+    out: dict[str, int] = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def common_length(at: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of a text of n characters, given by its places(), and b.
+
+    A row of the usual table is one number whose bits are the places where the length does not grow, so each character
+    of b costs a few operations on whole rows.
+    """
+    full = (1 << n) - 1
+    row = full
+    for y in b:
+        if hit := row & at.get(y, 0):
+            row = (row + hit | row - hit) & full
+    return n - row.bit_count()
+
+
 def ratio(a: str, b: str) -> float:
     """Similarity by insertions and deletions: 2 * longest common subsequence over the sum of lengths; 1 for two empty texts."""
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = last + 1 if x == y else max(row[j], row[j - 1])
-            last = keep
-    return 2.0 * row[-1] / (len(a) + len(b))
+    return 2.0 * common_length(places(a), len(a), b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def best_lines(a: list[str | None], b: list[str | None], least: float) -> Iterator[tuple[int, int, float]]:
+    """(place in a, place in b, score) of match_lines() for one hunk.
+
+    Equal lines score 1 and nothing else does, so they are found by value. Other pairs are scored only if the lengths, then
+    the characters that both have, leave room for a score above the best so far.
+    """
+    texts = [x or "" for x in b]
+    counts = [Counter(x) for x in texts]
+    free = dict.fromkeys(range(len(texts)))
+    equal: dict[str, deque[int]] = {}
+    for j, y in enumerate(texts):
+        equal.setdefault(y, deque()).append(j)
+    for i, x in enumerate(a):
+        x = x or ""
+        best, at = least, -1
+        same = equal.get(x, ())
+        while same and same[0] not in free:
+            same.popleft()
+        if same and least <= 1.0:
+            best, at = 1.0, same[0]
+        else:
+            bits, own = places(x), Counter(x)
+            for j in free:
+                total = len(x) + len(texts[j])
+                for bound in (lambda: min(len(x), len(texts[j])), lambda: (own & counts[j]).total(), lambda: common_length(bits, len(x), texts[j])):  # noqa: B023
+                    score = 2.0 * bound() / total if total else 1.0
+                    if score < best or score == best and at >= 0:
+                        break
+                else:
+                    best, at = score, j
+        if at >= 0:
+            del free[at]
+            yield i, at, best
 
 
 def match_lines(hunks: DataFrame, *keys: str, a: str = "a_lines", b: str = "b_lines", least: float = 0.6) -> DataFrame:
@@ -277,15 +329,8 @@ def match_lines(hunks: DataFrame, *keys: str, a: str = "a_lines", b: str = "b_li
             out = []
             for row in pdf.itertuples(index=False):
                 r = dict(zip(pdf.columns, row, strict=True))
-                free = list(range(len(r[b]) if r[b] is not None else 0))
-                for i, x in enumerate(r[a] if r[a] is not None else []):
-                    best, at = -1.0, -1
-                    for j in free:
-                        if (s := ratio(x or "", r[b][j] or "")) > best:
-                            best, at = s, j
-                    if at >= 0 and best >= least:
-                        free.remove(at)
-                        out.append((*[r[k] for k in keys], i, at, best))
+                x, y = ([] if r[c] is None else list(r[c]) for c in (a, b))
+                out += [(*[r[k] for k in keys], *m) for m in best_lines(x, y, least)]
             yield pd.DataFrame(out, columns=[*keys, "a_idx", "b_idx", "score"])
 
     return hunks.select(*keys, a, b).mapInPandas(run, schema)

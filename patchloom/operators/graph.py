@@ -4,21 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder; a temporary folder only where none is named (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="patchloom-")
-        sc.setCheckpointDir(at)
-    return df.checkpoint()
+from patchloom.session import checkpointed
 
 
 def build_graph(edges: DataFrame, *keys: str) -> DataFrame:
@@ -42,61 +31,83 @@ def ends(points: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, *keys: str, directed: bool = True, limit: int = 1000) -> DataFrame:
     """(keys, node): all nodes that can be reached from the seeds (keys, node), these included.
 
-    A frontier loop: each round joins the new nodes with the edges and takes out what has been seen, so a cycle ends it.
-    Rounds are checkpointed. More than `limit` rounds raise an error.
+    A frontier loop: each round joins the new nodes with the edges and takes out what earlier rounds found, so a cycle
+    ends it. A round is checkpointed by itself; earlier ones are not written again. More than `limit` rounds raise an
+    error.
     """
     e = edges.select(*keys, "src", "dst")
     if not directed:
         e = e.unionByName(e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = _cut(e.distinct())
-    seen = _cut(seeds.select(*keys, "node").distinct())
-    new = seen
+    e = checkpointed(e.distinct())
+    seen = new = checkpointed(seeds.select(*keys, "node").distinct())
     for _ in range(limit):
         step = new.withColumnRenamed("node", "src").join(e, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        new = _cut(step.join(seen, [*keys, "node"], "left_anti"))
+        new = checkpointed(step.join(seen, [*keys, "node"], "left_anti"))
         if new.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(new))
+        seen = seen.unionByName(new)
     raise RuntimeError(f"more than {limit} rounds")
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, stops: DataFrame, through: str | None = None, limit: int = 100, prune: bool = True) -> DataFrame:
-    """(node_path): all paths from a start to the first stop met, without a node twice, as arrays of nodes.
+def simple_paths(edges: DataFrame, starts: DataFrame, stops: DataFrame, *keys: str, through: str | None = None, limit: int | None = None, prune: bool = True) -> DataFrame:
+    """(keys, node_path): all paths from a start to the first stop met, without a node twice, as arrays of nodes.
 
-    starts and stops have a column node. A start that is a stop is a path of one node. With `through`, only paths that
-    hold this node. Edges that can't lie on such a path are dropped first: both ends must be reachable from the starts
-    and reach the stops, and with `through` lie before or after it (sources and sinks stay those of the whole graph).
-    Paths grow by a recursive query to at most `limit` edges; the number of simple paths itself is the only other bound.
+    edges are (keys, src, dst), starts and stops (keys, node); every key is a graph of its own. A start that is a stop is
+    a path of one node. With `through`, only paths that hold this node. Edges that can't lie on such a path are dropped
+    first: both ends must be reachable from the starts and reach the stops, and with `through` lie before or after it
+    (sources and sinks stay those of the whole graph). Paths grow by a recursive query; as no node stands twice, the
+    number of nodes that are left bounds their length (or `limit`, if given: longer paths raise an error). The number
+    of simple paths itself is the only other bound.
     """
     spark = edges.sparkSession
-    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    e = edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct()
     if prune:
-        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        back = e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
         if through is None:
-            keep = reach(e, starts).join(reach(back, stops), "node", "left_semi")
+            keep = reach(e, starts, *keys).join(reach(back, stops, *keys), [*keys, "node"], "left_semi")
         else:
-            mid = spark.createDataFrame([(through,)], "node string")
-            keep = reach(e, mid).unionByName(reach(back, mid)).distinct()
-        e = e.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi")
+            mid = starts.select(*keys, "node").unionByName(stops.select(*keys, "node")).select(*keys, F.lit(through).alias("node")).distinct()
+            keep = reach(e, mid, *keys).unionByName(reach(back, mid, *keys)).distinct()
+        e = e.join(keep.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").join(keep.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi")
+    if limit is None:
+        e = checkpointed(e)
+        count = e.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
+        count = count.groupBy(*keys).count() if keys else count.agg(F.count(F.lit(1)).alias("count"))
+        limit = (count.agg(F.max("count")).first()[0] or 0) + 1
     tag = uuid.uuid4().hex
     names = {n: f"pl_{n}_{tag}" for n in ("e", "a", "z")}
     e.createOrReplaceTempView(names["e"])
-    starts.select("node").distinct().createOrReplaceTempView(names["a"])
-    stops.select("node").distinct().withColumn("stop", F.lit(True)).createOrReplaceTempView(names["z"])
+    starts.select(*keys, "node").distinct().createOrReplaceTempView(names["a"])
+    stops.select(*keys, "node").distinct().withColumn("stop", F.lit(True)).createOrReplaceTempView(names["z"])
+    own = lambda t: "".join(f"{t}.`{k}`, " for k in keys)
+    same = lambda x, y: "".join(f" AND {x}.`{k}` = {y}.`{k}`" for k in keys)
     out = spark.sql(f"""
-        WITH RECURSIVE p(node, path, done) MAX RECURSION LEVEL {limit} AS (
-          SELECT a.node, array(a.node), coalesce(z.stop, false) FROM {names["a"]} a LEFT JOIN {names["z"]} z ON z.node = a.node
+        WITH RECURSIVE p({"".join(f"`{k}`, " for k in keys)}node, path, done) MAX RECURSION LEVEL {limit} AS (
+          SELECT {own("a")}a.node, array(a.node), coalesce(z.stop, false) FROM {names["a"]} a LEFT JOIN {names["z"]} z ON z.node = a.node{same("z", "a")}
           UNION ALL
-          SELECT e.dst, array_append(p.path, e.dst), coalesce(z.stop, false)
-          FROM p JOIN {names["e"]} e ON e.src = p.node LEFT JOIN {names["z"]} z ON z.node = e.dst
+          SELECT {own("p")}e.dst, array_append(p.path, e.dst), coalesce(z.stop, false)
+          FROM p JOIN {names["e"]} e ON e.src = p.node{same("e", "p")} LEFT JOIN {names["z"]} z ON z.node = e.dst{same("z", "e")}
           WHERE NOT p.done AND NOT array_contains(p.path, e.dst))
-        SELECT path AS node_path FROM p WHERE done""")
+        SELECT {own("p")}path AS node_path FROM p WHERE done""")
     return out if through is None else out.where(F.array_contains("node_path", through))
 
 
+def trigger_paths(points: DataFrame, edges: DataFrame, modified: DataFrame, wanted: DataFrame, *keys: str, version: str = "version", of: str = "pre") -> DataFrame:
+    """(keys, version, node_path): for each version all simple paths from its modified nodes to the trigger, once each.
+
+    points are (keys, version, node) and may have a column pos for their order, edges (keys, version, src, dst), modified
+    (keys, version, node), wanted (keys, name). The trigger is the first point of the version `of` that ends in /name and
+    stands for all versions. Keys whose trigger is not found have no paths.
+    """
+    first = points.where(F.col(version) == of)
+    trigger = resolve_suffix(first, wanted, *keys).select(*keys, "node").distinct()
+    stops = edges.select(*keys, version).distinct().join(trigger, [*keys]) if keys else edges.select(version).distinct().join(F.broadcast(trigger))
+    return simple_paths(edges, modified, stops.select(*keys, version, "node"), *keys, version).distinct()
+
+
 def paths_with_lines(paths: DataFrame, graph: DataFrame) -> DataFrame:
     """(node_path, edge_path): each path with its edges as (caller, callee, pairs), from build_graph()'s rows."""
-    e = _cut(paths.distinct().withColumn("_p", F.monotonically_increasing_id()))
+    e = checkpointed(paths.distinct().withColumn("_p", F.monotonically_increasing_id()))
     hops = F.expr("transform(sequence(1, size(node_path) - 1), i -> struct(node_path[i - 1] AS caller, node_path[i] AS callee))")
     steps = e.where(F.size("node_path") > 1).select("_p", F.posexplode(hops).alias("pos", "x"))
     full = steps.select("_p", "pos", F.col("x.caller").alias("src"), F.col("x.callee").alias("dst")).join(graph.select("src", "dst", "pairs"), ["src", "dst"])
@@ -104,15 +115,30 @@ def paths_with_lines(paths: DataFrame, graph: DataFrame) -> DataFrame:
     return e.join(full, "_p", "left").drop("_p")
 
 
-def resolve_suffix(points: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, node): for each wanted name the first point, in order, that ends in /name. Names without one are left out."""
-    j = wanted.select("name").join(points.select("node"), F.col("node").endswith(F.concat(F.lit("/"), F.col("name"))))
-    return j.groupBy("name").agg(F.min("node").alias("node"))
+def resolve_suffix(points: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """(keys, name, node): for each wanted name the first point that ends in /name; names without one are left out.
+
+    First is least by a column pos of points, if there is one, then by name. A point meets a name by one of its ends
+    behind a slash, so this is an equi join on a few ends a point.
+    """
+    order = F.struct("pos", "node") if "pos" in points.columns else F.struct("node")
+    slashes = F.filter(F.sequence(F.lit(1), F.length("node")), lambda i: F.substring(F.col("node"), i, F.lit(1)) == "/")
+    tails = F.transform(slashes, lambda i: F.substring(F.col("node"), i + 1, F.length("node")))
+    p = points.where(F.length("node") > 0).select(*keys, order.alias("_o"), F.explode(tails).alias("name"))
+    return p.join(wanted.select(*keys, "name").distinct(), [*keys, "name"]).groupBy(*keys, "name").agg(F.min("_o").alias("_o")).select(*keys, "name", "_o.node")
 
 
 def seeds_containing(points: DataFrame, names: DataFrame) -> DataFrame:
-    """(node): points that contain any of the names, over all versions."""
-    return points.join(F.broadcast(names) if names.limit(1001).count() <= 1000 else names, F.contains(F.col("node"), F.col("name"))).select("node").distinct()
+    """(node): points that contain any of the names, over all versions.
+
+    A point is cut into its parts of the lengths that names have, which meet the names in an equi join.
+    """
+    names = names.select("name").where("name is not null").distinct()
+    sizes = names.select(F.length("name").alias("_n")).distinct()
+    nodes = points.select("node").distinct()
+    # as many rows as there are lengths, far below a name's length
+    parts = nodes.join(sizes, F.length("node") >= F.col("_n")).select("node", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("node") - F.col("_n") + 1), lambda i: F.substring(F.col("node"), i, F.col("_n"))))).alias("name"))
+    return parts.join(names, "name", "left_semi").select("node").distinct()
 
 
 def touching(edges: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
@@ -122,14 +148,18 @@ def touching(edges: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
     return src.unionByName(rest.join(nodes.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi"))
 
 
-def window_flows(nodes: DataFrame, key: str, name: str, line: str, lo: Column, hi: Column, sink: Column | None = None) -> DataFrame:
+def window_flows(nodes: DataFrame, key: str, name: str, line: str, lo: Column, hi: Column, sink: Column | None = None, span: int = 4096) -> DataFrame:
     """(key, name, src_line, dst_line): pairs of nodes of one key and name, the second strictly inside the first's window.
 
     lo and hi are columns of the source row (use the alias s); `sink`, a condition on the second row (alias d), narrows
-    what may be reached. A range join within the key.
+    what may be reached. Lines are dealt to buckets of `span`, about as wide as the windows: a source looks into those
+    its window touches, so that a key with very many nodes is cut into many groups, none wider than a window.
     """
     s, d = nodes.alias("s"), nodes.alias("d")
-    on = (F.col(f"s.{key}") == F.col(f"d.{key}")) & (F.col(f"d.{line}") > lo) & (F.col(f"d.{line}") < hi)
+    bucket = lambda x: F.floor(x / span)
+    s = s.withColumn("_b", F.explode(F.when(hi >= lo, F.sequence(bucket(lo), bucket(hi))))).alias("s")
+    d = d.withColumn("_b", bucket(F.col(line))).alias("d")
+    on = (F.col("s._b") == F.col("d._b")) & (F.col(f"s.{key}") == F.col(f"d.{key}")) & (F.col(f"d.{line}") > lo) & (F.col(f"d.{line}") < hi)
     if sink is None:
         on = on & (F.col(f"s.{name}") == F.col(f"d.{name}"))
     else:
@@ -147,8 +177,8 @@ def sources_or_earlier(nodes: DataFrame, src_lines: DataFrame, dst_lines: DataFr
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(node, rank): PageRank by repeated joins; weight of nodes without outgoing edges is spread over all."""
-    e = _cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    nodes = _cut(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct())
+    e = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    nodes = checkpointed(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct())
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(None).cast("double"))
@@ -159,7 +189,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
         given = rank.join(out, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         lost = rank.join(deg, F.col("node") == F.col("src"), "left_anti").agg(F.sum("rank")).first()[0] or 0.0
         rank = nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        rank = _cut(rank)
+        rank = checkpointed(rank)
     return rank
 
 
@@ -184,3 +214,21 @@ def distinct_nodes(nodes: DataFrame, order: str | None = None) -> DataFrame:
         return nodes.dropDuplicates(["id"])
     first = nodes.groupBy("id").agg(F.min(order).alias("_o"))
     return nodes.join(first, "id").where(F.col(order) == F.col("_o")).drop("_o").dropDuplicates(["id"])
+
+
+def pre_order(nodes: DataFrame, *keys: str) -> DataFrame:
+    """nodes with `order`, from 0: their place in a walk that takes a node before its children, these from left to right.
+
+    A node begins no later than its children and ends no earlier; of nodes over the same bytes the outer one has the
+    smaller depth, so (start, -end, depth, id) is this order, but that an
+    empty node comes after a sibling that begins where it does. Nodes are (keys, id, depth, start_byte, end_byte).
+    """
+    w = Window.partitionBy(*keys).orderBy("start_byte", F.col("end_byte").desc(), "depth", "id")
+    return nodes.withColumn("order", F.row_number().over(w) - 1)
+
+
+def captures(nodes: DataFrame, wanted: dict[str, tuple[str, ...]], *keys: str) -> DataFrame:
+    """(keys, capture, id, type, start_byte, end_byte) of nodes (type) for each capture's types, a stand-in for queries
+    on syntax trees; a node is in as many captures as name its type."""
+    names = F.create_map(*[F.lit(x) for t in sorted({t for ts in wanted.values() for t in ts}) for x in (t, "\x01".join(sorted(c for c, ts in wanted.items() if t in ts)))])
+    return nodes.withColumn("capture", F.explode(F.split(F.try_element_at(names, F.col("type")), "\x01"))).select(*keys, "capture", "id", "type", "start_byte", "end_byte")

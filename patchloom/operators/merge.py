@@ -42,9 +42,10 @@ def merge_snippets(snippets: DataFrame, key: str, snippet: str, text: str = "tex
 
 
 def drop_consecutive(rows: DataFrame, value: str, order: list[str], *keys: str) -> DataFrame:
-    """rows without those whose value equals the one before, in order, within their key."""
-    prev = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_prev", prev).where(F.col("_prev").isNull() | (F.col("_prev") != F.col(value))).drop("_prev")
+    """rows without those whose value equals the one before, in order, within their key; nulls are equal to each other."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = rows.withColumns({"_first": F.row_number().over(w) == 1, "_prev": F.lag(value).over(w)})
+    return rows.where(F.col("_first") | ~F.col("_prev").eqNullSafe(F.col(value))).drop("_first", "_prev")
 
 
 def render_trace(nodes: DataFrame, changed: DataFrame, mark: str, *keys: str) -> DataFrame:

@@ -140,8 +140,11 @@ def latest(rows: DataFrame, order: str, *keys: str) -> DataFrame:
 def rank_by_overlap(rows: DataFrame, query: str, text: str, tie: str, *keys: str) -> DataFrame:
     """rows with score and rank: a deterministic stand-in for a model that ranks texts for a description.
 
-    The score is the sum over words that both share of log(1 + rows / rows with the word), so rare words count more.
+    The score is the sum over words that both share of log(1 + rows / rows with the word), so rare words count more; it is
+    rounded to nine places, lest the order of summation decide ties. Ranks are within a key, and one is needed.
     """
+    if not keys:
+        raise ValueError("ranks need a key; one rank over all rows would be one task's work")
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: x != ""))
     x = rows.withColumn("_id", F.struct(*keys, tie))
     w = x.select("_id", F.explode(words(text)).alias("w"))
@@ -149,6 +152,5 @@ def rank_by_overlap(rows: DataFrame, query: str, text: str, tie: str, *keys: str
     q = x.select("_id", F.explode(words(query)).alias("w"))
     n = rows.count()
     s = w.join(q, ["_id", "w"]).join(df, "w").groupBy("_id").agg(F.sum(F.log(1 + F.lit(float(n)) / F.col("df"))).alias("score"))
-    out = x.join(s, "_id", "left").drop("_id").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), tie) if keys else Window.orderBy(F.col("score").desc(), tie)
-    return out.withColumn("rank", F.row_number().over(order))
+    out = x.join(s, "_id", "left").drop("_id").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), tie)))

@@ -134,6 +134,24 @@ def uncovered_events(spark: SparkSession, sf: str) -> DataFrame:
     return D.uncovered(ev.select("event_id", "user_id"), spans, "user_id", n="event_id")
 
 
+@bound(f"""WITH {VERSIONS} SELECT k AS l_orderkey, 'delete' AS side, n::int AS line_no FROM old WHERE f = 'R' AND NOT EXISTS (SELECT 1 FROM hm WHERE hm.k = old.k AND n BETWEEN a_start AND a_end)
+UNION ALL SELECT k, 'add', n::int FROM new WHERE again = 1 AND NOT EXISTS (SELECT 1 FROM hm WHERE hm.k = new.k AND n BETWEEN b_start AND b_end)""")
+def unmapped_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Deleted and added lines in no paired hunk."""
+    m, _, gone, _, added = _line_map(spark, sf)
+    hunks = D.hunk_map(D.runs(gone, "line_no", "l_orderkey"), D.runs(added, "line_no", "l_orderkey"), m, "l_orderkey")
+    a, d = D.unmapped(added.select("l_orderkey", "line_no"), gone.select("l_orderkey", "line_no"), hunks, "l_orderkey")
+    side = lambda x, s: x.select("l_orderkey", F.lit(s).alias("side"), "line_no")
+    return side(d, "delete").unionByName(side(a, "add"))
+
+
+@bound("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN w = string_split(p_name, ' ')[1] THEN p_brand ELSE w END), chr(10)) AS code FROM part""")
+def statements_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of part names as statements, the first one replaced by what a map gives."""
+    words = F.split("p_name", " ")
+    return table(spark, sf, "part").select("p_partkey", D.transform_back(words, F.create_map(words[0], F.col("p_brand"))).alias("code"))
+
+
 def _turn_diffs(spark: SparkSession, sf: str) -> DataFrame:
     """A patch for each two turns in a row: the first's lines deleted, the second's added after an equal line."""
     c = table(spark, sf, "conversations").where("text is not null")
@@ -205,19 +223,62 @@ def line_offsets(spark: SparkSession, sf: str) -> DataFrame:
 WS = r"[ \t\n\r\f\v]"
 
 
-@bound(f"""SELECT page_id, length(regexp_replace(html, '(?s)("(?:\\\\.|[^"\\\\])*"|''(?:\\\\.|[^''\\\\])*'')|(?:/\\*.*?\\*/|//[^\\r\\n]*)', '\\1', 'g'))::int AS n_code,
-length(regexp_replace(html, '{WS}+', '', 'g'))::int AS n_solid, length(regexp_replace(html, ',{WS}*', ', ', 'g'))::int AS n_params,
-length(replace(html, chr(10), ''))::int AS n_unbroken FROM pages""")
+@bound(f"""SELECT page_id, length(regexp_replace(html, '{WS}+', '', 'g'))::int AS n_solid, length(regexp_replace(html, ',{WS}*', ', ', 'g'))::int AS n_params,
+length(replace(html, chr(10), ''))::int AS n_unbroken, regexp_replace(regexp_replace(html, '(^|\\n){WS}*\\n', '\\1', 'g'), '(^|\\n){WS}*\\n', '\\1', 'g') AS filled FROM pages""")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    """pages' scripts and texts without comments, white space and line feeds, as lengths."""
+    """T4, T5: pages without white space and line feeds, as lengths, and without empty lines."""
     p, h = table(spark, sf, "pages", "page_id", "html"), F.col("html")
-    return p.select("page_id", F.length(T.remove_comments(h)).alias("n_code"), F.length(T.normalize(h, False)).alias("n_solid"), F.length(T.remove_param_linebreaks(h)).alias("n_params"), F.length(T.remove_linebreaks(h)).alias("n_unbroken"))
+    return p.select("page_id", F.length(T.normalize(h, False)).alias("n_solid"), F.length(T.remove_param_linebreaks(h)).alias("n_params"), F.length(T.remove_linebreaks(h)).alias("n_unbroken"), T.remove_empty_lines(h).alias("filled"))
+
+
+def _code(spark: SparkSession, sf: str) -> DataFrame:
+    """(p_partkey, code): a part as code with two comments, and two literals that look like comments."""
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    l = F.lit
+    return p.select("p_partkey", F.concat(l("f("), "p_size", l("); // "), "p_name", l('\n"a // '), "p_brand", l('" /* '), "p_type", l("\n*/ x = '/*';\n")).alias("code"))
+
+
+BARE = """'f(' || p_size || '); ' || chr(10) || '"a // ' || p_brand || '"  x = ''/*'';' || chr(10)"""
+
+
+@bound(f"SELECT p_partkey, {BARE} AS bare, regexp_replace({BARE}, '{WS}+', '', 'g') AS solid, {BARE} AS tokens FROM part")
+def code_cleanup(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as code without comments, by replacing them and by tokens, and without white space."""
+    c = F.col("code")
+    return _code(spark, sf).select("p_partkey", T.remove_comments(c).alias("bare"), T.normalize(c).alias("solid"), T.code_only(c).alias("tokens"))
+
+
+@bound("""SELECT p_partkey, '// ' || p_name AS comment FROM part UNION ALL SELECT p_partkey, '/* ' || p_type || chr(10) || '*/' FROM part""")
+def code_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct comments, literals being skipped."""
+    return _code(spark, sf).select("p_partkey", F.explode(T.comments(F.col("code"))).alias("comment"))
+
 
+@bound("""SELECT p_partkey, ' int f' || p_size || '( int a) { return 1;' || repeat(chr(10), 3) || '#include <' || p_brand || '>' || chr(10) || 'UNUSEDX; void g();' AS code, '<' || p_brand || '>' AS included FROM part""")
+def macros(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as code without macros, and what it includes."""
+    l = F.lit
+    code = F.concat(l("R_API int f"), "p_size", l("(IN int a) {\\\n  return 1;\n#define X\n#include <"), "p_brand", l(">\nUNUSEDX; METHODDEF(void) g();"))
+    return table(spark, sf, "part").select("p_partkey", T.del_macros(code).alias("code"), F.array_join(T.includes(code), ",").alias("included"))
 
-@bound(f"""SELECT page_id, c AS comment FROM (SELECT page_id, unnest(list_distinct(list_filter(regexp_extract_all(html, '(?s)((?:"(?:\\\\.|[^"\\\\])*"|''(?:\\\\.|[^''\\\\])*'')|(?:/\\*.*?\\*/|//[^\\r\\n]*))', 1), lambda x: starts_with(x, '/')))) AS c FROM pages)""")
-def page_comments(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct comments in pages, literals being skipped."""
-    return table(spark, sf, "pages", "page_id", "html").select("page_id", F.explode(T.comments(F.col("html"))).alias("comment"))
+
+@bound("""SELECT p_partkey, 'if(x){' || chr(10) || '{' || chr(10) || p_name || '}' || chr(10) || ';}' || chr(10) || 'y' AS code FROM part""")
+def brackets(spark: SparkSession, sf: str) -> DataFrame:
+    """Brackets around two nested bodies whose spans are given."""
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("if(x)"), "p_name", F.lit(";y")).alias("code"), F.octet_length("p_name").alias("n"))
+    span = lambda e: F.struct(F.lit(5).alias("start"), e.alias("end"))
+    return T.bracketed(p.withColumn("spans", F.array(span(F.col("n") + 5), span(F.col("n") + 4))), "code", "spans", "p_partkey")
+
+
+@bound("""SELECT p_partkey, 'c' AS language, 'int a  = ' || p_size || ';' || chr(10) || 'g();' || chr(10) AS code FROM part
+UNION ALL SELECT p_partkey, 'java', 'b .c(' || p_size || ') .d();' || chr(10) || '@A' || chr(10) || 'e();' || chr(10) FROM part""")
+def formatted_code(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as C and Java, in one form: no comments and macros, a statement a line, no empty lines."""
+    p = table(spark, sf, "part", "p_partkey", "p_name", "p_size")
+    c = p.select("p_partkey", F.lit("c").alias("language"), F.concat(F.lit("int a // "), "p_name", F.lit("\n  = "), "p_size", F.lit(";\n\n#define X\ng();\n")).alias("code"))
+    java = p.select("p_partkey", F.lit("java").alias("language"), F.concat(F.lit("b\n .c("), "p_size", F.lit(")\n .d(); /* "), "p_name", F.lit(" */\n@A\ne();\n")).alias("code"))
+    java = java.withColumn("code", F.regexp_replace("code", r" /\*", "/*"))
+    return T.formatted(c, "code", "p_partkey", "language").unionByName(T.formatted(java, "code", "p_partkey", "language", language="java"))
 
 
 @bound("""SELECT page_id, CASE WHEN contains(url, 'ghostscript') THEN 'ghostscript' WHEN contains(url, 'gitlab') THEN 'gitlab' ELSE 'github' END AS kind,
@@ -247,11 +308,103 @@ def answer_items(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", F.lit(True).alias("some"), F.posexplode(T.answer_items(F.col("text"))).alias("pos", "item"))
 
 
-@bound("""SELECT p_partkey, regexp_extract(lower(p_name), '\\.([^./]*)$', 1) AS ext, false AS allowed, regexp_replace(trim(p_name || ' #x'), '[\\s#?/].*$', '') AS id FROM part""")
+@bound("""WITH n AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN '.c' WHEN 1 THEN '.hpp' WHEN 2 THEN '.txt' WHEN 3 THEN '.C' ELSE '' END AS name FROM part)
+SELECT p_partkey, p_partkey % 5 IN (0, 1, 3) AS allowed, regexp_replace(trim(name || ' #x'), '[\\s#?/].*$', '') AS id, 'old/' || replace(name, ' ', '_') AS old_file, replace(name, ' ', '_') AS new_file FROM n""")
 def name_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Extension rule and scrubbing of ids, on part names (none has an extension)."""
+    """Extension rule, scrubbing of ids and names in a header, on part names with extensions."""
     p = table(spark, sf, "part", "p_partkey", "p_name")
-    return p.select("p_partkey", F.regexp_extract(F.lower("p_name"), r"\.([^./]*)$", 1).alias("ext"), P.allowed(F.col("p_name")).alias("allowed"), P.scrub_commit(F.concat("p_name", F.lit(" #x"))).alias("id"))
+    ext = F.element_at(F.array(*map(F.lit, (".c", ".hpp", ".txt", ".C", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    p = p.select("p_partkey", F.concat("p_name", ext).alias("name"))
+    plain = F.replace(F.col("name"), F.lit(" "), F.lit("_"))
+    old, new = P.file_header(F.concat(F.lit("diff --git a/old/"), plain, F.lit(" b/"), plain, F.lit("\n--- a/x")))
+    return p.select("p_partkey", P.allowed(F.col("name")).alias("allowed"), P.scrub_commit(F.concat("name", F.lit(" #x"))).alias("id"), old.alias("old_file"), new.alias("new_file"))
+
+
+# --- Sources ----------------------------------------------------------------------------------------------------------
+
+
+@bound("""WITH c AS (SELECT c_custkey AS k, 'r' || c_nationkey AS repo, c_custkey % 7 AS v, c_name AS t FROM customer)
+SELECT c.k, c.t AS old_text, n.t AS new_text FROM c LEFT JOIN c n ON n.k = c.k + 1 AND n.repo = c.repo""")
+def blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of two versions of a file, customers being files of their nations."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("r"), "c_nationkey").alias("repo"), (F.col("c_custkey") % 7).alias("commit"), F.concat(F.lit("f"), "c_custkey").alias("path"), F.col("c_name").alias("text"))
+    f = c.select("k", "repo", F.col("commit").alias("pre_commit"), ((F.col("k") + 1) % 7).alias("post_commit"), F.col("path").alias("old_file"), F.concat(F.lit("f"), F.col("k") + 1).alias("new_file"))
+    return P.with_blobs(f, c.drop("k")).select("k", "old_text", "new_text")
+
+
+@bound("""WITH t AS (SELECT conv_id * 100 + turn AS k, turn % 4 AS m, role FROM conversations)
+SELECT k, CASE m WHEN 0 THEN '-' || role || chr(10) || '+x' WHEN 1 THEN 'diff --git a/f b/f' || chr(10) || '+' || role END AS diff, CASE WHEN m < 2 THEN 'found' WHEN m = 2 THEN 'wrong_answer' ELSE 'not_found' END AS status FROM t""")
+def answer_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    """Diffs in answers: fenced, bare, none at all, no answer."""
+    m = F.col("turn") % 4
+    text = F.when(m == 0, F.concat(F.lit("so\n```diff\n-"), "role", F.lit("\n+x\n```\nend"))).when(m == 1, F.concat(F.lit("see\ndiff --git a/f b/f\n+"), "role")).when(m == 2, F.concat(F.lit("no "), "role"))
+    return P.answer_diffs(table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), text.alias("text")), "k")
+
+
+@bound("""SELECT n_nationkey AS k, v AS version, 'p' || n_regionkey AS src, 'n' || n_nationkey AS dst, n_regionkey::int AS src_line, NULL::int AS tgt_line, 2::bigint AS n_points FROM nation, (VALUES ('pre'), ('post')) t(v)""")
+def call_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Points and edges of nested call graphs, one a nation, with a line that is missing."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("p"), "n_regionkey").alias("a"), F.concat(F.lit("n"), "n_nationkey").alias("b"), F.col("n_regionkey").cast("string").alias("r"))
+    g = F.struct(F.array("a", "b").alias("points"), F.array(F.array("a", "b", "r")).alias("edges"))
+    points, edges = P.call_graph(n.select("k", g.alias("pre"), g.alias("post")), "k")
+    return edges.join(points.groupBy("k", "version").agg(F.count("node").alias("n_points")), ["k", "version"])
+
+
+@bound("""SELECT conv_id, v AS version, 0 AS path_id, (row_number() OVER (PARTITION BY conv_id, v ORDER BY turn) - 1)::int AS pos, role AS file, 'm' || turn AS method, turn::int AS line FROM conversations, (VALUES ('pre'), ('post')) t(v)""")
+def taint_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of nested traces, a conversation being one and its turns the nodes."""
+    node = F.struct(F.col("role").alias("file"), F.concat(F.lit("m"), "turn").alias("method"), F.col("turn").cast("int").alias("lineNumber"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("turn", node.alias("n")))), lambda x: x["n"])
+    c = table(spark, sf, "conversations", "conv_id", "turn", "role").groupBy("conv_id").agg(F.array(path).alias("pre")).withColumn("post", F.col("pre"))
+    return P.taint_nodes(c, "conv_id")
+
+
+@bound("""SELECT n_regionkey AS k, 'r"' || n_regionkey || chr(92) AS src, n_name AS dst FROM nation""")
+def dot_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    """regions' nations as DOT graphs and back, with quotes and backslashes in names."""
+    e = table(spark, sf, "nation").select(F.col("n_regionkey").alias("k"), F.concat(F.lit('r"'), "n_regionkey", F.lit("\\")).alias("src"), F.col("n_name").alias("dst"))
+    return P.dot_edges(P.to_dot(e, "k").withColumnRenamed("dot", "text"), "k").drop("pos")
+
+
+@bound("""SELECT user_id, tool, event_id::int AS found_sec, crash_id, n, sig FROM (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'aflgo' WHEN 'signup' THEN 'beacon' END AS tool, lpad((event_id % 1000000)::varchar, 6, '0') AS crash_id, event_id AS n, 6::int AS sig FROM events)""")
+def fuzz_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Found crashes of logs, an event being a log with a heading or without, and the parts of their names."""
+    head = F.when(F.col("event_type") == "error", "# AFLGo\n").when(F.col("event_type") == "signup", "## beacon\n").otherwise("")
+    name = F.concat(F.lit("id:"), F.lpad((F.col("event_id") % 1_000_000).cast("string"), 6, "0"), F.lit(","), "event_id", F.lit(",sig:06,src:000004"))
+    ev = table(spark, sf, "events").select("user_id", "event_id", name.alias("name"), F.lit("log.md").alias("file"), F.concat(head, F.lit("found at "), "event_id", F.lit(" sec.\nend")).alias("text"))
+    found = P.fuzz_events(ev, "user_id", "event_id", "name")
+    return found.select("user_id", "tool", "found_sec", *P.crash_name(F.col("name"))[:3])
+
+
+@bound("""SELECT c_custkey AS k, 'c' AS op, c_nationkey::int AS old_start, (c_nationkey + 1)::int AS old_end, s AS side, CASE s WHEN '<' THEN c_name ELSE c_mktsegment END AS text, c_nationkey::int AS src_line FROM customer, (VALUES ('<'), ('>')) t(s)""")
+def tool_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of diffs in normal format, and node mappings, made from customers."""
+    c = table(spark, sf, "customer")
+    d = c.select(F.col("c_custkey").alias("k"), F.concat("c_nationkey", F.lit(","), F.col("c_nationkey") + 1, F.lit("c7\n< "), "c_name", F.lit("\n---\n> "), "c_mktsegment").alias("text"))
+    m = c.select(F.col("c_custkey").alias("k"), F.concat(F.lit("name: x  @ "), "c_nationkey", F.lit(" @ if  @ 9 @ ")).alias("text"))
+    return P.normal_diff(d, "k").select("k", "op", "old_start", "old_end", "side", "text").join(P.node_mapping(m, "k").select("k", "src_line"), "k")
+
+
+@bound("""SELECT user_id, event_id, 'Error' AS level, event_type AS name, 'at ' || event_id AS message, (event_id % 100)::int AS offset FROM events WHERE event_type = 'error'""")
+def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors among nested diagnostics."""
+    msg = F.struct(F.concat(F.lit("at "), "event_id").alias("Message"), (F.col("event_id") % 100).cast("int").alias("FileOffset"))
+    d = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "Error").otherwise("Warning").alias("Level"), F.col("event_type").alias("DiagnosticName"), msg.alias("DiagnosticMessage"))
+    return P.errors_of(d, "user_id", "event_id")
+
+
+@bound("""WITH d AS (SELECT DISTINCT ON (item_id) item_id, text FROM benchmark) SELECT c_custkey, n.text AS description FROM customer LEFT JOIN d n ON n.item_id = c_custkey""")
+def descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with the text of the benchmark item of their number, if there is one."""
+    d = table(spark, sf, "benchmark").select(F.col("item_id").alias("c_custkey"), F.col("text").alias("description"))
+    return P.with_description(table(spark, sf, "customer", "c_custkey"), d, "c_custkey")
+
+
+@bound("""SELECT a.conv_id, 'q' AS "left", 'a' AS "right", a.text = b.text AS is_same FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1""")
+def artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """The first turns of a conversation as two artifacts to compare."""
+    c = table(spark, sf, "conversations").select("conv_id", F.when(F.col("turn") == 0, "q").when(F.col("turn") == 1, "a").otherwise("-").alias("name"), "text")
+    return P.compare_artifacts(c, [("q", "a")], "conv_id")
 
 
 # --- Graphs -----------------------------------------------------------------------------------------------------------
@@ -312,14 +465,12 @@ def graph_paths_target(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(G.simple_paths(e, ends.where("is_source"), ends.where("is_sink"), through="n7"))
 
 
-BIP = """b AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice < 2000)"""
-BIP_ALL = """b AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
-SMALL = "o_totalprice < 2000"
+BIP = """b AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
 
 
-def _orders_graph(spark: SparkSession, sf: str, kept: str = "true") -> DataFrame:
-    """Customers and suppliers who met in an order that is kept."""
-    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice").where(kept)
+def _orders_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and suppliers who met in an order."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey")
     l = table(spark, sf, "lineitem", "l_orderkey", "l_suppkey")
     return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
 
@@ -334,32 +485,16 @@ def _links(e: DataFrame) -> DataFrame:
     return G.touching(e, own.select(F.col("src").alias("node")).unionByName(own.select(F.col("dst").alias("node"))).distinct())
 
 
-COMPONENT = """WITH RECURSIVE {b}, u AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b), r AS (
-  SELECT dst AS node FROM b WHERE dst LIKE 's1%' UNION SELECT u.dst FROM r JOIN u ON u.src = r.node) SELECT node FROM r"""
-LINKS = """WITH {b} SELECT src, dst FROM b WHERE src LIKE 'c1%' OR dst IN (SELECT dst FROM b WHERE src LIKE 'c1%')"""
-
-
-@bound(COMPONENT.format(b=BIP))
+@bound(f"""WITH RECURSIVE {BIP}, u AS (SELECT src, dst FROM b UNION SELECT dst, src FROM b), r AS (
+  SELECT dst AS node FROM b WHERE dst LIKE 's1%' UNION SELECT u.dst FROM r JOIN u ON u.src = r.node) SELECT node FROM r""")
 def graph_component(spark: SparkSession, sf: str) -> DataFrame:
-    """All customers and suppliers linked, in either direction, with suppliers whose name holds s1; small orders only."""
-    return _component(_orders_graph(spark, sf, SMALL))
-
-
-@bound(COMPONENT.format(b=BIP_ALL))
-def graph_component_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over all orders."""
+    """All customers and suppliers linked, in either direction, with suppliers whose name holds s1."""
     return _component(_orders_graph(spark, sf))
 
 
-@bound(LINKS.format(b=BIP))
+@bound(f"WITH {BIP} SELECT src, dst FROM b WHERE src LIKE 'c1%' OR dst IN (SELECT dst FROM b WHERE src LIKE 'c1%')")
 def graph_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Links with either end among the customers c1... or their suppliers; small orders only."""
-    return _links(_orders_graph(spark, sf, SMALL))
-
-
-@bound(LINKS.format(b=BIP_ALL))
-def graph_filter_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over all orders."""
+    """Links with either end among the customers c1... or their suppliers."""
     return _links(_orders_graph(spark, sf))
 
 
@@ -378,7 +513,7 @@ FLOWS = """SELECT s.user_id, s.event_type, s.event_id AS src_line, d.event_id AS
 def taint_window_same(spark: SparkSession, sf: str) -> DataFrame:
     """A user's events of one type, the second within 3000 ids after the first."""
     ev = table(spark, sf, "events", "user_id", "event_type", "event_id")
-    return G.window_flows(ev, "user_id", "event_type", "event_id", F.col("s.event_id"), F.col("s.event_id") + 3000)
+    return G.window_flows(ev, "user_id", "event_type", "event_id", F.col("s.event_id"), F.col("s.event_id") + 3000, span=3000)
 
 
 @bound(FLOWS + " AND d.event_type = 'purchase' AND s.event_type = 'signup'")
@@ -386,7 +521,7 @@ def taint_window(spark: SparkSession, sf: str) -> DataFrame:
     """Signups and the same user's purchases within 3000 ids."""
     ev = table(spark, sf, "events", "user_id", "event_type", "event_id")
     sink = (F.col("d.event_type") == "purchase") & (F.col("s.event_type") == "signup")
-    return G.window_flows(ev, "user_id", "event_type", "event_id", F.col("s.event_id"), F.col("s.event_id") + 3000, sink)
+    return G.window_flows(ev, "user_id", "event_type", "event_id", F.col("s.event_id"), F.col("s.event_id") + 3000, sink, span=3000)
 
 
 @bound("""WITH s AS (SELECT user_id, event_id FROM events WHERE event_type = 'signup'), t AS (SELECT user_id, max(event_id) AS m FROM events WHERE event_type = 'purchase' GROUP BY user_id)
@@ -398,6 +533,58 @@ def taint_sources(spark: SparkSession, sf: str) -> DataFrame:
     return G.sources_or_earlier(ev.select("user_id", "line"), pick("signup"), pick("purchase"), "user_id")
 
 
+@bound(f"""WITH {TREE} SELECT 'r' || n_regionkey || '>n' || n_nationkey || '>s' || s_suppkey AS path, 'r' || n_regionkey || '>n' || n_nationkey || ':' || n_nationkey || ',n' || n_nationkey || '>s' || s_suppkey || ':' || s_suppkey AS hops FROM nation JOIN supplier ON s_nationkey = n_nationkey""")
+def graph_path_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths from regions to suppliers with the lines of their edges."""
+    e = _tree(spark, sf)
+    line = F.regexp_extract("dst", r"(\d+)$", 1).cast("int")
+    g = G.build_graph(e.withColumns({"src_line": line, "tgt_line": line}))
+    sup = e.select(F.col("dst").alias("node")).where("node like 's%'")
+    paths = G.simple_paths(e, e.select(F.col("src").alias("node")).where("node like 'r%'"), sup)
+    hops = F.transform("edge_path", lambda x: F.concat(x["caller"], F.lit(">"), x["callee"], F.lit(":"), x["source_tgt_pairs"][0]["s"]))
+    return G.paths_with_lines(paths, g).select(F.array_join("node_path", ">").alias("path"), F.array_join(hops, ",").alias("hops"))
+
+
+@bound("""WITH v AS (SELECT * FROM (VALUES ('pre'), ('post')) t(version)), s AS (SELECT n_regionkey AS k, n_nationkey AS n, s_suppkey AS x FROM nation JOIN supplier ON s_nationkey = n_nationkey)
+SELECT s.k, version, 's' || x || '>n' || n || '>a/f#r' || k AS path FROM s, v WHERE version = 'pre' OR n % 2 = 0""")
+def trigger_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """For each region and version all paths from suppliers to the region's trigger, which is named by the old version
+    alone; the new version has lost the nations of odd number."""
+    n = table(spark, sf, "nation").withColumnRenamed("n_regionkey", "k")
+    sup = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("k", "n_nationkey", F.concat(F.lit("n"), "n_nationkey").alias("dst"), F.concat(F.lit("s"), "s_suppkey").alias("src"))
+    top = n.select("k", "n_nationkey", F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("a/f#r"), "k").alias("dst"))
+    both = top.unionByName(sup)
+    edges = both.withColumn("version", F.lit("pre")).unionByName(both.where("n_nationkey % 2 = 0 or src like 's%'").withColumn("version", F.lit("post")))
+    points = top.select("k", F.lit("pre").alias("version"), F.col("dst").alias("node")).unionByName(top.select("k", F.lit("post").alias("version"), F.lit("b/f#r0").alias("node"))).distinct()
+    starts = sup.select("k", F.explode(F.array(F.lit("pre"), F.lit("post"))).alias("version"), F.col("src").alias("node"))
+    wanted = n.select("k", F.concat(F.lit("f#r"), "k").alias("name")).distinct()
+    return G.trigger_paths(points, edges, starts, wanted, "k").select("k", "version", F.array_join("node_path", ">").alias("path"))
+
+
+def _turn_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as trees: a root over turns of ten bytes each."""
+    c = table(spark, sf, "conversations", "conv_id", "turn", "role")
+    turns = c.select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).alias("id"), F.lit(1).alias("depth"), F.col("role").alias("type"), (F.col("turn") * 10).alias("start_byte"), (F.col("turn") * 10 + 10).alias("end_byte"))
+    root = turns.groupBy("doc").agg(F.lit(0).cast("long").alias("id"), F.lit(0).alias("depth"), F.lit("root").alias("type"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"))
+    return turns.unionByName(root)
+
+
+@bound("""WITH t AS (SELECT conv_id AS doc, turn + 1 AS id, role AS type, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS o FROM conversations UNION ALL SELECT DISTINCT conv_id, 0, 'root', 0 FROM conversations)
+SELECT doc, id, o::int AS "order", c AS capture FROM t JOIN (VALUES ('root', 'any'), ('user', 'any'), ('user', 'asked'), ('assistant', 'any')) x(type, c) ON x.type = t.type""")
+def node_captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Node tables: nodes in order of a walk, and what captures by type find."""
+    n = _turn_nodes(spark, sf)
+    found = G.captures(n, {"any": ("root", "user", "assistant"), "asked": ("user",)}, "doc").select("doc", "id", "capture")
+    return G.pre_order(n, "doc").select("doc", "id", "order").join(found, ["doc", "id"])
+
+
+@bound("SELECT user_id AS id, min(event_id) AS first_id FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id")
+def node_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Node tables: nodes of two types, one row an id."""
+    n = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("type"), F.col("event_id").alias("first_id"))
+    return G.distinct_nodes(G.select_nodes(n, "error", "purchase"), "first_id").select("id", "first_id")
+
+
 @bound("""SELECT conv_id AS doc, turn AS id, role AS type FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1""")
 def node_select(spark: SparkSession, sf: str) -> DataFrame:
     """Node tables: the first child of one type, a conversation being a parent of its turns."""
@@ -407,12 +594,17 @@ def node_select(spark: SparkSession, sf: str) -> DataFrame:
     return G.children(n, roots, "assistant", first=True).select("doc", "id", "type")
 
 
-def rank_suppliers(spark: SparkSession, sf: str) -> DataFrame:
-    """PageRank of the tree; no SQL, tests compare it with plain iteration."""
-    return G.pagerank(_tree(spark, sf))
+RANK = f"""WITH {TREE}, v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*)::double AS n FROM v), d AS (SELECT src, count(*) AS deg FROM e GROUP BY src),
+r0 AS (SELECT node, 1 / n AS rank FROM v, n)""" + "".join(f""",
+r{i + 1} AS MATERIALIZED (SELECT v.node, 0.15 / n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node NOT IN (SELECT src FROM d)) / n + 0.85 * coalesce(got, 0) AS rank
+  FROM v CROSS JOIN n LEFT JOIN (SELECT dst, sum(rank / deg) AS got FROM e JOIN d USING (src) JOIN r{i} ON r{i}.node = src GROUP BY dst) g ON g.dst = v.node)""" for i in range(20)) + " SELECT node, round(rank, 9) AS rank FROM r20"
+
 
+@bound(RANK)
+def rank_suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty rounds of PageRank on the tree."""
+    return G.pagerank(_tree(spark, sf)).withColumn("rank", F.round("rank", 9))
 
-QUERIES["rank_suppliers"] = rank_suppliers
 
 # --- Merging ----------------------------------------------------------------------------------------------------------
 
@@ -644,7 +836,7 @@ def nearest_parent(spark: SparkSession, sf: str) -> DataFrame:
     return P.nearest_parent(s, files, "Makefile")
 
 
-# --- Sequential operators: no SQL; tests compare with plain rules ------------------------------------------------------
+# --- Sequential operators; where there is no SQL, tests compare with plain rules ------------------------------------------------------
 
 
 def _near_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -672,7 +864,10 @@ def statement_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return D.map_statements(t, "conv_id", "turn")
 
 
-@bound()
+@bound("""WITH c AS (SELECT conv_id, turn, text, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT conv_id, turn, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM c), v AS (SELECT DISTINCT conv_id, turn, unnest(string_split_regex(lower(q), '[^\\p{L}\\p{N}_]+')) AS w FROM c),
+d AS (SELECT w, count(*) AS df FROM w WHERE w <> '' GROUP BY w), s AS (SELECT conv_id, turn, sum(ln(1 + (SELECT count(*) FROM c) / df)) AS score FROM w JOIN v USING (conv_id, turn, w) JOIN d USING (w) GROUP BY ALL),
+r AS (SELECT conv_id, turn, round(coalesce(score, 0), 9) AS score FROM c LEFT JOIN s USING (conv_id, turn)) SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn))::int AS rank FROM r""")
 def overlap_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of a conversation ranked for its first turn by shared words."""
     c = table(spark, sf, "conversations").where("text is not null")
@@ -692,10 +887,11 @@ def call_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages", "page_id", "html").select("page_id", F.size(T.calls(F.col("html"))).alias("n_calls"))
 
 
-@bound()
+@bound("""WITH p AS (SELECT l_orderkey, list(l_partkey::varchar ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY 1)
+SELECT l_orderkey, len(p) >= 3 AS recovered, array_to_string(list_slice(p, 1, 3), chr(10)) AS text, (least(len(p), 3) - 1)::int AS used FROM p""")
 def recovery(spark: SparkSession, sf: str) -> DataFrame:
     """M6: orders' lines put back one by one until there are three."""
     l = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))
-    o = l.groupBy("l_orderkey").agg(lines.alias("pool")).withColumn("base", F.slice("pool", 1, 1)).withColumn("pool", F.slice("pool", 2, 100))
+    o = l.groupBy("l_orderkey").agg(lines.alias("pool")).withColumn("base", F.slice("pool", 1, 1)).withColumn("pool", F.expr("slice(pool, 2, size(pool))"))
     return M.recover(o, lambda t: t.count("\n") >= 2, "l_orderkey")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark 4.1.2 lets a union keep its children's partitioning and then leaves out the exchange that an aggregation or
 #: window over it needs; rows of one key can then stay apart, and counts come out wrong. Off, unions lose their partitioning.
 #: Batches for Python are bounded by bytes too: rows are whole texts, and ten thousand of them are much for one worker.
-REQUIRED = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Recursive queries are bounded by their own conditions, not by a number of rows.
+REQUIRED = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.cteRecursionRowLimit": "-1", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 #: Where Python workers find this package, if it is not installed.
@@ -32,3 +33,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 def prepared(df: DataFrame) -> DataFrame:
     prepare(df.sparkSession)
     return df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder; a temporary folder only where none is named on a local master."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            at = tempfile.mkdtemp(prefix="patchloom-")
+        sc.setCheckpointDir(at)
+    return df.checkpoint()

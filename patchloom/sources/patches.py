@@ -155,17 +155,30 @@ def errors_of(diags: DataFrame, *keys: str) -> DataFrame:
     return diags.where(F.col("Level") == "Error").select(*keys, F.col("Level").alias("level"), F.col("DiagnosticName").alias("name"), F.col("DiagnosticMessage.Message").alias("message"), F.col("DiagnosticMessage.FileOffset").alias("offset"))
 
 
+def escape_dot(text: Column) -> Column:
+    """DOT text in which quotes inside quoted names are escaped: those that neither begin nor end a name.
+
+    A quote begins a name after a line's start, blank, =, [, comma, ; or {, and ends one before a line's end, blank, comma,
+    ], ; or }. Escaped ones stay as they are.
+    """
+    return F.regexp_replace(text, r'(?m)(?<![\\\s=\[,;{])(?<!^)"(?![\s,\];}]|$)', r'\\"')
+
+
 def dot_edges(rows: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """(keys, pos, src, dst) of edges `a -> b` in DOT graphs, quoted or plain names; other statements are left out."""
+    """(keys, pos, src, dst) of edges `a -> b` in DOT graphs, quoted or plain names; other statements are left out.
+
+    Names with quotes that nobody escaped need escape_dot() first.
+    """
     p = r"""^\s*("(?:\\.|[^"\\])*"|[\w.#:/]+)\s*->\s*("(?:\\.|[^"\\])*"|[\w.#:/]+)"""
     l = rows.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(p))
-    bare = lambda i: F.regexp_replace(F.regexp_replace(F.regexp_extract("line", p, i), r'^"|"$', ""), r'\\"', '"')
+    plain = lambda i: F.regexp_replace(F.regexp_extract("line", p, i), r'^"|"$', "")
+    bare = lambda i: F.replace(F.replace(F.replace(F.replace(plain(i), F.lit("\\\\"), F.lit("\x01")), F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\x01"), F.lit("\\"))
     return l.select(*keys, "pos", bare(1).alias("src"), bare(2).alias("dst"))
 
 
 def to_dot(edges: DataFrame, *keys: str) -> DataFrame:
-    """(keys, dot): graphs as DOT text, edges in order of their ends."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """(keys, dot): graphs as DOT text, edges in order of their ends; backslashes, quotes and line feeds in names are escaped."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
     line = F.concat(F.lit("  "), quoted("src"), F.lit(" -> "), quoted("dst"), F.lit(";"))
     g = edges.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
     return g.select(*keys, F.concat(F.lit("digraph {\n"), F.col("body"), F.lit("\n}\n")).alias("dot"))
@@ -193,6 +206,12 @@ def nearest_parent(paths: DataFrame, files: DataFrame, filename: str) -> DataFra
     return paths.select("path").distinct().join(hit, "path", "left")
 
 
+def with_description(items: DataFrame, descriptions: DataFrame, key: str, text: str = "description") -> DataFrame:
+    """items with the text of their description; null where there is none. Of several, the least counts."""
+    one = descriptions.groupBy(key).agg(F.min(text).alias(text))
+    return items.join(one, key, "left")
+
+
 def compare_artifacts(artifacts: DataFrame, pairs: list[tuple[str, str]], *keys: str) -> DataFrame:
     """(keys, left, right, is_same) for named pairs of artifacts (keys, name, text); pairs with a missing side are left out."""
     table = F.broadcast(artifacts.sparkSession.createDataFrame(pairs, "left string, right string"))

@@ -107,5 +107,5 @@ def test_orders_graph_holds_all_orders(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     sf = f"file://{tmp_path}"
-    assert {r["node"] for r in bindings.graph_component_all(spark, sf).collect()} == {"s11", "c7", "c8", "s22"}
-    assert {tuple(r) for r in bindings.graph_filter_all(spark, sf).collect()} == {("c15", "s33")}
+    assert {r["node"] for r in bindings.graph_component(spark, sf).collect()} == {"s11", "c7", "c8", "s22"}
+    assert {tuple(r) for r in bindings.graph_filter(spark, sf).collect()} == {("c15", "s33")}
