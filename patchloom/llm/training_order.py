@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +72,39 @@ def tokenized(docs: DataFrame, model: str = S.MODEL) -> DataFrame:
     return docs.select(*own, "text").mapInArrow(run, T.StructType([f for f in docs.schema.fields if f.name != "text"] + new.fields))
 
 
-def materialise(docs: DataFrame, key: int = 4, length: int = LENGTH, per_shard: int = SHARD, model: str = S.MODEL, only: DataFrame | None = None) -> DataFrame:
+def plan(docs: DataFrame, length: int, model: str, at: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(tokens of documents, number of each document's first sequence, number of sequences); see materialise().
+
+    Both tables are kept in the folder `at`, if given, and read from there where an earlier call has finished them.
+    """
+    spark = docs.sparkSession
+
+    def kept(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if at is None:
+            return C.cut(make(), name)
+        if not exists(spark, f"{at}/{name}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(f"{at}/{name}")
+        return spark.read.parquet(f"{at}/{name}")
+
+    tokens = kept("tokens", lambda: tokenized(C.prepared(docs).select(*C.identity(), "text"), model))
+
+    def numbered() -> DataFrame:
+        slim = tokens.where("n_tokens > 0").select("_k", "_t", F.ceil(F.col("n_tokens") / length).cast("long").alias("_s")).dropDuplicates(["_k", "_t"])
+        index, _ = C.dense_index(slim, [F.col("_k"), F.col("_t")])
+        # running sum in two levels: over blocks of documents, then within each
+        index = C.cut(index.withColumn("_b", F.floor(F.col("_i") / 4096)), "order")
+        blocks = index.groupBy("_b").agg(F.sum("_s").alias("_n")).withColumn("_c", F.floor(F.col("_b") / 4096))
+        outer = blocks.groupBy("_c").agg(F.sum("_n").alias("_m"))
+        outer = outer.withColumn("_outer", F.coalesce(F.sum("_m").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_c", "_outer")
+        blocks = blocks.join(outer, "_c").withColumn("_before", F.col("_outer") + F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        within = F.coalesce(F.sum("_s").over(Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return index.join(blocks.select("_b", "_before"), "_b").select("_k", "_t", "_s", (F.col("_before") + within).alias("_base"))
+
+    base = kept("base", numbered)
+    return tokens, base.drop("_s"), int(base.agg(F.sum("_s")).first()[0] or 0)
+
+
+def materialise(docs: DataFrame, key: int = 4, length: int = LENGTH, per_shard: int = SHARD, model: str = S.MODEL, only: DataFrame | None = None, at: str | None = None) -> DataFrame:
     """Shards in training order: (shard, first_slot, n_sequences, stride, n_tokens, doc_ids, payload, sha256).
 
     A document's tokens are cut into sequences of `length`, the last one padded; documents without tokens have none.
@@ -83,25 +115,14 @@ def materialise(docs: DataFrame, key: int = 4, length: int = LENGTH, per_shard:
     shard may hold fewer. doc_ids has the document of each record.
 
     Ranges of slots are partitions, and shards only need their own, so work lost with an executor is done again for its
-    shards alone; `only`, a table with a column shard, makes just these (those missing after an interrupted run).
+    shards alone; `only`, a table with a column shard, makes just these (those missing after an interrupted run: see
+    write_shards()). `at` names a folder that keeps the plan, for calls that make a part each.
 
     Null text has no tokens; null ids come last, as null in doc_ids. Rows equal in id and text are numbered as one
     document and then repeated rows share slots, so only one of them is taken. Empty in, empty out. Other columns of
     docs are not used.
     """
-    keyed = C.prepared(docs).select(*C.identity(), "text")
-    tokens = C.cut(tokenized(keyed, model), "tokens")
-    slim = tokens.where("n_tokens > 0").select("_k", "_t", F.ceil(F.col("n_tokens") / length).cast("long").alias("_s")).dropDuplicates(["_k", "_t"])
-    index, n_docs = C.dense_index(slim, [F.col("_k"), F.col("_t")])
-    # running sum in two levels: over blocks of documents, then within each
-    index = C.cut(index.withColumn("_b", F.floor(F.col("_i") / 4096)), "order")
-    blocks = index.groupBy("_b").agg(F.sum("_s").alias("_n")).withColumn("_c", F.floor(F.col("_b") / 4096))
-    outer = blocks.groupBy("_c").agg(F.sum("_n").alias("_m"))
-    outer = outer.withColumn("_outer", F.coalesce(F.sum("_m").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_c", "_outer")
-    blocks = blocks.join(outer, "_c").withColumn("_before", F.col("_outer") + F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.coalesce(F.sum("_s").over(Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = C.cut(index.join(blocks.select("_b", "_before"), "_b").select("_k", "_t", (F.col("_before") + within).alias("_base")), "base")
-    total = int(index.agg(F.sum("_s")).first()[0] or 0)
+    tokens, base, total = plan(docs, length, model, at)
     wide_ = S.pieces(S.model_path(model), S.ALPHA).sp.get_piece_size() > 1 << 16
     step = stride(length, wide_)
     width = 4 if wide_ else 2
@@ -155,16 +176,27 @@ def materialise(docs: DataFrame, key: int = 4, length: int = LENGTH, per_shard:
     return dealt.mapInArrow(shard, "shard int, first_slot long, n_sequences int, stride int, n_tokens long, doc_ids array<long>, payload binary, sha256 string")
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:
-    """Writes the shards that path does not hold yet, in one committed write, and gives the table at path.
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-    An interrupted write leaves no committed files behind, so the call can be made again; a finished one does nothing.
+
+def write_shards(docs: DataFrame, path: str, per_wave: int = 4096, length: int = LENGTH, per_shard: int = SHARD, model: str = S.MODEL, **options) -> DataFrame:
+    """Writes the shards that path does not hold yet, and gives the table at path.
+
+    Shards are written in waves of per_wave, a committed folder each, after the plan (tokens and the order of documents),
+    which is kept beside them. A call that follows an interrupted one, with the same arguments, makes only what is
+    missing: the plan if that broke off, and the shards of waves that are not committed.
     """
     spark = docs.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        materialise(docs, **options).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    total = plan(docs, length, model, f"{path}/_plan")[2]
+    shards = -(-total // per_shard)
+    for wave in range(max(1, -(-shards // per_wave))):
+        folder = f"{path}/wave={wave}"
+        if not exists(spark, f"{folder}/_SUCCESS"):
+            only = spark.range(wave * per_wave, min(shards, (wave + 1) * per_wave)).select(F.col("id").cast("int").alias("shard"))
+            materialise(docs, length=length, per_shard=per_shard, model=model, only=only, at=f"{path}/_plan", **options).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(path).drop("wave")
 
 
 def read_slots(shards: DataFrame, start: int, count: int, per_shard: int = SHARD, wide: bool = False) -> DataFrame:

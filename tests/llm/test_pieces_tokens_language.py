@@ -123,6 +123,22 @@ def test_training_order_round_trip(spark, model, tmp_path):
     assert training_order.materialise(df.limit(0)).count() == 0
 
 
+def test_interrupted_shards_go_on(spark, tmp_path):
+    """Of three waves the second is lost: only its folder is written anew, with the bytes that it had."""
+    docs = spark.createDataFrame([(i, "alpha beta " * (i % 30), i, "mine") for i in range(40)], "doc_id long, text string, slot int, _k string")
+    options = dict(length=16, per_shard=8, per_wave=4)
+    path = f"{tmp_path}/s"
+    first = {r["shard"]: r["sha256"] for r in training_order.write_shards(docs, f"file://{path}", **options).collect()}
+    waves = sorted(p.name for p in (tmp_path / "s").glob("wave=*"))
+    assert len(waves) >= 3 and len(first) == len(set(first.values())) > 8
+    (tmp_path / "s/wave=1/_SUCCESS").unlink()
+    for f in (tmp_path / "s/wave=1").glob("part-*"):
+        f.write_bytes(b"broken")
+    old = {f: f.stat().st_mtime_ns for w in ("wave=0", "wave=2", "_plan/tokens", "_plan/base") for f in (tmp_path / "s" / w).iterdir()}
+    again = {r["shard"]: r["sha256"] for r in training_order.write_shards(docs, f"file://{path}", **options).collect()}
+    assert again == first and all(f.stat().st_mtime_ns == t for f, t in old.items())
+
+
 def test_ledger(spark, tmp_path):
     led = token_ledger.TokenLedger(spark, f"file://{tmp_path}/ledger")
     assert led.totals().count() == 0
