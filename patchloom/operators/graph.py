@@ -56,7 +56,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, stops: DataFrame, *keys: s
     a path of one node. With `through`, only paths that hold this node. Edges that can't lie on such a path are dropped
     first: both ends must be reachable from the starts and reach the stops, and with `through` lie before or after it
     (sources and sinks stay those of the whole graph). Paths grow by a recursive query; as no node stands twice, the
-    number of nodes that are left bounds their length (or `limit`, if given: longer paths raise an error). The number
+    number of edges that are left bounds their length (or `limit`, if given: longer paths raise an error). The number
     of simple paths itself is the only other bound.
     """
     spark = edges.sparkSession
@@ -69,11 +69,9 @@ def simple_paths(edges: DataFrame, starts: DataFrame, stops: DataFrame, *keys: s
             mid = starts.select(*keys, "node").unionByName(stops.select(*keys, "node")).select(*keys, F.lit(through).alias("node")).distinct()
             keep = reach(e, mid, *keys).unionByName(reach(back, mid, *keys)).distinct()
         e = e.join(keep.withColumnRenamed("node", "src"), [*keys, "src"], "left_semi").join(keep.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi")
+    e = checkpointed(e)
     if limit is None:
-        e = checkpointed(e)
-        count = e.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
-        count = count.groupBy(*keys).count() if keys else count.agg(F.count(F.lit(1)).alias("count"))
-        limit = (count.agg(F.max("count")).first()[0] or 0) + 1
+        limit = e.count() + 1
     tag = uuid.uuid4().hex
     names = {n: f"pl_{n}_{tag}" for n in ("e", "a", "z")}
     e.createOrReplaceTempView(names["e"])
@@ -182,15 +180,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(None).cast("double"))
-    deg = e.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
+    deg = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
+    nodes = checkpointed(nodes.join(deg, "node", "left"))
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    out = e.join(deg, "src")
     for _ in range(rounds):
-        given = rank.join(out, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        lost = rank.join(deg, F.col("node") == F.col("src"), "left_anti").agg(F.sum("rank")).first()[0] or 0.0
-        rank = nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        given = rank.join(e, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
+        lost = rank.where("deg is null").agg(F.sum("rank")).first()[0] or 0.0
+        rank = nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", "deg", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         rank = checkpointed(rank)
-    return rank
+    return rank.select("node", "rank")
 
 
 def select_nodes(nodes: DataFrame, *types: str) -> DataFrame:
