@@ -6,6 +6,7 @@ Keys are column names that identify a pair of texts (patch, file); every operato
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left, bisect_right
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -186,35 +187,47 @@ def _opcodes(a: list[str], b: list[str], blind: bool) -> list[tuple[str, int, in
     return difflib.SequenceMatcher(None, [key(x) for x in a], [key(x) for x in b], autojunk=False).get_opcodes()
 
 
-def unified(old: str | None, new: str | None, context: int = 3, ignore_space: bool = True, name: str = "file") -> str:
+def unified(old: str | None, new: str | None, context: int | str = 3, ignore_space: bool = True, name: str = "file") -> str:
     """A valid unified diff of two texts; lines equal but for white space count as equal unless told otherwise.
 
-    Among several shortest-ish diffs the one with the longest common blocks first is taken; other tools may choose
-    another. Equal texts give an empty string; null is an empty text.
+    context is a number of lines, "full" for all, or "function": then a hunk reaches back to the line that begins the
+    function it lies in and on to the line before the next one begins. A function begins at a line whose first character
+    is a letter, _ or $. Among several shortest-ish diffs the one with the longest common blocks first is taken; other
+    tools may choose another. Equal texts give an empty string; null is an empty text.
     """
     a, b = ([] if not t else t.split("\n") for t in (old, new))
     ops = _opcodes(a, b, ignore_space)
     if all(op[0] == "equal" for op in ops):
         return ""
+    begins = [i for i, x in enumerate(a) if x[:1].isalpha() or x[:1] in ("_", "$")] if context == "function" else []
+
+    def before(i: int) -> int:
+        """Equal lines to show before a change at line i of the old text."""
+        if context == "full":
+            return len(a)
+        return i - begins[k - 1] if begins and (k := bisect_right(begins, i)) else i if context == "function" else context
+
+    def after(i: int) -> int:
+        """Equal lines to show behind a change that ends at line i."""
+        if context == "full":
+            return len(a)
+        return (begins[k] if (k := bisect_left(begins, i)) < len(begins) else len(a)) - i if context == "function" else context
+
     groups: list[list[tuple[str, int, int, int, int]]] = [[]]
-    for tag, i1, i2, j1, j2 in ops:
-        if tag == "equal" and i2 - i1 > 2 * context:
-            groups[-1].append((tag, i1, min(i2, i1 + context), j1, min(j2, j1 + context)))
-            groups.append([])
-            i1, j1 = max(i1, i2 - context), max(j1, j2 - context)
+    for at, (tag, i1, i2, j1, j2) in enumerate(ops):
+        if tag == "equal":
+            behind = after(i1) if at else 0
+            ahead = before(i2) if at < len(ops) - 1 else 0
+            if behind + ahead < i2 - i1:
+                if behind:
+                    groups[-1].append((tag, i1, i1 + behind, j1, j1 + behind))
+                groups.append([(tag, i2 - ahead, i2, j2 - ahead, j2)] if ahead else [])
+                continue
         groups[-1].append((tag, i1, i2, j1, j2))
     out = [f"diff --git a/{name} b/{name}", f"--- a/{name}", f"+++ b/{name}"]
     for g in groups:
         if all(x[0] == "equal" for x in g):
             continue
-        if g[0][0] == "equal":
-            t, i1, i2, j1, j2 = g[0]
-            cut = max(0, i2 - i1 - context)
-            g[0] = (t, i1 + cut, i2, j1 + cut, j2)
-        if g[-1][0] == "equal":
-            t, i1, i2, j1, j2 = g[-1]
-            cut = max(0, i2 - i1 - context)
-            g[-1] = (t, i1, i2 - cut, j1, j2 - cut)
         i1, i2, j1, j2 = g[0][1], g[-1][2], g[0][3], g[-1][4]
         out.append(f"@@ -{i1 + (i2 > i1)},{i2 - i1} +{j1 + (j2 > j1)},{j2 - j1} @@")
         for tag, a1, a2, b1, b2 in g:
@@ -364,7 +377,7 @@ def transform_back(statements: Column, mapping: Column) -> Column:
     return F.array_join(F.transform(statements, lambda x: F.coalesce(F.try_element_at(mapping, x), x)), "\n")
 
 
-def text_diffs(pairs: DataFrame, *keys: str, old: str = "old", new: str = "new", context: int = 3) -> DataFrame:
+def text_diffs(pairs: DataFrame, *keys: str, old: str = "old", new: str = "new", context: int | str = 3) -> DataFrame:
     """(keys, diff): unified() for each row."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema.fields), "diff string"])
 

@@ -97,3 +97,42 @@ def test_pre_order_and_captures(spark):
     df = spark.createDataFrame([(0, 0, "f", 0, 9), (1, 1, "g", 0, 9), (2, 2, "h", 0, 4), (3, 2, "h", 5, 9), (4, 1, None, 9, 9)], "id int, depth int, type string, start_byte int, end_byte int").withColumn("doc", F.lit(1))
     assert [r["id"] for r in G.pre_order(df, "doc").orderBy("order").collect()] == [0, 1, 2, 3, 4]
     assert {(r["capture"], r["id"]) for r in G.captures(df, {"a": ("h",), "b": ("h", "f")}, "doc").collect()} == {("a", 2), ("a", 3), ("b", 2), ("b", 3), ("b", 0)}
+
+
+def test_contexts_of_diffs():
+    old = "\n".join(["int f()", "{", " a", " b", "}", "", "int g()", "{", " c", "}", "int h()", " d"])
+    new = old.replace(" b", " B")
+    body = lambda c: D.unified(old, new, c).split("\n")[3:-1]
+    assert body(1) == ["@@ -3,3 +3,3 @@", "  a", "- b", "+ B", " }"]
+    assert body("function") == ["@@ -1,6 +1,6 @@", " int f()", " {", "  a", "- b", "+ B", " }", " "]
+    assert len(body("full")) == 1 + 13
+    both = old.replace(" b", " B").replace(" d", " D")
+    assert [x for x in D.unified(old, both, "function").split("\n") if x.startswith("@@")] == ["@@ -1,6 +1,6 @@", "@@ -11,2 +11,2 @@"]
+    assert [x for x in D.unified(old, both, 0).split("\n") if x.startswith("@@")] == ["@@ -4,1 +4,1 @@", "@@ -12,1 +12,1 @@"]
+    rng = random.Random(5)
+    for _ in range(200):
+        x, y = ("\n".join(rng.choice(["a", " b", "c", " d"]) for _ in range(rng.randrange(1, 12))) for _ in range(2))
+        for c in (0, 1, 3, "function", "full"):
+            changes, i, j = [], 0, 0
+            for line in D.unified(x, y, c, ignore_space=False).split("\n")[3:-1]:
+                if line.startswith("@@"):
+                    i, j = (int(p[1:].split(",")[0]) - (p.endswith(",0") is False) for p in line.split(" ")[1:3])
+                    continue
+                if line[0] != "+":
+                    i += 1
+                if line[0] != "-":
+                    j += 1
+                changes += [("delete", i, line[1:])] if line[0] == "-" else [("add", j, line[1:])] if line[0] == "+" else []
+            assert D.apply_diff(x, changes) == y
+
+
+def test_readers_and_writers(spark, tmp_path):
+    (tmp_path / "w.csv").write_text('CVE_ID,patch,TOOL_R2\nC1,"https://github.com/o/r/commit/aa#diff-1\nhttps://github.com/o/r/commit/bb",x\n')
+    row = P.read_work(spark, f"file://{tmp_path}/w.csv").first()
+    assert (row["repo_name"], row["pre_commit"], row["post_commit"], row["tool_results"]) == ("o@@r", "aa", "bb", "x")
+    df = spark.createDataFrame([("a/b.c", "int x;")], "path string, text string")
+    P.write_json(df, f"file://{tmp_path}/j")
+    assert [tuple(r) for r in spark.read.json(f"file://{tmp_path}/j").select("path", "text").collect()] == [("a/b.c", "int x;")]
+    (tmp_path / "g.json").write_text('{"pre": {"points": ["a"], "edges": [["a", "b", "1", "2"]]}, "post": null}')
+    points, edges = P.call_graph(P.read_json(spark, f"file://{tmp_path}/g.json", P.CALL_GRAPH))
+    assert [tuple(r) for r in points.collect()] == [("pre", "a")] and [tuple(r) for r in edges.collect()] == [("pre", "a", "b", 1, 2)]
