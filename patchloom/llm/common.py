@@ -8,10 +8,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patchloom.session import prepared
 
-#: A side of a join is broadcast only when its rows times their measured width stay below this.
+#: A side of a join is broadcast only when its measured size stays below this.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a null id where ids are ordered: null ids come last.
 NULL_ID = (1 << 63) - 1
@@ -63,14 +64,35 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a table made by cut() may be broadcast: its rows are counted, row_bytes is a bound on their mean width."""
-    return df.count() * row_bytes <= limit
+def _bytes(kind: T.DataType, x: Column) -> Column | int:
+    """Bytes that a value takes beside its eight in a row: a number, or a column where values differ."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(x), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return 8 + sum((8 + _bytes(f.dataType, x.getField(f.name)) for f in kind.fields), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        inner = _bytes(kind.elementType, F.lit(None))
+        one = 8 + inner if isinstance(inner, int) else 8 * (2 + len(getattr(kind.elementType, "fields", [])))
+        return F.greatest(F.size(x), F.lit(0)) * one + 16
+    return 0
 
 
-def side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df with a broadcast hint if its counted size allows it, else as it is: then Spark shuffles both sides."""
-    return F.broadcast(df) if small_enough(df, row_bytes) else df
+def measured(df: DataFrame) -> int:
+    """Bytes that a table made by cut() takes as rows of a join's hash table: rows are counted, and so are the sizes of
+    texts and arrays in them; a row has eight bytes for each column, and forty for itself and its place in the table."""
+    wide = sum((_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0))
+    n, extra = df.agg(F.count(F.lit(1)), F.sum(wide)).first()
+    return n * (40 + 8 * len(df.columns)) + int(extra or 0)
+
+
+def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a table made by cut() is small, see measured()."""
+    return measured(df) <= limit
+
+
+def side(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its measured size allows it, else as it is: then Spark shuffles both sides."""
+    return F.broadcast(df) if small_enough(df) else df
 
 
 def sized(df: DataFrame, n_bytes: float, per_core: int = 1, part: int = 8 << 20) -> DataFrame:
@@ -79,9 +101,9 @@ def sized(df: DataFrame, n_bytes: float, per_core: int = 1, part: int = 8 << 20)
     return df.coalesce(int(max(per_core * df.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // part))))
 
 
-def compact(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES // 4) -> DataFrame:
+def compact(df: DataFrame, limit: int = BROADCAST_BYTES // 4) -> DataFrame:
     """A table made by cut(), read by one task if its counted size allows it: what follows then needs no exchange."""
-    return df.coalesce(1) if small_enough(df, row_bytes, limit) else df
+    return df.coalesce(1) if small_enough(df, limit) else df
 
 
 def identity(text: str = "text", doc_id: str = "doc_id") -> list[Column]:

@@ -60,7 +60,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     """
     rows = prepared(labelled).select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = C.cut(rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")), "langs")
-    share = C.side(sizes, 40).select(F.col("lang").alias("_l"), (F.lit(float(sample)) / F.col("n")).alias("_share"))
+    share = C.side(sizes).select(F.col("lang").alias("_l"), (F.lit(float(sample)) / F.col("n")).alias("_share"))
     drawn = rows.join(share, F.col("lang") == F.col("_l")).where(C.hash_unit("text", seed=9) < F.col("_share")).select("lang", "text").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
         t = by(col, name)
         spread = 1.0 / max(1, t.count())
         whole = [float(x or 0.0) for x in t.agg(*[F.sum(F.col(name)[i]) for i in range(k)]).first()]
-        out = out.join(C.side(t.withColumnRenamed(col, f"{col}_"), 40 + 8 * k), F.col(col) == F.col(f"{col}_"), "left").drop(f"{col}_")
+        out = out.join(C.side(t.withColumnRenamed(col, f"{col}_")), F.col(col) == F.col(f"{col}_"), "left").drop(f"{col}_")
         # log P(value | language) without the row itself; no language says nothing about what is declared, its
         # probability is that over all languages
         of = F.zip_with(F.zip_with(F.col(name), F.col("_p"), less), F.zip_with(F.array(*map(F.lit, whole)), F.col("_p"), less), lambda a, b: F.log((a + spread) / (b + 1.0)))
@@ -191,7 +191,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], declared: str
         joint = F.zip_with(joint, F.when(F.col(name).isNull(), zero).otherwise(F.concat(F.slice(of, 1, k - 1), F.array(none))), lambda a, b: a + b)
     for col, name in (("_o", "_no"), ("_h", "_nh")):
         t = by(col, name).withColumnRenamed(col, f"{col}_")
-        out = out.join(C.side(t, 60 + 8 * k), F.col(col) == F.col(f"{col}_"), "left").drop(f"{col}_")
+        out = out.join(C.side(t), F.col(col) == F.col(f"{col}_"), "left").drop(f"{col}_")
 
     def leant(counts: str, on: Column) -> Column:
         """Shares by the sums without the row's own part, leaning on another distribution."""

@@ -114,12 +114,11 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_near_chars: int = MIN_N
         distinct = C.cut(distinct, "lines")
         near = C.cut(_near(keyed, distinct, min_near_chars), "linesn")
         C.release(docs.sparkSession)
-        distinct = distinct.join(C.side(near, 40), ["h1", "h2"], "left_anti")
+        distinct = distinct.join(C.side(near), ["h1", "h2"], "left_anti")
     stay = distinct.select("first._k", "first._t", "first.pos").unionByName(every.where("blank").select("_k", "_t", "pos").distinct())
     stay = C.cut(stay.groupBy("_k", "_t").agg(F.array_sort(F.collect_list("pos")).alias("_stay")), "linesk")
     C.release(docs.sparkSession)
-    bytes_ = 32 + 4 * (stay.agg(F.avg(F.size("_stay"))).first()[0] or 0)
-    out = keyed.join(C.side(stay, bytes_), ["_k", "_t"], "left")
+    out = keyed.join(C.side(stay), ["_k", "_t"], "left")
     parts = F.split(F.col("text"), "\n")
     kept = F.coalesce(F.col("_stay"), F.array().cast("array<int>"))
     out = out.withColumn("_parts", parts).withColumns({
@@ -139,15 +138,15 @@ def _near(keyed: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
     keys = long_.select("h1", "h2", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("m > 1 and lo < hi").select("key")
     shared = C.cut(shared, "linesh")
-    cand = keys.join(C.side(shared, 16), "key", "left_semi").select("h1", "h2").distinct()
+    cand = keys.join(C.side(shared), "key", "left_semi").select("h1", "h2").distinct()
     cand = C.cut(cand.join(long_.select("h1", "h2", "first", "n"), ["h1", "h2"]).select("h1", "h2", "n", "first._k", "first._t", "first.pos"), "linesc")
     # their texts: read from where each first stands
-    texts = _lines(keyed).join(C.side(cand, 56), ["_k", "_t", "pos"]).dropDuplicates(["h1", "h2"])
+    texts = _lines(keyed).join(C.side(cand), ["_k", "_t", "pos"]).dropDuplicates(["h1", "h2"])
     texts = C.cut(texts, "linest")
     C.release(keyed.sparkSession)
     seg = texts.select("h1", "h2", F.explode(_segments(line, n)).alias("s")).select("h1", "h2", "s.*")
     open_ = seg.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    seg = C.cut(seg.join(C.side(C.cut(open_, "lineso"), 16), "key", "left_semi").select("h1", "h2", "seg", "c").distinct(), "liness")
+    seg = C.cut(seg.join(C.side(C.cut(open_, "lineso")), "key", "left_semi").select("h1", "h2", "seg", "c").distinct(), "liness")
     v = texts.join(seg, ["h1", "h2"]).select(
         F.struct("_k", "_t", "pos").alias("ord"), "h1", "h2", F.explode(_variants(line, n, F.col("seg"), F.col("c"))).alias("x")
     ).select("ord", "h1", "h2", "x.*")

@@ -295,7 +295,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
     # where the buckets held too few, or vectors have another length, all rows of the length are looked at in blocks
     lengths = C.cut(every_length.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("deal")), "lengths")
     enough = done.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
-    short = all_asked.withColumn("d", F.size("_v")).join(C.side(lengths, 16), "d").join(enough, "query_id", "left")
+    short = all_asked.withColumn("d", F.size("_v")).join(C.side(lengths), "d").join(enough, "query_id", "left")
     short = C.cut(short.where(F.coalesce("m", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("query_id", "_v", "d", "deal"), "short")
     asked_n = short.count()
     if asked_n:

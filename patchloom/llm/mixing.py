@@ -109,8 +109,8 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, cycle: tuple[
 
     def ranked(rows: DataFrame, by: DataFrame) -> DataFrame:
         """rows with the source's plan, certain copies and rank in (0, 1)."""
-        by = C.side(by.withColumnRenamed("source", "_source"), 200)
-        of = C.side(expected, 100)
+        by = C.side(by.withColumnRenamed("source", "_source"))
+        of = C.side(expected)
         named = F.concat_ws("|", F.lit(str(seed)), F.when(F.col("_k") != C.NULL_ID, F.col("_k").cast("string")).otherwise(F.concat(F.lit("null "), F.col("_t"))), "source")
         u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
         odds = F.col("_u") / (1 - F.col("_u"))
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, cycle: tuple[
     cut1 = C.cut(crossing(sums, "_c1", "_need"), "mix1")
 
     def within(rows: DataFrame, cuts: DataFrame, on: list[str]) -> DataFrame:
-        cuts = C.side(cuts.select(*[F.col(c).alias(f"_x{c}") for c in on], "_rest"), 100)
+        cuts = C.side(cuts.select(*[F.col(c).alias(f"_x{c}") for c in on], "_rest"))
         same = rows["source"].eqNullSafe(cuts["_xsource"])
         for c in on[1:]:
             same = same & (rows[c] == cuts[f"_x{c}"])

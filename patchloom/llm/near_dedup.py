@@ -253,53 +253,53 @@ def near_classes(docs: DataFrame) -> DataFrame:
     vertex = cut(vertex.select(F.monotonically_increasing_id().alias("v"), "id", "k", "copies", "n_bytes", "s.*"), "vertex")
     bands = vertex.select("v", "n_bytes", F.explode("keys").alias("key"))
     full = bands.groupBy("key").agg(F.min("v").alias("leader"), F.max("v").alias("last")).where("leader < last").select("key", "leader")
-    bands = cut(bands.join(C.side(cut(C.sized(full, 16 * BANDS * n / 2), "full"), 16), "key"), "bands")
-    bands = C.compact(bands, 28)
+    bands = cut(bands.join(C.side(cut(C.sized(full, 16 * BANDS * n / 2), "full")), "key"), "bands")
+    bands = C.compact(bands)
     C.release(spark)
     # stars
     star = bands.groupBy("v").agg(F.min("leader").alias("group"), F.first("n_bytes").alias("n_bytes"))
-    star = C.compact(cut(star, "star"), 20)
+    star = C.compact(cut(star, "star"))
     size = star.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("n_bytes") / TEXT_BYTES)).alias("n"))
-    star = C.compact(cut(star.join(size, "group").select("v", "group", "n", _block("v", F.col("n")).alias("i")), "star"), 28)
+    star = C.compact(cut(star.join(size, "group").select("v", "group", "n", _block("v", F.col("n")).alias("i")), "star"))
     centre = star.select(F.col("group").alias("v"), "group", "n").distinct().select("v", "group", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i"))
     member = cut(star.where("v <> group").select("v", "group", "i").unionByName(centre), "member")
-    need = cut(vertex.join(C.side(star.select("v"), 8), "v", "left_semi").select("v", "id", "n_bytes"), "need")
-    texts = rows.select("id", "text").join(C.side(need.select("v", "id"), 24), "id").dropDuplicates(["v"]).select("v", F.col("text").alias("x"))
+    need = cut(vertex.join(C.side(star.select("v")), "v", "left_semi").select("v", "id", "n_bytes"), "need")
+    texts = rows.select("id", "text").join(C.side(need.select("v", "id")), "id").dropDuplicates(["v"]).select("v", F.col("text").alias("x"))
     of = need.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
     wide = (of[0] or 0) + 64 * of[1]
     texts = cut(C.sized(texts, wide, 2), "texts")
-    met = texts.join(C.side(member, 20), "v").select("group", "i", F.lit(0).alias("j"), "v", F.col("v").alias("comp"), "x")
+    met = texts.join(C.side(member), "v").select("group", "i", F.lit(0).alias("j"), "v", F.col("v").alias("comp"), "x")
     links = cut(_dealt(met, 2 * wide).mapInArrow(_compare, "a long, b long"), "links")
     labels = components(links, bag)
     # buckets that are still open
-    now = bands.select("key", "v", "leader").join(C.side(labels.withColumnRenamed("id", "v"), 16), "v", "left").join(C.side(star, 28), "v")
+    now = bands.select("key", "v", "leader").join(C.side(labels.withColumnRenamed("id", "v")), "v", "left").join(C.side(star), "v")
     now = cut(now.select("key", "v", "leader", F.coalesce("comp", "v").alias("comp"), "group", "i"), "now")
     head, tail = F.col("v") == F.col("leader"), F.col("v") != F.col("leader")
     sums = {n: f(F.when(w, F.col(c))) for n, f, w, c in (("g0", F.min, tail, "group"), ("g1", F.max, tail, "group"), ("i0", F.min, tail, "i"), ("i1", F.max, tail, "i"), ("hg", F.min, head, "group"), ("hi", F.min, head, "i"))}
-    per = C.compact(now, 44).groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("leader").alias("l"), F.count(F.lit(1)).alias("m"), *(c.alias(n) for n, c in sums.items()))
+    per = C.compact(now).groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.first("leader").alias("l"), F.count(F.lit(1)).alias("m"), *(c.alias(n) for n, c in sums.items()))
     settled = F.expr("c0 = c1 or g0 = g1 and i0 = i1 and (g0 = l or g0 = hg and i0 = hi)")
     mixed = cut(per.where(~settled).select(F.col("key").alias("group"), F.ceil(F.col("m") / SKETCHES).alias("n")), "mixed")
     if not mixed.isEmpty():
-        open_ = now.select(F.col("key").alias("group"), "v", "comp").join(C.side(mixed, 16), "group").join(vertex.select("v", "sketch"), "v")
+        open_ = now.select(F.col("key").alias("group"), "v", "comp").join(C.side(mixed), "group").join(vertex.select("v", "sketch"), "v")
         copies = 200 * (mixed.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0) * SKETCHES
         close = cut(_dealt(_blocks(open_, "n", "v", "comp", "sketch"), copies).mapInArrow(_families, "a long, b long"), "near")
         fam = components(close, bag).select(F.col("id").alias("v"), F.col("comp").alias("group"))
-        fam = fam.join(vertex.select("v", "n_bytes"), "v").join(C.side(labels.withColumnRenamed("id", "v"), 16), "v", "left").select("v", "group", "n_bytes", F.coalesce("comp", "v").alias("comp"))
-        fam = C.compact(cut(fam, "fam"), 28)
+        fam = fam.join(vertex.select("v", "n_bytes"), "v").join(C.side(labels.withColumnRenamed("id", "v")), "v", "left").select("v", "group", "n_bytes", F.coalesce("comp", "v").alias("comp"))
+        fam = C.compact(cut(fam, "fam"))
         size = fam.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("n_bytes") / TEXT_BYTES)).alias("n"))
         fam = cut(fam.join(size, "group").select("v", "group", "comp", "n"), "fam")
         copies = (wide / max(1, of[1])) * (fam.agg(F.sum("n")).first()[0] or 0)
-        pairs = _dealt(_blocks(texts.join(C.side(fam, 32), "v"), "n", "v", "comp", "x"), copies)
+        pairs = _dealt(_blocks(texts.join(C.side(fam), "v"), "n", "v", "comp", "x"), copies)
         more = cut(pairs.mapInArrow(_compare, "a long, b long"), "more")
         labels = components(links.unionByName(more), bag)
     # the classes' names; texts of one row without links keep theirs
     linked = labels.join(vertex.select(F.col("v").alias("id"), F.col("id").alias("name"), "k"), "id")
     linked = cut(linked.select("comp", "name", "k"), "linked")
     least = linked.groupBy("comp").agg(F.min("k").alias("class_id"))
-    named = C.side(cut(linked.join(least, "comp").select(F.col("name").alias("id"), "class_id"), "named"), 24)
+    named = C.side(cut(linked.join(least, "comp").select(F.col("name").alias("id"), "class_id"), "named"))
     lone = vertex.where("copies > 1").select("id", F.col("k").alias("class_id")).join(named, "id", "left_anti")
     named = cut(lone.unionByName(named), "named")
-    out = signed.join(C.side(named, 24), "id", "left")
+    out = signed.join(C.side(named), "id", "left")
     out = out.select(F.col("k").alias("_k"), F.col("id").alias("_id"), F.coalesce("class_id", "k").alias("class_id"), F.col("sketch").isNotNull().alias("has_words"))
     out = C.cut(out, "class")
     C.drop_bag(spark, bag)
@@ -320,7 +320,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = stay.where("has_words").groupBy("_k").agg(F.min("_id").alias("_id"))
     stay = C.cut(first.unionByName(stay.where("not has_words").select("_k", "_id").distinct()), "stay")
     held = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("_k"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("_id"))
-    out = held.join(C.side(stay, 32), ["_k", "_id"], "left_semi")
+    out = held.join(C.side(stay), ["_k", "_id"], "left_semi")
     # rows equal in id and text are copies too
     twice = out.groupBy("_k", "_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return (out.dropDuplicates(["_k", "_id"]) if twice else out).select("_row.*")

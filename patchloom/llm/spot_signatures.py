@@ -114,7 +114,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     n = max(n, 1)
     want = index.select(F.pmod(F.col("_i") + 1, F.lit(n)).alias("_i"), F.floor(F.col("n_chars") / 3).cast("int").alias("_want"))
     index = C.cut(index.select("_k", "_t", "_i").join(want, "_i"), "index")
-    placed = keyed.join(C.side(index, 40), ["_k", "_t"])
+    placed = keyed.join(C.side(index), ["_k", "_t"])
     sign = signatures(F.col("text"))
     own = placed.select("doc_id", "_i", "text", "n_chars")
     front = placed.dropDuplicates(["_i"]) if index.count() < docs.count() else placed

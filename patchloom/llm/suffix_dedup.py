@@ -214,7 +214,7 @@ def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
         return keyed.withColumn("_u", F.col("_k")), bits
     ids, _ = C.dense_index(keyed.select("_k", "_t").distinct(), [F.col("_k"), F.col("_t")])
     ids = C.cut(ids.withColumnRenamed("_i", "_u"), "ids")
-    return keyed.join(C.side(ids, 24), ["_k", "_t"]), bits
+    return keyed.join(C.side(ids), ["_k", "_t"]), bits
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -240,13 +240,13 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
 
     every = base.mapInArrow(scan, "g long, c long, pos long, n short")
     often = C.cut(every.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "often")
-    rows = C.cut(every.join(C.side(often, 8), "g", "left_semi"), "rows")
+    rows = C.cut(every.join(C.side(often), "g", "left_semi"), "rows")
     C.release(docs.sparkSession)
     firsts = C.cut(rows.groupBy("g", "c").agg(F.min("pos").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("m")), "firsts")
     copied = firsts.where("m > 1").select("g", "c", "first")
     same = rows.join(copied, ["g", "c"]).where("pos > first").select("pos", F.col("n").cast("int").alias("n"))
     kinds = C.cut(firsts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "kinds")
-    mixed = firsts.join(C.side(kinds.select("g", (F.col("m") > GROUP).alias("hot")), 12), "g")
+    mixed = firsts.join(C.side(kinds.select("g", (F.col("m") > GROUP).alias("hot"))), "g")
     mask = (1 << bits) - 1
     want = mixed.select(F.shiftright("first", bits).alias("_u"), F.struct("g", (F.col("first").bitwiseAND(mask)).alias("lo"), F.col("n").cast("int").alias("n"), "hot").alias("w"))
     want = C.cut(want.groupBy("_u").agg(F.collect_list("w").alias("w")), "want")

@@ -167,9 +167,9 @@ def materialise(docs: DataFrame, key: int = 4, length: int = LENGTH, per_shard:
         if rows:
             yield out(now, rows)
 
-    rows = tokens.join(C.side(base, 24), ["_k", "_t"]).select("_k", "_base", "ids").mapInArrow(records, "shard int, slot long, doc long, body binary")
+    rows = tokens.join(C.side(base), ["_k", "_t"]).select("_k", "_base", "ids").mapInArrow(records, "shard int, slot long, doc long, body binary")
     if only is not None:
-        rows = rows.join(C.side(C.cut(only.select("shard").distinct(), "only"), 4), "shard", "left_semi")
+        rows = rows.join(C.side(C.cut(only.select("shard").distinct(), "only")), "shard", "left_semi")
     parts = max(1, min(shards, max(12, -(-total * step // (32 << 20)))))
     range_ = F.floor(F.col("shard") * F.lit(parts) / F.lit(max(1, shards))).cast("int")
     dealt = rows.repartitionById(parts, range_).sortWithinPartitions("slot")
