@@ -99,7 +99,8 @@ def trigger_paths(points: DataFrame, edges: DataFrame, modified: DataFrame, want
     """
     first = points.where(F.col(version) == of)
     trigger = resolve_suffix(first, wanted, *keys).select(*keys, "node").distinct()
-    stops = edges.select(*keys, version).distinct().join(trigger, [*keys]) if keys else edges.select(version).distinct().join(F.broadcast(trigger))
+    graph = lambda df: df.withColumn("_g", F.struct(*keys) if keys else F.lit(0))
+    stops = graph(edges.select(*keys, version).distinct()).join(graph(trigger).select("_g", "node"), "_g")
     return simple_paths(edges, modified, stops.select(*keys, version, "node"), *keys, version).distinct()
 
 
