@@ -253,7 +253,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     vertex = cut(vertex.select(F.monotonically_increasing_id().alias("v"), "id", "k", "copies", "n_bytes", "s.*"), "vertex")
     bands = vertex.select("v", "n_bytes", F.explode("keys").alias("key"))
     full = bands.groupBy("key").agg(F.min("v").alias("leader"), F.max("v").alias("last")).where("leader < last").select("key", "leader")
-    bands = cut(bands.join(C.side(cut(C.sized(full, 16 * BANDS * n / 2), "full")), "key"), "bands")
+    bands = cut(bands.join(C.side(cut(C.sized(full, 16 * BANDS * n), "full")), "key"), "bands")
     bands = C.compact(bands)
     C.release(spark)
     # stars
