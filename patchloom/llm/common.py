@@ -90,9 +90,9 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return measured(df) <= limit
 
 
-def side(df: DataFrame) -> DataFrame:
+def side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its measured size allows it, else as it is: then Spark shuffles both sides."""
-    return F.broadcast(df) if small_enough(df) else df
+    return F.broadcast(df) if small_enough(df, limit) else df
 
 
 def sized(df: DataFrame, n_bytes: float, per_core: int = 1, part: int = 8 << 20) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.llm import common as C
-from patchloom.llm.shingles import CHUNK, U, part_hash, prefix_hash
+from patchloom.llm.shingles import CHUNK, U, part_hash, prefix_hash, tidy
 
 #: Bytes that a repeated passage has at least, and bytes of the grams that anchor it.
 LEAST, GRAM = 100, 24
@@ -19,6 +19,9 @@ LEAST, GRAM = 100, 24
 GROUP = 20_000
 #: Bytes of contexts that are suffix-sorted at once, beyond which only a single anchor's may go.
 SORTED = 1 << 20
+#: Anchors that occur more than once are broadcast up to this size, four million of them: a shuffle of all runs of windows
+#: instead takes an executor of 3 GB to its limit on half a GB of texts.
+ANCHORS = 192 << 20
 
 
 def _parts(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -199,6 +202,7 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(ctx)
     if rows:
         yield out(rows)
+    tidy()
 
 
 def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
@@ -237,10 +241,11 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Data
             d, lo, n, g, c = anchors(texts)
             pos = (np.array(ids, np.int64)[d] << bits) | lo
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(pos), pa.array(n.astype(np.int16))], ["g", "c", "pos", "n"])
+        tidy()
 
     every = base.mapInArrow(scan, "g long, c long, pos long, n short")
     often = C.cut(every.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "often")
-    rows = C.cut(every.join(C.side(often), "g", "left_semi"), "rows")
+    rows = C.cut(every.join(C.side(often, ANCHORS), "g", "left_semi"), "rows")
     C.release(docs.sparkSession)
     firsts = C.cut(rows.groupBy("g", "c").agg(F.min("pos").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("m")), "firsts")
     copied = firsts.where("m > 1").select("g", "c", "first")
