@@ -74,11 +74,8 @@ def exact_match(a: Column, b: Column) -> Column:
 
 
 def splice_lines(code: Column) -> Column:
-    """Lines that end in a backslash joined to the next by a blank; as many empty lines follow, so later ones keep their
-    numbers."""
-    marked = F.regexp_replace(code, r"\\\n[ \t]*", " \x03")
-    whole = lambda l: F.concat(F.replace(l, F.lit("\x03"), F.lit("")), F.repeat(F.lit("\n"), F.regexp_count(l, F.lit("\x03"))))
-    return F.array_join(F.transform(F.split(marked, "\n", -1), whole), "\n")
+    """Lines that end in a backslash joined to the next by a blank; nothing takes their place, so later lines move up."""
+    return F.regexp_replace(code, r"\\\n[ \t]*", " ")
 
 
 def del_macros(code: Column, compat: bool = False) -> Column:

@@ -254,7 +254,7 @@ def code_comments(spark: SparkSession, sf: str) -> DataFrame:
     return _code(spark, sf).select("p_partkey", F.explode(T.comments(F.col("code"))).alias("comment"))
 
 
-@bound("""SELECT p_partkey, ' int f' || p_size || '( int a) { return 1;' || repeat(chr(10), 3) || '#include <' || p_brand || '>' || chr(10) || 'UNUSEDX; void g();' AS code, '<' || p_brand || '>' AS included FROM part""")
+@bound("""SELECT p_partkey, ' int f' || p_size || '( int a) { return 1;' || repeat(chr(10), 2) || '#include <' || p_brand || '>' || chr(10) || 'UNUSEDX; void g();' AS code, '<' || p_brand || '>' AS included FROM part""")
 def macros(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as code without macros, and what it includes."""
     l = F.lit

