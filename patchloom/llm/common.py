@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from patchloom.session import prepared
 
 #: A side of a join is broadcast only when its measured size stays below this.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 #: Stands for a null id where ids are ordered: null ids come last.
 NULL_ID = (1 << 63) - 1
 
