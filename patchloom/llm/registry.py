@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from patchloom.llm import language_id, line_dedup, lsh_search, mixing, near_dedup, sentence_pieces, spot_signatures, suffix_dedup, token_ledger, training_order
+from patchloom.llm import language_id, line_dedup, lsh_search, mixing, near_dedup, sentence_pieces, spot_signatures, suffix_dedup, target_resampling, token_ledger, training_order
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_token_ledger": token_ledger.op8_token_ledger,
     "op9_language_id": language_id.op9_language_id,
     "op10_spot_signatures": spot_signatures.op10_spot_signatures,
+    "op12_target_resampling": target_resampling.op12_target_resampling,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op3_mixing": mixing.SQL,
     "op7_suffix_dedup": suffix_dedup.SQL,
     "op10_spot_signatures": spot_signatures.SQL,
+    "op12_target_resampling": target_resampling.SQL,
 }
