@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from patchloom.llm import language_id, line_dedup, lsh_search, mixing, near_dedup, sentence_pieces, spot_signatures, suffix_dedup, target_resampling, token_ledger, training_order
+from patchloom.llm import language_id, line_dedup, log_replay, lsh_search, mixing, near_dedup, sentence_pieces, spot_signatures, suffix_dedup, target_resampling, token_ledger, training_order
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_ledger": token_ledger.op8_token_ledger,
     "op9_language_id": language_id.op9_language_id,
     "op10_spot_signatures": spot_signatures.op10_spot_signatures,
+    "op11_log_replay": log_replay.op11_log_replay,
     "op12_target_resampling": target_resampling.op12_target_resampling,
 }
 ORACLES = {
@@ -20,5 +21,6 @@ ORACLES = {
     "op3_mixing": mixing.SQL,
     "op7_suffix_dedup": suffix_dedup.SQL,
     "op10_spot_signatures": spot_signatures.SQL,
+    "op11_log_replay": log_replay.SQL,
     "op12_target_resampling": target_resampling.SQL,
 }

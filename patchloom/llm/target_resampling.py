@@ -125,7 +125,8 @@ def resample(
     scored = sized.select("_row", "_id", "_t", "_words", F.size("_buckets").cast("long").alias("n_features"), weight.alias("weight")).withColumn("score", F.col("weight") + noise)
     # ascending keys: highest score, smallest id, null ids last; then the text and a number that this table keeps
     keys = {"_k1": -F.col("score"), "_k2": F.coalesce("_id", F.lit(C.NULL_ID)), "_k3": F.col("_t"), "_k4": F.monotonically_increasing_id()}
-    scored = C.cut(scored.withColumns(keys), "dsirs", bag)
+    scored = C.cut(scored.withColumns(keys), "dsirs")
+    C.drop_bag(spark, bag)
     long_enough = scored.where(F.col("_words") >= least_words)
     last = kth(long_enough, list(keys), percent * long_enough.count() // 100)
     out = [*[F.col(f"_row.`{c}`").alias(c) for c in keep], F.col("n_features"), F.col("weight"), F.col("score")]
