@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from patchloom.llm import language_id, line_dedup, log_replay, lsh_search, mixing, near_dedup, sentence_pieces, spot_signatures, suffix_dedup, target_resampling, token_ledger, training_order
+from patchloom.llm import bpe_tree, language_id, line_dedup, log_replay, lsh_search, mixing, near_dedup, sentence_pieces, spot_signatures, suffix_dedup, target_resampling, token_ledger, training_order
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_spot_signatures": spot_signatures.op10_spot_signatures,
     "op11_log_replay": log_replay.op11_log_replay,
     "op12_target_resampling": target_resampling.op12_target_resampling,
+    "op13_bpe_tree": bpe_tree.op13_bpe_tree,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
