@@ -154,7 +154,7 @@ def replayed(survivors: DataFrame, n_epochs: int, block: int = BLOCK, bag: list[
     checkpoint = C.cut(maps.withColumn("start", F.last("last").over(earlier)).select("block", "key", "start", F.col("last").alias("end")), "logc", bag)
 
     held = lambda x: F.when(x.isNotNull() & ~x.getField("gone"), F.lit(1)).otherwise(F.lit(0)).cast("long")
-    worth = lambda x: F.when(x.isNotNull() & ~x.getField("gone"), x.getField("value")).otherwise(F.lit(0)).cast("long")
+    worth = lambda x: F.when(x.isNotNull() & ~x.getField("gone"), F.coalesce(x.getField("value").cast("long"), F.lit(0))).otherwise(F.lit(0)).cast("long")
     gain = lambda a, b: {"dn": held(b) - held(a), "dv": worth(b) - worth(a)}
     begun = checkpoint.withColumns(gain(F.col("start"), F.col("end"))).groupBy("block").agg(F.sum("dn").alias("dn"), F.sum("dv").alias("dv"))
     # every block and epoch has a row, even if it writes nothing
@@ -163,7 +163,9 @@ def replayed(survivors: DataFrame, n_epochs: int, block: int = BLOCK, bag: list[
     totals = _prefix(totals, [], "block", {"n0": "dn", "v0": "dv"}).select("block", "n0", "v0")
 
     before = F.lag("last").over(Window.partitionBy("block", "key").orderBy("epoch"))
-    steps = _joined(writes, checkpoint.select("block", "key", "start"), ["block", "key"])
+    # a null key is a key
+    begins = checkpoint.select(F.col("block").alias("_b"), F.col("key").alias("_k"), "start").hint("merge")
+    steps = writes.hint("merge").join(begins, (F.col("block") == F.col("_b")) & F.col("key").eqNullSafe(F.col("_k")), "left")
     steps = steps.withColumn("before", F.coalesce(before, F.col("start"))).withColumns(gain(F.col("before"), F.col("last")))
     steps = steps.select("block", "epoch", "dn", "dv").unionByName(epochs.select("block", "epoch", "dn", "dv")).groupBy("block", "epoch").agg(F.sum("dn").alias("dn"), F.sum("dv").alias("dv"))
     run = Window.partitionBy("block").orderBy("epoch").rowsBetween(*_UP)

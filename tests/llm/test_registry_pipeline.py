@@ -15,7 +15,7 @@ def test_names():
     from patchloom.llm import registry
 
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
 
 
 def test_sql(spark):
