@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchloom.llm import common as C
-from patchloom.llm.shingles import CHUNK, cells, column_parts, tidy
+from patchloom.llm.shingles import cells, column_parts, tidy
 
 MODEL = "word_bpe_49k.json"
 #: Characters of a unit, which nothing splits, that are encoded at once; longer ones are encoded in halves.
 LEAF = 64
 #: Characters in a part of a long text, and parts that are joined in one step of the tree.
-PART, WIDTH = 16_384, 16
+PART, WIDTH = 65_536, 16
 #: Blanks at which texts are cut: white space to every tokenizer, and no part of a composed character.
 BLANKS = " \t\n\r"
-#: Words whose tokens a worker keeps.
-KNOWN = 100_000
+#: Words whose tokens a worker keeps, words encoded at once, and bytes of text whose words are told apart at once.
+KNOWN, SLICE, CHUNK = 250_000, 10_000, 4 << 20
 
 
 def model_path(name: str = MODEL) -> str:
@@ -56,15 +57,30 @@ class Bpe:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        bare = spec | {"added_tokens": [], "truncation": None, "padding": None} | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor"))
-        self.ended = Tokenizer.from_str(json.dumps(bare))
-        self.inner = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
-        self.suffix = spec["model"]["end_of_word_suffix"] or ""
-        self.token = [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size())]
-        self.tokens = pa.array(self.token)
+        self.path, self.suffix, self.token = path, spec["model"]["end_of_word_suffix"] or "", vocabulary(path)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.known: dict[bytes, list[int]] = {}
+        # words are cut where ASCII letters meet ASCII marks, but not at marks that begin a suffix of words or are in special tokens
+        self.mark = _MARK.copy()
+        self.mark[list({ord(c) for t in special for c in t if c.isascii() and not c.isalnum()} | {ord("'")})] = False
+        self.known: dict[bytes, bytes] = {}
+
+    @cached_property
+    def ended(self):
+        return self._bare({})
+
+    @cached_property
+    def inner(self):
+        return self._bare({"end_of_word_suffix": None})
+
+    def _bare(self, change: dict):
+        """The merges alone; made only where a long unit is met."""
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        bare = spec | {"added_tokens": [], "truncation": None, "padding": None, "model": spec["model"] | change}
+        return Tokenizer.from_str(json.dumps(bare | dict.fromkeys(("normalizer", "pre_tokenizer", "post_processor"))))
 
     def units(self, text: str) -> Iterator[tuple[bool, list[str]]]:
         """(special, units) of a text: special tokens by themselves, and between them the words that merges never leave."""
@@ -104,41 +120,61 @@ class Bpe:
             found = [self.joined(found[i], found[i + 1], ends and i + 2 == n) if i + 1 < n else found[i] for i in range(0, n, 2)]
         return found[0]
 
-    def words(self, words: list[bytes], leaf: int = LEAF) -> list[list[int]]:
-        """The tokens of each word, which holds none of BLANKS."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = words
-        short = [w for w in new if len(w) <= leaf]
-        self.known.update(zip(short, (e.ids for e in self.whole.encode_batch([w.decode("utf-8", "replace") for w in short], add_special_tokens=False)), strict=True))
-        found = {}
-        for w in new:
-            if len(w) > leaf:
-                found[w] = [t for special, units in self.units(w.decode("utf-8", "replace")) for u in units for t in ([self.whole.token_to_id(u)] if special else self.unit(u, leaf=leaf))]
-        return [found[w] if w in found else self.known[w] for w in words]
+    def words(self, words: list[bytes], leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, and the end) of words, which hold none of BLANKS."""
+        flat, at = array("i"), np.zeros(len(words) + 1, np.int64)
+        for a in range(0, len(words), SLICE):
+            some = words[a : a + SLICE]
+            new = [w for w in some if len(w) <= leaf and w not in self.known]
+            if len(self.known) + len(new) > KNOWN:
+                self.known.clear()
+                new = [w for w in some if len(w) <= leaf]
+            self.known.update(zip(new, (array("i", e.ids).tobytes() for e in self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)), strict=True))
+            for i, w in enumerate(some, a + 1):
+                if len(w) <= leaf:
+                    flat.frombytes(self.known[w])
+                else:
+                    for special, units in self.units(w.decode("utf-8", "replace")):
+                        for u in units:
+                            flat.extend([self.whole.token_to_id(u)] if special else self.unit(u, leaf=leaf))
+                at[i] = len(flat)
+        return np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), at
 
     def texts(self, texts: list[str | None], leaf: int = LEAF) -> pa.ListArray:
         """The tokens of each text: every distinct word is encoded once."""
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
         data = b" ".join([*raw, b""])
-        solid = ~_BLANK[np.frombuffer(data, np.uint8)]
+        x = np.frombuffer(data, np.uint8)
+        solid, mark, letter = ~_BLANK[x], self.mark[x], _LETTER[x]
         edge = np.diff(solid.astype(np.int8), prepend=np.int8(0))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        inside = np.zeros(len(x), bool)
+        inside[1:] = (mark[1:] & letter[:-1]) | (letter[1:] & mark[:-1])
+        start, end = np.flatnonzero((edge == 1) | inside), np.flatnonzero((edge == -1) | inside)
         number, one = cells(data, start, end)
-        ids = self.words([data[start[i] : end[i]] for i in one], leaf)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, at = np.fromiter((t for x in ids for t in x), np.int32, int(n.sum())), np.concatenate([[0], np.cumsum(n)])
-        k = n[number]
+        flat, at = self.words([data[start[i] : end[i]] for i in one], leaf)
+        k = np.diff(at)[number]
         upto = np.concatenate([[0], np.cumsum(k)])
-        out = flat[np.arange(upto[-1]) + np.repeat(at[number] - upto[:-1], k)] if len(k) else flat
+        out = flat[np.arange(upto[-1]) + np.repeat(at[number] - upto[:-1], k)]
         offsets = upto[np.searchsorted(start, np.concatenate([[0], np.cumsum(size)]))]
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
 
 
 _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANKS.encode())] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[33:127] = ~_LETTER[33:127]
+_MARK[48:58] = False
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> list[str]:
+    """The tokens of a tokenizer file by their ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [ids.get(i, "") for i in range(max(ids, default=-1) + 1)]
 
 
 @lru_cache(maxsize=2)
@@ -254,14 +290,17 @@ def _in_tree(long: DataFrame, path: str, part: int, leaf: int, width: int) -> Da
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bpe(path)
         for batch in batches:
+            plain = pc.is_null(batch.column("units")).to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array(plain))
+            for a, b, texts in column_parts(some.column("part"), CHUNK):
+                none = pa.array(np.zeros(b - a, np.int32))
+                yield pa.RecordBatch.from_arrays([some.column("_u").slice(a, b - a), some.column("no").slice(a, b - a), m.texts(texts, leaf), none, none], ["_u", "no", "ids", "head", "tail"])
             got = []
-            for r in batch.to_pylist():
-                if r["units"] is None:
-                    got.append((r["_u"], r["no"], m.texts([r["part"]], leaf)[0].as_py(), 0, 0))
-                    continue
+            for r in batch.filter(pa.array(~plain)).to_pylist():
                 ids = [m.unit(x, not (r["goes_on"] and j == len(r["units"]) - 1), leaf) for j, x in enumerate(r["units"])]
                 got.append((r["_u"], r["no"], [t for x in ids for t in x], len(ids[0]) if r["glued"] else 0, len(ids[-1]) if r["goes_on"] else 0))
-            yield _rows(got)
+            if got:
+                yield _rows(got)
         tidy()
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +316,10 @@ def _in_tree(long: DataFrame, path: str, part: int, leaf: int, width: int) -> Da
     most = tree.agg(F.max("no")).first()[0] or 0
     while most:
         group = tree.groupBy("_u", F.floor(F.col("no") / width).alias("no")).agg(F.array_sort(F.collect_list(F.struct("no", "ids", "head", "tail"))).alias("rows"))
-        tree, most = C.cut(group.mapInArrow(joined, done), "bpet"), most // width
+        # where no unit goes on, parts only follow one another
+        loose = ~F.exists("rows", lambda x: (x.head > 0) | (x.tail > 0))
+        plain = group.where(loose).select("_u", "no", F.flatten("rows.ids").alias("ids"), F.lit(0).alias("head"), F.lit(0).alias("tail"))
+        tree, most = C.cut(plain.unionByName(group.where(~loose).mapInArrow(joined, done)), "bpet"), most // width
     return long.select("_row", "_u").join(tree.select("_u", "ids"), "_u", "left").select("_row", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
@@ -300,14 +342,14 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 
     @F.arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
-        m = bpe(path)
+        token = pa.array(vocabulary(path))
         done = []
         for i in range(0, len(ids), 256):  # few texts at a time
             x = ids.slice(i, 256)
             n, flat = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False)
-            fine = (flat >= 0) & (flat < len(m.token))
+            fine = (flat >= 0) & (flat < len(token))
             upto = np.concatenate([[0], np.cumsum(fine)])[np.concatenate([[0], np.cumsum(n)])]
-            tokens = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), m.tokens.take(pa.array(flat[fine])))
+            tokens = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), token.take(pa.array(flat[fine])))
             done.append(pc.if_else(x.is_valid(), pc.binary_join(tokens, " "), None))
         return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
