@@ -14,9 +14,10 @@ ANCHORS = (
     "als auf das dem den der die ein eine er für ich im ist mit nicht sich sie und von zu "
     "al como con del el es las los no más o por se su sus un una y"
 ).split()
-#: Content words in a chain, and characters in the pieces that stand for a text without chains.
-CHAIN, PIECE = 2, 3
-MARK = "\x01"
+#: Content words in a chain; characters in the pieces of stretches that no chain reaches, and words from which on these have
+#: pairs of words; characters beyond which a word has pieces of its own.
+CHAIN, PIECE, WORDS, LONG = 2, 3, 4, 16
+MARK, END = "\x01", "\x02"
 
 
 def _any_of(words: list[str]) -> str:
@@ -32,25 +33,37 @@ def _any_of(words: list[str]) -> str:
 
 
 def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
-    """The sorted distinct hashes of a text's spot signatures, the first 32 bits of their MD5: array<int>.
+    """The sorted distinct hashes of a text's signatures, the first 32 bits of their MD5: array<int>.
 
     Words are runs of letters, marks and digits, lower case. Each anchor with the next `chain` words after it that are
-    no anchors makes a signature, if there are as many. A text without any, as in a language without these anchors or
-    without blanks, has all runs of PIECE characters of its words, with one blank between words; one that is shorter
-    has its words as a whole. So equal texts are equal and small changes leave most signatures; null counts as empty.
+    no anchors makes a signature; the text's end counts as so many words more. Words that no anchor reaches, over `chain`
+    after the last one or before the first, have signatures of their own, so that a text in a language without these
+    anchors, or a long stretch without any, is no less told apart, and an anchor more or less changes what is near it
+    alone: a stretch of WORDS such words and more has each with the next one; a shorter one, and any word of over LONG
+    characters, which may be a sentence without blanks, those runs of PIECE characters that are below their neighbours,
+    about one in three. Equal texts are equal and small changes leave most signatures; null counts as empty, and a text
+    without words has one signature.
     """
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " ")
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))
     spots = _any_of(anchors or ANCHORS)
-    marked = F.regexp_replace(F.concat(F.lit(" "), F.trim(words), F.lit(" ")), f" (?={spots} )", f" {MARK}")
+    marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), f" (?={spots} )", f" {MARK}")
     skip = f"(?: {MARK}[^ ]++)*+"
     content = f" [^ {MARK}]++"
-    found = F.regexp_extract_all(marked, F.lit(f"{MARK}(?=([^ ]++{f'{skip}{content}' * chain}))"), F.lit(1))
-    # a chain never begins with the mark
-    plain = F.trim(words)
-    pieces = F.transform(F.regexp_extract_all(plain, F.lit(f"(?=({'.' * PIECE}))"), F.lit(1)), lambda x: F.concat(F.lit(MARK), x))
-    others = F.when(F.length(plain) < PIECE, F.array(F.concat(F.lit(MARK), plain))).otherwise(pieces)
-    # bound to a variable, the matches are made once
-    chains = F.flatten(F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(others)))
+    ended = F.concat(marked, F.lit(f"{END} " * chain))
+    found = F.regexp_extract_all(ended, F.lit(f"{MARK}(?=([^ ]++{f'{skip}{content}' * chain}))"), F.lit(1))
+    rest = F.regexp_replace(marked, f"(?: {MARK}[^ ]++)++(?:{content}){{0,{chain}}}", f" {MARK}")
+    stretches = F.filter(F.transform(F.split(rest, MARK), lambda x: F.trim(x)), lambda x: x != "")
+    tagged = lambda x: F.concat(F.lit(MARK), x)
+    pairs = lambda x: F.regexp_extract_all(x, F.lit("(?<![^ ])(?=([^ ]++(?: [^ ]++)?))"), F.lit(1))
+    runs = lambda x: F.regexp_extract_all(x, F.lit(f"(?=({'.' * PIECE}))"), F.lit(1))
+    lowest = lambda r: F.filter(r, lambda x, i: (F.coalesce(F.get(r, i - 1), x) >= x) & F.coalesce(F.get(r, i + 1) > x, F.lit(True)))
+    # bound to a variable, the runs are made once
+    short = lambda x: F.when(F.length(x) < PIECE, F.array(x)).otherwise(F.flatten(F.transform(F.array(runs(x)), lowest)))
+    long = lambda x: F.flatten(F.transform(F.regexp_extract_all(x, F.lit(f"[^ ]{{{LONG + 1},}}"), F.lit(0)), lambda w: F.flatten(F.transform(F.array(runs(w)), lowest))))
+    several = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= WORDS - 1
+    others = F.flatten(F.transform(stretches, lambda x: F.when(several(x), F.concat(pairs(x), long(x))).otherwise(short(x))))
+    none = F.when(words == "", F.array(F.lit(MARK))).otherwise(F.array().cast("array<string>"))
+    chains = F.concat(found, F.transform(others, tagged), none)
     passed = f" {MARK}[^ ]++"
     clean = F.transform(chains, lambda x: F.when(F.contains(x, F.lit(f" {MARK}")), F.regexp_replace(x, passed, "")).otherwise(x))
     low = F.transform(clean, lambda x: (F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") - F.lit(1 << 31)).cast("int"))
@@ -136,18 +149,24 @@ def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same by words as rows: each anchor meets the next content words by their running number.
 SQL = """
-WITH o AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS nx, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS top FROM documents),
-e AS (SELECT doc_id, t, left(t, length(t) - length(t) // 3) || left(coalesce(nx, top), length(t) // 3) AS ed, lead(doc_id) OVER (ORDER BY doc_id DESC) AS nid, max(doc_id) OVER () AS top_id FROM o),
+WITH o0 AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS nx, first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC) AS top FROM documents),
+e AS (SELECT doc_id, t, left(t, length(t) - length(t) // 3) || left(coalesce(nx, top), length(t) // 3) AS ed, lead(doc_id) OVER (ORDER BY doc_id DESC) AS nid, max(doc_id) OVER () AS top_id FROM o0),
 x AS (SELECT doc_id, 0 AS k, t FROM e UNION ALL SELECT doc_id, 1, ed FROM e),
 n AS (SELECT doc_id, k, trim(regexp_replace(lower(t), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) AS s FROM x),
-w AS (SELECT doc_id, k, unnest(string_split(s, ' ')) AS word, generate_subscripts(string_split(s, ' '), 1) AS pos FROM n WHERE s <> ''),
+w AS (SELECT doc_id, k, unnest(string_split(s, ' ') || [chr(2), chr(2)]) AS word, generate_subscripts(string_split(s, ' ') || [chr(2), chr(2)], 1) AS pos FROM n WHERE s <> ''),
 a AS (SELECT *, word IN (ANCHORS) AS anchor FROM w),
-c AS (SELECT *, sum((NOT anchor)::int) OVER (PARTITION BY doc_id, k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS r FROM a),
+c AS (SELECT *, sum((NOT anchor)::int) OVER (PARTITION BY doc_id, k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS r, sum(anchor::int) OVER (PARTITION BY doc_id, k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS m FROM a),
 g AS (SELECT p.doc_id, p.k, p.word || ' ' || q.word || ' ' || z.word AS sig FROM c p JOIN c q ON q.doc_id = p.doc_id AND q.k = p.k AND q.r = p.r + 1 AND NOT q.anchor
   JOIN c z ON z.doc_id = p.doc_id AND z.k = p.k AND z.r = p.r + 2 AND NOT z.anchor WHERE p.anchor),
-h AS (SELECT doc_id, k, list_sort(list(DISTINCT substr(md5(sig), 1, 8))) AS f FROM g GROUP BY doc_id, k),
-f AS (SELECT n.doc_id, n.k, coalesce(f, CASE WHEN length(s) < 3 THEN [substr(md5(chr(1) || s), 1, 8)]
-  ELSE list_sort(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(md5(chr(1) || substr(s, i, 3)), 1, 8)))) END) AS f FROM n LEFT JOIN h ON h.doc_id = n.doc_id AND h.k = n.k)
+o AS (SELECT doc_id, k, m, word, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k, m ORDER BY pos) AS nth FROM c WHERE NOT anchor AND word <> chr(2)) WHERE m = 0 OR nth > 2),
+t AS (SELECT doc_id, k, list(word ORDER BY pos) AS ws, string_agg(word, ' ' ORDER BY pos) AS s FROM o GROUP BY doc_id, k, m),
+l AS (SELECT doc_id, k, s FROM t WHERE len(ws) < 4 AND length(s) >= 3 UNION ALL SELECT doc_id, k, word FROM (SELECT doc_id, k, unnest(ws) AS word FROM t WHERE len(ws) >= 4) WHERE length(word) > 16),
+q AS (SELECT doc_id, k, unnest(list_transform(range(1, len(ws) + 1), lambda i: ws[i] || coalesce(' ' || ws[i + 1], ''))) AS piece FROM t WHERE len(ws) >= 4
+  UNION ALL SELECT doc_id, k, s FROM t WHERE len(ws) < 4 AND length(s) < 3
+  UNION ALL SELECT doc_id, k, x[i] FROM (SELECT doc_id, k, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, k, list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) AS x FROM l))
+    WHERE (i = 1 OR x[i - 1] >= x[i]) AND (i = len(x) OR x[i + 1] > x[i])),
+y AS (SELECT doc_id, k, sig FROM g UNION ALL SELECT doc_id, k, chr(1) || piece FROM q UNION ALL SELECT doc_id, k, chr(1) FROM n WHERE s = ''),
+f AS (SELECT doc_id, k, list_sort(list(DISTINCT substr(md5(sig), 1, 8))) AS f FROM y GROUP BY doc_id, k)
 SELECT e.doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, array_to_string(a.f, ' ') AS fingerprint, array_to_string(b.f, ' ') AS edited_fingerprint,
   len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f))) AS near_edited,
   len(list_intersect(a.f, c.f)) / (len(a.f) + len(c.f) - len(list_intersect(a.f, c.f))) AS near_next

@@ -242,18 +242,32 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def spots_of(t):
+    """A text's signatures by a walk over its words: chains after anchors, and stretches that no anchor reaches."""
+    low = "".join(ch if ch.isalnum() else " " for ch in t.lower()).split()
+    out, rest, since = set(), [[]], None
+    for i, w in enumerate(low):
+        if w in spot_signatures.ANCHORS:
+            out.add((w, *[x for x in [*low[i + 1 :], "", ""] if x not in spot_signatures.ANCHORS][: spot_signatures.CHAIN]))
+            since = 0
+            rest.append([])
+        else:
+            since = None if since is None else since + 1
+            if since is None or since > spot_signatures.CHAIN:
+                rest[-1].append(w)
+    for r in rest:
+        if len(r) >= spot_signatures.WORDS:
+            out |= {" ".join(r[i : i + 2]) for i in range(len(r))}
+        for s in [" ".join(r)] * (0 < len(r) < spot_signatures.WORDS) + [w for w in r if len(w) > spot_signatures.LONG] * (len(r) >= spot_signatures.WORDS):
+            x = [s[i : i + 3] for i in range(len(s) - 2)] or [s]
+            out |= {y for i, y in enumerate(x) if (i == 0 or x[i - 1] >= y) and (i + 1 == len(x) or x[i + 1] > y)}
+    return out or {()}
+
+
 def test_spots(spark):
     from pyspark.sql import functions as F
 
-    def sets(t):
-        low = "".join(ch if ch.isalnum() else " " for ch in t.lower()).split()
-        out = set()
-        for i, w in enumerate(low):
-            chain = [x for x in low[i + 1 :] if x not in spot_signatures.ANCHORS][: spot_signatures.CHAIN]
-            if w in spot_signatures.ANCHORS and len(chain) == spot_signatures.CHAIN:
-                out.add((w, *chain))
-        return out or {tuple(low)}
-
+    sets = spots_of
     rng = random.Random(7)
     vocabulary = ["the", "of", "and", "la", "der", "más", "für", *(f"c{i}é" for i in range(30))]
     docs = [(i * 7, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60)))) for i in range(60)] + [(1000, None), (1001, ""), (1002, "The the THE"), (1003, "ab🎉cd\n" * 9)]
@@ -283,3 +297,18 @@ def test_texts_without_anchors_keep_their_likeness(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [r[0] for r in df.select(spot_signatures.likeness(spot_signatures.signatures(df["a"]), spot_signatures.signatures(df["b"]))).collect()]
     assert all(x > 0.5 for x in got[:3]) and got[3] == 0.0 and got[4:] == [1.0, 1.0]
+
+
+def test_one_spot_more_leaves_the_rest(spark):
+    """Texts without anchors, with one sentence that has some: most signatures stay, and an edited third leaves the others."""
+    rng = random.Random(4)
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(900))
+    clauses = ",".join(chinese[i : i + 9] for i in range(0, 900, 9))
+    english = " ".join("".join(rng.choice("bcdfghklmnprstvw") for _ in range(6)) for _ in range(150))
+    pairs = [(t, t + more) for t in (chinese, clauses, english) for more in (" the big cat", ". The company announced results.")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert all(r[0] > 0.9 for r in df.select(spot_signatures.likeness(spot_signatures.signatures(df["a"]), spot_signatures.signatures(df["b"]))).collect())
+    docs = spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "doc_id long, text string")
+    assert all(r["near_edited"] > 0.3 for r in spot_signatures.compare_edited(docs).collect())
+    long = spark.createDataFrame([(1, english * 300), (2, clauses * 300)], "doc_id long, text string")
+    assert {r["n_chars"] for r in spot_signatures.compare_edited(long).collect()} == {len(english) * 300, len(clauses) * 300}
