@@ -104,12 +104,15 @@ def trigger_paths(points: DataFrame, edges: DataFrame, modified: DataFrame, want
     return simple_paths(edges, modified, stops.select(*keys, version, "node"), *keys, version).distinct()
 
 
-def paths_with_lines(paths: DataFrame, graph: DataFrame) -> DataFrame:
-    """(node_path, edge_path): each path with its edges as (caller, callee, pairs), from build_graph()'s rows."""
+def paths_with_lines(paths: DataFrame, graph: DataFrame, *keys: str) -> DataFrame:
+    """(keys, node_path, edge_path): each path with its edges as (caller, callee, pairs), from build_graph()'s rows.
+
+    A path takes the edges of its own keys, such as its version.
+    """
     e = checkpointed(paths.distinct().withColumn("_p", F.monotonically_increasing_id()))
     hops = F.expr("transform(sequence(1, size(node_path) - 1), i -> struct(node_path[i - 1] AS caller, node_path[i] AS callee))")
-    steps = e.where(F.size("node_path") > 1).select("_p", F.posexplode(hops).alias("pos", "x"))
-    full = steps.select("_p", "pos", F.col("x.caller").alias("src"), F.col("x.callee").alias("dst")).join(graph.select("src", "dst", "pairs"), ["src", "dst"])
+    steps = e.where(F.size("node_path") > 1).select(*keys, "_p", F.posexplode(hops).alias("pos", "x"))
+    full = steps.select(*keys, "_p", "pos", F.col("x.caller").alias("src"), F.col("x.callee").alias("dst")).join(graph.select(*keys, "src", "dst", "pairs"), [*keys, "src", "dst"])
     full = full.groupBy("_p").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("src").alias("caller"), F.col("dst").alias("callee"), "pairs"))), lambda x: F.struct(x["caller"].alias("caller"), x["callee"].alias("callee"), x["pairs"].alias("source_tgt_pairs"))).alias("edge_path"))
     return e.join(full, "_p", "left").drop("_p")
 

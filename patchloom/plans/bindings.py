@@ -895,3 +895,6 @@ def recovery(spark: SparkSession, sf: str) -> DataFrame:
     lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))
     o = l.groupBy("l_orderkey").agg(lines.alias("pool")).withColumn("base", F.slice("pool", 1, 1)).withColumn("pool", F.expr("slice(pool, 2, size(pool))"))
     return M.recover(o, lambda t: t.count("\n") >= 2, "l_orderkey")
+
+
+from patchloom.plans import flow_bindings  # noqa: E402, F401  registers its own
