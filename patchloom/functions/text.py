@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.functions import scan
+
 #: A string or character literal, or a comment. The same pattern works in Java and RE2.
 LITERAL = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
 COMMENT = r"/\*.*?\*/|//[^\r\n]*"
@@ -224,15 +226,16 @@ def bracketed(df: DataFrame, code: str, spans: str, *keys: str, name: str = "cod
     return df.select(*keys, code, spans).mapInPandas(run, schema)
 
 
-def formatted(df: DataFrame, code: str, *keys: str, language: str = "c", del_comments: bool = True, join: bool = True, macros: bool = True) -> DataFrame:
-    """(keys, code): code brought into one form: no comments, in C no macros, a statement a line, no empty lines.
-
-    Brackets around bodies need a parser's spans: see bracketed(). Nothing is indented anew.
+def formatted(df: DataFrame, code: str, *keys: str, language: str = "c", del_comments: bool = True, join: bool = True, macros: bool = True, brackets: bool = True) -> DataFrame:
+    """(keys, code): code brought into one form: no comments, a statement a line, no empty lines; in C no macros, and
+    brackets around what conditions hold, see scan.bodies(). Nothing is indented anew.
     """
     x = remove_comments(F.col(code)) if del_comments else F.col(code)
     x = del_macros(x) if macros and language == "c" else x
     rows = df.select(*keys, x.alias("code"))
     rows = join_statements(rows, "code", *keys, language=language) if join else rows
+    if brackets and language == "c":
+        rows = bracketed(rows.withColumn("_spans", scan.condition_bodies("code")), "code", "_spans", *keys)
     return rows.select(*keys, remove_empty_lines(F.col("code")).alias("code"))
 
 

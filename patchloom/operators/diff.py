@@ -5,7 +5,6 @@ Keys are column names that identify a pair of texts (patch, file); every operato
 
 from __future__ import annotations
 
-import difflib
 from bisect import bisect_left, bisect_right
 from collections import Counter, deque
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.functions import align
 from patchloom.session import checkpointed
 
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -184,7 +184,7 @@ def patch_hunks(del_lines: DataFrame, add_lines: DataFrame, mapping: DataFrame,
 
 def _opcodes(a: list[str], b: list[str], blind: bool) -> list[tuple[str, int, int, int, int]]:
     key = (lambda s: "".join(s.split())) if blind else (lambda s: s)
-    return difflib.SequenceMatcher(None, [key(x) for x in a], [key(x) for x in b], autojunk=False).get_opcodes()
+    return align.opcodes([key(x) for x in a], [key(x) for x in b])
 
 
 def unified(old: str | None, new: str | None, context: int | str = 3, ignore_space: bool = True, name: str = "file") -> str:
@@ -192,8 +192,8 @@ def unified(old: str | None, new: str | None, context: int | str = 3, ignore_spa
 
     context is a number of lines, "full" for all, or "function": then a hunk reaches back to the line that begins the
     function it lies in and on to the line before the next one begins. A function begins at a line whose first character
-    is a letter, _ or $. Among several shortest-ish diffs the one with the longest common blocks first is taken; other
-    tools may choose another. Equal texts give an empty string; null is an empty text.
+    is a letter, _ or $. What is kept follows from the rarest common lines, see align.blocks(); other tools may choose
+    other lines among several as good. Equal texts give an empty string; null is an empty text.
     """
     a, b = ([] if not t else t.split("\n") for t in (old, new))
     ops = _opcodes(a, b, ignore_space)
@@ -351,7 +351,8 @@ def match_lines(hunks: DataFrame, *keys: str, a: str = "a_lines", b: str = "b_li
 
 def map_statements(pairs: DataFrame, *keys: str, a: str = "a_lines", b: str = "b_lines") -> DataFrame:
     """(keys, kind, a_idx, b_idx): statements of two versions aligned: equal and replaced ones in step, as far as the
-    shorter side goes; other deleted ones with null b_idx, inserted ones with null a_idx."""
+    shorter side goes; other deleted ones with null b_idx, inserted ones with null a_idx. What is equal follows from the
+    rarest common statements, see align.blocks()."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema.fields), "kind string, a_idx int, b_idx int"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -361,7 +362,7 @@ def map_statements(pairs: DataFrame, *keys: str, a: str = "a_lines", b: str = "b
                 r = dict(zip(pdf.columns, row, strict=True))
                 x, y = ([] if r[c] is None else list(r[c]) for c in (a, b))
                 k = [r[c] for c in keys]
-                for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+                for tag, i1, i2, j1, j2 in align.opcodes(x, y):
                     both = min(i2 - i1, j2 - j1)
                     out += [(*k, tag, i1 + t, j1 + t) for t in range(both)]
                     out += [(*k, "delete", i, None) for i in range(i1 + both, i2)]
