@@ -23,8 +23,6 @@ SAMPLE = 4000
 SUCCESS = 0.97
 #: Vectors that one task compares at once, and queries it compares them with.
 BLOCK, QUERIES = 16_000, 16_000
-#: Powers of two from which on components are scaled down, as squares would leave the range of double precision.
-LARGE = 480
 
 
 def shape(total: int) -> tuple[int, int]:
@@ -142,8 +140,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
     rows and queries have an id and a vector; a query's own id is no answer to it. Ties go to the smaller id. Vectors
     that are null, empty, zero or hold null or non-finite numbers take no part, nor do rows with a null id. A query meets
     rows of its own length; those of another length than most are compared with all of theirs. Rows equal in id and
-    vector are one. Vectors with very large components are scaled by a power of two, and scores back: a score beyond
-    double precision is infinite, but ranks are those of the scaled vectors. Only id and vector are looked at.
+    vector are one. Scores are sums of products of the original components, whatever their size: only the hash functions
+    look at scaled vectors, all by one power of two, a query by its own. Where a sum leaves double precision on its way, it
+    is taken over scaled vectors and scaled back; if it is infinite then, ranks go by how far it is beyond the range.
+    Only id and vector are looked at.
 
     1. The hash functions are fitted on a bounded sample. All rows are hashed into TABLES tables; of equal vectors only
        the k + 1 with the least ids are stored, as no other can be among a query's first k.
@@ -168,25 +168,27 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
         return spark.createDataFrame([], schema)
     dim, total = most["d"], most["n"]
     every_length, all_asked = base, ask
-    largest = base.agg(F.max(F.array_max(F.transform("_v", lambda x: F.abs(x))))).first()[0]
-    down = math.ldexp(1.0, min(0, LARGE - math.frexp(largest)[1]))
-    if down < 1:
-        smaller = F.transform("_v", lambda x: x * F.lit(down))
-        every_length, all_asked = base.withColumn("_v", smaller), ask.withColumn("_v", smaller)
+    # hashing looks at vectors times one power of two, so that squares stay within the range
+    shift = max(-1000, math.frexp(base.agg(F.max(F.array_max(F.transform("_v", lambda x: F.abs(x))))).first()[0])[1])
     base, ask = every_length.where(F.size("_v") == dim), all_asked.where(F.size("_v") == dim)
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + F.pow(x * F.lit(math.ldexp(1.0, -shift)), 2)))
     top = base.agg(F.max(norm)).first()[0]
     drawn = base.where(C.hash_unit("vec_id", seed=seed) < min(1.0, SAMPLE / total)).limit(4 * SAMPLE).toPandas()
     if not len(drawn):
         drawn = base.limit(SAMPLE).toPandas()
-    index = Index(np.array(drawn.sort_values("vec_id")["_v"].tolist(), np.float64), float(top), k, total, seed)
+    index = Index(np.ldexp(np.array(drawn.sort_values("vec_id")["_v"].tolist(), np.float64), -shift), max(float(top), 1e-150), k, total, seed)
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
+    def mantissas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors times powers of two such that the largest component of each is about one, and these powers."""
+        e = np.frexp(np.abs(x).max(axis=1))[1]
+        return np.ldexp(x, -e[:, None]), e
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = index.buckets(matrix(batch.column(1))) if batch.num_rows else np.zeros((0, TABLES), np.int64)
+            b = index.buckets(np.ldexp(matrix(batch.column(1)), -shift)) if batch.num_rows else np.zeros((0, TABLES), np.int64)
             for t in range(TABLES):
                 yield pa.RecordBatch.from_arrays([pa.array(b[:, t].astype(np.int32)), *batch.columns], ["bucket", "vec_id", "_v"])
 
@@ -217,7 +219,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
             if not batch.num_rows:
                 continue
             rows_, at, lists = [], [], []
-            for i, probes in enumerate(index.probes(matrix(batch.column(1)), occupied)):
+            for i, probes in enumerate(index.probes(mantissas(matrix(batch.column(1)))[0], occupied)):
                 to: dict[int, list[int]] = {}
                 for b in probes.tolist():
                     for x in range(first[b], first[b] + parts[b]):
@@ -236,21 +238,31 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
             s += q[j] * x[:, j]
         return s
 
-    def best(qid: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rough: np.ndarray) -> list[tuple[int, int, float]]:
+    def best(qid: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rough: np.ndarray) -> list[tuple[int, int, float, float]]:
         most = TABLES * (k + 1)  # a vector can stand here once for each table
-        if len(ids) > most:
+        near = np.arange(len(ids))
+        if len(ids) > most and np.isfinite(rough).all():
             kth = np.partition(rough, len(rough) - most)[len(rough) - most]
-            near = np.flatnonzero(rough >= kth - 1e-9 * (1.0 + abs(kth)))
-        else:
-            near = np.arange(len(ids))
+            near = np.flatnonzero(rough >= kth - 1e-9 * abs(kth) - 1e-12 * len(q) * np.abs(q).max() * np.abs(x).max())
         near = near[np.unique(ids[near], return_index=True)[1]]
         near = near[ids[near] != qid]
-        s = exact(q, x[near])
-        order = np.lexsort((ids[near], -s))[:k]
-        return [(qid, int(ids[near[o]]), float(s[o])) for o in order]
+        s, over = exact(q, x[near]), np.zeros(len(near))
+        bad = np.flatnonzero(~np.isfinite(s))
+        if len(bad):
+            (qs, eq), (xs, ex) = mantissas(q[None]), mantissas(x[near[bad]])
+            scaled = exact(qs[0], xs)
+            s[bad] = np.ldexp(scaled, ex + eq)
+            m, e = np.frexp(scaled)
+            over[bad] = np.where(np.isinf(s[bad]), np.sign(m) * (e + ex + eq + np.log2(np.abs(m) + (m == 0))), 0.0)
+        order = np.lexsort((ids[near], -over, -s))[:k]
+        return [(qid, int(ids[near[o]]), float(s[o]), float(over[o])) for o in order]
 
     def ranked(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            return ranked_here(left, right)
+
+    def ranked_here(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float, float]] = []
         if left.num_rows and right.num_rows:
             bucket, ids = left["bucket"].to_numpy(), left["vec_id"].to_numpy()
             x = matrix(left["_v"].combine_chunks())
@@ -269,10 +281,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
                     else:
                         one = np.concatenate([np.arange(begin[p], end[p]) for p in here]) if here else np.zeros(0, np.int64)
                     out += best(qids[i], q[i], ids[one], x[one], rough[i - s][one])
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["query_id", "vec_id", "score", "over"])
 
-    cand = "query_id long, vec_id long, score double"
+    cand = "query_id long, vec_id long, score double, over double"
 
     def compared(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
         """Candidates of blocks (d, block, bucket, vec_id, _v) and their queries (d, block, probes, query_id, _v)."""
@@ -285,7 +297,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
         return left.groupBy(*pick(left)).cogroup(right.groupBy(*pick(right))).applyInArrow(ranked, cand)
 
     def top_k(df: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("over").desc(), "vec_id")
         return df.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     asked_n = all_asked.count()
@@ -305,7 +317,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
         again = short.select("d", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("block"), F.array(F.lit(0)).alias("probes"), "query_id", "_v")
         rest = top_k(compared(every, again, wanted.agg(F.sum("deal")).first()[0]))
         done = done.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
-    return done if down == 1 else done.withColumn("score", F.col("score") / F.lit(down) / F.lit(down))
+    return done
 
 
 def op6_lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
