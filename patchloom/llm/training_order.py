@@ -86,11 +86,12 @@ def plan(docs: DataFrame, length: int, model: str, at: str | None = None) -> tup
             make().write.mode("overwrite").parquet(f"{at}/{name}")
         return spark.read.parquet(f"{at}/{name}")
 
-    tokens = kept("tokens", lambda: tokenized(C.prepared(docs).select(*C.identity(), "text"), model))
+    # rows are told apart by a number that the written table keeps, so that copies have places of their own
+    tokens = kept("tokens", lambda: tokenized(C.prepared(docs).select(*C.identity(), "text"), model).withColumn("_u", F.monotonically_increasing_id()))
 
     def numbered() -> DataFrame:
-        slim = tokens.where("n_tokens > 0").select("_k", "_t", F.ceil(F.col("n_tokens") / length).cast("long").alias("_s")).dropDuplicates(["_k", "_t"])
-        index, _ = C.dense_index(slim, [F.col("_k"), F.col("_t")])
+        slim = tokens.where("n_tokens > 0").select("_k", "_t", "_u", F.ceil(F.col("n_tokens") / length).cast("long").alias("_s"))
+        index, _ = C.dense_index(slim, [F.col("_k"), F.col("_t"), F.col("_u")])
         # running sum in two levels: over blocks of documents, then within each
         index = C.cut(index.withColumn("_b", F.floor(F.col("_i") / 4096)), "order")
         blocks = index.groupBy("_b").agg(F.sum("_s").alias("_n")).withColumn("_c", F.floor(F.col("_b") / 4096))
@@ -98,7 +99,7 @@ def plan(docs: DataFrame, length: int, model: str, at: str | None = None) -> tup
         outer = outer.withColumn("_outer", F.coalesce(F.sum("_m").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_c", "_outer")
         blocks = blocks.join(outer, "_c").withColumn("_before", F.col("_outer") + F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         within = F.coalesce(F.sum("_s").over(Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return index.join(blocks.select("_b", "_before"), "_b").select("_k", "_t", "_s", (F.col("_before") + within).alias("_base"))
+        return index.join(blocks.select("_b", "_before"), "_b").select("_u", "_s", (F.col("_before") + within).alias("_base"))
 
     base = kept("base", numbered)
     return tokens, base.drop("_s"), int(base.agg(F.sum("_s")).first()[0] or 0)
@@ -118,9 +119,9 @@ def materialise(docs: DataFrame, key: int = 4, length: int = LENGTH, per_shard:
     shards alone; `only`, a table with a column shard, makes just these (those missing after an interrupted run: see
     write_shards()). `at` names a folder that keeps the plan, for calls that make a part each.
 
-    Null text has no tokens; null ids come last, as null in doc_ids. Rows equal in id and text are numbered as one
-    document and then repeated rows share slots, so only one of them is taken. Empty in, empty out. Other columns of
-    docs are not used.
+    Null text has no tokens; null ids come last, as null in doc_ids. Rows equal in id and text, such as the copies that a
+    mix makes, have sequences and slots of their own, one after the other in number. Empty in, empty out. Other columns
+    of docs are not used.
     """
     tokens, base, total = plan(docs, length, model, at)
     wide_ = S.pieces(S.model_path(model), S.ALPHA).sp.get_piece_size() > 1 << 16
@@ -143,13 +144,9 @@ def materialise(docs: DataFrame, key: int = 4, length: int = LENGTH, per_shard:
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(s: int, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            seen, docs_, bodies, count = -1, [], [], 0
-            for slot, d, body in rows:
-                if slot != seen:
-                    docs_.append(None if d == C.NULL_ID else d)
-                    bodies.append(body)
-                    count += int.from_bytes(body[:4], "little")
-                seen = slot
+            docs_ = [None if d == C.NULL_ID else d for _, d, _ in rows]
+            bodies = [body for _, _, body in rows]
+            count = sum(int.from_bytes(body[:4], "little") for body in bodies)
             payload = b"".join(bodies)
             return pa.RecordBatch.from_arrays(
                 [pa.array([s], pa.int32()), pa.array([s * per_shard], pa.int64()), pa.array([len(docs_)], pa.int32()), pa.array([step], pa.int32()), pa.array([count], pa.int64()),
@@ -167,7 +164,7 @@ def materialise(docs: DataFrame, key: int = 4, length: int = LENGTH, per_shard:
         if rows:
             yield out(now, rows)
 
-    rows = tokens.join(C.side(base), ["_k", "_t"]).select("_k", "_base", "ids").mapInArrow(records, "shard int, slot long, doc long, body binary")
+    rows = tokens.join(C.side(base), "_u").select("_k", "_base", "ids").mapInArrow(records, "shard int, slot long, doc long, body binary")
     if only is not None:
         rows = rows.join(C.side(C.cut(only.select("shard").distinct(), "only")), "shard", "left_semi")
     parts = max(1, min(shards, max(12, -(-total * step // (32 << 20)))))

@@ -99,6 +99,7 @@ def test_feistel_is_a_permutation(n):
 def test_training_order_round_trip(spark, model, tmp_path):
     rng = random.Random(8)
     docs = [(i * 3, " ".join(rng.choice(["alpha", "beta", "of", "x1"]) for _ in range(rng.randrange(80)))) for i in range(60)] + [(999, None), (None, "tail text")]
+    docs += [docs[7], docs[7], docs[9], (None, "tail text")]  # copies keep places of their own
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     options = dict(length=16, per_shard=8)
     shards = training_order.write_shards(df, f"file://{tmp_path}/s", **options)
@@ -123,6 +124,19 @@ def test_training_order_round_trip(spark, model, tmp_path):
     assert training_order.materialise(df.limit(0)).count() == 0
 
 
+def test_a_mix_keeps_its_copies_in_training_order(spark, model):
+    from patchloom.llm import mixing
+
+    rng = random.Random(3)
+    docs = [(i, "ab"[i % 7 == 0], " ".join(rng.choice(["alpha", "beta", "of", "x1"]) for _ in range(rng.randrange(1, 40)))) for i in range(80)]
+    mixed = mixing.stage(spark, spark.createDataFrame(docs, "doc_id long, source string, text string"), "").cache()
+    assert mixed.count() > mixed.distinct().count()
+    want = sum(len(model.sp.encode(r["text"])) for r in mixed.collect())
+    assert training_order.materialise(mixed, length=8, per_shard=16).agg(F.sum("n_tokens")).first()[0] == want
+    long = spark.createDataFrame([(1, "alpha beta of " * 60_000)] * 2, "doc_id long, text string")
+    assert training_order.materialise(long).agg(F.sum("n_tokens")).first()[0] == 2 * len(model.sp.encode("alpha beta of " * 60_000))
+
+
 def test_interrupted_shards_go_on(spark, tmp_path):
     """Of three waves the second is lost: only its folder is written anew, with the bytes that it had."""
     docs = spark.createDataFrame([(i, "alpha beta " * (i % 30), i, "mine") for i in range(40)], "doc_id long, text string, slot int, _k string")
