@@ -8,6 +8,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -137,13 +138,32 @@ def invert_map(mapping: DataFrame, *keys: str) -> DataFrame:
     return mapping.groupBy(*keys, "dst").agg(best.alias("src"))
 
 
-def uncovered(points: DataFrame, spans: DataFrame, *keys: str, n: str, start: str = "run_start", end: str = "run_end") -> DataFrame:
-    """Rows of points outside every span [start, end] of their key: an anti join on a range, within a key's partition."""
-    s = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(start).alias("_s"), F.col(end).alias("_e"))
-    on = F.col(n).between(F.col("_s"), F.col("_e"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    return points.join(s, on, "left_anti")
+#: Positions in a range into which a key is cut, so that no key's rows meet in one task.
+RANGE = 65_536
+
+
+def uncovered(points: DataFrame, spans: DataFrame, *keys: str, n: str, start: str = "run_start", end: str = "run_end", width: int = RANGE) -> DataFrame:
+    """Rows of points outside every span [start, end] of their key, whose columns may have any names.
+
+    A sweep instead of a join on a range: points and starts of spans stand in one order, and a point is covered if a span
+    that starts no later ends no earlier, which a running maximum of ends tells. Each range of `width` positions is swept
+    by itself, and begins with the largest end of the ranges before it, a row a range. Points without a key or a position
+    lie in no span; spans without one, or that end before they start, cover nothing.
+    """
+    ks = [f"_k{i}" for i in range(len(keys))]
+    known = lambda cols: reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols], F.lit(True))
+    own = points.select(F.struct("*").alias("_row"), *[F.col(k).alias(i) for k, i in zip(keys, ks, strict=True)], F.col(n).alias("_at"), F.lit(1).alias("_kind"))
+    whole = known([*ks, "_at"])
+    from_ = spans.where(known([*keys, start, end]) & (F.col(start) <= F.col(end)))
+    from_ = from_.select(F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), *[F.col(k).alias(i) for k, i in zip(keys, ks, strict=True)], F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.col(end).alias("_end"))
+    both = own.where(whole).withColumn("_end", F.lit(None).cast(from_.schema["_end"].dataType)).unionByName(from_).withColumn("_range", F.floor(F.col("_at") / width))
+    within = Window.partitionBy(*ks, "_range").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*ks).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = from_.withColumn("_range", F.floor(F.col("_at") / width)).groupBy(*ks, "_range").agg(F.max("_end").alias("_last"))
+    every = both.select(*ks, "_range").distinct().join(carried, [*ks, "_range"], "left").withColumn("_carried", F.max("_last").over(before)).drop("_last")
+    swept = both.withColumn("_reach", F.max("_end").over(within)).join(every, [*ks, "_range"])
+    left = swept.where((F.col("_kind") == 1) & ~F.coalesce(F.greatest("_reach", "_carried") >= F.col("_at"), F.lit(False)))
+    return left.select("_row.*").unionByName(own.where(~whole).select("_row.*"))
 
 
 def unmapped(add: DataFrame, delete: DataFrame, hunks: DataFrame, *keys: str, n: str = "line_no", compat: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -223,3 +223,25 @@ def test_diffs_of_long_texts_apply(spark):
     d = D.unified(old, new, 3, ignore_space=False)
     changed = D.parse_diff(spark.createDataFrame([(1, d)], "id int, text string"), "id").collect()
     assert D.apply_diff(old, [(r["side"], r["line_no"], r["text"]) for r in changed]) == new
+
+
+@pytest.mark.parametrize("width", [7, 65_536])
+def test_points_outside_spans(spark, width):
+    rng = random.Random(width)
+    points = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-50, 200)]), i) for i in range(300)]
+    spans = [(rng.choice(["a", "b", None]), s, s + rng.choice([-1, 0, 3, 40])) for s in (rng.randrange(-60, 200) for _ in range(12))] + [("a", None, 5), ("b", 3, None), ("c", 0, 9)]
+    p, s = spark.createDataFrame(points, "k string, n int, _range int"), spark.createDataFrame(spans, "k string, run_start int, run_end int")
+    want = [r for r in points if r[0] is None or r[1] is None or not any(k == r[0] and a is not None and b is not None and a <= r[1] <= b for k, a, b in spans)]
+    got = [tuple(r) for r in D.uncovered(p, s, "k", n="n", width=width).collect()]
+    low = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(got, key=low) == sorted(want, key=low) and D.uncovered(p, s, "k", n="n").columns == ["k", "n", "_range"]
+    none = D.uncovered(spark.createDataFrame([(5,), (9,)], "n int"), spark.createDataFrame([(4, 6)], "run_start int, run_end int"), n="n", width=width)
+    assert [r["n"] for r in none.collect()] == [9]
+
+
+def test_a_hot_key_is_swept_in_ranges(spark):
+    """A million positions of one key: the largest window has no more than a range's rows."""
+    p = spark.range(1_000_000).selectExpr("'u' AS k", "id AS n")
+    s = spark.range(50_000).selectExpr("'u' AS k", "id * 20 AS run_start", "id * 20 + 9 AS run_end").unionByName(spark.createDataFrame([("u", 400_000, 700_000)], "k string, run_start long, run_end long"))
+    got = D.uncovered(p, s, "k", n="n")
+    assert got.count() == 350_000 and "Window" in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
