@@ -33,7 +33,7 @@ def _any_of(words: list[str]) -> str:
 
 
 def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
-    """The sorted distinct hashes of a text's signatures, the first 32 bits of their MD5: array<int>.
+    """The sorted distinct hashes of a text's signatures, their CRC-32: array<int>.
 
     Words are runs of letters, marks and digits, lower case. Each anchor with the next `chain` words after it that are
     no anchors makes a signature; the text's end counts as so many words more. Words that no anchor reaches, over `chain`
@@ -47,32 +47,32 @@ def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAI
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))
     spots = _any_of(anchors or ANCHORS)
     marked = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), f" (?={spots} )", f" {MARK}")
-    skip = f"(?: {MARK}[^ ]++)*+"
-    content = f" [^ {MARK}]++"
-    ended = F.concat(marked, F.lit(f"{END} " * chain))
-    found = F.regexp_extract_all(ended, F.lit(f"{MARK}(?=([^ ]++{f'{skip}{content}' * chain}))"), F.lit(1))
-    rest = F.regexp_replace(marked, f"(?: {MARK}[^ ]++)++(?:{content}){{0,{chain}}}", f" {MARK}")
-    stretches = F.filter(F.transform(F.split(rest, MARK), lambda x: F.trim(x)), lambda x: x != "")
-    tagged = lambda x: F.concat(F.lit(MARK), x)
+    skip, content, passed = f"(?: {MARK}[^ ]++)*+", f" [^ {MARK}]++", f" {MARK}[^ ]++"
+    # what is used twice is bound to a variable, as an array of one, so that it is made once
+    bound = lambda x, use: F.flatten(F.transform(F.array(x), use))
     pairs = lambda x: F.regexp_extract_all(x, F.lit("(?<![^ ])(?=([^ ]++(?: [^ ]++)?))"), F.lit(1))
     runs = lambda x: F.regexp_extract_all(x, F.lit(f"(?=({'.' * PIECE}))"), F.lit(1))
     lowest = lambda r: F.filter(r, lambda x, i: (F.coalesce(F.get(r, i - 1), x) >= x) & F.coalesce(F.get(r, i + 1) > x, F.lit(True)))
-    # bound to a variable, the runs are made once
-    short = lambda x: F.when(F.length(x) < PIECE, F.array(x)).otherwise(F.flatten(F.transform(F.array(runs(x)), lowest)))
-    long = lambda x: F.flatten(F.transform(F.regexp_extract_all(x, F.lit(f"[^ ]{{{LONG + 1},}}"), F.lit(0)), lambda w: F.flatten(F.transform(F.array(runs(w)), lowest))))
+    short = lambda x: F.when(F.length(x) < PIECE, F.array(x)).otherwise(bound(runs(x), lowest))
+    long = lambda x: F.flatten(F.transform(F.regexp_extract_all(x, F.lit(f"[^ ]{{{LONG + 1},}}+"), F.lit(0)), lambda w: bound(runs(w), lowest)))
     several = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= WORDS - 1
-    others = F.flatten(F.transform(stretches, lambda x: F.when(several(x), F.concat(pairs(x), long(x))).otherwise(short(x))))
-    none = F.when(words == "", F.array(F.lit(MARK))).otherwise(F.array().cast("array<string>"))
-    chains = F.concat(found, F.transform(others, tagged), none)
-    passed = f" {MARK}[^ ]++"
-    clean = F.transform(chains, lambda x: F.when(F.contains(x, F.lit(f" {MARK}")), F.regexp_replace(x, passed, "")).otherwise(x))
-    low = F.transform(clean, lambda x: (F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") - F.lit(1 << 31)).cast("int"))
+
+    def all_of(m: Column) -> Column:
+        found = F.regexp_extract_all(F.concat(m, F.lit(f"{END} " * chain)), F.lit(f"{MARK}(?=([^ ]++{f'{skip}{content}' * chain}))"), F.lit(1))
+        clean = F.transform(found, lambda x: F.when(F.contains(x, F.lit(f" {MARK}")), F.regexp_replace(x, passed, "")).otherwise(x))
+        rest = F.regexp_replace(m, f"(?:{passed})++(?:{content}){{0,{chain}}}+", f" {MARK}")
+        stretches = F.filter(F.transform(F.split(rest, f" ?{MARK} ?"), lambda x: F.trim(x)), lambda x: x != "")
+        others = F.flatten(F.transform(stretches, lambda x: F.when(several(x), F.concat(pairs(x), long(x))).otherwise(short(x))))
+        none = F.when(m == "  ", F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(clean, F.transform(F.concat(others, none), lambda x: F.concat(F.lit(MARK), x)))
+
+    low = F.transform(bound(marked, all_of), lambda x: (F.crc32(x.cast("binary")) - F.lit(1 << 31)).cast("int"))
     return F.sort_array(F.array_distinct(low))
 
 
 def to_string(signature: Column) -> Column:
     """A fingerprint as text: its hashes in ascending order, eight hexadecimal digits each, with blanks between."""
-    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x.cast("long") + F.lit(1 << 31)), 8, "0"))), " ")
+    return F.lower(F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x.cast("long") + F.lit(1 << 31)), 8, "0")), " "))
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -166,7 +166,9 @@ q AS (SELECT doc_id, k, unnest(list_transform(range(1, len(ws) + 1), lambda i: w
   UNION ALL SELECT doc_id, k, x[i] FROM (SELECT doc_id, k, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, k, list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)) AS x FROM l))
     WHERE (i = 1 OR x[i - 1] >= x[i]) AND (i = len(x) OR x[i + 1] > x[i])),
 y AS (SELECT doc_id, k, sig FROM g UNION ALL SELECT doc_id, k, chr(1) || piece FROM q UNION ALL SELECT doc_id, k, chr(1) FROM n WHERE s = ''),
-f AS (SELECT doc_id, k, list_sort(list(DISTINCT substr(md5(sig), 1, 8))) AS f FROM y GROUP BY doc_id, k)
+z AS (SELECT list(v ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v FROM (SELECT unnest(range(256)) AS b))),
+h AS (SELECT sig, printf('%08x', xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(sig)), '..'), lambda y: ('0x' || y)::bigint)), lambda a, y: xor(a >> 8, tab[(xor(a, y) & 255) + 1])), 4294967295)) AS h FROM (SELECT DISTINCT sig FROM y), z),
+f AS (SELECT doc_id, k, list_sort(list(DISTINCT h)) AS f FROM y JOIN h USING (sig) GROUP BY doc_id, k)
 SELECT e.doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, array_to_string(a.f, ' ') AS fingerprint, array_to_string(b.f, ' ') AS edited_fingerprint,
   len(list_intersect(a.f, b.f)) / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f))) AS near_edited,
   len(list_intersect(a.f, c.f)) / (len(a.f) + len(c.f) - len(list_intersect(a.f, c.f))) AS near_next
