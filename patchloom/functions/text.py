@@ -85,7 +85,7 @@ def del_macros(code: Column, compat: bool = False) -> Column:
 
     Macro tokens go as whole words; compat takes them anywhere, inside identifiers too.
     """
-    out = F.regexp_replace(splice_lines(code), r"(?m)^[ \t]*#(?!include).*$", "")
+    out = F.regexp_replace(splice_lines(code), r"(?m)^[ \t]*#(?!include).*$" if compat else r"(?m)^[ \t]*#(?![ \t]*include\b).*$", "")
     for m in sorted(MACROS, key=len, reverse=True):
         if compat:
             out = F.replace(out, F.lit(m), F.lit(""))

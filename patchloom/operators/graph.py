@@ -87,6 +87,8 @@ def simple_paths(edges: DataFrame, starts: DataFrame, stops: DataFrame, *keys: s
           FROM p JOIN {names["e"]} e ON e.src = p.node{same("e", "p")} LEFT JOIN {names["z"]} z ON z.node = e.dst{same("z", "e")}
           WHERE NOT p.done AND NOT array_contains(p.path, e.dst))
         SELECT {own("p")}path AS node_path FROM p WHERE done""")
+    for name in names.values():  # the plan holds what they stood for
+        spark.catalog.dropTempView(name)
     return out if through is None else out.where(F.array_contains("node_path", through))
 
 

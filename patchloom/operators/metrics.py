@@ -150,7 +150,7 @@ def rank_by_overlap(rows: DataFrame, query: str, text: str, tie: str, *keys: str
     w = x.select("_id", F.explode(words(text)).alias("w"))
     df = w.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     q = x.select("_id", F.explode(words(query)).alias("w"))
-    n = rows.count()
-    s = w.join(q, ["_id", "w"]).join(df, "w").groupBy("_id").agg(F.sum(F.log(1 + F.lit(float(n)) / F.col("df"))).alias("score"))
+    n = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
+    s = w.join(q, ["_id", "w"]).join(df, "w").groupBy("_id").agg(F.sum(F.log(1 + n / F.col("df"))).alias("score"))
     out = x.join(s, "_id", "left").drop("_id").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), tie)))

@@ -18,9 +18,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from patchloom.session import checkpointed
+
 TOKEN = re.compile(r"\s+|;[^\n]*|(?P<open>[(\[])|(?P<close>[)\]])|(?P<capture>@[\w.-]+)|(?P<field>[A-Za-z_][\w]*)\s*:|(?P<name>[A-Za-z_][\w]*)|(?P<other>.)", re.S)
 
 
@@ -161,3 +163,79 @@ def first_captured(found: DataFrame, *keys: str) -> DataFrame:
     """Of each document's captures the first in the text, as what asks for one node gets."""
     best = F.min_by(F.struct("capture", "id", "type", "start_byte", "end_byte"), F.struct("start_byte", F.col("end_byte"), "capture", "id")).alias("_f")
     return found.groupBy(*keys).agg(best).select(*keys, "_f.*")
+
+
+# The node classes of code property graphs with the classes they extend, as analysers name them.
+LATTICE = """
+META_DATA NODE
+AST_NODE NODE
+CFG_NODE AST_NODE NODE
+DECLARATION NODE
+FILE AST_NODE NODE
+NAMESPACE AST_NODE NODE
+NAMESPACE_BLOCK AST_NODE NODE
+EXPRESSION CFG_NODE NODE
+BLOCK EXPRESSION NODE
+CALL_REPR CFG_NODE NODE
+CALL CALL_REPR EXPRESSION NODE
+CONTROL_STRUCTURE EXPRESSION NODE
+FIELD_IDENTIFIER EXPRESSION NODE
+IDENTIFIER EXPRESSION NODE
+JUMP_LABEL AST_NODE NODE
+JUMP_TARGET CFG_NODE NODE
+LITERAL EXPRESSION NODE
+LOCAL EXPRESSION NODE
+METHOD_REF EXPRESSION NODE
+MODIFIER AST_NODE NODE
+RETURN EXPRESSION NODE
+TYPE_REF EXPRESSION NODE
+UNKNOWN EXPRESSION NODE
+COMMENT AST_NODE NODE
+CONFIG_FILE NODE
+BINDING NODE
+METHOD EXPRESSION NODE
+METHOD_PARAMETER_IN CFG_NODE DECLARATION NODE
+METHOD_PARAMETER_OUT CFG_NODE DECLARATION NODE
+METHOD_RETURN CFG_NODE NODE
+MEMBER AST_NODE DECLARATION NODE
+TYPE NODE
+TYPE_ARGUMENT AST_NODE NODE
+TYPE_DECL AST_NODE NODE
+TYPE_PARAMETER AST_NODE NODE
+ANNOTATION EXPRESSION NODE
+ANNOTATION_LITERAL EXPRESSION NODE
+ANNOTATION_PARAMETER AST_NODE NODE
+ANNOTATION_PARAMETER_ASSIGN AST_NODE NODE
+ARRAY_INITIALIZER EXPRESSION NODE
+IMPORT NODE
+"""
+
+
+def lattice(spark: SparkSession, text: str = LATTICE) -> DataFrame:
+    """(type, extends): a row for each class and each one that it extends."""
+    pairs = [(kind, up) for kind, *ups in map(str.split, text.strip().splitlines()) for up in ups]
+    return spark.createDataFrame(pairs, "type string, extends string")
+
+
+def supertypes(extends: DataFrame, limit: int = 64) -> DataFrame:
+    """(type, super): every class with all that it is, itself included: the closure of a table (type, extends).
+
+    Each round joins what is known with itself, so chains are followed in twice as long steps; cycles end it too.
+    """
+    e = extends.where("type is not null and extends is not null").select("type", F.col("extends").alias("super"))
+    names = e.select("type").unionByName(e.select(F.col("super").alias("type"))).distinct()
+    known = checkpointed(e.unionByName(names.select("type", F.col("type").alias("super"))).distinct())
+    n = known.count()
+    for _ in range(limit):
+        further = known.select("type", F.col("super").alias("_mid")).join(known.select(F.col("type").alias("_mid"), "super"), "_mid").select("type", "super")
+        known = checkpointed(further.distinct())
+        m = known.count()
+        if m == n:
+            return known
+        n = m
+    raise RuntimeError(f"no end after {limit} rounds")
+
+
+def of_supertype(nodes: DataFrame, closure: DataFrame, *wanted: str) -> DataFrame:
+    """Nodes (type, ...) that are of one of the wanted classes, or of one that extends it; each once."""
+    return nodes.join(closure.where(F.col("super").isin(*wanted)).select("type").distinct(), "type", "left_semi")

@@ -256,7 +256,7 @@ def code_comments(spark: SparkSession, sf: str) -> DataFrame:
 
 @bound("""SELECT p_partkey, ' int f' || p_size || '( int a) { return 1;' || repeat(chr(10), 2) || '#include <' || p_brand || '>' || chr(10) || 'UNUSEDX; void g();' AS code, '<' || p_brand || '>' AS included FROM part""")
 def macros(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as code without macros, and what it includes."""
+    """Parts as code without macros, and what it includes."""
     l = F.lit
     code = F.concat(l("R_API int f"), "p_size", l("(IN int a) {\\\n  return 1;\n#define X\n#include <"), "p_brand", l(">\nUNUSEDX; METHODDEF(void) g();"))
     return table(spark, sf, "part").select("p_partkey", T.del_macros(code).alias("code"), F.array_join(T.includes(code), ",").alias("included"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import scan as S
 from patchloom.functions import text as T
+from patchloom.operators import ranking as R
 from patchloom.operators import syntax as Q
 from patchloom.plans.bindings import bound, table
+from patchloom.sources import dot
 
 
 def _template(*parts: str) -> Column:
@@ -85,3 +87,60 @@ def tree_patterns(spark: SparkSession, sf: str) -> DataFrame:
     lines = n.select(F.col("o_custkey").alias("doc"), (F.col("l_orderkey") * 8 + at).alias("id"), (F.col("l_orderkey") * 8).alias("parent"), F.when(F.col("l_linestatus") == "F", "status").alias("field"), F.col("l_returnflag").alias("type"), at.alias("start_byte"), (at + 1).alias("end_byte"))
     tops = o.select(F.col("o_custkey").alias("doc"), (F.col("o_orderkey") * 8).alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("field"), F.col("o_orderstatus").alias("type"), F.lit(0).alias("start_byte"), F.lit(100).alias("end_byte"))
     return Q.query(lines.unionByName(tops), TREE_QUERY, "doc").select("doc", "capture", "id")
+
+
+_LATTICE = ", ".join(f"('{kind}', '{up}')" for kind, *ups in map(str.split, Q.LATTICE.strip().splitlines()) for up in ups)
+_KINDS = [x.split()[0] for x in Q.LATTICE.strip().splitlines()]
+
+
+@bound(f"""WITH RECURSIVE e(type, up) AS (VALUES {_LATTICE}), c AS (SELECT type, type AS super FROM e UNION SELECT c.type, e.up FROM c JOIN e ON e.type = c.super),
+n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [{", ".join(f"'{k}'" for k in _KINDS)}][l_partkey % {len(_KINDS)} + 1] AS type FROM lineitem)
+SELECT super, n.type, count(*) AS n, sum(l_suppkey)::bigint AS keys FROM n JOIN c USING (type) WHERE super IN ('CFG_NODE', 'DECLARATION', 'EXPRESSION') GROUP BY ALL""")
+def node_supertypes(spark: SparkSession, sf: str) -> DataFrame:
+    """CPG: nodes that are of a class or of one that extends it, a line of an order being a node of some class."""
+    kinds = F.array(*[F.lit(k) for k in _KINDS])
+    n = table(spark, sf, "lineitem", "l_partkey", "l_suppkey").select("l_suppkey", F.get(kinds, (F.col("l_partkey") % len(_KINDS)).cast("int")).alias("type"))
+    closure = Q.supertypes(Q.lattice(spark))
+    of = lambda s: Q.of_supertype(n, closure, s).withColumn("super", F.lit(s))
+    every = of("CFG_NODE").unionByName(of("DECLARATION")).unionByName(of("EXPRESSION"))
+    return every.groupBy("super", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("l_suppkey").alias("keys"))
+
+
+_SCORED = """c AS (SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(first_value(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS q FROM conversations),
+w AS (SELECT *, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS a, list_filter(string_split_regex(lower(q), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS b FROM c),
+p AS (SELECT *, list_distinct(list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS aa, list_distinct(list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1])) AS bb FROM w)"""
+
+
+@bound(f"""WITH {_SCORED}, s AS (SELECT conv_id, turn, 'shared words' AS scorer, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(a || b)), 0), 0), 9) AS score FROM p
+UNION ALL SELECT conv_id, turn, 'common runs', round(coalesce(len(list_intersect(aa, bb)) / nullif(len(aa), 0), 0), 9) FROM p)
+SELECT *, (row_number() OVER (PARTITION BY scorer, conv_id ORDER BY score DESC, turn))::int AS rank FROM s""")
+def scored_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of a conversation ranked for its first turn by two scorers."""
+    c = table(spark, sf, "conversations", "conv_id", "turn", "text")
+    c = c.withColumn("asked", F.first("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    one = lambda scorer, name: R.ranked(c, "asked", "text", "turn", "conv_id", scorer=scorer).select("conv_id", "turn", F.lit(name).alias("scorer"), "score", "rank")
+    return one(R.shared_words, "shared words").unionByName(one(R.common_runs, "common runs"))
+
+
+@bound("""WITH n AS (SELECT n_regionkey AS k, n_nationkey, 'n' || n_nationkey AS name, lead('n' || n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS next FROM nation)
+SELECT k, name AS src, next AS dst, CASE WHEN k % 2 = 0 THEN 'c=1' ELSE 'c=1,w=x;y' END AS attributes FROM n WHERE next IS NOT NULL
+UNION ALL SELECT k, 'say "r' || k || '"', name, 'w=' || k FROM n""")
+def dot_statements(spark: SparkSession, sf: str) -> DataFrame:
+    """A region as a graph of a chain in a subgraph, edges to a group, defaults, comments and quotes that nobody escaped."""
+    n = table(spark, sf, "nation", "n_nationkey", "n_regionkey").groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("ns"))
+    names = F.transform("ns", lambda x: F.concat(F.lit("n"), x))
+    own = F.when(F.col("k") % 2 == 0, F.lit(";")).otherwise(F.lit(' [w="x;y"]'))
+    text = F.concat(
+        F.lit('digraph g { // a -> b\n subgraph s { edge [c=1]; rank = same\n'), F.array_join(names, "\n ->\n"), own,
+        F.lit(' }\n "say "r'), "k", F.lit('"" -> {'), F.array_join(names, " "), F.lit("} [w="), "k", F.lit("] /* x -> y */ }"),
+    )
+    edges = dot.dot_rows(n.select("k", text.alias("text")), "k").where("kind = 'edge'")
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return edges.select("k", "src", "dst", shown.alias("attributes"))
+
+
+@bound("SELECT doc_id, sha256(coalesce(text, '')) AS clean FROM documents")
+def cleaned_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents through UTF-8, which leaves what is text as it is."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", F.sha2(T.clean_text(F.coalesce("text", F.lit(""))).cast("binary"), 256).alias("clean"))
