@@ -158,59 +158,88 @@ def answer_items(answer: Column) -> Column:
 CONTINUED = {"c": ("#", ("?", "||", "&&")), "java": ("@", ("?", "||", "&&", "."))}
 
 
-def statement_lines(code: str | None, language: str = "c") -> str | None:
-    """code with continued statements on one line (sequential; use through join_statements).
+#: A statement by the classes of its lines (see _line_class): a line that goes on takes all up to one that ends, blank ones
+#: too; lines that continue follow. A line that stands alone (A) ends what goes on; it and other blank lines (B) are by themselves.
+STATEMENT = "[PW][PWB]*[EX]?[WX]*|[EX][WX]*|[AB]"
+#: White space as str.strip() takes it off, for Java and RE2.
+BLANK = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
+#: Literals and comments for long texts: as LITERAL and COMMENT, but Java matches them without recursion.
+_TOKEN = r"""(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|/\*.*?\*/|//[^\r\n]*+|.[^/'"]*+)"""
+#: Control characters that stand for a comment's ends and line feeds, and how the same characters in code are written meanwhile.
+_ENDS, _FEED, _ESCAPES = "\x02", "\x03", (("\x04", "\x04d"), ("\x02", "\x04b"), ("\x03", "\x04c"))
 
-    Comments are set aside, then lines are joined until one ends in ; { ) } or :, and on while the next begins with ? ||
-    or &&, in Java with a dot too. Blank lines stand alone, and so do preprocessor lines in C (whose backslash lines are
-    spliced first) and annotations in Java. Joined lines leave empty ones.
-    """
+
+def statement_lines(code: str | None, language: str = "c") -> str | None:
+    """What joined_code() gives for one text, in Python."""
     import re
 
     if code is None:
         return None
     alone, onward = CONTINUED[language]
-    kept: list[str] = []
-
-    def aside(m: re.Match) -> str:
-        if m.group(1):
-            return m.group(1)
-        kept.append(m.group(0))
-        return f"\x02{len(kept) - 1};"
-
+    for x, y in _ESCAPES:
+        code = code.replace(x, y)
+    aside = lambda m: m.group(1) or _ENDS + m.group(0).replace("\n", _FEED) + _ENDS
     text = re.sub(f"(?ms)({LITERAL})|(?:{COMMENT})", aside, code)
-    if language == "c":
-        text = re.sub(r"\\\n[ \t]*", " ", text)
-    out: list[str] = []
-    lines, i = text.split("\n"), 0
-    while i < len(lines):
-        bare = lines[i].strip()
-        if not bare or bare.startswith(alone):
-            out.append(lines[i])
-            i += 1
-            continue
-        j = i
-        while not lines[j].strip().endswith((";", "{", ")", "}", ":")) and j + 1 < len(lines) and not lines[j + 1].strip().startswith(alone):
-            j += 1
-        while j + 1 < len(lines) and lines[j + 1].strip().startswith(onward):
-            j += 1
-        out.append(" ".join([lines[i], *(x for x in (y.strip() for y in lines[i + 1 : j + 1]) if x)]))
-        out += [""] * (j - i)
-        i = j + 1
-    return re.sub("\x02(\\d+);", lambda m: kept[int(m.group(1))], "\n".join(out))
+    lines = (re.sub(r"\\\n[ \t]*", " ", text) if language == "c" else text).split("\n")
+    bare = [x.strip() for x in lines]
+    kind = ["B" if not x else "A" if x.startswith(alone) else "PEWX"[x.endswith((*";{)}:", _ENDS)) + 2 * x.startswith(onward)] for x in bare]
+    out = []
+    for m in re.finditer(STATEMENT, "".join(kind)):
+        a, b = m.span()
+        out += [" ".join([lines[a], *filter(None, bare[a + 1 : b])]), *[""] * (b - a - 1)]
+    text = "\n".join(out).replace(_ENDS, "").replace(_FEED, "\n")
+    for x, y in reversed(_ESCAPES):
+        text = text.replace(y, x)
+    return text
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, rf"^{BLANK}++|(?<!{BLANK}){BLANK}++\z", "")
+
+
+def _line_class(bare: Column, alone: str, onward: tuple[str, ...]) -> Column:
+    """A: stands alone; B: blank; X and W: continues the line before; E and X: ends a statement; P: none of these."""
+    ends, goes_on = bare.rlike(rf"[;{{)}}:{_ENDS}]\z"), F.lit(False)
+    for x in onward:
+        goes_on = goes_on | bare.startswith(x)
+    return F.when(bare == "", "B").when(bare.startswith(alone), "A").when(goes_on, F.when(ends, "X").otherwise("W")).otherwise(F.when(ends, "E").otherwise("P"))
+
+
+def code_lines(code: Column, language: str = "c") -> Column:
+    """The lines of code as joined_code() reads them: comments between marks and on one line, in C with spliced lines."""
+    for x, y in _ESCAPES:
+        code = F.replace(code, F.lit(x), F.lit(y))
+    comment = lambda t: t.startswith("//") | (t.startswith("/*") & t.endswith("*/") & (F.length(t) > 3))
+    marked = lambda t: F.when(comment(t), F.concat(F.lit(_ENDS), F.replace(t, F.lit("\n"), F.lit(_FEED)), F.lit(_ENDS))).otherwise(t)
+    text = F.array_join(F.transform(F.regexp_extract_all(code, F.lit(_TOKEN), F.lit(1)), marked), "")
+    return F.split(F.regexp_replace(text, r"\\\n[ \t]*", " ") if language == "c" else text, "\n", -1)
+
+
+def joined_code(lines: Column, language: str = "c") -> Column:
+    """code_lines() put together with continued statements on one line. Null stays null.
+
+    Lines are joined until one ends in ; { ) } : or a comment, and on while the next begins with ? || or &&, in Java with
+    a dot too. Blank lines stand alone, and so do preprocessor lines in C and annotations in Java. Joined lines leave
+    empty ones. Each line has a class, a letter; the text of these letters is cut into statements by one pattern.
+    """
+    alone, onward = CONTINUED[language]
+    classes = F.array_join(F.transform(lines, lambda x: _line_class(_stripped(x), alone, onward)), "")
+    left = lambda s, k: F.when(k == F.length(s), F.length(s) - 1).otherwise(0)  # noqa: E731  line feeds after a statement
+    places = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: F.struct((k == 1).alias("first"), left(s, k).alias("left")))
+    steps = F.flatten(F.transform(F.regexp_extract_all(classes, F.lit(STATEMENT), F.lit(0)), places))
+    after = lambda x: F.when(x == "", x).otherwise(F.concat(F.lit(" "), x))
+    shown = lambda x, s: F.concat(F.when(s["first"], F.concat(F.lit("\n"), x)).otherwise(after(_stripped(x))), F.repeat(F.lit("\n"), s["left"]))
+    text = F.substring(F.array_join(F.zip_with(lines, steps, shown), ""), 2, (1 << 31) - 1)
+    text = F.replace(F.replace(text, F.lit(_ENDS), F.lit("")), F.lit(_FEED), F.lit("\n"))
+    for x, y in reversed(_ESCAPES):
+        text = F.replace(text, F.lit(y), F.lit(x))
+    return text
 
 
 def join_statements(df: DataFrame, code: str, *keys: str, name: str = "code", language: str = "c") -> DataFrame:
-    """(keys, name): statement_lines() of each row's code, in Arrow batches."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields), f"`{name}` string"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = pdf[list(keys)].copy()
-            out[name] = [statement_lines(x, language) for x in pdf[code]]
-            yield out
-
-    return df.select(*keys, code).mapInPandas(run, schema)
+    """(keys, name): each row's code with continued statements on one line, see joined_code()."""
+    rows = df.select(*keys, code_lines(F.col(code), language).alias("_lines"))
+    return rows.select(*keys, joined_code(F.col("_lines"), language).alias(name))
 
 
 def bracketed(df: DataFrame, code: str, spans: str, *keys: str, name: str = "code") -> DataFrame:

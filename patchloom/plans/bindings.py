@@ -875,7 +875,15 @@ def overlap_rank(spark: SparkSession, sf: str) -> DataFrame:
     return E.rank_by_overlap(c.withColumn("query", first), "query", "text", "turn", "conv_id").select("conv_id", "turn", "score", "rank")
 
 
-@bound()
+@bound(rf"""WITH m AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''|/\*.*?\*/|//[^\r\n]*|.[^/''"]*'),
+  lambda x: CASE WHEN starts_with(x, '//') OR starts_with(x, '/*') AND ends_with(x, '*/') AND length(x) > 3 THEN chr(2) || replace(x, chr(10), chr(3)) || chr(2) ELSE x END), '') AS t FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, string_split(regexp_replace(t, '\\\n[ \t]*', ' ', 'g'), chr(10)) AS lines FROM m),
+b AS (SELECT doc_id, lines, list_transform(lines, lambda x: regexp_replace(x, '^{T.BLANK}+|{T.BLANK}+$', '', 'g')) AS bare FROM l),
+c AS (SELECT doc_id, lines, bare, array_to_string(list_transform(bare, lambda x: CASE WHEN x = '' THEN 'B' WHEN starts_with(x, '#') THEN 'A'
+  WHEN regexp_matches(x, '^([?]|[|][|]|&&)') THEN CASE WHEN regexp_matches(x, '[;{{)}}:\x02]$') THEN 'X' ELSE 'W' END WHEN regexp_matches(x, '[;{{)}}:\x02]$') THEN 'E' ELSE 'P' END), '') AS k FROM b),
+s AS (SELECT doc_id, lines, bare, flatten(list_transform(regexp_extract_all(k, '{T.STATEMENT}'), lambda s: list_transform(range(1, length(s) + 1), lambda i: CASE WHEN i = length(s) THEN i - 1 ELSE 0 END + CASE WHEN i > 1 THEN 0.5 ELSE 0 END))) AS steps FROM c)
+SELECT doc_id, replace(replace(substr(array_to_string(list_transform(lines, lambda x, i: CASE WHEN steps[i] = floor(steps[i]) THEN chr(10) || x WHEN bare[i] = '' THEN '' ELSE ' ' || bare[i] END || repeat(chr(10), floor(steps[i])::int)), ''), 2), chr(2), ''), chr(3), chr(10)) AS code FROM s
+UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
 def joined_statements(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of documents joined up to the ends of statements."""
     return T.join_statements(table(spark, sf, "documents", "doc_id", "text"), "text", "doc_id")
