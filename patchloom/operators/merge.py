@@ -41,6 +41,30 @@ def merge_snippets(snippets: DataFrame, key: str, snippet: str, text: str = "tex
     return groups.select(key, "first_snippet", "n_snippets", text_.alias("merged"))
 
 
+def merged_lines(snippets: DataFrame, key: str, snippet: str, text: str = "text", keep_unmarked: bool = False) -> DataFrame:
+    """(key, first_snippet, gap, marked, snippet, pos, line): what merge_snippets() puts into one text, as rows.
+
+    The rows of a (key, first_snippet) in order of gap, marked ones first, then snippet and pos are the merged text; base
+    lines have no snippet. No group is put together, so many snippets with equal base lines stay spread over the tasks:
+    they meet by the hash of their base lines, whose least snippet is an aggregate and joined back by key.
+    """
+    g = split_gaps(snippets, key, snippet, text=text)
+    own = F.transform(F.array_sort(F.collect_list(F.when(~F.col("marked"), F.struct("pos", "line")))), lambda x: x["line"])
+    base = g.groupBy(key, snippet).agg(own.alias("base"), F.max(F.col("marked").cast("int")).alias("any"))
+    if not keep_unmarked:
+        base = base.where("any = 1")
+    # lengths before lines, so that different lists never read as one text
+    name = F.sha2(F.array_join(F.transform("base", lambda x: F.concat(F.length(x), F.lit(":"), x)), ""), 256)
+    base = base.select(key, snippet, "base", name.alias("_name"))
+    first = base.groupBy(key, "_name").agg(F.min(snippet).alias("first_snippet"))
+    of = base.select(key, snippet, "_name").join(first, [key, "_name"]).select(key, snippet, "first_snippet")
+    marked = g.where("marked").groupBy(key, snippet, "gap", "line").agg(F.min("pos").alias("pos")).join(of, [key, snippet])
+    marked = marked.select(key, "first_snippet", "gap", F.lit(True).alias("marked"), F.col(snippet), "pos", "line")
+    lines = base.join(of.where(F.col(snippet) == F.col("first_snippet")), [key, snippet]).select(key, "first_snippet", F.posexplode("base").alias("gap", "line"))
+    none = F.lit(None).cast(dict(base.dtypes)[snippet])
+    return marked.unionByName(lines.select(key, "first_snippet", "gap", F.lit(False).alias("marked"), none.alias(snippet), F.col("gap").alias("pos"), "line"))
+
+
 def drop_consecutive(rows: DataFrame, value: str, order: list[str], *keys: str) -> DataFrame:
     """rows without those whose value equals the one before, in order, within their key; nulls are equal to each other."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -905,4 +905,4 @@ def recovery(spark: SparkSession, sf: str) -> DataFrame:
     return M.recover(o, lambda t: t.count("\n") >= 2, "l_orderkey")
 
 
-from patchloom.plans import flow_bindings, syntax_bindings  # noqa: E402, F401  these register their own
+from patchloom.plans import flow_bindings, syntax_bindings, varied_bindings  # noqa: E402, F401  these register their own
