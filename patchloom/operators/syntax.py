@@ -9,16 +9,17 @@ A node table has (keys, id, parent, field, type, start_byte, end_byte), one row
 
 What a query captures is a set of nodes for each name. So patterns are not matched one combination of children after the
 other: a node fits a pattern if its children, taken as early as possible, fit the pattern's in order, and a child takes part
-if it comes after the earliest places of those before it and before the latest places of those after it. Each step is an
-aggregation by parent and a join with it, whose size is that of the node table.
+if it comes after the earliest places of those before it and before the latest places of those after it. Nodes meet their
+parents by one shuffle a level of the patterns, of all patterns at once and of those nodes only whose types they name.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchloom.session import checkpointed
@@ -26,7 +27,7 @@ from patchloom.session import checkpointed
 TOKEN = re.compile(r"\s+|;[^\n]*|(?P<open>[(\[])|(?P<close>[)\]])|(?P<capture>@[\w.-]+)|(?P<field>[A-Za-z_][\w]*)\s*:|(?P<name>[A-Za-z_][\w]*)|(?P<other>.)", re.S)
 
 
-@dataclass
+@dataclass(eq=False)
 class Pattern:
     """A node to look for: of these types (none: any), as this field of its parent, with these children in order.
 
@@ -38,6 +39,9 @@ class Pattern:
     captures: list[str] = field(default_factory=list)
     children: list[Pattern] = field(default_factory=list)
     choices: list[Pattern] = field(default_factory=list)
+    number: int = 0
+    height: int = 0
+    nested: bool = False
 
 
 def parse(query: str) -> list[Pattern]:
@@ -77,56 +81,75 @@ def parse(query: str) -> list[Pattern]:
     return top.children
 
 
-class _Plan:
-    """A pattern over a node table: which nodes fit, and which of these take part in a match from above."""
+def _numbered(patterns: list[Pattern], nested: bool = False) -> list[Pattern]:
+    """All patterns of a query, those within another before it, with their numbers, heights and whether another holds them."""
+    out: list[Pattern] = []
+    for p in patterns:
+        out += _numbered(p.choices, nested) + _numbered(p.children, True)
+        p.nested = nested
+        p.height = max([0, *(c.height for c in p.choices), *(c.height + 1 for c in p.children)])
+        out.append(p)
+    for i, p in enumerate(out):
+        p.number = i
+    return out
 
-    def __init__(self, pattern: Pattern, nodes: DataFrame, keys: tuple[str, ...]):
-        self.p, self.keys = pattern, keys
-        self.choices = [_Plan(c, nodes, keys) for c in pattern.choices]
-        self.children = [_Plan(c, nodes, keys) for c in pattern.children]
-        if self.choices:
-            fit = self.choices[0].fit
-            for c in self.choices[1:]:
-                fit = fit.unionByName(c.fit)
-            self.fit = fit.distinct() if len(self.choices) > 1 else fit
-        else:
-            self.fit = nodes.where(F.col("type").isin(*pattern.types)) if pattern.types else nodes
-        if pattern.name is not None:
-            self.fit = self.fit.where(F.col("field") == pattern.name)
-        up = [*keys, "parent"]
+
+def _marks(*conditions: tuple[Column, int]) -> Column:
+    """The numbers whose conditions hold, as an array."""
+    every = F.array(*[F.when(c, F.lit(i)) for c, i in conditions]) if conditions else F.array()
+    return F.filter(every.cast("array<int>"), lambda x: x.isNotNull())
+
+
+def _has(marks: str | Column, p: Pattern) -> Column:
+    return F.coalesce(F.array_contains(marks, p.number), F.lit(False))
+
+
+def _named(p: Pattern) -> Column:
+    return F.lit(True) if p.name is None else F.col("field") == p.name
+
+
+def _fits(every: list[Pattern], known: dict[int, Column]) -> Column:
+    """Marks of what a node fits: patterns whose fit is known, and those that are a choice among them."""
+    for p in every:
+        some = [known[c.number] for c in p.choices if c.number in known]
+        if some:
+            known[p.number] = reduce(lambda x, y: x | y, some) & _named(p)
+    return _marks(*((c, i) for i, c in known.items()))
+
+
+def _chosen(p: Pattern) -> list[Pattern]:
+    """A pattern and all that it lets choose from, at any depth: a node that takes part as it does as those it fits."""
+    return [p, *(x for c in p.choices for x in _chosen(c))]
+
+
+def _matched(rows: DataFrame, patterns: list[Pattern], down: bool, *keys: str) -> DataFrame:
+    """Marks of what nodes take part as, of patterns with children and of these children, all by one shuffle.
+
+    rows are (keys, _x, _own, _fits, ...): a node under its own id with the patterns that it may be, or under its parent's
+    with those that it fits. Without down only the former are given.
+    """
+    w = Window.partitionBy(*keys, "_x")
+    early, late = (lambda p, i: f"_e{p.number}_{i}"), (lambda p, i: f"_l{p.number}_{i}")
+    most = max(len(p.children) for p in patterns)
+    for i in range(most):
         # the earliest place of each child's pattern after the places of those before it
-        self.early: list[DataFrame] = []
-        for c in self.children:
-            fit = c.fit.select(*up, "_pos")
-            if self.early:
-                fit = fit.join(self.early[-1], up).where(F.col("_pos") > F.col("_early"))
-            self.early.append(fit.groupBy(*up).agg(F.min("_pos").alias("_early")))
-        if self.children:
-            self.fit = self.fit.join(self.early[-1].select(*keys, F.col("parent").alias("id")), [*keys, "id"], "left_semi")
-
-    def found(self, within: DataFrame | None = None) -> list[DataFrame]:
-        """(keys, capture, id) for all captures; within: (keys, id) of the nodes that take part, by default all that fit."""
-        part = self.fit if within is None else self.fit.join(within, [*self.keys, "id"], "left_semi")
-        out = [part.select(*self.keys, F.lit(c).alias("capture"), "id") for c in self.p.captures]
-        for c in self.choices:
-            out += c.found(None if within is None else within)
-        up = [*self.keys, "parent"]
-        parents = part.select(*self.keys, F.col("id").alias("parent"))
-        late: DataFrame | None = None
-        for i in reversed(range(len(self.children))):
-            fit = self.children[i].fit.join(parents, up, "left_semi")
-            if i:
-                fit = fit.join(self.early[i - 1], up).where(F.col("_pos") > F.col("_early")).drop("_early")
-            if late is not None:
-                fit = fit.join(late, up).where(F.col("_pos") < F.col("_late")).drop("_late")
-            if self.children[i].wanted:
-                out += self.children[i].found(fit.select(*self.keys, "id"))
-            late = fit.groupBy(*up).agg(F.max("_pos").alias("_late"))
-        return out
-
-    @property
-    def wanted(self) -> bool:
-        return bool(self.p.captures) or any(c.wanted for c in [*self.children, *self.choices])
+        at = lambda p: _has("_fits", p.children[i]) & (F.col("_pos") > F.col(early(p, i - 1)) if i else F.lit(True))  # noqa: B023, E731
+        rows = rows.withColumns({early(p, i): F.min(F.when(at(p), F.col("_pos"))).over(w) for p in patterns if i < len(p.children)})
+    last = {p.number: F.col(early(p, len(p.children) - 1)).isNotNull() for p in patterns}
+    own = [(_has("_own", p) & last[p.number], p.number) for p in patterns]
+    if not down:
+        return rows.withColumn("_fits", _marks(*own)).where(F.size("_fits") > 0)
+    rows = rows.withColumns({f"_p{p.number}": F.max(_has("_own", p) & last[p.number]).over(w) for p in patterns})
+
+    def takes(p: Pattern, i: int) -> Column:
+        out = F.col(f"_p{p.number}") & _has("_fits", p.children[i])
+        out = out & (F.col("_pos") > F.col(early(p, i - 1))) if i else out
+        return out & (F.col("_pos") < F.col(late(p, i + 1))) if i < len(p.children) - 1 else out
+
+    for i in reversed(range(1, most)):
+        rows = rows.withColumns({late(p, i): F.max(F.when(takes(p, i), F.col("_pos"))).over(w) for p in patterns if i < len(p.children)})
+    kids = [(takes(p, i) & _has("_fits", c), c.number) for p in patterns for i, child in enumerate(p.children) for c in _chosen(child)]
+    return rows.withColumn("_as", F.array_distinct(_marks(*own, *kids))).where(F.size("_as") > 0)
 
 
 def inside(nodes: DataFrame, roots: DataFrame, *keys: str) -> DataFrame:
@@ -149,14 +172,68 @@ def query(nodes: DataFrame, text: str, *keys: str, within: DataFrame | None = No
     Nodes of one parent stand in order of their bytes, then of their ids; a null parent is that of a root.
     """
     nodes = nodes if within is None else inside(nodes, within, *keys)
-    placed = nodes.select(*keys, "id", "parent", "field", "type", F.struct("start_byte", "end_byte", "id").alias("_pos"))
-    found: DataFrame | None = None
-    for pattern in parse(text):
-        for part in _Plan(pattern, placed, keys).found():
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = placed.select(*keys, F.lit(None).cast("string").alias("capture"), "id").limit(0)
-    return found.distinct().join(nodes.select(*keys, "id", "type", "start_byte", "end_byte"), [*keys, "id"]).select(*keys, "capture", "id", "type", "start_byte", "end_byte")
+    tops = parse(text)
+    every = _numbered(tops)
+    parts = [p for p in every if p.children]
+    leaves = {p.number: (F.col("type").isin(*p.types) if p.types else F.lit(True)) & _named(p) for p in every if not p.children and not p.choices}
+    may = [((F.col("type").isin(*p.types) if p.types else F.lit(True)) & _named(p), p.number) for p in parts]
+    shown = [*keys, "id", "type", "start_byte", "end_byte"]
+    rest = [*shown, "parent", "field", "_pos"]
+    rows = nodes.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys], F.lit(True)))
+    rows = rows.withColumn("_pos", F.struct("start_byte", "end_byte", "id")).withColumns({"_own": _marks(*may), "_fits": _fits(every, leaves)})
+    rows = rows.where((F.size("_own") > 0) | (F.size("_fits") > 0)).select(*rest, "_own", "_fits")
+    levels = sorted({p.height for p in parts})
+    whole = [c for p in tops if not p.children for c in _chosen(p) if not c.children]
+    if 2 * len(levels) - 1 + bool(whole) > 1:
+        rows = checkpointed(rows)  # each level reads it
+    none = F.array().cast("array<int>")
+
+    def copies(df: DataFrame, patterns: list[Pattern]) -> DataFrame:
+        """Each node under its own id, with those of patterns that it may be, and under its parent's, with what it fits."""
+        kept = lambda c, ps: F.array_intersect(c, F.array(*[F.lit(p.number) for p in ps]).cast("array<int>")) if ps else none
+        kids = [x for p in patterns for c in p.children for x in _chosen(c)]
+        both = F.array(F.struct(F.col("id").alias("_x"), kept("_own", patterns).alias("_own"), none.alias("_fits")), F.struct(F.col("parent").alias("_x"), none.alias("_own"), kept("_fits", kids).alias("_fits")))
+        return df.select(*rest, F.explode(both).alias("_c")).select(*rest, "_c.*").where("_x is not null and (size(_own) > 0 or size(_fits) > 0)")
+
+    def known(patterns: list[Pattern], below: int) -> DataFrame:
+        df = rows
+        for h in levels:
+            df = df.unionByName(fitting[h].select(*rest, none.alias("_own"), "_fits")) if h < below and h in fitting else df
+        return copies(df, patterns)
+
+    fitting: dict[int, DataFrame] = {}
+    for h in levels:
+        inner = [p for p in parts if p.height == h and p.nested]
+        if inner:
+            fit = _matched(known(inner, h), inner, False, *keys)
+            fitting[h] = checkpointed(fit.withColumn("_fits", _fits(every, {p.number: _has("_fits", p) for p in inner})).select(*rest, "_fits"))
+    free = {p.number for t in tops for p in _chosen(t)}
+    groups = [p for p in every if p.choices and p.number in free]
+    caught = lambda df, ps: df.select(*shown, F.explode(F.array_compact(F.flatten(F.array_compact(F.array(*[F.when(_has("_as", p), F.array(*map(F.lit, p.captures))) for p in ps]))))).alias("capture"))
+    alone = [p for p in whole if p.captures]
+    found = [caught(rows.select(*shown, F.col("_fits").alias("_as")), alone)] if alone else []
+    taking: list[DataFrame] = []
+    for h in reversed(levels):
+        now = [p for p in parts if p.height == h]
+        nested = [p for p in now if p.number not in free]
+        start = known(now, h)
+        if nested:
+            drop = F.array(*[F.lit(p.number) for p in nested]).cast("array<int>")
+            start = start.withColumn("_own", F.array_except("_own", drop)).where("size(_own) > 0 or size(_fits) > 0")
+            for t in taking:
+                start = start.unionByName(t.select(*rest, F.col("id").alias("_x"), F.array_intersect("_as", drop).alias("_own"), none.alias("_fits")).where("size(_own) > 0"))
+        # a node that fits a choice at the top is one of its group too
+        part = _matched(start, now, True, *keys).withColumn("_as", F.array_union("_as", _fits(groups, {p.number: _has("_as", p) for p in now if p.number in free}))).select(*rest, "_as")
+        if any(p.height < h and p.number not in free for p in parts):
+            part = checkpointed(part)
+        taking.append(part)
+        wanted = [p for p in every if p.captures and (p in now or p in groups or any(p in _chosen(c) for q in now for c in q.children))]
+        if wanted:
+            found.append(caught(part, wanted))
+    out = [*keys, "capture", "id", "type", "start_byte", "end_byte"]
+    if not found:
+        return rows.select(*shown, F.lit(None).cast("string").alias("capture")).select(*out).limit(0)
+    return reduce(DataFrame.unionByName, found).where("id is not null").select(*out).distinct()
 
 
 def first_captured(found: DataFrame, *keys: str) -> DataFrame:
