@@ -28,3 +28,15 @@ def test_query_reads_nodes_once_a_level(spark):
     assert got == {("one", 2), ("deep", 4), ("two", 1), ("three", 5), ("any", 1), ("any", 5), ("each", 2), ("each", 4), ("below", 4)}
     assert scanned.value <= 4 * len(rows)
     assert jobs_and_operators(spark, found) < 60
+
+
+def test_query_of_one_level_is_one_shuffle(spark):
+    """tree_patterns: nodes of both sides of a pattern meet without a join, from one read."""
+    from patchloom.operators import syntax as Q
+    from patchloom.plans.syntax_bindings import TREE_QUERY
+
+    n = spark.createDataFrame([(1, 8, None, None, "O", 0, 9), (1, 9, 8, "status", "R", 1, 2), (1, 10, 8, None, "N", 2, 3)], "doc int, id int, parent int, field string, type string, start_byte int, end_byte int")
+    found = Q.query(n, TREE_QUERY, "doc")
+    assert {(r["capture"], r["id"]) for r in found.collect()} == {("both", 8), ("late", 9), ("new", 10)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1
