@@ -10,14 +10,18 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import align
+from patchloom.functions.batches import batch_lines, latest
 from patchloom.session import checkpointed
 
-HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+HEADER_PARTS = r"^@@ -(?P<a0>\d+)(?:,(?P<an>\d+))? \+(?P<b0>\d+)(?:,(?P<bn>\d+))? @@"
 
 
 def lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -31,48 +35,69 @@ def parse_diff(patches: DataFrame, *keys: str, text: str = "text", compat: bool
     Counters start at a hunk header's numbers and go on with each line. Headers of files are recognised between hunks
     only, by the hunks' own lengths, and "\\ No newline" lines count nothing. compat counts as simpler tools do: any
     line that starts with +++ or --- is a header that advances both counters, as "\\" lines do.
-    A patch without hunks gives no rows; null text neither. Counters are running sums within each patch.
+    A patch without hunks gives no rows; null text neither. Each row is a patch of its own, whose lines never leave its
+    task: counters are running sums over the lines of an Arrow batch, so nothing is sorted or shuffled.
     """
-    l = lines(patches, text, *keys)
-    p = Window.partitionBy(*keys).orderBy("pos")
-    run = p.rowsBetween(Window.unboundedPreceding, 0)
-    head = F.col("line").rlike(HEADER)
-    num = lambda i, d: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("line", HEADER, i), F.lit("")), F.lit("999999999")).cast("int"), F.lit(d))
-    l = l.withColumns({
-        "git": F.col("line").startswith("diff --git "),
-        "head": head,
-        "a0": F.when(head, num(1, 0)), "an": F.when(head, num(2, 1)), "b0": F.when(head, num(3, 0)), "bn": F.when(head, num(4, 1)),
-    })
-    l = l.withColumns({
-        "file_idx": F.sum(F.col("git").cast("int")).over(run),
-        "hunk": F.sum(F.col("head").cast("int")).over(run),
-    })
-    h = Window.partitionBy(*keys, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    first = Window.partitionBy(*keys, "hunk")
-    for c in ("a0", "an", "b0", "bn"):
-        l = l.withColumn(c, F.max(c).over(first))
-    c1 = F.substring("line", 1, 1)
-    body = (F.col("hunk") > 0) & ~F.col("head")
+    rows = patches.select(*keys, F.col(text).alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in patches.select(*keys).schema.fields), PARSED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, columns = changed_lines(batch.column(len(keys)), compat)
+            yield pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[: len(keys)]), *columns], [*keys, *PARSED_NAMES])
+
+    return rows.mapInArrow(run, schema)
+
+
+PARSED = "file_idx bigint, old_file string, new_file string, pos int, side string, line_no int, text string"
+PARSED_NAMES = [x.split()[0] for x in PARSED.split(", ")]
+
+
+def changed_lines(texts: pa.Array, compat: bool) -> tuple[pa.Array, list[pa.Array]]:
+    """parse_diff() of an array of patches: the place of each changed line's patch, and its columns."""
+    l = batch_lines(texts)
+    n, at = len(l.text), np.arange(len(l.text))
+    begins = lambda x: pc.starts_with(l.text, x).to_numpy(zero_copy_only=False)
+    found = at[begins("@@ -")]
+    parts = pc.extract_regex(l.text.take(pa.array(found)), HEADER_PARTS)
+    found, parts = found[parts.is_valid().to_numpy(zero_copy_only=False)], parts.drop_null()
+    num = {}
+    for c, default in (("a0", 0), ("an", 1), ("b0", 0), ("bn", 1)):
+        x = parts.field(c)
+        size = pc.utf8_length(x)
+        num[c] = pc.if_else(pc.and_(pc.greater(size, 0), pc.less_equal(size, 9)), x, str(default)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    head = np.zeros(n, bool)
+    head[found] = True
+    last = latest(head)
+    hunk = last >= l.first  # lines of a patch before its first hunk have none
+    no = np.where(hunk, np.cumsum(head) - 1, 0)
+    a0, an, b0, bn = (x[no] if len(x) else np.zeros(n, np.int64) for x in num.values())
+    body = hunk & ~head
+    plus, minus = body & (l.lead == ord("+")), body & (l.lead == ord("-"))
     if compat:
-        plus = body & (c1 == "+") & ~F.col("line").startswith("+++")
-        minus = body & (c1 == "-") & ~F.col("line").startswith("---")
+        plus, minus = plus & ~begins("+++"), minus & ~begins("---")
         both = body & ~plus & ~minus
     else:
-        # of the lines that carry a sign or a blank, those within the hunk's lengths
-        plus, minus = body & (c1 == "+"), body & (c1 == "-")
-        both = body & ((c1 == " ") | (F.col("line") == ""))
-    l = l.withColumns({"ia": (minus | both).cast("int"), "ib": (plus | both).cast("int")})
-    l = l.withColumns({"na": F.sum("ia").over(h), "nb": F.sum("ib").over(h)})
+        both = body & ((l.lead == ord(" ")) | (l.lead == 0))
+    na, nb = np.cumsum(minus | both), np.cumsum(plus | both)
+    na, nb = (x - x[np.where(hunk, last, 0)] if n else x for x in (na, nb))
+    inside = np.zeros(n, bool)
     if not compat:
-        inside = (F.col("na") <= F.col("an")) & (F.col("nb") <= F.col("bn"))
+        # of the lines that carry a sign or a blank, those within the hunk's lengths
+        inside = body & (na <= an) & (nb <= bn)
         plus, minus = plus & inside, minus & inside
-    names = {}
-    for col, mark in (("old_file", "--- "), ("new_file", "+++ ")):
-        at = F.when(~F.coalesce(inside & body if not compat else F.lit(False), F.lit(False)) & F.col("line").startswith(mark), F.regexp_replace(F.col("line"), r"^(?:---|\+\+\+) (?:[ab]/)?", ""))
-        names[col] = F.last(at, ignorenulls=True).over(run)
-    out = l.withColumns(names).withColumn("side", F.when(plus, "add").when(minus, "delete")).where(F.col("side").isNotNull())
-    no = F.when(F.col("side") == "add", F.col("b0") - 1 + F.col("nb")).otherwise(F.col("a0") - 1 + F.col("na"))
-    return out.select(*keys, F.greatest("file_idx", F.lit(1)).alias("file_idx"), "old_file", "new_file", "pos", "side", no.cast("int").alias("line_no"), F.substring("line", 2, 1 << 30).alias("text"))
+    git = np.cumsum(begins("diff --git "))
+    file = git - (git - begins("diff --git "))[l.first] if n else git
+    take = np.flatnonzero(plus | minus)
+    names = []
+    for mark in ("--- ", "+++ "):
+        named = begins(mark) & ~inside
+        where = latest(named)[take]
+        name = pc.replace_substring_regex(l.text.filter(pa.array(named)), r"^(?:---|\+\+\+) (?:[ab]/)?", "")
+        names.append(name.take(pa.array((np.cumsum(named) - 1)[take], mask=where < l.first[take])))
+    line_no = np.where(plus, b0 - 1 + nb, a0 - 1 + na)[take].astype(np.int32)
+    side = pc.if_else(pa.array(plus[take]), "add", "delete")
+    return pa.array(l.row[take]), [pa.array(np.maximum(file[take], 1)), *names, pa.array((at - l.first)[take].astype(np.int32)), side, pa.array(line_no), pc.utf8_slice_codeunits(l.text.take(pa.array(take)), 1)]
 
 
 def split_files(patches: DataFrame, *keys: str, text: str = "text", compat: bool = False) -> DataFrame:

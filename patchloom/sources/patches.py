@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import text as T
+from patchloom.functions.batches import batch_lines, latest, listed, next_marked
 
 # Extensions of files that are analysed.
 EXTENSIONS = ("c", "cpp", "c++", "cc", "C", "h", "hpp", "hxx")
@@ -70,25 +76,37 @@ def answer_diffs(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
     `diff --git` line on to the next fence or the end.
 
     status is found, wrong_answer (a fence that closes nothing, or no diff at all) or not_found (null text). An opening
-    fence inside an open diff starts it anew, leaving what was open out.
+    fence inside an open diff starts it anew, leaving what was open out. An answer is read whole within its task, so no
+    line is shuffled or sorted.
     """
-    l = answers.select(key, F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    event = F.when(F.col("line").startswith("```diff"), "open").when(F.col("line").startswith("```"), "close").when(F.col("line").startswith("diff --git "), "git")
-    run = Window.partitionBy(key).orderBy("pos")
-    l = l.withColumn("event", event).withColumn("last", F.last("event", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    l = l.withColumn("before", F.last("event", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1)))
-    l = l.withColumn("bad", (F.col("event") == "close") & (F.col("before").isNull() | (F.col("before") == "close")))
-    l = l.withColumn("seg", F.sum(F.col("event").isNotNull().cast("int")).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy(key, "seg")
+    schema = f"`{key}` {answers.schema[key].dataType.simpleString()}, diff string, status string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *fenced(batch.column(1))], [key, "diff", "status"])
+
+    return answers.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def fenced(texts: pa.Array) -> list[pa.Array]:
+    """[diff, status] of answer_diffs() for an array of answers, over the lines of all at once."""
+    l = batch_lines(texts)
+    begins = lambda x: pc.starts_with(l.text, x).to_numpy(zero_copy_only=False)
+    starts = begins("```diff")
+    close = begins("```") & ~starts
+    git = begins("diff --git ")
+    event = starts | close | git
+    n = len(event)
+    last, then = latest(event), next_marked(event)
+    before = np.append(-1, last)[:n]
+    bad = close & ((before < l.first) | close[before])
     # an open segment without an end mark is dropped when another fence opens right after it
-    l = l.withColumn("next", F.first("event", ignorenulls=True).over(run.rowsBetween(1, Window.unboundedFollowing)))
-    l = l.withColumn("after", F.max_by("next", "pos").over(w))
-    inside = F.col("last").isin("open", "git") & F.coalesce(F.col("after") != "open", F.lit(True)) & (F.coalesce(F.col("event"), F.lit("")) != "open")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
-    s = l.groupBy(key).agg(body.alias("diff"), F.max(F.coalesce(F.col("bad"), F.lit(False)).cast("int")).alias("bad"))
-    out = answers.select(key, text).join(s, key, "left")
-    status = F.when(F.col(text).isNull(), "not_found").when((F.col("bad") == 1) | (F.coalesce("diff", F.lit("")) == ""), "wrong_answer").otherwise("found")
-    return out.select(key, F.when(status == "found", F.col("diff")).alias("diff"), status.alias("status"))
+    again = (then < n) & (l.row[np.minimum(then, n - 1)] == l.row) & starts[np.minimum(then, n - 1)]
+    inside = (last >= l.first) & ~close[last] & ~starts & ~again
+    diff = pc.binary_join(listed(l.text.filter(pa.array(inside)), l.row[inside], len(texts)), "\n")
+    wrong = pc.or_(pa.array(np.bincount(l.row[bad], minlength=len(texts)) > 0), pc.equal(diff, ""))
+    status = pc.if_else(pc.is_null(texts), "not_found", pc.if_else(wrong, "wrong_answer", "found"))
+    return [pc.if_else(pc.equal(status, "found"), diff, pa.scalar(None, pa.string())), status]
 
 
 def call_graph(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:

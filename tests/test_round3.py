@@ -40,3 +40,40 @@ def test_query_of_one_level_is_one_shuffle(spark):
     assert {(r["capture"], r["id"]) for r in found.collect()} == {("both", 8), ("late", 9), ("new", 10)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("LogicalRDD") == 1
+
+
+def operators(df, *names):
+    """How often each operator stands in the physical plan of df before it runs."""
+    plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return [plan.count(n) for n in names]
+
+
+def test_patches_are_parsed_without_sorting(spark):
+    """diff_files_hunks: no line is sorted, and numbers, lengths left out, long numbers, nulls and empty texts count as before."""
+    from patchloom.operators import diff as D
+
+    rows = [
+        (1, "--- a/x\n+++ b/y\n@@ -3 +4,2 @@\n-a\n+--\n+b\n+beyond\n--- z\n@@ -0000000001,1 +12345678901 @@\n-c\n+d\n"),
+        (2, None), (3, ""), (4, "diff --git a/q b/q\n+no hunk\n@@ -x +1 @@\n+n"), (None, "@@ -7,0 +8 @@\n+e"),
+        (5, "diff --git a/q b/q\n@@ -1 +1 @@\n-f\n+g\ndiff --git a/r b/r\n--- /dev/null\n@@ -0,0 +1 @@\n+ä\r\nend"),
+    ]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(2)
+    got = D.parse_diff(df, "k")
+    assert operators(got, "Sort", "Window") == [0, 0]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        (1, 1, "x", "y", 3, "delete", 3, "a"), (1, 1, "x", "y", 4, "add", 4, "--"), (1, 1, "x", "y", 5, "add", 5, "b"),
+        (1, 1, "z", "y", 9, "delete", 0, "c"), (1, 1, "z", "y", 10, "add", 0, "d"), (None, 1, None, None, 1, "add", 8, "e"),
+        (5, 1, None, None, 2, "delete", 1, "f"), (5, 1, None, None, 3, "add", 1, "g"), (5, 2, "/dev/null", None, 7, "add", 1, "ä\r"),
+    ], key=str)
+    loose = {(r["side"], r["line_no"], r["text"]) for r in D.parse_diff(df.where("k = 1"), "k", compat=True).collect()}
+    assert ("add", 6, "beyond") in loose and D.parse_diff(df.where("k < 0"), "k").count() == 0
+
+
+def test_answers_are_read_without_sorting(spark):
+    """mixed_answers: lines of answers are neither sorted nor joined back."""
+    from patchloom.sources import patches as P
+
+    rows = [(1, "```diff\n-a\n```\nb\n```diff\n+c"), (2, None), (3, ""), (4, "```\nx"), (5, "diff --git a b\n+d\n```diff\n+e\n```"), (6, "```diff\n\n```"), (None, "```diff\n+f"), (7, "```diff\n+g\n```\n```")]
+    got = P.answer_diffs(spark.createDataFrame(rows, "k int, text string").repartition(2), "k")
+    assert operators(got, "Sort", "Window", "Join") == [0, 0, 0]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "-a\n+c", "found"), (2, None, "not_found"), (3, None, "wrong_answer"), (4, None, "wrong_answer"), (5, "+e", "found"), (6, None, "wrong_answer"), (None, "+f", "found"), (7, None, "wrong_answer")], key=str)
