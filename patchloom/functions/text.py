@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,6 +257,20 @@ def bracketed(df: DataFrame, code: str, spans: str, *keys: str, name: str = "cod
     return df.select(*keys, code, spans).mapInPandas(run, schema)
 
 
+def _held(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (keys, code) with brackets around the bodies that the scanner finds, in one pass of Arrow batches; code that names no
+    condition is not looked at."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = batch.column(len(keys))
+            at = pc.fill_null(pc.match_substring_regex(code, "if|else"), False)
+            new = [add_brackets(x, scan.bodies(x)) for x in code.filter(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pc.replace_with_mask(code, at, pa.array(new, code.type))], [*keys, "code"])
+
+    rows = rows.select(*keys, "code")
+    return rows.mapInArrow(run, rows.schema)
+
+
 def formatted(df: DataFrame, code: str, *keys: str, language: str = "c", del_comments: bool = True, join: bool = True, macros: bool = True, brackets: bool = True) -> DataFrame:
     """(keys, code): code brought into one form: no comments, a statement a line, no empty lines; in C no macros, and
     brackets around what conditions hold, see scan.bodies(). Nothing is indented anew.
@@ -264,7 +280,7 @@ def formatted(df: DataFrame, code: str, *keys: str, language: str = "c", del_com
     rows = df.select(*keys, x.alias("code"))
     rows = join_statements(rows, "code", *keys, language=language) if join else rows
     if brackets and language == "c":
-        rows = bracketed(rows.withColumn("_spans", scan.condition_bodies("code")), "code", "_spans", *keys)
+        rows = _held(rows, *keys)
     return rows.select(*keys, remove_empty_lines(F.col("code")).alias("code"))
 
 

@@ -77,3 +77,21 @@ def test_answers_are_read_without_sorting(spark):
     got = P.answer_diffs(spark.createDataFrame(rows, "k int, text string").repartition(2), "k")
     assert operators(got, "Sort", "Window", "Join") == [0, 0, 0]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "-a\n+c", "found"), (2, None, "not_found"), (3, None, "wrong_answer"), (4, None, "wrong_answer"), (5, "+e", "found"), (6, None, "wrong_answer"), (None, "+f", "found"), (7, None, "wrong_answer")], key=str)
+
+
+def test_code_without_conditions_is_not_scanned(spark, monkeypatch):
+    """mixed_formats: one pass of Python, and only code that names a condition is scanned."""
+    from patchloom.functions import text as T
+
+    rows = [(1, "a =\n  1;\n"), (2, "if (p)\n  q(2);\n"), (3, None), (4, ""), (5, "if (a) b(); else\n c();\n")]
+    got = T.formatted(spark.createDataFrame(rows, "k int, code string"), "code", "k")
+    assert operators(got, "ArrowEvalPython", "MapInPandas") == [0, 0]
+    assert sorted(map(tuple, got.collect())) == [(1, "a = 1;\n"), (2, "if (p)\n  {\nq(2);\n}\n"), (3, None), (4, ""), (5, "if (a) {\nb(); }\nelse {\nc();\n}\n")]
+
+
+def test_call_graphs_shuffle_orders_once(spark):
+    """mixed_call_graphs: points are counted and joined by order, without a shuffle of points or edges."""
+    from patchloom.plans.varied_bindings import mixed_call_graphs
+
+    plan = mixed_call_graphs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "version" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
