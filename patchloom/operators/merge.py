@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.functions.batches import batch_lines, listed
+from patchloom.session import checkpointed
+
 
 def split_gaps(snippets: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys, pos, line, marked, gap): lines of snippets; a marked line starts with + or -; gap counts the unmarked
@@ -46,25 +51,47 @@ def merged_lines(snippets: DataFrame, key: str, snippet: str, text: str = "text"
 
     The rows of a (key, first_snippet) in order of gap, marked ones first, then snippet and pos are the merged text; base
     lines have no snippet. No group is put together, so many snippets with equal base lines stay spread over the tasks:
-    they meet by the hash of their base lines, whose least snippet is an aggregate and joined back by key.
+    a snippet is read whole in its task, and they meet once, by the hash of their base lines, whose least snippet is an aggregate.
     """
-    g = split_gaps(snippets, key, snippet, text=text)
-    own = F.transform(F.array_sort(F.collect_list(F.when(~F.col("marked"), F.struct("pos", "line")))), lambda x: x["line"])
-    base = g.groupBy(key, snippet).agg(own.alias("base"), F.max(F.col("marked").cast("int")).alias("any"))
+    trimmed = F.regexp_replace(F.regexp_replace(F.col(text), r"^[ \t\n\r\f\x0b]+", ""), r"[ \t\n\r\f\x0b]+$", "")
+    rows = snippets.select(key, snippet, trimmed.alias("_text")).where("_text is not null")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *gathered(batch.column(2))], [key, snippet, "base", "marks"])
+
+    base = rows.mapInArrow(run, f"{own}, base array<string>, marks array<struct<gap:int,pos:int,line:string>>")
     if not keep_unmarked:
-        base = base.where("any = 1")
+        base = base.where(F.size("marks") > 0)
     # lengths before lines, so that different lists never read as one text
     name = F.sha2(F.array_join(F.transform("base", lambda x: F.concat(F.length(x), F.lit(":"), x)), ""), 256)
-    base = base.select(key, snippet, "base", name.alias("_name"))
+    # read for the least snippet of a name and for the lines
+    base = checkpointed(base.select(key, snippet, "base", "marks", name.alias("_name")))
     first = base.groupBy(key, "_name").agg(F.min(snippet).alias("first_snippet"))
-    of = base.select(key, snippet, "_name").join(first, [key, "_name"]).select(key, snippet, "first_snippet")
-    marked = g.where("marked").groupBy(key, snippet, "gap", "line").agg(F.min("pos").alias("pos")).join(of, [key, snippet])
+    base = base.join(first, [key, "_name"])
+    marked = base.select(key, "first_snippet", F.col(snippet), F.inline("marks"))
     marked = marked.select(key, "first_snippet", "gap", F.lit(True).alias("marked"), F.col(snippet), "pos", "line")
-    lines = base.join(of.where(F.col(snippet) == F.col("first_snippet")), [key, snippet]).select(key, "first_snippet", F.posexplode("base").alias("gap", "line"))
+    lines = base.where(F.col(snippet) == F.col("first_snippet")).select(key, "first_snippet", F.posexplode("base").alias("gap", "line"))
     none = F.lit(None).cast(dict(base.dtypes)[snippet])
     return marked.unionByName(lines.select(key, "first_snippet", "gap", F.lit(False).alias("marked"), none.alias(snippet), F.col("gap").alias("pos"), "line"))
 
 
+def gathered(texts: pa.Array) -> list[pa.Array]:
+    """[base, marks] of an array of snippets: unmarked lines, and the marked ones as (gap, pos, line), a repeated line of a gap
+    at its first place only; over the lines of all snippets at once."""
+    l = batch_lines(texts)
+    marked = (l.lead == ord("+")) | (l.lead == ord("-"))
+    before = np.cumsum(~marked) - ~marked  # of all snippets
+    gap = before - before[l.first] if len(before) else before
+    at = np.flatnonzero(marked)
+    code = l.text.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    _, once = np.unique(np.stack([l.row[at], gap[at], code[at]]), axis=1, return_index=True)
+    at = at[np.sort(once)]
+    marks = pa.StructArray.from_arrays([pa.array(gap[at].astype(np.int32)), pa.array((at - l.first[at]).astype(np.int32)), l.text.take(pa.array(at))], ["gap", "pos", "line"])
+    return [listed(l.text.filter(pa.array(~marked)), l.row[~marked], len(texts)), listed(marks, l.row[at], len(texts))]
+
+
 def drop_consecutive(rows: DataFrame, value: str, order: list[str], *keys: str) -> DataFrame:
     """rows without those whose value equals the one before, in order, within their key; nulls are equal to each other."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -95,3 +95,37 @@ def test_call_graphs_shuffle_orders_once(spark):
 
     plan = mixed_call_graphs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "version" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+def test_pivots_meet_by_key_without_a_join(spark):
+    """unmapped_lines, patch_hunks: both sides of a pivot are sorted once, by key; nulls match nothing."""
+    from patchloom.operators import diff as D
+
+    a = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 3), (2, 5), (None, 1)], "k int, line_no int")
+    m = spark.createDataFrame([(1, 2), (1, 2), (2, 4), (None, 1), (1, None)], "k int, line_no int")
+    got = D.context_pivot(a, m, "k")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 1, 1), (1, 3, 2), (1, 3, 3), (2, 5, 1), (None, 1, 1)]
+
+
+def test_snippets_are_gathered_in_their_task(spark):
+    """gap_merge_lines: one join, on the name of base lines; repeated marked lines of a gap count once."""
+    from patchloom.operators import merge as M
+
+    rows = [(1, 1, " a\n+x\n+x\nb\n-y"), (1, 2, "a\n+x\nb"), (1, 3, "c"), (1, 4, None), (1, 5, "")]
+    got = M.merged_lines(spark.createDataFrame(rows, "g int, s int, text string"), "g", "s")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 1, True, 1, 1, "+x"), (1, 1, 2, True, 1, 4, "-y"), (1, 1, 1, True, 2, 1, "+x"), (1, 1, 0, False, None, 0, "a"), (1, 1, 1, False, None, 1, "b")], key=str)
+
+
+def test_walk_back_from_sinks_ends_with_the_hops(spark, monkeypatch):
+    """flow_to_returns, flow_to_same_name: a chain longer than the flows is not walked back to its start."""
+    from patchloom.operators import flows as W
+    from patchloom.operators import graph as G
+
+    sizes, reach = [], G.reach
+    monkeypatch.setattr(G, "reach", lambda *a, **o: sizes.append((r := reach(*a, **o)).count()) or r)
+    e = spark.range(30).selectExpr("1 AS k", "cast(id AS int) AS src", "cast(id + 1 AS int) AS dst")
+    node = lambda *xs: spark.createDataFrame([(1, x) for x in xs], "k int, node int")
+    got = W.flows(e, node(27, 28, 30), node(30), "k", hops=2).collect()
+    assert [(r["source"], r["sink"], r["path"]) for r in got] == [(28, 30, [28, 29, 30])] and sizes == [2]
