@@ -133,7 +133,11 @@ def runs(df: DataFrame, n: str, *keys: str) -> DataFrame:
 def context_pivot(all_lines: DataFrame, modified: DataFrame, *keys: str, n: str = "line_no") -> DataFrame:
     """(keys, n, pivot): lines that are not modified, numbered 1, 2, ... in order: the common text of both sides."""
     w = Window.partitionBy(*keys).orderBy(n)
-    return all_lines.join(modified, [*keys, n], "left_anti").select(*keys, n, F.row_number().over(w).alias("pivot"))
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*keys, n)])
+    both = all_lines.select(*keys, n, F.lit(0).alias("_m")).unionByName(modified.where(known).select(*keys, n, F.lit(1).alias("_m")))
+    # both sides in one order, in which a line meets those of its number: one shuffle and one sort, by key
+    kept = both.withColumn("_m", F.max("_m").over(w.rangeBetween(Window.currentRow, Window.currentRow))).where("_m = 0")
+    return kept.select(*keys, n, F.row_number().over(w).alias("pivot"))
 
 
 def line_map(a: DataFrame, b: DataFrame, *keys: str, n: str = "line_no") -> DataFrame:
@@ -193,6 +197,7 @@ def uncovered(points: DataFrame, spans: DataFrame, *keys: str, n: str, start: st
 
 def unmapped(add: DataFrame, delete: DataFrame, hunks: DataFrame, *keys: str, n: str = "line_no", compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(added, deleted) lines in no paired hunk. compat looks for them on each other's side."""
+    hunks = checkpointed(hunks)  # read by both sides
     a, b = ("a_start", "a_end"), ("b_start", "b_end")
     add_on, del_on = (a, b) if compat else (b, a)
     return uncovered(add, hunks, *keys, n=n, start=add_on[0], end=add_on[1]), uncovered(delete, hunks, *keys, n=n, start=del_on[0], end=del_on[1])

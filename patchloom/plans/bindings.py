@@ -14,7 +14,7 @@ from patchloom.operators import diff as D
 from patchloom.operators import graph as G
 from patchloom.operators import merge as M
 from patchloom.operators import metrics as E
-from patchloom.session import prepare
+from patchloom.session import checkpointed, prepare
 from patchloom.sources import patches as P
 
 QUERIES: dict = {}
@@ -59,10 +59,12 @@ def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     Returns all old lines, deleted ones, all new lines, added ones, each numbered within its side."""
     l = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    old = l.withColumn("line_no", F.row_number().over(w))
+    # both sides are read for their lines, changes, pivots and runs, and numbered once
+    old = checkpointed(l.select("l_orderkey", F.row_number().over(w).alias("line_no"), "l_returnflag", "l_partkey"))
     kept = old.where("l_returnflag <> 'R'").select("l_orderkey", "line_no", "l_returnflag", "l_partkey", F.lit(0).alias("again"))
     extra = old.where("l_returnflag = 'N'").select("l_orderkey", "line_no", "l_returnflag", "l_partkey", F.lit(1).alias("again"))
     new = kept.unionByName(extra).withColumnRenamed("line_no", "o").withColumn("line_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("o", "again")))
+    new = checkpointed(new.select("l_orderkey", "line_no", "again", "l_partkey"))
     return old, old.where("l_returnflag = 'R'"), new, new.where("again = 1")
 
 
