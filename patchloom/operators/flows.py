@@ -27,7 +27,8 @@ def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *keys: str, wi
     e = edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct()
     if prune:
         back = e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
-        useful = G.reach(back, sinks.select(*keys, "node"), *keys)
+        # of a flow's edges the first ends at most hops - 1 edges before its sink
+        useful = G.reach(back, sinks.select(*keys, "node"), *keys, limit=max(hops, 1000), within=max(hops - 1, 0) if hops < 1000 else None)
         e = e.join(useful.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi")
     e = checkpointed(e)
     found = new = checkpointed(sources.select(*keys, F.col("node").alias("source"), "node").where("node is not null").distinct().withColumns({"parent": F.lit(None).cast(sources.schema["node"].dataType), "hop": F.lit(0)}))

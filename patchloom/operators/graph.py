@@ -28,8 +28,8 @@ def ends(points: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
     return both.select(*keys, "node", F.col("_in").isNull().alias("is_source"), F.col("_out").isNull().alias("is_sink")).where("is_source or is_sink")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *keys: str, directed: bool = True, limit: int = 1000) -> DataFrame:
-    """(keys, node): all nodes that can be reached from the seeds (keys, node), these included.
+def reach(edges: DataFrame, seeds: DataFrame, *keys: str, directed: bool = True, limit: int = 1000, within: int | None = None) -> DataFrame:
+    """(keys, node): all nodes that can be reached from the seeds (keys, node), these included; by `within` edges, if given.
 
     A frontier loop: each round joins the new nodes with the edges and takes out what earlier rounds found, so a cycle
     ends it. A round is checkpointed by itself; earlier ones are not written again. More than `limit` rounds raise an
@@ -40,7 +40,9 @@ def reach(edges: DataFrame, seeds: DataFrame, *keys: str, directed: bool = True,
         e = e.unionByName(e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = checkpointed(e.distinct())
     seen = new = checkpointed(seeds.select(*keys, "node").distinct())
-    for _ in range(limit):
+    for i in range(limit):
+        if i == within:
+            return seen
         step = new.withColumnRenamed("node", "src").join(e, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
         new = checkpointed(step.join(seen, [*keys, "node"], "left_anti"))
         if new.isEmpty():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patchloom.operators import flows as W
 from patchloom.operators import graph as G
 from patchloom.plans.bindings import bound, table
+from patchloom.session import checkpointed
 
 #: A user's events as the lines of a function; values flow to the next line of the same type, from every third event to
 #: the next line, and from every eleventh two lines back, which makes loops.
@@ -31,7 +32,8 @@ def _lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (user_id, node, name, line, is_return) and edges (user_id, src, dst), see LINES."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     n = table(spark, sf, "events", "user_id", "ts", "event_id", "event_type").select("user_id", "event_id", F.col("event_type").alias("name"), F.row_number().over(w).alias("line"))
-    n = n.select("user_id", "event_id", "name", "line", F.col("line").alias("node"), (F.col("name") == "purchase").alias("is_return"))
+    # numbered once: nodes are read as edges, sources and sinks
+    n = checkpointed(n.select("user_id", "event_id", "name", "line", F.col("line").alias("node"), (F.col("name") == "purchase").alias("is_return")))
     chain = n.select("user_id", F.col("line").alias("src"), F.lead("line").over(Window.partitionBy("user_id", "name").orderBy("line")).alias("dst"))
     on = n.where("event_id % 3 = 0").select("user_id", F.col("line").alias("src"), (F.col("line") + 1).alias("dst"))
     back = n.where("event_id % 11 = 0 and line > 2").select("user_id", F.col("line").alias("src"), (F.col("line") - 2).alias("dst"))
