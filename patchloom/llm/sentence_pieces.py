@@ -23,7 +23,7 @@ SPACE = "▁"
 #: Sampled segmentations of each text, and the power to which piece probabilities are raised.
 SAMPLES, ALPHA = 2, 0.5
 #: Characters worked on at once; a longer text goes alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def model_path(name: str = MODEL) -> str:
