@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from pathlib import Path
 
@@ -48,3 +49,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             at = tempfile.mkdtemp(prefix="patchloom-")
         sc.setCheckpointDir(at)
     return df.checkpoint()
+
+
+#: Rows that a task sorts or gathers at once.
+ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:
+    """df dealt out by keys into parts of about so many rows, however many there are: what a task sorts or gathers does not
+    grow with the table. A number of parts that is asked for is neither merged nor split by size, and an aggregation by the
+    keys then gathers in the parts alone, not before they are dealt, in as much of the table as a file's part holds."""
+    parts = max(prepared(df).sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / rows))
+    return df.repartition(parts, *keys)
