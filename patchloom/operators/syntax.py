@@ -94,27 +94,50 @@ def _numbered(patterns: list[Pattern], nested: bool = False) -> list[Pattern]:
     return out
 
 
-def _marks(*conditions: tuple[Column, int]) -> Column:
-    """The numbers whose conditions hold, as an array."""
-    every = F.array(*[F.when(c, F.lit(i)) for c, i in conditions]) if conditions else F.array()
-    return F.filter(every.cast("array<int>"), lambda x: x.isNotNull())
+#: Marks of a word of 64 bits.
+BITS = 62
 
 
-def _has(marks: str | Column, p: Pattern) -> Column:
-    return F.coalesce(F.array_contains(marks, p.number), F.lit(False))
+def _words(numbers: list[int], words: int) -> list[int]:
+    """Numbers as bits of so many words."""
+    return [sum(1 << i % BITS for i in set(numbers) if i // BITS == w) for w in range(words)]
+
+
+def _marks(words: int, *conditions: tuple[Column, int]) -> Column:
+    """The numbers whose conditions hold, as bits: whole numbers are compared and stored where arrays would be searched."""
+    bit = lambda c, i: F.when(c, F.lit(1 << i % BITS).cast("long")).otherwise(F.lit(0).cast("long"))
+    of = lambda w: [bit(c, i) for c, i in conditions if i // BITS == w]
+    return F.struct(*[reduce(Column.bitwiseOR, of(w), F.lit(0).cast("long")).alias(f"w{w}") for w in range(words)])
+
+
+def _and(marks: str, numbers: list[int], words: int) -> Column:
+    """Those of marks that have one of these numbers."""
+    return F.struct(*[F.col(marks)[f"w{w}"].bitwiseAND(F.lit(m).cast("long")).alias(f"w{w}") for w, m in enumerate(_words(numbers, words))])
+
+
+def _or(a: Column, b: Column, words: int) -> Column:
+    return F.struct(*[a[f"w{w}"].bitwiseOR(b[f"w{w}"]).alias(f"w{w}") for w in range(words)])
+
+
+def _some(marks: str, words: int) -> Column:
+    return reduce(lambda x, y: x | y, [F.col(marks)[f"w{w}"] != 0 for w in range(words)])
+
+
+def _has(marks: str, p: Pattern) -> Column:
+    return F.col(marks)[f"w{p.number // BITS}"].bitwiseAND(F.lit(1 << p.number % BITS).cast("long")) != 0
 
 
 def _named(p: Pattern) -> Column:
     return F.lit(True) if p.name is None else F.col("field") == p.name
 
 
-def _fits(every: list[Pattern], known: dict[int, Column]) -> Column:
+def _fits(words: int, every: list[Pattern], known: dict[int, Column]) -> Column:
     """Marks of what a node fits: patterns whose fit is known, and those that are a choice among them."""
     for p in every:
         some = [known[c.number] for c in p.choices if c.number in known]
         if some:
             known[p.number] = reduce(lambda x, y: x | y, some) & _named(p)
-    return _marks(*((c, i) for i, c in known.items()))
+    return _marks(words, *((c, i) for i, c in known.items()))
 
 
 def _chosen(p: Pattern) -> list[Pattern]:
@@ -122,7 +145,7 @@ def _chosen(p: Pattern) -> list[Pattern]:
     return [p, *(x for c in p.choices for x in _chosen(c))]
 
 
-def _matched(rows: DataFrame, patterns: list[Pattern], down: bool, *keys: str) -> DataFrame:
+def _matched(rows: DataFrame, words: int, patterns: list[Pattern], down: bool, *keys: str) -> DataFrame:
     """Marks of what nodes take part as, of patterns with children and of these children, all by one shuffle.
 
     rows are (keys, _x, _own, _fits, ...): a node under its own id with the patterns that it may be, or under its parent's
@@ -132,24 +155,28 @@ def _matched(rows: DataFrame, patterns: list[Pattern], down: bool, *keys: str) -
     early, late = (lambda p, i: f"_e{p.number}_{i}"), (lambda p, i: f"_l{p.number}_{i}")
     most = max(len(p.children) for p in patterns)
     for i in range(most):
-        # the earliest place of each child's pattern after the places of those before it
+        # the earliest place of each child's pattern after the places of those before it; the latest too of the last child's
         at = lambda p: _has("_fits", p.children[i]) & (F.col("_pos") > F.col(early(p, i - 1)) if i else F.lit(True))  # noqa: B023, E731
-        rows = rows.withColumns({early(p, i): F.min(F.when(at(p), F.col("_pos"))).over(w) for p in patterns if i < len(p.children)})
+        now = [p for p in patterns if i < len(p.children)]
+        new = {early(p, i): F.min(F.when(at(p), F.col("_pos"))).over(w) for p in now}
+        if down:
+            new |= {late(p, i): F.max(F.when(at(p), F.col("_pos"))).over(w) for p in now if 0 < i == len(p.children) - 1}
+            new |= {} if i else {f"_p{p.number}": F.max(_has("_own", p)).over(w) for p in patterns}
+        rows = rows.withColumns(new)
     last = {p.number: F.col(early(p, len(p.children) - 1)).isNotNull() for p in patterns}
     own = [(_has("_own", p) & last[p.number], p.number) for p in patterns]
     if not down:
-        return rows.withColumn("_fits", _marks(*own)).where(F.size("_fits") > 0)
-    rows = rows.withColumns({f"_p{p.number}": F.max(_has("_own", p) & last[p.number]).over(w) for p in patterns})
+        return rows.withColumn("_fits", _marks(words, *own)).where(_some("_fits", words))
 
     def takes(p: Pattern, i: int) -> Column:
-        out = F.col(f"_p{p.number}") & _has("_fits", p.children[i])
+        out = F.col(f"_p{p.number}") & last[p.number] & _has("_fits", p.children[i])
         out = out & (F.col("_pos") > F.col(early(p, i - 1))) if i else out
         return out & (F.col("_pos") < F.col(late(p, i + 1))) if i < len(p.children) - 1 else out
 
-    for i in reversed(range(1, most)):
-        rows = rows.withColumns({late(p, i): F.max(F.when(takes(p, i), F.col("_pos"))).over(w) for p in patterns if i < len(p.children)})
+    for i in reversed(range(1, most - 1)):
+        rows = rows.withColumns({late(p, i): F.max(F.when(takes(p, i), F.col("_pos"))).over(w) for p in patterns if i < len(p.children) - 1})
     kids = [(takes(p, i) & _has("_fits", c), c.number) for p in patterns for i, child in enumerate(p.children) for c in _chosen(child)]
-    return rows.withColumn("_as", F.array_distinct(_marks(*own, *kids))).where(F.size("_as") > 0)
+    return rows.withColumn("_as", _marks(words, *own, *kids)).where(_some("_as", words))
 
 
 def inside(nodes: DataFrame, roots: DataFrame, *keys: str) -> DataFrame:
@@ -174,26 +201,28 @@ def query(nodes: DataFrame, text: str, *keys: str, within: DataFrame | None = No
     nodes = nodes if within is None else inside(nodes, within, *keys)
     tops = parse(text)
     every = _numbered(tops)
+    words = len(every) // BITS + 1
     parts = [p for p in every if p.children]
     leaves = {p.number: (F.col("type").isin(*p.types) if p.types else F.lit(True)) & _named(p) for p in every if not p.children and not p.choices}
     may = [((F.col("type").isin(*p.types) if p.types else F.lit(True)) & _named(p), p.number) for p in parts]
     shown = [*keys, "id", "type", "start_byte", "end_byte"]
     rest = [*shown, "parent", "field", "_pos"]
     rows = nodes.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys], F.lit(True)))
-    rows = rows.withColumn("_pos", F.struct("start_byte", "end_byte", "id")).withColumns({"_own": _marks(*may), "_fits": _fits(every, leaves)})
-    rows = rows.where((F.size("_own") > 0) | (F.size("_fits") > 0)).select(*rest, "_own", "_fits")
+    rows = rows.withColumn("_pos", F.struct("start_byte", "end_byte", "id")).withColumns({"_own": _marks(words, *may), "_fits": _fits(words, every, leaves)})
+    used = _some("_own", words) | _some("_fits", words)
+    rows = rows.where(used).select(*rest, "_own", "_fits")
     levels = sorted({p.height for p in parts})
     whole = [c for p in tops if not p.children for c in _chosen(p) if not c.children]
     if 2 * len(levels) - 1 + bool(whole) > 1:
         rows = checkpointed(rows)  # each level reads it
-    none = F.array().cast("array<int>")
+    none = _marks(words)
 
     def copies(df: DataFrame, patterns: list[Pattern]) -> DataFrame:
         """Each node under its own id, with those of patterns that it may be, and under its parent's, with what it fits."""
-        kept = lambda c, ps: F.array_intersect(c, F.array(*[F.lit(p.number) for p in ps]).cast("array<int>")) if ps else none
+        kept = lambda c, ps: _and(c, [p.number for p in ps], words)
         kids = [x for p in patterns for c in p.children for x in _chosen(c)]
         both = F.array(F.struct(F.col("id").alias("_x"), kept("_own", patterns).alias("_own"), none.alias("_fits")), F.struct(F.col("parent").alias("_x"), none.alias("_own"), kept("_fits", kids).alias("_fits")))
-        return df.select(*rest, F.explode(both).alias("_c")).select(*rest, "_c.*").where("_x is not null and (size(_own) > 0 or size(_fits) > 0)")
+        return df.select(*rest, F.explode(both).alias("_c")).select(*rest, "_c.*").where(F.col("_x").isNotNull() & used)
 
     def known(patterns: list[Pattern], below: int) -> DataFrame:
         df = rows
@@ -205,11 +234,11 @@ def query(nodes: DataFrame, text: str, *keys: str, within: DataFrame | None = No
     for h in levels:
         inner = [p for p in parts if p.height == h and p.nested]
         if inner:
-            fit = _matched(known(inner, h), inner, False, *keys)
-            fitting[h] = checkpointed(fit.withColumn("_fits", _fits(every, {p.number: _has("_fits", p) for p in inner})).select(*rest, "_fits"))
+            fit = _matched(known(inner, h), words, inner, False, *keys)
+            fitting[h] = checkpointed(fit.withColumn("_fits", _fits(words, every, {p.number: _has("_fits", p) for p in inner})).select(*rest, "_fits"))
     free = {p.number for t in tops for p in _chosen(t)}
     groups = [p for p in every if p.choices and p.number in free]
-    caught = lambda df, ps: df.select(*shown, F.explode(F.array_compact(F.flatten(F.array_compact(F.array(*[F.when(_has("_as", p), F.array(*map(F.lit, p.captures))) for p in ps]))))).alias("capture"))
+    caught = lambda df, ps: df.select(*shown, F.explode(F.array(*[F.when(_has("_as", p), F.lit(c)) for p in ps for c in p.captures])).alias("capture")).where("capture is not null")
     alone = [p for p in whole if p.captures]
     found = [caught(rows.select(*shown, F.col("_fits").alias("_as")), alone)] if alone else []
     taking: list[DataFrame] = []
@@ -218,12 +247,12 @@ def query(nodes: DataFrame, text: str, *keys: str, within: DataFrame | None = No
         nested = [p for p in now if p.number not in free]
         start = known(now, h)
         if nested:
-            drop = F.array(*[F.lit(p.number) for p in nested]).cast("array<int>")
-            start = start.withColumn("_own", F.array_except("_own", drop)).where("size(_own) > 0 or size(_fits) > 0")
+            drop = [p.number for p in nested]
+            start = start.withColumn("_own", _and("_own", [p.number for p in every if p.number not in drop], words)).where(used)
             for t in taking:
-                start = start.unionByName(t.select(*rest, F.col("id").alias("_x"), F.array_intersect("_as", drop).alias("_own"), none.alias("_fits")).where("size(_own) > 0"))
+                start = start.unionByName(t.select(*rest, F.col("id").alias("_x"), _and("_as", drop, words).alias("_own"), none.alias("_fits")).where(_some("_own", words)))
         # a node that fits a choice at the top is one of its group too
-        part = _matched(start, now, True, *keys).withColumn("_as", F.array_union("_as", _fits(groups, {p.number: _has("_as", p) for p in now if p.number in free}))).select(*rest, "_as")
+        part = _matched(start, words, now, True, *keys).withColumn("_as", _or(F.col("_as"), _fits(words, groups, {p.number: _has("_as", p) for p in now if p.number in free}), words)).select(*rest, "_as")
         if any(p.height < h and p.number not in free for p in parts):
             part = checkpointed(part)
         taking.append(part)

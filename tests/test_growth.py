@@ -20,3 +20,24 @@ def test_order_lines_are_gathered_where_they_are_dealt(spark):
     plan = mixed_answers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
     at = next(i for i, x in enumerate(plan) if "Exchange" in x)
     assert "REPARTITION_BY_NUM" in plan[at] and not any("Aggregate" in x for x in plan[at:])
+
+
+def test_marks_of_patterns_are_bits(spark):
+    """tree_patterns: no row carries arrays that each pattern searches, and a pattern of n children takes two passes less."""
+    from patchloom.operators import syntax as Q
+    from patchloom.plans.syntax_bindings import TREE_QUERY
+
+    n = spark.createDataFrame([(1, 8, None, None, "O", 0, 9), (1, 9, 8, "status", "R", 1, 2), (1, 10, 8, None, "N", 2, 3)], "doc int, id int, parent int, field string, type string, start_byte int, end_byte int")
+    plan = Q.query(n, TREE_QUERY, "doc")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "filter(" not in plan and sum(x.lstrip(":+- ").startswith("Window ") for x in plan.splitlines()) == 4
+
+
+def test_more_patterns_than_bits_of_a_word(spark):
+    """Patterns beyond 62 and beyond 124, with children and as choices, capture what they do alone."""
+    from patchloom.operators import syntax as Q
+
+    rows = [(1, 1, None, None, "t", 0, 9)] + [(1, 2 + i, 1, None, f"k{i}", i, i + 1) for i in range(80)]
+    n = spark.createDataFrame(rows, "doc int, id int, parent int, field string, type string, start_byte int, end_byte int")
+    kids = " ".join(f"(t (k{i}) @c{i})" for i in range(80))
+    got = {(r["capture"], r["id"]) for r in Q.query(n, kids + " [(k3) (t (k5) (k70))] @some (k9) @one (t (k7) (k6) @never)", "doc").collect()}
+    assert got == {(f"c{i}", 2 + i) for i in range(80)} | {("some", 5), ("some", 1), ("one", 11)}
