@@ -24,6 +24,8 @@ SPACE = "▁"
 SAMPLES, ALPHA = 2, 0.5
 #: Characters worked on at once; a longer text goes alone.
 CHUNK = 1 << 19
+#: Distinct words that the model encodes in one call.
+TOGETHER = 32
 
 
 def model_path(name: str = MODEL) -> str:
@@ -65,6 +67,8 @@ class Pieces:
         self.byte_weight = byte_weight
         if any(p in text for p in ("\n", f"{SPACE}\n")):
             raise ValueError("line feeds are pieces of this model")
+        # whether a line feed is its byte and nothing else, so that what it parts is encoded as if alone
+        self.parted = not any("\n" in text[i] for i in np.flatnonzero(plain))
         if sp.decode(sp.encode(" a  ﬁ　b ")) != " a  ﬁ　b ":
             raise ValueError("this model changes texts before it encodes them")
         self.raw_size = np.fromiter(map(len, self.raw), np.int64, n)
@@ -87,6 +91,15 @@ class Pieces:
                 raise ValueError("two pieces of this model share a hash")
             self.spelt.append(np.array([codes[mine[o]] for o in order], np.uint32).reshape(-1, size))
             self.tables.append((h[order], ids[np.array(mine, np.int64)][order] if mine else np.zeros(0, np.int64), seen))
+        # for each size the places of hashes of that many characters with which a longer piece begins
+        self.onward = []
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes))
+        h, begin = prefix_hash(np.concatenate(codes)), np.cumsum(lengths) - lengths
+        for size in range(1, self.longest + 1):
+            at = begin[lengths > size]
+            onward = np.zeros(1 << 17, bool)
+            onward[(part_hash(h, at, at + size) >> U(47)).astype(np.int64)] = True
+            self.onward.append(onward)
 
     @staticmethod
     def pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -157,13 +170,17 @@ class Batch:
         h = prefix_hash(code)
         src, width, ids = [], [], []
         known = np.zeros(total, bool)
-        for k in range(min(m.longest, int(size.max())), 0, -1):
-            at = np.flatnonzero(left >= k)
-            hit, found = m.lookup(part_hash(h, at, at + k), k, code, at)
+        at = np.arange(total)
+        for k in range(1, min(m.longest, int(size.max())) + 1):
+            part = part_hash(h, at, at + k)
+            hit, found = m.lookup(part, k, code, at)
             src.append(at[hit].astype(np.int32))
             width.append(np.full(len(hit), k, np.int32))
             ids.append(found.astype(np.int32))
-        known[src[-1]] = True
+            # longer pieces are looked for only where one begins with these characters
+            at = at[m.onward[k - 1][(part >> U(47)).astype(np.int64)] & (left[at] > k)]
+        known[src[0]] = True
+        src, width, ids = src[::-1], width[::-1], ids[::-1]
         lost = np.flatnonzero(~known)
         # a character of one byte is that byte's piece; ids below 0 stand for the bytes of others
         src.append(lost.astype(np.int32))
@@ -294,23 +311,43 @@ def encode(model: Pieces, texts: list[str | None], batch: Batch | None = None) -
     b = batch or Batch(model, texts, lattice=False)
     if not len(b.word):
         return [np.zeros(0, np.int32) for _ in texts]
-    every = b.codes.tobytes().decode("utf-32-le", "surrogatepass").replace(SPACE, " ")
-    cuts = b.base.tolist()
-    # after a line feed no blank is put before a word; the two pieces for that come off again
-    ids = model.sp.encode(["\n" + every[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], num_threads=1)
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-    off = np.cumsum(size) - size
-    kept = np.ones(len(flat), bool)
-    kept[off] = kept[off + 1] = False
-    flat, size = flat[kept], size - 2
-    start = np.concatenate([[0], np.cumsum(size)])
+    # words with a line feed of their own go one by one, others many at once, a line feed before each
+    words = len(b.base) - 1
+    fed = np.zeros(words, bool)
+    fed[np.searchsorted(b.base, np.flatnonzero(b.codes == 10), side="right") - 1] = True
+    some = np.flatnonzero(~fed) if model.parted else np.zeros(0, np.int64)
+    each = np.flatnonzero(fed) if model.parted else np.arange(words)
+    flat, start, size = np.zeros(0, np.int32), np.zeros(words, np.int64), np.zeros(words, np.int64)
+    for at, many in ((some, TOGETHER), (each, 1)):
+        if not len(at):
+            continue
+        ids = model.sp.encode(_lines(b, at, many), num_threads=1)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        got = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+        # after a line feed no blank is put before a word; the blank before a line and the line feeds come off again
+        off = np.cumsum(n) - n
+        begin = off + 2 if many == 1 else np.flatnonzero(got == model.byte_id[10]) + 1
+        stop = np.append(begin[1:] - 1, len(got))
+        stop[many - 1 :: many] = (off + n)[: len(stop[many - 1 :: many])]
+        start[at], size[at] = len(flat) + begin, stop - begin
+        flat = np.concatenate([flat, got])
     n = size[b.word]
     ends = np.concatenate([[0], np.cumsum(n)])
     out = flat[np.repeat(start[b.word] - ends[:-1], n) + np.arange(ends[-1])]
     return np.split(out, ends[b.doc_first[1:-1]])
 
 
+def _lines(b: Batch, at: np.ndarray, many: int) -> list[str]:
+    """The distinct words at these places, so many in a text, each with a line feed before it."""
+    size = b.size[at] + 1
+    first = np.cumsum(size) - size
+    code = b.codes[np.maximum(np.repeat(b.base[at] - 1 - first, size) + np.arange(int(size.sum())), 0)]
+    code[first] = 10
+    every = code.tobytes().decode("utf-32-le", "surrogatepass").replace(SPACE, " ")
+    cuts = [*first[::many].tolist(), len(every)]
+    return [every[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def decode(model: Pieces, ids: np.ndarray) -> str:
     """The text of piece ids: pieces joined, bytes put together, the blank before the text taken off."""
     out = spell(model, ids).decode("utf-8", "replace")

@@ -41,3 +41,29 @@ def test_more_patterns_than_bits_of_a_word(spark):
     kids = " ".join(f"(t (k{i}) @c{i})" for i in range(80))
     got = {(r["capture"], r["id"]) for r in Q.query(n, kids + " [(k3) (t (k5) (k70))] @some (k9) @one (t (k7) (k6) @never)", "doc").collect()}
     assert got == {(f"c{i}", 2 + i) for i in range(80)} | {("some", 5), ("some", 1), ("one", 11)}
+
+
+def test_words_are_encoded_many_at_once():
+    """op2_sentence_pieces: one call of the model for many words, words with line feeds of their own by themselves."""
+    import numpy as np
+    import pytest
+
+    pytest.importorskip("sentencepiece")
+    pytest.importorskip("public_tokenizers")
+    from patchloom.llm import sentence_pieces as S
+
+    model, calls = S.Pieces(S.model_path(), S.ALPHA), []
+    texts = ["some words\nand\n\nlines \n of  them", None, "", "\n", "x" * 300 + " ﬁ ä \U0001f600\ud800 z", " ".join(f"w{i}a" for i in range(300))]
+
+    class Counted:
+        def encode(self, lines, **o):
+            calls.append(len(lines))
+            return plain.encode(lines, **o)
+
+    plain, model.sp = model.sp, Counted()
+    want = [plain.encode((t or "").encode("utf-8", "replace").decode()) for t in texts]
+    got = S.encode(model, [t.replace("\ud800", "?") if t else t for t in texts])
+    assert [x.tolist() for x in got] == want and sum(calls) < 40
+    model.joined[model.pair(np.array([ord("d")], np.uint32), np.array([10], np.uint32))] = True  # a word of several characters with a line feed
+    again = S.encode(model, [t.replace("\ud800", "?") if t else t for t in texts])
+    assert [x.tolist() for x in again] == want
