@@ -23,6 +23,8 @@ SAMPLE = 4000
 SUCCESS = 0.97
 #: Vectors that one task compares at once, and queries it compares them with.
 BLOCK, QUERIES = 16_000, 16_000
+#: Queries whose products with a block are held at once.
+STEP = 128
 
 
 def shape(total: int) -> tuple[int, int]:
@@ -134,6 +136,31 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return prepared(df).where(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)).withColumn("_v", v)
 
 
+def close(q: np.ndarray, x: np.ndarray, visits: list[list[int]], size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """For each query the rows of x that can be among its `most` nearest, of the buckets that it visits.
+
+    x holds the buckets one after another, of these sizes; visits are their places. Products are one matrix for STEP
+    queries, in which rows of other buckets count as farthest, so no query copies the rows that it is compared with. All
+    rows visited are given if they are no more than `most` or a product is not finite.
+    """
+    large, largest = np.abs(x).max(), np.abs(q).max(axis=1)
+    for s in range(0, len(q), STEP):
+        rough = q[s : s + STEP] @ x.T
+        seen = np.zeros((len(rough), len(size)), bool)
+        for i, mine in enumerate(visits[s : s + STEP]):
+            seen[i, mine] = True
+        few = ~np.isfinite(rough).all(axis=1) | (seen @ size <= most)
+        rough[~np.repeat(seen, size, axis=1)] = -np.inf
+        at = max(0, len(x) - most)
+        kth = np.partition(rough, at, axis=1)[:, at]
+        least = kth - 1e-9 * np.abs(kth) - 1e-12 * q.shape[1] * largest[s : s + STEP] * large
+        for i in range(len(rough)):
+            if few[i] or not np.isfinite(least[i]):
+                yield np.flatnonzero(np.repeat(seen[i], size))
+            else:
+                yield np.flatnonzero(rough[i] >= least[i])
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", seed: int = 6) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest rows by inner product, in double precision.
 
@@ -233,17 +260,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
 
     def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Inner products summed from the first coordinate to the last: equal vectors get equal scores."""
-        s = np.zeros(len(x))
-        for j in range(x.shape[1]):
-            s += q[j] * x[:, j]
-        return s
-
-    def best(qid: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, rough: np.ndarray) -> list[tuple[int, int, float, float]]:
-        most = TABLES * (k + 1)  # a vector can stand here once for each table
-        near = np.arange(len(ids))
-        if len(ids) > most and np.isfinite(rough).all():
-            kth = np.partition(rough, len(rough) - most)[len(rough) - most]
-            near = np.flatnonzero(rough >= kth - 1e-9 * abs(kth) - 1e-12 * len(q) * np.abs(q).max() * np.abs(x).max())
+        return np.cumsum(q * x, axis=1)[:, -1] + 0.0
+
+    def best(qid: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray, near: np.ndarray) -> list[tuple[int, int, float, float]]:
         near = near[np.unique(ids[near], return_index=True)[1]]
         near = near[ids[near] != qid]
         s, over = exact(q, x[near]), np.zeros(len(near))
@@ -269,18 +288,13 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id",
             order = np.argsort(bucket, kind="stable")
             bucket, ids, x = bucket[order], ids[order], x[order]
             kinds, begin = np.unique(bucket, return_index=True)
-            end = np.append(begin[1:], len(bucket))
             place = {int(b): i for i, b in enumerate(kinds)}
             qids, q, lists = right["query_id"].to_pylist(), matrix(right["_v"].combine_chunks()), right["probes"].to_pylist()
-            for s in range(0, len(q), 256):
-                rough = q[s : s + 256] @ x.T
-                for i in range(s, min(s + 256, len(q))):
-                    here = [place[b] for b in lists[i] if b in place]
-                    if len(here) == len(kinds):
-                        one = slice(None)
-                    else:
-                        one = np.concatenate([np.arange(begin[p], end[p]) for p in here]) if here else np.zeros(0, np.int64)
-                    out += best(qids[i], q[i], ids[one], x[one], rough[i - s][one])
+            size = np.diff(np.append(begin, len(bucket)))
+            visits = [[place[b] for b in mine if b in place] for mine in lists]
+            # a vector can stand here once for each table
+            for i, near in enumerate(close(q, x, visits, size, TABLES * (k + 1))):
+                out += best(qids[i], q[i], ids, x, near)
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], ["query_id", "vec_id", "score", "over"])
 

@@ -67,3 +67,38 @@ def test_words_are_encoded_many_at_once():
     model.joined[model.pair(np.array([ord("d")], np.uint32), np.array([10], np.uint32))] = True  # a word of several characters with a line feed
     again = S.encode(model, [t.replace("\ud800", "?") if t else t for t in texts])
     assert [x.tolist() for x in again] == want
+
+
+def test_queries_copy_no_rows_they_are_compared_with():
+    """op6_lsh_search: all near rows of the visited buckets come from products of many queries at once."""
+    import numpy as np
+    import pytest
+
+    pytest.importorskip("patchloom.llm.lsh_search")
+    from patchloom.llm import lsh_search as L
+
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((900, 8)), rng.standard_normal((L.STEP + 40, 8))
+    x[7], q[5] = np.inf, 0.0
+    size = np.array([300, 1, 299, 200, 100])
+    visited = rng.random((len(q), len(size))) < 0.6
+    visited[3], visited[4] = False, [False, True, False, False, False]
+    visits, copied = [np.flatnonzero(v).tolist() for v in visited], []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            if self.shape == (900, 8):
+                copied.append(at)
+            return super().__getitem__(at)
+
+    with np.errstate(invalid="ignore"):
+        bad = [r.tolist() for r in L.close(q, x, visits, size, 20)]
+    assert bad == [np.flatnonzero(np.repeat(v, size)).tolist() for v in visited]
+    x[7] = 0.5
+    got = [r.tolist() for r in L.close(q, x.view(Watched), visits, size, 20)]
+    assert copied == [] and len(got) == len(q)
+    for i, near in enumerate(got):
+        rows = np.flatnonzero(np.repeat(visited[i], size))
+        products = x[rows] @ q[i]
+        assert set(rows[np.argsort(-products)[:20]]) <= set(near) <= set(rows)
+        assert i == 5 or len(near) == min(20, len(rows))
