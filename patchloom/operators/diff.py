@@ -203,6 +203,29 @@ def unmapped(add: DataFrame, delete: DataFrame, hunks: DataFrame, *keys: str, n:
     return uncovered(add, hunks, *keys, n=n, start=add_on[0], end=add_on[1]), uncovered(delete, hunks, *keys, n=n, start=del_on[0], end=del_on[1])
 
 
+def unpaired(lines: DataFrame, *keys: str, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
+    """(keys, side, line_no): deleted and added lines in no paired hunk, of whole texts; what hunk_map() and unmapped() give.
+
+    lines are all lines of both texts, (keys, side, changed, order): sides are delete for the old and add for the new text,
+    a side's lines stand in the given order and are numbered from 1. Changed lines lie in a gap between two kept lines; gaps
+    are counted from the text's start, and the line that closes one belongs to it. So runs of both sides pair if they lie
+    in one gap that both sides close. One window and one aggregation by the keys: rows dealt out by them are shuffled no more.
+    """
+    change, deleted = F.coalesce("changed", F.lit(False)), F.col("side") == "delete"
+    at = Window.partitionBy(*keys, "side").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    l = lines.select(*keys, deleted.alias("_d"), change.alias("_c"), F.count(F.lit(1)).over(at).cast("int").alias("_n"), (F.count_if(~change).over(at) - (~change).cast("int")).alias("_gap"))
+    # a gap's changed lines of one side are consecutive
+    run = lambda side: [f(F.when(F.col("_c") & side, F.col("_n"))) for f in (F.min, F.max)]
+    closed = lambda side: F.coalesce(F.max(~F.col("_c") & side), F.lit(False))
+    (ds, de), (as_, ae) = run(F.col("_d")), run(~F.col("_d"))
+    gaps = l.groupBy(*keys, "_gap").agg(ds.alias("_ds"), de.alias("_de"), as_.alias("_as"), ae.alias("_ae"), (closed(F.col("_d")) & closed(~F.col("_d"))).alias("_both"))
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    left = gaps.where(~(F.col("_both") & F.col("_ds").isNotNull() & F.col("_as").isNotNull() & known))
+    span = lambda side, s, e: F.when(F.col(s).isNotNull(), F.transform(F.sequence(s, e), lambda n: F.struct(F.lit(side).alias("side"), n.alias("line_no"))))
+    none = F.array().cast("array<struct<side:string,line_no:int>>")
+    return left.select(*keys, F.explode(F.concat(F.coalesce(span("delete", "_ds", "_de"), none), F.coalesce(span("add", "_as", "_ae"), none))).alias("_x")).select(*keys, "_x.*")
+
+
 def patch_hunks(del_lines: DataFrame, add_lines: DataFrame, mapping: DataFrame, *keys: str) -> DataFrame:
     """(keys, type, a_start, a_end, b_start, b_end, a_code, b_code, insert_line): modified, added and deleted hunks.
 

@@ -14,7 +14,7 @@ from patchloom.operators import diff as D
 from patchloom.operators import graph as G
 from patchloom.operators import merge as M
 from patchloom.operators import metrics as E
-from patchloom.session import checkpointed, prepare
+from patchloom.session import checkpointed, dealt, prepare
 from patchloom.sources import patches as P
 
 QUERIES: dict = {}
@@ -140,11 +140,16 @@ def uncovered_events(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT k, 'add', n::int FROM new WHERE again = 1 AND NOT EXISTS (SELECT 1 FROM hm WHERE hm.k = new.k AND n BETWEEN b_start AND b_end)""")
 def unmapped_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Deleted and added lines in no paired hunk."""
-    m, _, gone, _, added = _line_map(spark, sf)
-    hunks = D.hunk_map(D.runs(gone, "line_no", "l_orderkey"), D.runs(added, "line_no", "l_orderkey"), m, "l_orderkey")
-    a, d = D.unmapped(added.select("l_orderkey", "line_no"), gone.select("l_orderkey", "line_no"), hunks, "l_orderkey")
-    side = lambda x, s: x.select("l_orderkey", F.lit(s).alias("side"), "line_no")
-    return side(d, "delete").unionByName(side(a, "add"))
+    l = dealt(table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_orderkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    l = l.select("l_orderkey", "l_returnflag", F.row_number().over(w).alias("o"))
+    # both versions of _versions() from one row of the table, in the part that its order was dealt to
+    line = lambda side, again, changed: F.struct(F.lit(side).alias("side"), F.lit(again).alias("again"), changed.alias("changed"))
+    flag = F.col("l_returnflag")
+    kept = F.when(flag != "R", line("add", 0, F.lit(False)))
+    both = F.array_compact(F.array(line("delete", 0, flag == "R"), kept, F.when(flag == "N", line("add", 1, F.lit(True)))))
+    lines = l.select("l_orderkey", "o", F.explode(both).alias("x")).select("l_orderkey", "o", "x.*")
+    return D.unpaired(lines, "l_orderkey", order=("o", "again"))
 
 
 @bound("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN w = string_split(p_name, ' ')[1] THEN p_brand ELSE w END), chr(10)) AS code FROM part""")

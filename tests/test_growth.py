@@ -102,3 +102,31 @@ def test_queries_copy_no_rows_they_are_compared_with():
         products = x[rows] @ q[i]
         assert set(rows[np.argsort(-products)[:20]]) <= set(near) <= set(rows)
         assert i == 5 or len(near) == min(20, len(rows))
+
+
+def test_unmapped_lines_are_shuffled_once(spark):
+    """unmapped_lines: orders are dealt out once, and no join, union or second shuffle follows."""
+    from patchloom.plans.bindings import unmapped_lines
+
+    plan = unmapped_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan and "Union" not in plan
+
+
+def test_unpaired_lines_are_those_of_no_hunk(spark):
+    """unpaired() against runs, pivots, hunks and unmapped(), on texts of both sides; a text without a key pairs nothing."""
+    import random
+
+    from patchloom.operators import diff as D
+
+    rng, rows = random.Random(8), []
+    for k in [None, *range(60)]:
+        for side in ("delete", "add"):
+            rows += [(k, side, n, rng.choice((True, False, False, None) if k == 5 else (True, False))) for n in range(1, 1 + rng.randrange(12))]
+    lines = spark.createDataFrame(rows, "k int, side string, line_no int, changed boolean")
+    old, new = (lines.where(F.col("side") == s) for s in ("delete", "add"))
+    gone, added = (x.where("changed").select("k", "line_no") for x in (old, new))
+    m = D.line_map(D.context_pivot(old, gone, "k"), D.context_pivot(new, added, "k"), "k").where("k is not null")
+    a, d = D.unmapped(added, gone, D.hunk_map(D.runs(gone, "line_no", "k"), D.runs(added, "line_no", "k"), m, "k"), "k")
+    want = [(r["k"], s, r["line_no"]) for x, s in ((d, "delete"), (a, "add")) for r in x.collect()]
+    got = [tuple(r) for r in D.unpaired(lines, "k").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and 100 < len(got) < sum(1 for r in rows if r[3])
