@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *keys: str, wi
         # of a flow's edges the first ends at most hops - 1 edges before its sink
         useful = G.reach(back, sinks.select(*keys, "node"), *keys, limit=max(hops, 1000), within=max(hops - 1, 0) if hops < 1000 else None)
         e = e.join(useful.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_semi")
+    if hops <= EVERY:
+        return _short_flows(e, sources, sinks, *keys, window=window, hops=hops)
     e = checkpointed(e)
     found = new = checkpointed(sources.select(*keys, F.col("node").alias("source"), "node").where("node is not null").distinct().withColumns({"parent": F.lit(None).cast(sources.schema["node"].dataType), "hop": F.lit(0)}))
     depth = 0
@@ -59,6 +63,33 @@ def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, *keys: str, wi
     return met.select(*keys, "source", "sink", "hops", "path")
 
 
+def _short_flows(e: DataFrame, sources: DataFrame, sinks: DataFrame, *keys: str, window: Column | None, hops: int) -> DataFrame:
+    """flows() of few edges: rows carry their path and are not compared with what earlier rounds found.
+
+    A round's row for a source and a node has the least of the nodes it came from. If no earlier round met the node, these
+    are all nearest nodes by rights, so its path is that of flows(); of the rounds that met it the first is taken at the end.
+    A path that comes back to a node of its own is given up. The last edge is one that leads to a sink.
+    """
+    nodes = sources.select(*keys, F.col("node").alias("source"), "node").where("node is not null").distinct()
+    new, rounds = nodes.withColumn("path", F.array("node")), []
+    goals = sinks.select(*keys, F.col("node").alias("dst")).distinct().withColumn("_goal", F.lit(True))
+    e = checkpointed(e.join(goals, [*keys, "dst"], "left").withColumn("_goal", F.col("_goal").isNotNull()))
+    for hop in range(1, hops + 1):
+        ahead = e if hop < hops else e.where("_goal")
+        step = new.withColumnRenamed("node", "src").join(ahead, [*keys, "src"]).where(~F.array_contains("path", F.col("dst")))
+        step = step.groupBy(*keys, "source", F.col("dst").alias("node"), "_goal").agg(F.min(F.struct("src", "path")).alias("_from"))
+        step = checkpointed(step.select(*keys, "source", "node", F.concat("_from.path", F.array("node")).alias("path"), "_goal"))
+        rounds.append(step.where("_goal").drop("_goal").withColumn("hops", F.lit(hop)))
+        new = step.drop("_goal")
+    if not rounds:
+        rounds = [new.withColumn("hops", F.lit(0)).limit(0)]
+    on = lambda a, b: [F.col(f"f.{k}") == F.col(f"{b}.{k}") for k in keys] + [F.col(f"f.{a}") == F.col(f"{b}.node")]
+    met = reduce(DataFrame.unionByName, rounds).alias("f").join(sinks.alias("d"), on("node", "d")).join(sources.alias("s"), on("source", "s"))
+    met = met if window is None else met.where(window)
+    first = met.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys], F.col("f.source").alias("source"), F.col("f.node").alias("sink")).agg(F.min(F.struct("f.hops", "f.path")).alias("_first"))
+    return first.select(*keys, "source", "sink", "_first.hops", "_first.path")
+
+
 def identifier_flows(nodes: DataFrame, edges: DataFrame, asked: DataFrame, *keys: str, to_returns: bool = True, **options) -> DataFrame:
     """Flows from an identifier to what a change may reach: (keys, source, sink, hops, path).
 

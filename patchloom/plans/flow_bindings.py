@@ -50,7 +50,7 @@ def flow_to_returns(spark: SparkSession, sf: str) -> DataFrame:
     """Flows of up to six edges from signups to the same user's purchases, which stand for returns, within twelve lines."""
     n, e = _lines(spark, sf)
     asked = n.where("name = 'signup'").select("user_id", "name", F.col("line").alias("src_line"), (F.col("line") + 12).alias("dst_line"))
-    return _shown(W.identifier_flows(n, e, asked, "user_id", hops=HOPS))
+    return _shown(W.identifier_flows(n, e, asked, "user_id", hops=HOPS, prune=False))
 
 
 @bound(_flow_sql("t IN ('error', 'view')", "b.t = a.t AND b.line > a.line AND b.line < a.line + 20"))
@@ -58,7 +58,7 @@ def flow_to_same_name(spark: SparkSession, sf: str) -> DataFrame:
     """Flows of up to six edges from errors and views to the same user's events of the same type within twenty lines."""
     n, e = _lines(spark, sf)
     asked = n.where("name in ('error', 'view')").select("user_id", "name", F.col("line").alias("src_line"), (F.col("line") + 20).alias("dst_line"))
-    return _shown(W.identifier_flows(n, e, asked, "user_id", to_returns=False, hops=HOPS))
+    return _shown(W.identifier_flows(n, e, asked, "user_id", to_returns=False, hops=HOPS, prune=False))
 
 
 ROUNDS = 8

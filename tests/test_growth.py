@@ -130,3 +130,20 @@ def test_unpaired_lines_are_those_of_no_hunk(spark):
     want = [(r["k"], s, r["line_no"]) for x, s in ((d, "delete"), (a, "add")) for r in x.collect()]
     got = [tuple(r) for r in D.unpaired(lines, "k").collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and 100 < len(got) < sum(1 for r in rows if r[3])
+
+
+def test_short_flows_are_those_of_long_ones(spark, monkeypatch):
+    """flow_to_returns, flow_to_same_name: paths are carried, in one checkpoint a round, and are those found backwards."""
+    import random
+
+    from patchloom.operators import flows as W
+
+    rng = random.Random(4)
+    e = spark.createDataFrame([(k, rng.randrange(14), rng.randrange(14)) for k in range(6) for _ in range(30)], "k int, src int, dst int")
+    ends = lambda: spark.createDataFrame([(k, x) for k in range(6) for x in rng.sample(range(14), 5)], "k int, node int")
+    a, z, cut, made = ends(), ends(), W.checkpointed, []
+    monkeypatch.setattr(W, "checkpointed", lambda df: made.append(1) or cut(df))
+    got = sorted(map(tuple, W.flows(e, a, z, "k", hops=4, prune=False).collect()))
+    assert len(made) == 5
+    monkeypatch.setattr(W, "EVERY", 2)
+    assert got == sorted(map(tuple, W.flows(e, a, z, "k", hops=4, prune=False).collect())) and max(r[3] for r in got) == 4
